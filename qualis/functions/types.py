@@ -56,4 +56,9 @@ def friendly_type(dt: T.DataType) -> str:
 
 def fixed_width(dt: T.DataType) -> int:
     """Bytes per value for the memory estimate (strings are measured instead)."""
-    return int(dt.defaultSize)
+    widths = {T.ByteType: 1, T.BooleanType: 1, T.ShortType: 2, T.IntegerType: 4,
+              T.FloatType: 4, T.DateType: 4, T.LongType: 8, T.DoubleType: 8,
+              T.TimestampType: 8, T.TimestampNTZType: 8}
+    if isinstance(dt, T.DecimalType):
+        return 8 if dt.precision <= 18 else 16
+    return widths.get(type(dt), 8)
