@@ -40,7 +40,10 @@ DIRTY_CUSTOMER = """SELECT c_custkey AS rid, c_custkey,
 FROM customer"""
 
 # lineitem with gaps: the bench table for order-dependent fills and cleaning plans.
-DIRTY_LINEITEM = """SELECT l_orderkey * 8 + l_linenumber AS rid, l_orderkey, l_partkey,
+# (l_orderkey, l_linenumber, l_partkey, l_suppkey) is unique in the given data;
+# rid packs it in that order (unique while l_partkey < 100000 and l_suppkey < 10000).
+DIRTY_LINEITEM = """SELECT (l_orderkey * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey AS rid,
+       l_orderkey, l_partkey,
        l_suppkey, l_linenumber,
        CASE WHEN (l_orderkey + l_linenumber) % 9 = 0 THEN NULL ELSE l_quantity END AS l_quantity,
        CASE WHEN (l_orderkey * 3 + l_linenumber) % 11 < 2 THEN NULL ELSE l_extendedprice END AS l_extendedprice,

@@ -1,7 +1,8 @@
 """Order-dependent steps without a single-partition window.
 
 A window with only `orderBy` moves every row into one task. Instead rows are cut
-into blocks of the order key (`blk = key div B`):
+into blocks of the order key (`blk = (key - min) div width`, the width chosen
+from min, max and count so a block holds about `block_rows` rows):
 
 1. inside each block a window `partitionBy(blk).orderBy(key)` computes the local
    answer (last / next non-null value, row position);
@@ -27,8 +28,16 @@ from ..functions.missing import normalized
 from ..functions.types import is_number
 
 
-def _block(order_by: str, block_rows: int) -> Column:
-    return F.floor(F.col(order_by) / F.lit(block_rows)).cast("long")
+def _block(df: DataFrame, order_by: str, block_rows: int) -> Column:
+    """Block id with about `block_rows` rows per block: the key range is cut in
+    equal widths sized from one aggregate (min, max, count) of the order key."""
+    row = df.agg(F.min(order_by).alias("lo"), F.max(order_by).alias("hi"),
+                 F.count(order_by).alias("n")).first()
+    if not row["n"]:
+        return F.lit(0).cast("long")
+    lo, hi, n = int(row["lo"]), int(row["hi"]), int(row["n"])
+    width = max(1, ((hi - lo + 1) * block_rows) // n)
+    return F.floor((F.col(order_by) - F.lit(lo)) / F.lit(width)).cast("long")
 
 
 def _valued(c: str, dt) -> Column:
@@ -41,7 +50,7 @@ def _fill(df: DataFrame, columns: Sequence[str], order_by: str, forward: bool,
         return df
     types = {f.name: f.dataType for f in df.schema.fields}
     blk = "_qblk"
-    base = df.withColumn(blk, _block(order_by, block_rows))
+    base = df.withColumn(blk, _block(df, order_by, block_rows))
     o = F.col(order_by)
     if forward:
         w = Window.partitionBy(blk).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
@@ -90,7 +99,7 @@ def interpolate(df: DataFrame, columns: Sequence[str], order_by: str,
         return df
     blk = "_qblk"
     o = F.col(order_by)
-    base = df.withColumn(blk, _block(order_by, block_rows))
+    base = df.withColumn(blk, _block(df, order_by, block_rows))
     # row position: rows of earlier blocks + row number inside the block
     counts = base.groupBy(blk).agg(F.count(F.lit(1)).alias("_qn"))
     offsets = counts.select(blk, F.coalesce(F.sum("_qn").over(
