@@ -40,6 +40,14 @@ def _block(df: DataFrame, order_by: str, block_rows: int) -> Column:
     return F.floor((F.col(order_by) - F.lit(lo)) / F.lit(width)).cast("long")
 
 
+def _running(spec, key: Column, forward: bool, exclusive: bool = False):
+    """Rows from the start up to the current row (or the row before it), in key
+    order for forward steps and in reverse key order for backward ones. Growing
+    frames are evaluated in one pass."""
+    ordered = spec.orderBy(key if forward else key.desc())
+    return ordered.rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
+
+
 def _valued(c: str, dt) -> Column:
     return normalized(c, dt)
 
@@ -52,23 +60,20 @@ def _fill(df: DataFrame, columns: Sequence[str], order_by: str, forward: bool,
     blk = "_qblk"
     base = df.withColumn(blk, _block(df, order_by, block_rows))
     o = F.col(order_by)
-    if forward:
-        w = Window.partitionBy(blk).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
-    else:
-        w = Window.partitionBy(blk).orderBy(o).rowsBetween(0, Window.unboundedFollowing)
-    pick = F.last if forward else F.first
+    # A frame reaching to UNBOUNDED FOLLOWING is recomputed for every row; the
+    # backward direction is the forward one over a descending order instead.
+    w = _running(Window.partitionBy(blk), o, forward)
     local = base.select(*base.columns, *[
-        pick(_valued(c, types[c]), ignorenulls=True).over(w).alias(f"_ql{i}")
+        F.last(_valued(c, types[c]), ignorenulls=True).over(w).alias(f"_ql{i}")
         for i, c in enumerate(columns)])
     # one row per block: its last (forward) or first (backward) non-null value
     edge = F.max_by if forward else F.min_by
     summary = base.groupBy(blk).agg(*[
         edge(F.col(c), F.when(_valued(c, types[c]).isNotNull(), o)).alias(f"_qs{i}")
         for i, c in enumerate(columns)])
-    sw = (Window.orderBy(blk).rowsBetween(Window.unboundedPreceding, -1) if forward
-          else Window.orderBy(blk).rowsBetween(1, Window.unboundedFollowing))
+    sw = _running(Window, F.col(blk), forward, exclusive=True)
     carry = summary.select(blk, *[
-        pick(F.col(f"_qs{i}"), ignorenulls=True).over(sw).alias(f"_qc{i}")
+        F.last(F.col(f"_qs{i}"), ignorenulls=True).over(sw).alias(f"_qc{i}")
         for i in range(len(columns))])
     joined = local.join(carry, blk, "left")
     out = {c: F.coalesce(F.col(f"_ql{i}"), F.col(f"_qc{i}")).cast(types[c]).alias(c)
@@ -130,19 +135,14 @@ def interpolate(df: DataFrame, columns: Sequence[str], order_by: str,
 def _carry_structs(df: DataFrame, cols: Sequence[str], order_by: str, blk: str, forward: bool,
                    suffix: str) -> DataFrame:
     o = F.col(order_by)
-    if forward:
-        w = Window.partitionBy(blk).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
-        sw = Window.orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
-    else:
-        w = Window.partitionBy(blk).orderBy(o).rowsBetween(0, Window.unboundedFollowing)
-        sw = Window.orderBy(blk).rowsBetween(1, Window.unboundedFollowing)
-    pick = F.last if forward else F.first
+    w = _running(Window.partitionBy(blk), o, forward)
+    sw = _running(Window, F.col(blk), forward, exclusive=True)
     edge = F.max_by if forward else F.min_by
-    local = df.select(*df.columns, *[pick(F.col(c), ignorenulls=True).over(w).alias(f"{c}_l")
+    local = df.select(*df.columns, *[F.last(F.col(c), ignorenulls=True).over(w).alias(f"{c}_l")
                                      for c in cols])
     summary = df.groupBy(blk).agg(*[edge(F.col(c), F.when(F.col(c).isNotNull(), o)).alias(f"{c}_s")
                                     for c in cols])
-    carry = summary.select(blk, *[pick(F.col(f"{c}_s"), ignorenulls=True).over(sw).alias(f"{c}_c")
+    carry = summary.select(blk, *[F.last(F.col(f"{c}_s"), ignorenulls=True).over(sw).alias(f"{c}_c")
                                   for c in cols])
     joined = local.join(carry, blk, "left")
     return joined.select(*df.columns, *[F.coalesce(F.col(f"{c}_l"), F.col(f"{c}_c")).alias(f"{c}{suffix}")

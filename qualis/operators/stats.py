@@ -5,7 +5,8 @@ only their small results (one value per column) on the driver:
 
 * one wide aggregate: row count, missing cells, whitespace flags, numeric-looking
   counts, column fingerprints, text bytes (a single pass, no shuffle);
-* the value-frequency table, summarised per column (one shuffle of distinct values);
+* the value-frequency table, summarised per column (one shuffle of distinct values,
+  grouped on native types), and case collisions of text columns;
 * the distinct-row count for duplicate detection (one shuffle, map-side combined);
 * for columns whose fingerprints collide, one pairwise equality pass.
 
@@ -26,7 +27,7 @@ from ..config import DEFAULT_CONFIG, QualityConfig
 from ..functions import text as tx
 from ..functions.missing import is_missing, normalized
 from ..functions.types import fixed_width, is_atomic, is_string
-from .vf import stacked_values, value_frequencies
+from .vf import case_collisions, column_value_summary, stacked_values
 
 
 @dataclass
@@ -85,7 +86,11 @@ class TableStats:
         for i, c in enumerate(self.columns):
             dt = self.types[c]
             aggs.append(F.count_if(is_missing(c, dt)).alias(f"m{i}"))
-            aggs.append(F.sum(F.xxhash64(normalized(c, dt)).cast("decimal(38,0)")).alias(f"h{i}"))
+            h = F.xxhash64(normalized(c, dt))
+            # order-free fingerprint: xor of value hashes, plus a sum of their top
+            # 24 bits (cannot overflow below 2^39 rows) so repeated values count
+            aggs.append(F.bit_xor(h).alias(f"h{i}"))
+            aggs.append(F.sum(F.shiftright(h, 40)).alias(f"g{i}"))
             if is_string(dt):
                 v = F.col(c)
                 aggs.append(F.coalesce(F.bool_or(tx.has_whitespace_issue(v)), F.lit(False)).alias(f"w{i}"))
@@ -107,19 +112,9 @@ class TableStats:
     def _vf(self) -> dict:
         if not self.columns:
             return {"summary": {}, "case": {}}
-        vf = value_frequencies(self.df, self.columns).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            summary = {r["column"]: (int(r["n_unique"]), int(r["max_cnt"]))
-                       for r in vf.groupBy("column").agg(
-                           F.count(F.lit(1)).alias("n_unique"),
-                           F.max("cnt").alias("max_cnt")).collect()}
-            case = {}
-            text_cols = [c for c in self.columns if is_string(self.types[c])]
-            if text_cols and self.cfg.head_rows is None:
-                case = {r["column"]: bool(r["mixed"]) for r in case_collisions(
-                    vf.where(F.col("column").isin(text_cols))).collect()}
-        finally:
-            vf.unpersist()
+        rows = column_value_summary(self.df, self.columns, case_of_text=True).collect()
+        summary = {r["column"]: (int(r["n_unique"]), int(r["max_cnt"])) for r in rows}
+        case = {r["column"]: bool(r["mixed"]) for r in rows if r["mixed"] is not None}
         return {"summary": summary, "case": case}
 
     # ---- reference sampling rule for case / mixed types: first N non-null by order --------
@@ -183,7 +178,8 @@ class TableStats:
         i = self.columns.index(name)
         s = self._scan
         cs = ColumnStats(name=name, ord=i, dtype=self.types[name],
-                         n_missing=int(s[f"m{i}"]), fingerprint=s[f"h{i}"], _n_rows=self.n_rows)
+                         n_missing=int(s[f"m{i}"]), fingerprint=(s[f"h{i}"], s[f"g{i}"]),
+                         _n_rows=self.n_rows)
         if is_string(cs.dtype):
             cs.ws_issue = bool(s[f"w{i}"])
             cs.text_bytes = int(s[f"b{i}"] or 0)
@@ -216,19 +212,6 @@ class TableStats:
         return total
 
 
-def case_collisions(values: DataFrame) -> DataFrame:
-    """column, mixed: does a column hold two stripped values equal up to case?
-
-    One group per (column, lower-cased value); a group whose smallest and largest
-    original differ holds two spellings. No distinct aggregates, no collect_set.
-    """
-    s = tx.strip(F.col("value"))
-    return (values.select("column", s.alias("s")).where(F.col("s") != "")
-            .groupBy("column", F.lower("s").alias("l"))
-            .agg((F.min("s") != F.max("s")).alias("mixed"))
-            .groupBy("column").agg(F.bool_or("mixed").alias("mixed")))
-
-
 def head_values(df: DataFrame, columns: Sequence[str], order_by: str, n: int) -> DataFrame:
     """The first `n` non-null values of each column by `order_by`.
 

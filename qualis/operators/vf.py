@@ -1,28 +1,46 @@
 """The value-frequency table (VF): one row per (column, distinct non-null value).
 
-Built by unpivoting the chosen columns to (column, value-as-text) and grouping.
+Columns are grouped by their exact type; each group is unpivoted to
+(column, value) in its native type and aggregated, and only the resulting
+distinct values are turned into text. So a branch reads only its own columns,
+grouping compares native values, and the costly number-to-text cast runs once
+per distinct value instead of once per cell.
+
 The aggregation is partial on the map side, so a value that fills a third of the
-table leaves each map task as a single row; the one shuffle carries distinct
-values only. Many profile and detector figures derive from this table instead
-of one `count(distinct)` per column, which Spark would plan as an Expand that
-copies every row once per distinct aggregate.
+table leaves each map task as a single row; the shuffle carries distinct values
+only. Profile and detector figures derive from this table instead of one
+`count(distinct)` per column, which Spark would plan as an Expand that copies
+every row once per distinct aggregate.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from ..functions.missing import normalized
+
 
-from ..functions.missing import as_text
+def _families(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    types = {f.name: f.dataType for f in df.schema.fields}
+    fam: dict[str, list[str]] = {}
+    for c in columns:
+        fam.setdefault(types[c].simpleString(), []).append(c)
+    return fam
 
 
 def stacked_values(df: DataFrame, columns: Sequence[str], order_by: str | None = None,
-                   keep_nulls: bool = False) -> DataFrame:
-    """(column, value[, _o]) rows, one per cell of the chosen columns."""
-    types = dict((f.name, f.dataType) for f in df.schema.fields)
+                   keep_nulls: bool = False, as_text: bool = True) -> DataFrame:
+    """(column, value[, _o]) rows, one per cell of the chosen columns; value as text
+    (all columns), or native when `as_text` is False (columns of one type only)."""
+    types = {f.name: f.dataType for f in df.schema.fields}
     ids = [F.col(order_by).alias("_o")] if order_by else []
-    wide = df.select(*ids, *[as_text(c, types[c]).alias(c) for c in columns])
+    vals = [normalized(c, types[c]) for c in columns]
+    if as_text:
+        vals = [v.cast("string") for v in vals]
+    wide = df.select(*ids, *[v.alias(c) for v, c in zip(vals, columns)])
     long = wide.unpivot(["_o"] if order_by else [], list(columns), "column", "value")
     return long if keep_nulls else long.where(F.col("value").isNotNull())
 
@@ -30,13 +48,58 @@ def stacked_values(df: DataFrame, columns: Sequence[str], order_by: str | None =
 def value_frequencies(df: DataFrame, columns: Sequence[str], order_by: str | None = None
                       ) -> DataFrame:
     """column STRING, value STRING, cnt BIGINT[, first_o]: distinct non-null values."""
-    long = stacked_values(df, columns, order_by)
-    aggs = [F.count(F.lit(1)).alias("cnt")]
-    if order_by:
-        aggs.append(F.min("_o").alias("first_o"))
-    return long.groupBy("column", "value").agg(*aggs)
+    parts = []
+    for cols in _families(df, columns).values():
+        long = stacked_values(df, cols, order_by, as_text=False)
+        aggs = [F.count(F.lit(1)).alias("cnt")]
+        if order_by:
+            aggs.append(F.min("_o").alias("first_o"))
+        grouped = long.groupBy("column", "value").agg(*aggs)
+        parts.append(grouped.select("column", F.col("value").cast("string").alias("value"),
+                                    *[a for a in ("cnt", "first_o") if a in grouped.columns]))
+    if not parts:
+        schema = "column string, value string, cnt bigint" + (", first_o bigint" if order_by else "")
+        return df.sparkSession.createDataFrame([], schema)
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def case_collisions(values: DataFrame) -> DataFrame:
+    """column, mixed: does a text column hold two stripped values equal up to case?
+
+    Over distinct values: one group per (column, lower-cased stripped value); a
+    group whose smallest and largest original differ holds two spellings. No
+    distinct aggregates, no collect_set.
+    """
+    from ..functions.text import strip
+    s = strip(F.col("value"))
+    return (values.select("column", s.alias("s")).where(F.col("s") != "")
+            .groupBy("column", F.lower("s").alias("l"))
+            .agg((F.min("s") != F.max("s")).alias("mixed"))
+            .groupBy("column").agg(F.bool_or("mixed").alias("mixed")))
 
 
-def column_value_counts(df: DataFrame, column: str) -> DataFrame:
-    """value (native type), cnt: distinct non-null values of one column."""
-    return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("cnt"))
+def column_value_summary(df: DataFrame, columns: Sequence[str], case_of_text: bool = False
+                         ) -> DataFrame:
+    """column, n_unique, max_cnt, n_non_null[, mixed] from the VF, grouped on native
+    values. With `case_of_text`, text columns also get the case-collision flag,
+    computed from the same grouped values (the plan shares the shuffle)."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    parts = []
+    for cols in _families(df, columns).values():
+        long = stacked_values(df, cols, as_text=False)
+        grouped = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+        summary = grouped.groupBy("column").agg(
+            F.count(F.lit(1)).alias("n_unique"), F.max("cnt").alias("max_cnt"),
+            F.sum("cnt").alias("n_non_null"))
+        if case_of_text:
+            if isinstance(types[cols[0]], T.StringType):
+                flags = case_collisions(grouped.select("column", "value"))
+                summary = summary.join(flags, "column", "left")
+            else:
+                summary = summary.withColumn("mixed", F.lit(None).cast("boolean"))
+        parts.append(summary)
+    if not parts:
+        return df.sparkSession.createDataFrame(
+            [], "column string, n_unique bigint, max_cnt bigint, n_non_null bigint"
+            + (", mixed boolean" if case_of_text else ""))
+    return reduce(lambda a, b: a.unionByName(b), parts)

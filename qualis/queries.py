@@ -91,6 +91,10 @@ def cleaning_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         for c in out.columns])
 
 
+def cleaning_plan_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flagship_plan(table(spark, sf_dir, "dirty_lineitem")).current()
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = _flagship_plan(table(spark, sf_dir, "dirty_events")).history()
     return h.select("step", "method", F.array_join("columns", ",").alias("columns"),
@@ -261,6 +265,7 @@ def queries() -> dict[str, Query]:
         "remove_all_whitespace": _clean("dirty_events", "remove_all_whitespace", ["event_type"]),
         # plan and history
         "cleaning_plan": cleaning_plan,
+        "cleaning_plan_lineitem": cleaning_plan_lineitem,
         "history": history,
         "undo_redo": undo_redo,
         "review_progress": review_progress_q,
@@ -639,6 +644,17 @@ def _lineitem_ffill_sql() -> str:
     return O.with_view("dirty_lineitem", "SELECT " + ", ".join(parts) + " FROM dirty_lineitem")
 
 
+def _lineitem_plan_sql() -> str:
+    """Fixes accepted on dirty_lineitem: median fill, trim, title case."""
+    cols = ["rid"] + [c for c, _ in O.VIEW_COLUMNS["dirty_lineitem"]]
+    rep = {c: f"coalesce({c}, (SELECT median({c}) FROM dirty_lineitem))"
+           for c in ("l_quantity", "l_extendedprice")}
+    rep["l_linestatus"] = f"CASE WHEN l_linestatus IS NULL THEN NULL ELSE {_trim('l_linestatus')} END"
+    rep["l_returnflag"] = _title("l_returnflag")
+    parts = [f"{rep[c]} AS {c}" if c in rep else c for c in cols]
+    return O.with_view("dirty_lineitem", "SELECT " + ", ".join(parts) + " FROM dirty_lineitem")
+
+
 def oracle_sql() -> dict[str, str]:
     ev_issue = lambda d, where="": O.issues_sql("dirty_events", [d], where)
     plan_ctes, plan_body = _plan_sql()
@@ -707,6 +723,7 @@ def oracle_sql() -> dict[str, str]:
             "(SELECT count(event_type) FROM dirty_events) END, 12) AS event_type_freq_enc"))),
         "remove_all_whitespace": _ev(_select_ev({"event_type": "regexp_replace(event_type, '\\s+', '', 'g')"})),
         "cleaning_plan": _ev(plan_body, plan_ctes),
+        "cleaning_plan_lineitem": _lineitem_plan_sql(),
         "history": _history_sql(),
         "undo_redo": _ev(_select_ev({"value": "coalesce(value, (SELECT median(value) FROM dirty_events))"})),
         "review_progress": O.with_view("dirty_events", (
