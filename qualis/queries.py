@@ -443,8 +443,8 @@ def _profile_sql() -> str:
 def _text(c: str, t: str) -> str:
     if t == "string":
         return c
-    if t == "timestamp":
-        return f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"
+    if t == "timestamp":  # Spark's text form drops trailing zeros of the fraction
+        return f"regexp_replace(strftime({c}, '%Y-%m-%d %H:%M:%S.%f'), '\\.?0+$', '')"
     return f"CAST({c} AS VARCHAR)"
 
 
