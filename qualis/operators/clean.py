@@ -18,6 +18,7 @@ from ..functions.missing import is_missing, normalized
 from ..functions.numeric import to_double
 from ..functions.types import is_floating, is_number, is_string
 from . import fill as _fill
+from .parallel import map_jobs
 from .quantile import exact_median
 
 # distinct values up to which a per-value table is broadcast (estimated with
@@ -48,7 +49,15 @@ def fill_median(df: DataFrame, columns: Sequence[str], order_by=None) -> DataFra
     """Nulls (and NaN) of numeric columns take the exact median; result is double."""
     types = _types(df)
     cols = [c for c in columns if is_number(types[c])]
-    return _fill_with(df, {c: exact_median(df, c) for c in cols}, as_double=True)
+    return _fill_with(df, _medians(df, cols), as_double=True)
+
+
+def _medians(df: DataFrame, cols: Sequence[str]) -> dict:
+    return dict(zip(cols, map_jobs(lambda c: exact_median(df, c), cols)))
+
+
+def _modes(df: DataFrame, cols: Sequence[str]) -> dict:
+    return dict(zip(cols, map_jobs(lambda c: mode_value(df, c), cols)))
 
 
 def fill_mean(df: DataFrame, columns: Sequence[str], order_by=None) -> DataFrame:
@@ -75,7 +84,7 @@ def mode_value(df: DataFrame, column: str):
 
 def fill_mode(df: DataFrame, columns: Sequence[str], order_by=None) -> DataFrame:
     """Any type; an all-null column stays as it is."""
-    return _fill_with(df, {c: mode_value(df, c) for c in columns}, as_double=False)
+    return _fill_with(df, _modes(df, list(columns)), as_double=False)
 
 
 def forward_fill(df: DataFrame, columns: Sequence[str], order_by=None) -> DataFrame:
@@ -166,7 +175,7 @@ def frequency_encoding(df: DataFrame, columns: Sequence[str], order_by=None) ->
     join, where AQE splits a skewed key's partition.
     """
     cols = list(columns)
-    return _join_shares(df, cols, [_share_table(df, c) for c in cols])
+    return _join_shares(df, cols, map_jobs(lambda c: _share_table(df, c), cols))
 
 
 def _share_table(df: DataFrame, c: str) -> DataFrame:
@@ -277,16 +286,16 @@ def prepare_method(df: DataFrame, method: str, columns: Sequence[str], order_by=
     cols = list(columns)
     types = _types(df)
     if method == "fill_median":
-        vals = {c: exact_median(df, c) for c in cols if is_number(types[c])}
+        vals = _medians(df, [c for c in cols if is_number(types[c])])
         return lambda d: _fill_with(d, vals, as_double=True)
     if method == "fill_mean":
         vals = _means(df, [c for c in cols if is_number(types[c])])
         return lambda d: _fill_with(d, vals, as_double=True)
     if method == "fill_mode":
-        vals = {c: mode_value(df, c) for c in cols}
+        vals = _modes(df, cols)
         return lambda d: _fill_with(d, vals, as_double=False)
     if method == "frequency_encoding":
-        tables = [_share_table(df, c) for c in cols]
+        tables = map_jobs(lambda c: _share_table(df, c), cols)
         return lambda d: _join_shares(d, cols, tables)
     fn = METHODS[method]
     return lambda d: fn(d, cols, order_by=order_by)

@@ -212,7 +212,7 @@ def issues_frame(spark: SparkSession, records: list) -> DataFrame:
 def detect_all(df: DataFrame, exclude: Sequence[str] = (), order_by: str | None = None,
                cfg: QualityConfig = DEFAULT_CONFIG, stats: TableStats | None = None) -> DataFrame:
     """All issues of `df`, sorted HIGH, MEDIUM, LOW, INFO (stable)."""
-    st = stats or TableStats(df, exclude=exclude, order_by=order_by, cfg=cfg)
+    st = stats or TableStats(df, exclude=exclude, order_by=order_by, cfg=cfg).prefetch()
     return issues_frame(df.sparkSession, run_detectors(st))
 
 

@@ -3,6 +3,7 @@ preview and first-seen samples."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
@@ -41,6 +42,11 @@ def dataset_meta(df: DataFrame, exclude: Sequence[str] = (), order_by: str | Non
     """One row: n_rows, n_cols, memory_usage_mb (estimate), file_size_mb, missing_pct,
     duplicate_pct, dtypes_summary, column_names, missing_level, duplicate_level."""
     st = stats or TableStats(df, exclude=exclude, order_by=order_by)
+    if stats is None:
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            jobs = [pool.submit(lambda: st._scan), pool.submit(lambda: st.n_distinct_rows)]
+            for j in jobs:
+                j.result()
     n, k = st.n_rows, st.n_cols
     missing = sum(st.column(c).n_missing for c in st.columns)
     missing_pct = round(missing / max(n * k, 1) * 100, 2)

@@ -16,6 +16,7 @@ the only data that reaches the driver.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property
 from typing import Sequence
@@ -78,6 +79,22 @@ class TableStats:
         self.row_columns = comparable_columns(df, drop)
         self.types = {f.name: f.dataType for f in df.schema.fields}
         self.failed: list[str] = []
+        # only columns sharing their type with another column can be duplicates
+        by_type: dict[str, int] = {}
+        for c in self.columns:
+            by_type[self.types[c].simpleString()] = by_type.get(self.types[c].simpleString(), 0) + 1
+        self._peered = {c for c in self.columns if by_type[self.types[c].simpleString()] > 1}
+
+    def prefetch(self, distinct_rows: bool = True) -> "TableStats":
+        """Run the independent metric jobs at the same time, so the scheduler can
+        fill every slot (each job alone may have few tasks)."""
+        jobs = [lambda: self._scan, lambda: self._vf]
+        if distinct_rows:
+            jobs.append(lambda: self.n_distinct_rows)
+        with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+            for f in [pool.submit(j) for j in jobs]:
+                f.result()
+        return self
 
     # ---- job 1: one wide aggregate --------------------------------------------------------
     @cached_property
@@ -86,11 +103,12 @@ class TableStats:
         for i, c in enumerate(self.columns):
             dt = self.types[c]
             aggs.append(F.count_if(is_missing(c, dt)).alias(f"m{i}"))
-            h = F.xxhash64(normalized(c, dt))
-            # order-free fingerprint: xor of value hashes, plus a sum of their top
-            # 24 bits (cannot overflow below 2^39 rows) so repeated values count
-            aggs.append(F.bit_xor(h).alias(f"h{i}"))
-            aggs.append(F.sum(F.shiftright(h, 40)).alias(f"g{i}"))
+            if c in self._peered:
+                h = F.xxhash64(normalized(c, dt))
+                # order-free fingerprint: xor of value hashes, plus a sum of their top
+                # 24 bits (cannot overflow below 2^39 rows) so repeated values count
+                aggs.append(F.bit_xor(h).alias(f"h{i}"))
+                aggs.append(F.sum(F.shiftright(h, 40)).alias(f"g{i}"))
             if is_string(dt):
                 v = F.col(c)
                 aggs.append(F.coalesce(F.bool_or(tx.has_whitespace_issue(v)), F.lit(False)).alias(f"w{i}"))
@@ -150,7 +168,7 @@ class TableStats:
     def duplicate_column_groups(self) -> list[list[str]]:
         """Groups [first, copy, ...] of columns equal value-for-value, row by row."""
         by_fp: dict[tuple, list[str]] = {}
-        for c in self.columns:
+        for c in [c for c in self.columns if c in self._peered]:
             key = (self.types[c].simpleString(), self.column(c).fingerprint)
             by_fp.setdefault(key, []).append(c)
         candidates = [g for g in by_fp.values() if len(g) > 1]
@@ -178,7 +196,7 @@ class TableStats:
         i = self.columns.index(name)
         s = self._scan
         cs = ColumnStats(name=name, ord=i, dtype=self.types[name],
-                         n_missing=int(s[f"m{i}"]), fingerprint=(s[f"h{i}"], s[f"g{i}"]),
+                         n_missing=int(s[f"m{i}"]), fingerprint=(s.get(f"h{i}"), s.get(f"g{i}")),
                          _n_rows=self.n_rows)
         if is_string(cs.dtype):
             cs.ws_issue = bool(s[f"w{i}"])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import DEFAULT_CONFIG, QualityConfig
 from ..functions.missing import is_missing, normalized
+from .parallel import map_jobs
 from .quantile import exact_quantiles
 
 
@@ -41,24 +42,25 @@ def box_stats(df: DataFrame, columns: Sequence[str], cfg: QualityConfig = DEFAUL
     """Per column: n, q1, median, q3, iqr, fences (1.5 IQR), whiskers (the most
     extreme values inside the fences) and the number of outliers."""
     k = cfg.thresholds.outlier_iqr_multiplier
-    rows = []
-    for c in columns:
-        q1, med, q3 = exact_quantiles(df, c, [0.25, 0.5, 0.75])
-        if q1 is None:
-            rows.append((c, 0, None, None, None, None, None, None, None, None, 0))
-            continue
-        iqr = q3 - q1
-        lf, uf = q1 - k * iqr, q3 + k * iqr
-        x = F.col("x")
-        s = _values(df, c).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(F.when(x >= lf, x)).alias("wl"), F.max(F.when(x <= uf, x)).alias("wh"),
-            F.count_if((x < lf) | (x > uf)).alias("out")).first()
-        rows.append((c, int(s["n"]), q1, med, q3, iqr, lf, uf, s["wl"], s["wh"], int(s["out"])))
     return df.sparkSession.createDataFrame(
-        rows, "column string, n bigint, q1 double, median double, q3 double, iqr double, "
-              "lower_fence double, upper_fence double, whisker_low double, whisker_high double, "
-              "n_outliers bigint")
+        map_jobs(lambda c: _box_row(df, c, k), columns),
+        "column string, n bigint, q1 double, median double, q3 double, iqr double, "
+        "lower_fence double, upper_fence double, whisker_low double, whisker_high double, "
+        "n_outliers bigint")
+
+
+def _box_row(df: DataFrame, c: str, k: float) -> tuple:
+    q1, med, q3 = exact_quantiles(df, c, [0.25, 0.5, 0.75])
+    if q1 is None:
+        return (c, 0, None, None, None, None, None, None, None, None, 0)
+    iqr = q3 - q1
+    lf, uf = q1 - k * iqr, q3 + k * iqr
+    x = F.col("x")
+    s = _values(df, c).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.when(x >= lf, x)).alias("wl"), F.max(F.when(x <= uf, x)).alias("wh"),
+        F.count_if((x < lf) | (x > uf)).alias("out")).first()
+    return (c, int(s["n"]), q1, med, q3, iqr, lf, uf, s["wl"], s["wh"], int(s["out"]))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
