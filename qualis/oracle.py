@@ -32,6 +32,34 @@ VIEW_COLUMNS: dict[str, list[tuple[str, str]]] = {
                        ("l_shipdate", "timestamp")],
 }
 
+# the given tables (kind "array": counted as a column, compared in whole rows,
+# not profiled)
+VIEW_COLUMNS.update({
+    "region": [("r_regionkey", "int4"), ("r_name", "string")],
+    "nation": [("n_nationkey", "int4"), ("n_name", "string"), ("n_regionkey", "int4")],
+    "customer": [("c_custkey", "int"), ("c_name", "string"), ("c_nationkey", "int4"),
+                 ("c_acctbal", "double"), ("c_mktsegment", "string")],
+    "supplier": [("s_suppkey", "int"), ("s_name", "string"), ("s_nationkey", "int4"),
+                 ("s_acctbal", "double")],
+    "part": [("p_partkey", "int"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"),
+             ("p_size", "int4"), ("p_retailprice", "double")],
+    "orders": [("o_orderkey", "int"), ("o_custkey", "int"), ("o_orderstatus", "string"),
+               ("o_totalprice", "double"), ("o_orderdate", "timestamp"), ("o_orderpriority", "string")],
+    "lineitem": [("l_orderkey", "int"), ("l_partkey", "int"), ("l_suppkey", "int"),
+                 ("l_linenumber", "int4"), ("l_quantity", "double"), ("l_extendedprice", "double"),
+                 ("l_discount", "double"), ("l_tax", "double"), ("l_returnflag", "string"),
+                 ("l_linestatus", "string"), ("l_shipdate", "timestamp")],
+    "events": [("event_id", "int"), ("ts", "timestamp"), ("user_id", "int"), ("event_type", "string"),
+               ("value", "double"), ("props", "string")],
+    "documents": [("doc_id", "int"), ("text", "string"), ("lang", "string"), ("source", "string"),
+                  ("n_chars", "int")],
+    "embeddings": [("vec_id", "int"), ("embedding", "array"), ("label", "int4")],
+    "pages": [("page_id", "int"), ("url", "string"), ("html", "string")],
+    "benchmark": [("item_id", "int"), ("text", "string")],
+    "labels": [("doc_id", "int"), ("quality", "int4"), ("toxic", "int4")],
+    "conversations": [("conv_id", "int"), ("turn", "int"), ("role", "string"), ("text", "string")],
+})
+
 DETECTOR_RANK = {"missing": 0, "dup_rows": 1, "dup_cols": 2, "constant": 3, "high_card": 4,
                  "whitespace": 5, "case": 6, "mixed": 7}
 
@@ -54,12 +82,17 @@ def strip(x: str) -> str:
 
 
 def with_view(view: str, body: str, extra: Sequence[tuple[str, str]] = ()) -> str:
-    ctes = [f"{view} AS (\n{VIEWS[view]}\n)"] + [f"{n} AS (\n{s}\n)" for n, s in extra]
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    ctes = ([f"{view} AS (\n{VIEWS[view]}\n)"] if view in VIEWS else []) + \
+        [f"{n} AS (\n{s}\n)" for n, s in extra]
+    return ("WITH " + ",\n".join(ctes) + "\n" + body) if ctes else body
+
+
+def profiled(view: str) -> list[tuple[str, str]]:
+    return [(c, k) for c, k in VIEW_COLUMNS[view] if k != "array"]
 
 
 def stats_ctes(view: str) -> list[tuple[str, str]]:
-    cols = VIEW_COLUMNS[view]
+    cols = profiled(view)
     parts = ["count(*) AS n"]
     for i, (c, k) in enumerate(cols):
         parts.append(f"count(*) FILTER (WHERE {missing(c, k)}) AS m{i}")
@@ -84,7 +117,7 @@ def stats_ctes(view: str) -> list[tuple[str, str]]:
                     f"s.n AS n, s.m{i} AS miss, s.u{i} AS uniq, {top} AS top, {ws} AS ws, "
                     f"{dig} AS dig, s.n - s.m{i} AS nn, {case} AS casemix FROM s")
     ctes.append(("cs", "\nUNION ALL\n".join(rows)))
-    distinct = ", ".join(c for c, _ in cols)
+    distinct = ", ".join(c for c, _ in VIEW_COLUMNS[view])
     ctes.append(("dr", f"SELECT (SELECT count(*) FROM {view}) - "
                        f"(SELECT count(*) FROM (SELECT DISTINCT {distinct} FROM {view})) AS dup"))
     pairs = []

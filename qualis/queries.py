@@ -14,7 +14,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import oracle as O
-from .fixtures import table
+from .fixtures import BASE_TABLES, VIEWS, table
 from .operators import audit, clean, detect, fill, profile, score, summary
 from .plans import CleaningPlan, review_progress
 from .session import ensure_checkpoint_dir
@@ -30,11 +30,15 @@ def _issue_flat(df: DataFrame) -> DataFrame:
                      F.array_join("alternative_methods", ",").alias("alternative_methods"))
 
 
+def _order(view: str) -> str | None:
+    return ORDER if view in VIEWS else None
+
+
 def _issues(view: str, detector=None, issue_id: str | None = None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = table(spark, sf_dir, view)
-        out = (detect.detect_all(df, order_by=ORDER) if detector is None
-               else detect.detect_one(df, detector, order_by=ORDER))
+        out = (detect.detect_all(df, order_by=_order(view)) if detector is None
+               else detect.detect_one(df, detector, order_by=_order(view)))
         out = _issue_flat(out)
         return out.where(F.col("issue_id") == issue_id) if issue_id else out
     return run
@@ -42,7 +46,7 @@ def _issues(view: str, detector=None, issue_id: str | None = None) -> Query:
 
 def _score(view: str) -> Query:
     def run(spark, sf_dir):
-        iss = detect.detect_all(table(spark, sf_dir, view), order_by=ORDER)
+        iss = detect.detect_all(table(spark, sf_dir, view), order_by=_order(view))
         return score.quality_score(iss).select("score", "label",
                                                F.col("points_lost").cast("double").alias("points_lost"))
     return run
@@ -237,6 +241,11 @@ def queries() -> dict[str, Query]:
         "all_issues": _issues("dirty_events"),
         "all_issues_customer": _issues("dirty_customer"),
         "all_issues_lineitem": _issues("dirty_lineitem"),
+        # every given table, whole rows and whole texts
+        **{f"all_issues_{t}": _issues(t) for t in BASE_TABLES if t not in ("lineitem", "customer")},
+        "all_issues_lineitem_raw": _issues("lineitem"),
+        "all_issues_customer_raw": _issues("customer"),
+        **{f"quality_score_{t}": _score(t) for t in ("documents", "pages", "conversations", "orders")},
         # score
         "quality_score": _score("dirty_events"),
         "quality_score_customer": _score("dirty_customer"),
@@ -683,6 +692,10 @@ def oracle_sql() -> dict[str, str]:
         "all_issues": O.issues_sql("dirty_events"),
         "all_issues_customer": O.issues_sql("dirty_customer"),
         "all_issues_lineitem": O.issues_sql("dirty_lineitem"),
+        **{f"all_issues_{t}": O.issues_sql(t) for t in BASE_TABLES if t not in ("lineitem", "customer")},
+        "all_issues_lineitem_raw": O.issues_sql("lineitem"),
+        "all_issues_customer_raw": O.issues_sql("customer"),
+        **{f"quality_score_{t}": O.score_sql(t) for t in ("documents", "pages", "conversations", "orders")},
         "quality_score": O.score_sql("dirty_events"),
         "quality_score_customer": O.score_sql("dirty_customer"),
         "quality_breakdown": O.breakdown_sql("dirty_events"),
