@@ -149,13 +149,37 @@ def _carry_structs(df: DataFrame, cols: Sequence[str], order_by: str, blk: str,
                                         for c in cols])
 
 
+# Candidate hashes broadcast at most (8 bytes each: about 32 MB).
+BROADCAST_HASHES = 4_000_000
+
+
 def drop_duplicate_rows(df: DataFrame, order_by: str | None = None, keep: str = "first",
                         columns: Sequence[str] | None = None) -> DataFrame:
     """Keep one row of each group of identical rows (all columns but `order_by`):
-    the first or last by `order_by`. Without an order any one copy is kept."""
+    the first or last by `order_by`. Without an order any one copy is kept.
+
+    Wide rows go through a hash prescreen: one job counts the row hashes that
+    occur more than once. When that set is small enough to broadcast, rows with
+    a unique hash pass through an anti-join without any shuffle, and only rows
+    sharing a hash are grouped. Otherwise every row is grouped.
+    """
+    from .stats import PRESCREEN_MIN_COLUMNS, row_hash
     keys = list(columns) if columns else [c for c in df.columns if c != order_by]
     if order_by is None:
         return df.dropDuplicates(keys)
     pick = F.min if keep == "first" else F.max
+    if len(keys) >= PRESCREEN_MIN_COLUMNS:
+        hashed = df.withColumn("_qh", row_hash(df, keys))
+        repeated = (hashed.groupBy("_qh").agg(F.count(F.lit(1)).alias("_qc"))
+                    .where(F.col("_qc") > 1).select("_qh"))
+        n_repeated = repeated.count()
+        if n_repeated == 0:
+            return df
+        if n_repeated <= BROADCAST_HASHES:
+            rep = F.broadcast(repeated)
+            singles = hashed.join(rep, "_qh", "left_anti").select(*df.columns)
+            copies = (hashed.join(rep, "_qh", "left_semi").groupBy("_qh", *keys)
+                      .agg(pick(order_by).alias(order_by)).select(*df.columns))
+            return singles.unionByName(copies)
     kept = df.groupBy(*keys).agg(pick(order_by).alias(order_by))
     return kept.select(*df.columns)

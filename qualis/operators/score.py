@@ -25,7 +25,7 @@ def quality_breakdown(issues: DataFrame, cfg: QualityConfig = DEFAULT_CONFIG) ->
     w = _weight(cfg)
     lost = F.round(F.least(w, w * F.col("ratio") * 3), 2).cast("decimal(10,2)")
     return (ratio.select("category", lost.alias("points_lost"))
-            .where(F.col("points_lost") > 0))
+            .where(F.col("points_lost") > 0).orderBy(F.desc("points_lost"), "category"))
 
 
 def _label(score):

@@ -119,3 +119,23 @@ def test_unknown_and_unregistered_methods(spark):
             clean.apply_method(df, name, ["a"])
     assert clean.apply_method(df, "keep_as_identifier", ["a"]).collect() == df.collect()
     assert clean.apply_method(df, "review_manually", ["a"]).collect() == df.collect()
+
+
+def test_wide_dedup_prescreen_matches_grouping(spark):
+    from pyspark.sql import functions as F
+    base = spark.range(3000).select(
+        F.col("id").alias("rid"),
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("a"),  # hot copy group
+        F.lit("x").alias("b"),
+        F.when(F.col("id") % 3 == 0, F.lit(float("nan"))).otherwise(F.lit(1.5)).alias("c"),
+        F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 7).alias("d"),
+        F.lit(None).cast("string").alias("e"),
+        F.when(F.col("id") % 3 == 0, F.lit(2)).otherwise(F.col("id")).alias("f"))
+    keys = ["a", "b", "c", "d", "e", "f"]
+    for keep, pick in (("first", F.min), ("last", F.max)):
+        got = fill.drop_duplicate_rows(base, "rid", keep)
+        want = base.groupBy(*keys).agg(pick("rid").alias("rid")).select(*base.columns)
+        assert rows_of(got, "rid") == rows_of(want, "rid")
+    # no copies at all: the table comes back as it is
+    uniq = base.where(F.col("id") % 3 != 0)
+    assert rows_of(fill.drop_duplicate_rows(uniq, "rid"), "rid") == rows_of(uniq, "rid")
