@@ -216,6 +216,13 @@ def detect_all(df: DataFrame, exclude: Sequence[str] = (), order_by: str | None
     return issues_frame(df.sparkSession, run_detectors(st))
 
 
+def detect_report(df: DataFrame, exclude: Sequence[str] = (), order_by: str | None = None,
+                  cfg: QualityConfig = DEFAULT_CONFIG) -> tuple[DataFrame, list[str]]:
+    """(issues, names of detectors that failed and were skipped)."""
+    st = TableStats(df, exclude=exclude, order_by=order_by, cfg=cfg).prefetch()
+    return issues_frame(df.sparkSession, run_detectors(st)), list(st.failed)
+
+
 def detect_one(df: DataFrame, detector: Detector, exclude: Sequence[str] = (),
                order_by: str | None = None, cfg: QualityConfig = DEFAULT_CONFIG) -> DataFrame:
     st = TableStats(df, exclude=exclude, order_by=order_by, cfg=cfg)

@@ -28,8 +28,11 @@ from ..config import DEFAULT_CONFIG, QualityConfig
 from ..functions import text as tx
 from ..functions.missing import is_missing, normalized
 from ..functions.types import fixed_width, is_atomic, is_string
+from .parallel import map_jobs
 from .vf import case_collisions, column_value_summary, stacked_values
 
+SCAN_CHUNK = 96  # columns per metrics aggregate
+
 
 @dataclass
 class ColumnStats:
@@ -99,8 +102,19 @@ class TableStats:
     # ---- job 1: one wide aggregate --------------------------------------------------------
     @cached_property
     def _scan(self) -> dict:
+        # Wide tables are split into column chunks: one aggregate each, run
+        # together, so no generated method grows past the JVM's size limits.
+        idx = list(range(len(self.columns)))
+        chunks = [idx[k:k + SCAN_CHUNK] for k in range(0, len(idx), SCAN_CHUNK)] or [[]]
+        out: dict = {}
+        for part in map_jobs(self._scan_chunk, chunks):
+            out.update(part)
+        return out
+
+    def _scan_chunk(self, idx: list[int]) -> dict:
         aggs = [F.count(F.lit(1)).alias("__n")]
-        for i, c in enumerate(self.columns):
+        for i in idx:
+            c = self.columns[i]
             dt = self.types[c]
             aggs.append(F.count_if(is_missing(c, dt)).alias(f"m{i}"))
             if c in self._peered:

@@ -134,6 +134,19 @@ def load_csv_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_csv(spark, folder)
 
 
+def load_csv_messy_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV export with padded header names, an empty unnamed column and NA
+    tokens: names are stripped, the empty column dropped, tokens read as null."""
+    from .sources.csv import load_csv
+    src = table(spark, sf_dir, "dirty_customer")
+    messy = src.select(*[F.col(c).alias(f" {c} ") for c in src.columns],
+                       F.lit(None).cast("string").alias(""))
+    folder = os.path.join(ensure_checkpoint_dir(spark), f"csv-{uuid.uuid4().hex}")
+    (messy.write.option("header", True).option("sep", "|").option("nullValue", "n/a")
+     .option("emptyValue", "").csv(folder))
+    return load_csv(spark, folder)
+
+
 def _preview(spark, sf_dir):
     return profile.preview(table(spark, sf_dir, "dirty_events"), ORDER, 50)
 
@@ -218,6 +231,7 @@ def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         # sources
         "load_csv": load_csv_q,
+        "load_csv_messy": load_csv_messy_q,
         # profiling
         "dataset_meta": _meta("dirty_events"),
         "dataset_meta_lineitem": _meta("dirty_lineitem"),
@@ -669,6 +683,7 @@ def oracle_sql() -> dict[str, str]:
     plan_ctes, plan_body = _plan_sql()
     return {
         "load_csv": _load_csv_sql(),
+        "load_csv_messy": _load_csv_sql(),
         "dataset_meta": _meta_sql("dirty_events"),
         "dataset_meta_lineitem": _meta_sql("dirty_lineitem"),
         "column_classes": _classes_sql(),

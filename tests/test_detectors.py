@@ -129,3 +129,17 @@ def test_missing_by_column_lazy(spark):
     df = spark.createDataFrame([(1, None), (None, "x")], "a int, b string")
     rows = {r["column"]: (r["n_missing"], r["missing_pct"]) for r in detect.missing_by_column(df).collect()}
     assert rows == {"a": (1, 50.0), "b": (1, 50.0)}
+
+
+def test_wide_table_metrics_in_chunks(spark):
+    from pyspark.sql import functions as F
+    from qualis.operators import summary
+    cols = [F.when(F.col("id") % (i + 2) == 0, F.lit(None)).otherwise(F.col("id") * i).alias(f"c{i}")
+            for i in range(200)]
+    df = spark.range(50).select(*cols)
+    st = TableStats(df)
+    assert [st.column(f"c{i}").n_missing for i in (0, 1, 150, 199)] == [25, 17, 1, 1]
+    m = _issues(df)["missing_values"]
+    assert m["affected_columns"] == [f"c{i}" for i in range(200)]
+    corr = summary.correlation_matrix(df, [f"c{i}" for i in range(1, 31)])  # 465 pairs
+    assert corr.count() == 900
