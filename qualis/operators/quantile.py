@@ -29,6 +29,7 @@ from ..functions.missing import is_missing
 
 BUCKETS = 1024
 FINISH_ROWS = 4096
+SKETCH_ACCURACY = 100_000
 MAX_PASSES = 200
 
 
@@ -48,47 +49,62 @@ def _bucket_expr(x, a: float, b: float):
     return F.least(F.floor((x * 0.5 - a * 0.5) / half * BUCKETS), F.lit(BUCKETS - 1))
 
 
-def kth_values(values: DataFrame, ranks: Sequence[int], n: int, lo: float, hi: float
-               ) -> dict[int, float]:
-    """Exact k-th smallest (0-based) of column `x` for each rank in `ranks`."""
+def kth_values(values: DataFrame, ranks: Sequence[int], n: int, lo: float, hi: float,
+               start: dict[int, tuple[float, float]] | None = None) -> dict[int, float]:
+    """Exact k-th smallest (0-based) of column `x` for each rank in `ranks`.
+
+    `start` may give, per rank, a guessed range (low, high). Its first pass also
+    counts the rows below `low` (bucket -1); if the rank is not inside the
+    guess, the search goes on from the full range.
+    """
     found: dict[int, float] = {}
-    # pending rank -> (range low, range high, rows below range low)
-    pending = {r: (lo, hi, 0) for r in set(ranks)}
+    # pending rank -> (range low, range high, rows below range low or None if unknown)
+    pending = {r: ((start[r][0], start[r][1], None) if start and r in start else (lo, hi, 0))
+               for r in set(ranks)}
     for _ in range(MAX_PASSES):
-        for r, (a, b, _) in list(pending.items()):
-            if a == b:
+        for r, (a, b, below) in list(pending.items()):
+            if a == b and below is not None:
                 found[r] = a
                 del pending[r]
         if not pending:
             return found
-        ranges = sorted({(a, b) for a, b, _ in pending.values()})
+        ranges = sorted({(a, b, below is None) for a, b, below in pending.values()})
         x = F.col("x")
-        tagged = F.array_compact(F.array(*[
-            F.when(x.between(a, b), F.struct(F.lit(i).alias("g"), _bucket_expr(x, a, b).alias("k")))
-            for i, (a, b) in enumerate(ranges)]))
-        stats = (values.select("x", F.explode(tagged).alias("t"))
+        tags = []
+        for i, (a, b, guess) in enumerate(ranges):
+            k = F.when(x.between(a, b), _bucket_expr(x, a, b) if a < b else F.lit(0))
+            if guess:
+                k = k.when(x < a, F.lit(-1))
+            tags.append(F.when(k.isNotNull(), F.struct(F.lit(i).alias("g"), k.alias("k"))))
+        stats = (values.select("x", F.explode(F.array_compact(F.array(*tags))).alias("t"))
                  .groupBy(F.col("t.g").alias("g"), F.col("t.k").alias("k"))
                  .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx"))
                  .collect())
         by_range: dict[int, list] = {}
-        for s in stats:
-            by_range.setdefault(s["g"], []).append(s)
+        for s_ in stats:
+            by_range.setdefault(s_["g"], []).append(s_)
         finish = []
         for r, (a, b, below) in list(pending.items()):
-            buckets = sorted(by_range.get(ranges.index((a, b)), []), key=lambda s: s["k"])
+            buckets = sorted(by_range.get(ranges.index((a, b, below is None)), []), key=lambda s_: s_["k"])
+            if below is None:  # a guessed range: count what lies below it, then check
+                below = sum(s_["c"] for s_ in buckets if s_["k"] == -1)
+                buckets = [s_ for s_ in buckets if s_["k"] != -1]
+                if not below <= r < below + sum(s_["c"] for s_ in buckets):
+                    pending[r] = (lo, hi, 0)
+                    continue
             seen = below
-            for s in buckets:
-                if r < seen + s["c"]:
-                    if s["mn"] == s["mx"]:
-                        found[r] = s["mn"]
+            for s_ in buckets:
+                if r < seen + s_["c"]:
+                    if s_["mn"] == s_["mx"]:
+                        found[r] = s_["mn"]
                         del pending[r]
-                    elif s["c"] <= FINISH_ROWS:
-                        finish.append((r, s["mn"], s["mx"], seen))
+                    elif s_["c"] <= FINISH_ROWS:
+                        finish.append((r, s_["mn"], s_["mx"], seen))
                         del pending[r]
                     else:
-                        pending[r] = (s["mn"], s["mx"], seen)
+                        pending[r] = (s_["mn"], s_["mx"], seen)
                     break
-                seen += s["c"]
+                seen += s_["c"]
             else:  # cannot happen when counts are consistent
                 raise RuntimeError(f"rank {r} outside its range")
         for r, a, b, below in finish:
@@ -98,17 +114,32 @@ def kth_values(values: DataFrame, ranks: Sequence[int], n: int, lo: float, hi: f
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[float | None]:
-    """Linear-interpolated quantiles of a numeric column (NaN and null skipped)."""
+    """Linear-interpolated quantiles of a numeric column (NaN and null skipped).
+
+    The first aggregate (count, min, max) also takes a quantile sketch
+    (`percentile_approx`, bounded memory) a small margin either side of each
+    quantile; the first search pass starts from those narrow ranges and checks
+    them with exact counts, falling back to the full range if a check fails.
+    """
     values = _values(df, column)
-    row = values.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    margin = 4.0 / SKETCH_ACCURACY
+    fracs = [min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)]
+    row = values.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+                     F.percentile_approx("x", fracs, SKETCH_ACCURACY).alias("q")).first()
     n = int(row["n"])
     if n == 0:
         return [None] * len(probs)
-    wanted = []
-    for p in probs:
+    wanted, start = [], {}
+    for i, p in enumerate(probs):
         pos = p * (n - 1)
-        wanted += [math.floor(pos), math.ceil(pos)]
-    kth = kth_values(values, wanted, n, float(row["lo"]), float(row["hi"]))
+        for r in (math.floor(pos), math.ceil(pos)):
+            wanted.append(r)
+            a, b = row["q"][2 * i], row["q"][2 * i + 1]
+            if r not in start:
+                start[r] = (float(a), float(b))
+            else:  # both ranks of one quantile share the union of their guesses
+                start[r] = (min(start[r][0], a), max(start[r][1], b))
+    kth = kth_values(values, wanted, n, float(row["lo"]), float(row["hi"]), start)
     out = []
     for p in probs:
         pos = p * (n - 1)
