@@ -147,6 +147,49 @@ def load_csv_messy_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_csv(spark, folder)
 
 
+def _as_stream(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
+    """The view written as parquet under the checkpoint folder, read back as a stream."""
+    folder = os.path.join(ensure_checkpoint_dir(spark), f"src-{uuid.uuid4().hex}")
+    src = table(spark, sf_dir, view)
+    src.write.parquet(folder)
+    return spark.readStream.schema(src.schema).parquet(folder)
+
+
+def _run_stream(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+    name = f"qualis_{uuid.uuid4().hex}"
+    ckpt = os.path.join(ensure_checkpoint_dir(spark), f"stream-{name}")
+    q = (stream.writeStream.format("memory").queryName(name).outputMode(mode)
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.table(name)
+
+
+def stream_missing_by_window_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming import missing_by_window
+    stream = _as_stream(spark, sf_dir, "dirty_events")
+    out = _run_stream(spark, missing_by_window(stream, "ts", "1 hour", "1 hour",
+                                               ["event_type", "value", "mixed"]), "complete")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "column",
+                      "n_rows", "n_missing")
+
+
+def stream_clean_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming import clean_stream
+    stream = _as_stream(spark, sf_dir, "dirty_customer")
+    steps = [("trim_spaces", ["c_name"]), ("title_case", ["c_mktsegment"]),
+             ("convert_to_numeric", ["c_acctbal"]), ("drop_columns", ["joined"])]
+    return _run_stream(spark, clean_stream(stream, steps), "append")
+
+
+def stream_audit_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming import audit_stream
+    stream = _as_stream(spark, sf_dir, "dirty_customer")
+    out = _run_stream(spark, audit_stream(stream, {"email": "email", "c_name": "special_chars"}),
+                      "complete")
+    return out.select("column", "rule", "n_non_null", "n_valid", "n_invalid",
+                      F.round("invalid_ratio", 9).alias("invalid_ratio"))
+
+
 def _preview(spark, sf_dir):
     return profile.preview(table(spark, sf_dir, "dirty_events"), ORDER, 50)
 
@@ -298,6 +341,10 @@ def queries() -> dict[str, Query]:
         "correlation_matrix": _corr,
         "top_categories": _top,
         "missing_map": _missing_map,
+        # streaming forms
+        "stream_missing_by_window": stream_missing_by_window_q,
+        "stream_clean": stream_clean_q,
+        "stream_audit": stream_audit_q,
         # audits
         "audit_email": _audit("dirty_customer", {"email": "email"}),
         "audit_phone": _audit("customer", {"c_name": "phone", "c_acctbal": "phone"}),
@@ -766,6 +813,14 @@ def oracle_sql() -> dict[str, str]:
                               "WHERE event_type IS NOT NULL GROUP BY event_type ORDER BY count DESC, value "
                               "LIMIT 10"),
         "missing_map": _missing_map_sql(),
+        "stream_missing_by_window": _ev("\nUNION ALL\n".join(
+            f"SELECT date_trunc('hour', ts) AS window_start, {O.q(c)} AS \"column\", count(*) AS n_rows, "
+            f"count(*) FILTER (WHERE {c} IS NULL) AS n_missing FROM dirty_events GROUP BY 1"
+            for c in ("event_type", "value", "mixed"))),
+        "stream_clean": _cu(f"SELECT rid, c_custkey, CASE WHEN c_name IS NULL THEN NULL ELSE {_trim('c_name')} "
+                            f"END AS c_name, {_title('c_mktsegment')} AS c_mktsegment, c_acctbal, email, active "
+                            f"FROM dirty_customer"),
+        "stream_audit": _audit_sql("dirty_customer", {"email": "email", "c_name": "special_chars"}),
         "audit_email": _audit_sql("dirty_customer", {"email": "email"}),
         "audit_phone": _audit_sql("customer", {"c_name": "phone", "c_acctbal": "phone"}),
         "audit_url": _audit_sql("pages", {"url": "url"}),

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.missing import is_missing
 from ..operators.audit import audit_values
@@ -41,6 +41,8 @@ def missing_by_window(stream: DataFrame, time_col: str, window: str = "1 hour",
     """window_start, window_end, column, n_rows, n_missing per event-time window."""
     types = {f.name: f.dataType for f in stream.schema.fields}
     cols = list(columns) if columns is not None else [c for c in stream.columns if c != time_col]
+    if not isinstance(types[time_col], T.TimestampType):  # watermarks need TIMESTAMP
+        stream = stream.withColumn(time_col, F.col(time_col).cast("timestamp"))
     per = (stream.withWatermark(time_col, watermark)
            .groupBy(F.window(time_col, window).alias("w"))
            .agg(F.count(F.lit(1)).alias("n_rows"),
