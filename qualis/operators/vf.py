@@ -83,19 +83,28 @@ def column_value_summary(df: DataFrame, columns: Sequence[str], case_of_text: bo
     """column, n_unique, max_cnt, n_non_null[, mixed] from the VF, grouped on native
     values. With `case_of_text`, text columns also get the case-collision flag,
     computed from the same grouped values (the plan shares the shuffle)."""
+    from ..functions.text import strip
     types = {f.name: f.dataType for f in df.schema.fields}
     parts = []
     for cols in _families(df, columns).values():
         long = stacked_values(df, cols, as_text=False)
         grouped = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-        summary = grouped.groupBy("column").agg(
-            F.count(F.lit(1)).alias("n_unique"), F.max("cnt").alias("max_cnt"),
-            F.sum("cnt").alias("n_non_null"))
-        if case_of_text:
-            if isinstance(types[cols[0]], T.StringType):
-                flags = case_collisions(grouped.select("column", "value"))
-                summary = summary.join(flags, "column", "left")
-            else:
+        if case_of_text and isinstance(types[cols[0]], T.StringType):
+            # one more grouping of the distinct values, by lower-cased stripped
+            # text: it yields the counts and the case flag together (a blank
+            # value strips to '' and never flags)
+            st = strip(F.col("value"))
+            by_lower = grouped.groupBy("column", F.lower(st).alias("_l")).agg(
+                F.count(F.lit(1)).alias("_n"), F.max("cnt").alias("_m"), F.sum("cnt").alias("_s"),
+                (F.min(st) != F.max(st)).alias("_x"))
+            summary = by_lower.groupBy("column").agg(
+                F.sum("_n").alias("n_unique"), F.max("_m").alias("max_cnt"),
+                F.sum("_s").alias("n_non_null"), F.bool_or("_x").alias("mixed"))
+        else:
+            summary = grouped.groupBy("column").agg(
+                F.count(F.lit(1)).alias("n_unique"), F.max("cnt").alias("max_cnt"),
+                F.sum("cnt").alias("n_non_null"))
+            if case_of_text:
                 summary = summary.withColumn("mixed", F.lit(None).cast("boolean"))
         parts.append(summary)
     if not parts:
