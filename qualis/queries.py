@@ -190,6 +190,40 @@ def stream_audit_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.round("invalid_ratio", 9).alias("invalid_ratio"))
 
 
+def load_csv_na_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing values written as the tokens NULL (numbers) and '' (text): both
+    read back as null, and number columns keep a number type."""
+    from .sources.csv import load_csv
+    src = table(spark, sf_dir, "dirty_customer")
+    folder = os.path.join(ensure_checkpoint_dir(spark), f"csv-{uuid.uuid4().hex}")
+    (src.write.option("header", True).option("nullValue", "NULL").option("emptyValue", "")
+     .csv(folder))
+    return load_csv(spark, folder)
+
+
+def post_process_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header names with spaces around them, a blank header over an empty column
+    and one over a filled column: names are stripped, the empty one dropped,
+    the filled one kept as `Unnamed: i`."""
+    from .sources.csv import load_csv
+    src = table(spark, sf_dir, "dirty_customer")
+    messy = src.select(F.lit(None).cast("string").alias(" "), *[F.col(c).alias(f"  {c}") for c in src.columns],
+                       F.lit("x").alias(""))
+    folder = os.path.join(ensure_checkpoint_dir(spark), f"csv-{uuid.uuid4().hex}")
+    messy.write.option("header", True).option("sep", ";").csv(folder)
+    out = load_csv(spark, folder)
+    return out.withColumnRenamed(out.columns[-1], "unnamed_last")
+
+
+def dtype_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """table, dtype, n_columns: the column-type summary of every given table."""
+    rows = []
+    for t in BASE_TABLES:
+        for label, n in profile.dtype_summary(table(spark, sf_dir, t)).items():
+            rows.append((t, label, n))
+    return spark.createDataFrame(rows, "table string, dtype string, n_columns bigint")
+
+
 def _preview(spark, sf_dir):
     return profile.preview(table(spark, sf_dir, "dirty_events"), ORDER, 50)
 
@@ -275,6 +309,9 @@ def queries() -> dict[str, Query]:
         # sources
         "load_csv": load_csv_q,
         "load_csv_messy": load_csv_messy_q,
+        "load_csv_na": load_csv_na_q,
+        "post_process": post_process_q,
+        "dtype_summary": dtype_summary_q,
         # profiling
         "dataset_meta": _meta("dirty_events"),
         "dataset_meta_lineitem": _meta("dirty_lineitem"),
@@ -714,6 +751,19 @@ def _lineitem_ffill_sql() -> str:
     return O.with_view("dirty_lineitem", "SELECT " + ", ".join(parts) + " FROM dirty_lineitem")
 
 
+def _dtype_summary_sql() -> str:
+    label = ("CASE WHEN data_type IN ('BIGINT', 'INTEGER', 'SMALLINT', 'TINYINT') THEN 'Integer' "
+             "WHEN data_type IN ('DOUBLE', 'FLOAT') OR data_type LIKE 'DECIMAL%' THEN 'Float' "
+             "WHEN data_type = 'BOOLEAN' THEN 'Boolean' "
+             "WHEN data_type LIKE 'TIMESTAMP%' OR data_type = 'DATE' THEN 'Datetime' "
+             "WHEN data_type = 'VARCHAR' THEN 'Text / Categorical' "
+             "WHEN data_type LIKE '%[]' THEN 'Array<' || lower(replace(data_type, '[]', '')) || '>' "
+             "ELSE data_type END")
+    names = ", ".join(O.q(t) for t in BASE_TABLES)
+    return (f"SELECT table_name AS \"table\", {label} AS dtype, count(*) AS n_columns "
+            f"FROM information_schema.columns WHERE table_name IN ({names}) GROUP BY 1, 2")
+
+
 def _lineitem_plan_sql() -> str:
     """Fixes accepted on dirty_lineitem: median fill, trim, title case."""
     cols = ["rid"] + [c for c, _ in O.VIEW_COLUMNS["dirty_lineitem"]]
@@ -731,6 +781,12 @@ def oracle_sql() -> dict[str, str]:
     return {
         "load_csv": _load_csv_sql(),
         "load_csv_messy": _load_csv_sql(),
+        "load_csv_na": _load_csv_sql(),
+        "post_process": _cu("SELECT " + ", ".join(
+            ["rid"] + [f"CASE WHEN {c} IN ({_NA_SQL}) THEN NULL ELSE {c} END AS {c}"
+                       if k == "string" else c for c, k in O.VIEW_COLUMNS["dirty_customer"]]
+            + ["'x' AS unnamed_last"]) + " FROM dirty_customer"),
+        "dtype_summary": _dtype_summary_sql(),
         "dataset_meta": _meta_sql("dirty_events"),
         "dataset_meta_lineitem": _meta_sql("dirty_lineitem"),
         "column_classes": _classes_sql(),
