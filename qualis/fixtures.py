@@ -89,8 +89,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _sources(view: str) -> tuple[str, ...]:
     return tuple(t for t in BASE_TABLES if f"FROM {t}" in VIEWS[view])
-
-
-def with_views_sql(view: str, body: str) -> str:
-    """`WITH <view> AS (...) <body>`: the oracle form of a query over a derived view."""
-    return f"WITH {view} AS (\n{VIEWS[view]}\n)\n{body}"

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import DEFAULT_CONFIG, SEVERITY_ORDER, QualityConfig
 from ..functions.missing import is_missing
-from ..functions.types import is_number, is_numeric_like, is_string
+from ..functions.types import is_numeric_like, is_string
 from ..schema import ISSUE_SCHEMA, issue
 from .stats import TableStats, profiled_columns
 
@@ -239,7 +239,3 @@ def missing_by_column(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
             .select("column", "n_missing",
                     F.round(F.col("n_missing") / F.greatest(F.col("_n"), F.lit(1)) * 100, 2)
                     .alias("missing_pct")))
-
-
-def is_number_column(df: DataFrame, name: str) -> bool:
-    return is_number(df.schema[name].dataType)

@@ -13,18 +13,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
+MAX_RANKED_FILES = 10_000
+
+
 def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
 def read_parquet_ordered(spark, path: str, name: str = "_rid") -> DataFrame:
     """Parquet read with a row id that does not depend on how files are split:
-    the rank of the file path (from the driver's file listing) in the high
-    bits, the row index inside the file below."""
+    the rank of the file path in the high bits, the row index inside the file
+    below. Beyond MAX_RANKED_FILES files it falls back to `with_row_id`."""
     df = spark.read.parquet(path)
-    files = sorted(df.inputFiles())  # the driver's file listing, no job
-    if len(files) > 10_000:
+    if len(df.inputFiles()) > MAX_RANKED_FILES:  # the driver's file listing, no job
         return with_row_id(df, name)
+    # the paths as `_metadata` spells them (a metadata-only scan, one row per file out)
+    files = sorted(r[0] for r in df.select(F.col("_metadata.file_path")).distinct().collect())
     rank = F.create_map(*[x for i, f in enumerate(files) for x in (F.lit(f), F.lit(i))])
     rid = (rank[F.col("_metadata.file_path")].cast("long") * F.lit(1 << 40)
            + F.col("_metadata.row_index"))

@@ -78,3 +78,39 @@ def test_review_progress(spark):
 def test_unknown_method_refused(spark):
     with pytest.raises(KeyError):
         CleaningPlan(_table(spark)).apply("rename_and_keep", ["s"])
+
+
+def test_extension_registries(spark):
+    from pyspark.sql import functions as F
+    from qualis.operators import clean
+    from qualis.operators.stats import TableStats
+    from qualis.schema import issue
+
+    def negate(df, columns, order_by=None):
+        return df.select(*[(-F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
+    clean.register_method("negate", negate, "Negate")
+    df = spark.createDataFrame([(1, 2.0)], "rid int, x double")
+    plan = CleaningPlan(df, order_by="rid")
+    assert plan.apply("negate", ["x"]).first()["x"] == -2.0
+    assert plan.history(with_counts=False).first()["action"] == "Negate"
+
+    def always(st: TableStats):
+        return [issue("custom", "custom", "Custom", "INFO", [], 0.5, "d", "r", "review_manually", [])]
+    detect.register_detector(always)
+    try:
+        issues, failed = detect.detect_report(df)
+        got = {r["issue_id"]: r for r in issues.collect()}
+        assert got["custom"]["severity"] == "INFO" and failed == []
+    finally:
+        detect.DETECTORS.remove(always)
+
+
+def test_parquet_row_id_follows_file_order(spark):
+    import os
+    import tempfile
+    from qualis.sources.rowid import read_parquet_ordered
+    folder = tempfile.mkdtemp(prefix="qualis-pq-")
+    spark.range(0, 100, numPartitions=3).write.mode("overwrite").parquet(os.path.join(folder, "t"))
+    df = read_parquet_ordered(spark, os.path.join(folder, "t"))
+    ids = [r["id"] for r in df.orderBy("_rid").collect()]
+    assert sorted(ids) == list(range(100)) and df.select("_rid").distinct().count() == 100
