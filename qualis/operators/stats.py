@@ -29,9 +29,10 @@ from ..functions import text as tx
 from ..functions.missing import is_missing, normalized
 from ..functions.types import fixed_width, is_atomic, is_string
 from .parallel import map_jobs
-from .vf import case_collisions, column_value_summary, stacked_values
+from .vf import case_collisions, column_value_summary, long_text_summary, stacked_values
 
 SCAN_CHUNK = 96  # columns per metrics aggregate
+LONG_TEXT_BYTES = 64  # average bytes from which a text column is summarised by hash first
 
 
 @dataclass
@@ -91,7 +92,7 @@ class TableStats:
     def prefetch(self, distinct_rows: bool = True) -> "TableStats":
         """Run the independent metric jobs at the same time, so the scheduler can
         fill every slot (each job alone may have few tasks)."""
-        jobs = [lambda: self._scan, lambda: self._vf]
+        jobs = [lambda: self._vf]  # the value pass reads text lengths from the scan first
         if distinct_rows:
             jobs.append(lambda: self.n_distinct_rows)
         with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
@@ -144,7 +145,14 @@ class TableStats:
     def _vf(self) -> dict:
         if not self.columns:
             return {"summary": {}, "case": {}}
-        rows = column_value_summary(self.df, self.columns, case_of_text=True).collect()
+        # long texts (by average length from the scan) take the hash-first path
+        long_text = [c for c in self.columns if is_string(self.types[c])
+                     and self.column(c).text_bytes >= LONG_TEXT_BYTES * max(self.column(c).non_null, 1)]
+        rest = [c for c in self.columns if c not in long_text]
+        parts = [lambda: column_value_summary(self.df, rest, case_of_text=True).collect()] if rest else []
+        if long_text:
+            parts.append(lambda: long_text_summary(self.df, long_text).collect())
+        rows = [r for part in map_jobs(lambda f: f(), parts) for r in part]
         summary = {r["column"]: (int(r["n_unique"]), int(r["max_cnt"])) for r in rows}
         case = {r["column"]: bool(r["mixed"]) for r in rows if r["mixed"] is not None}
         return {"summary": summary, "case": case}

@@ -112,3 +112,37 @@ def column_value_summary(df: DataFrame, columns: Sequence[str], case_of_text: bo
             [], "column string, n_unique bigint, max_cnt bigint, n_non_null bigint"
             + (", mixed boolean" if case_of_text else ""))
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def long_text_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column, n_unique, max_cnt, n_non_null, mixed for long text columns, without
+    shuffling every text.
+
+    Values are first grouped by a 64-bit hash, so a unique text costs 16 bytes
+    of shuffle. Only values whose hash repeats (copies, or a collision) are
+    grouped again by their full text, which keeps every count exact. The case
+    check works the same way on the hash of the lower-cased stripped text: only
+    rows whose lower-cased text repeats are compared as text.
+    """
+    from ..functions.text import strip
+    st = strip(F.col("value"))
+    keyed = stacked_values(df, columns, as_text=False).select(
+        "column", "value", F.xxhash64("value").alias("_h"), F.xxhash64(F.lower(st)).alias("_lh"))
+    per_h = keyed.groupBy("column", "_h").agg(F.count(F.lit(1)).alias("_c"))
+    singles = per_h.where(F.col("_c") == 1).groupBy("column").agg(F.count(F.lit(1)).alias("n1"))
+    exact = (keyed.join(per_h.where(F.col("_c") > 1).select("column", "_h"), ["column", "_h"], "left_semi")
+             .groupBy("column", "_h", "value").agg(F.count(F.lit(1)).alias("cnt")))
+    multi = exact.groupBy("column").agg(F.count(F.lit(1)).alias("nm"), F.max("cnt").alias("mm"),
+                                        F.sum("cnt").alias("sm"))
+    repeated_lower = (keyed.groupBy("column", "_lh").agg(F.count(F.lit(1)).alias("_c"))
+                      .where(F.col("_c") > 1).select("column", "_lh"))
+    case = case_collisions(keyed.join(repeated_lower, ["column", "_lh"], "left_semi")
+                           .select("column", "value"))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    out = names.join(singles, "column", "left").join(multi, "column", "left").join(case, "column", "left")
+    n1, nm = F.coalesce("n1", F.lit(0)), F.coalesce("nm", F.lit(0))
+    return out.select(
+        "column", (n1 + nm).alias("n_unique"),
+        F.greatest(F.when(n1 > 0, F.lit(1)), F.col("mm")).cast("long").alias("max_cnt"),
+        (n1 + F.coalesce("sm", F.lit(0))).alias("n_non_null"),
+        F.coalesce("mixed", F.lit(False)).alias("mixed"))

@@ -143,3 +143,15 @@ def test_wide_table_metrics_in_chunks(spark):
     assert m["affected_columns"] == [f"c{i}" for i in range(200)]
     corr = summary.correlation_matrix(df, [f"c{i}" for i in range(1, 31)])  # 465 pairs
     assert corr.count() == 900
+
+
+def test_long_text_summary_matches_plain(spark):
+    from qualis.operators.vf import column_value_summary, long_text_summary
+    texts = ["Alpha beta gamma " * 5, "alpha beta gamma " * 5, "Alpha beta gamma " * 5, "   ", "",
+             "unique text here " * 4, None, "x" * 300, "x" * 300]
+    df = spark.createDataFrame([(t, t.upper() if t else t) for t in texts], "a string, b string")
+    got = sorted(tuple(r) for r in long_text_summary(df, ["a", "b"]).collect())
+    want = sorted(tuple(r) for r in column_value_summary(df, ["a", "b"], case_of_text=True)
+                  .select("column", "n_unique", "max_cnt", "n_non_null", "mixed").collect())
+    assert got == want
+    assert dict((r[0], r[4]) for r in got) == {"a": True, "b": False}
