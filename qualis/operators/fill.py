@@ -97,7 +97,18 @@ def interpolate(df: DataFrame, columns: Sequence[str], order_by: str,
                 block_rows: int = DEFAULT_CONFIG.fill_block_rows) -> DataFrame:
     """Linear interpolation in row position (0, 1, 2, ... by `order_by`, whatever
     the gaps in the key), both ends padded with the nearest value. Numeric
-    columns only; results are double."""
+    columns only; results are double.
+
+    Every per-block figure comes from the source, not from windowed rows, so
+    the rows are shuffled once (by block, for the window pass):
+    1. per block: row count, and the last / first non-null (key, value) per column;
+    2. per block: the in-block rank of those rows (a second narrow pass, joined
+       to the small step-1 table);
+    3. on the block table: offsets (running row count) and the carried
+       (position, value) from earlier and later blocks;
+    4. one window pass per block: row position, nearest non-null (position, value)
+       before and after, and the linear formula.
+    """
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = [c for c in columns if is_number(types[c])]
     if not cols:
@@ -105,48 +116,56 @@ def interpolate(df: DataFrame, columns: Sequence[str], order_by: str,
     blk = "_qblk"
     o = F.col(order_by)
     base = df.withColumn(blk, _block(df, order_by, block_rows))
-    # row position: rows of earlier blocks + row number inside the block
-    counts = base.groupBy(blk).agg(F.count(F.lit(1)).alias("_qn"))
-    offsets = counts.select(blk, F.coalesce(F.sum("_qn").over(
-        Window.orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_qoff"))
-    wl = Window.partitionBy(blk).orderBy(o)
-    with_pos = (base.join(offsets, blk, "left")
-                .withColumn("_qpos", (F.col("_qoff") + F.row_number().over(wl) - 1).cast("double")))
-    # (position, value) of each non-null cell; carried like a forward / backward fill
-    pts = with_pos.select(*with_pos.columns, *[
-        F.when(normalized(c, types[c]).isNotNull(),
-               F.struct(F.col("_qpos").alias("p"), normalized(c, types[c]).cast("double").alias("v"))
-               ).alias(f"_qp{i}") for i, c in enumerate(cols)])
-    point_cols = [f"_qp{i}" for i in range(len(cols))]
-    before = _carry_structs(pts, point_cols, order_by, blk, forward=True, suffix="b")
-    both = _carry_structs(before, point_cols, order_by, blk, forward=False, suffix="a")
+    vals = {c: normalized(c, types[c]).cast("double") for c in cols}
+    # 1. block counts and edge rows
+    edges = base.groupBy(blk).agg(
+        F.count(F.lit(1)).alias("_qn"),
+        *[x for i, c in enumerate(cols) for x in (
+            F.max_by(F.struct(o.alias("k"), vals[c].alias("v")), F.when(vals[c].isNotNull(), o)).alias(f"_ql{i}"),
+            F.min_by(F.struct(o.alias("k"), vals[c].alias("v")), F.when(vals[c].isNotNull(), o)).alias(f"_qf{i}"))])
+    # 2. in-block rank of each edge row: rows of the block with a smaller key
+    ranks = base.select(blk, o.alias("_qo")).join(F.broadcast(edges), blk).groupBy(blk).agg(
+        *[x for i in range(len(cols)) for x in (
+            F.count_if(F.col("_qo") < F.col(f"_ql{i}.k")).alias(f"_qlr{i}"),
+            F.count_if(F.col("_qo") < F.col(f"_qf{i}.k")).alias(f"_qfr{i}"))])
+    # 3. offsets and carries on the block table (one row per block)
+    blocks = edges.join(ranks, blk, "left")
+    off = F.coalesce(F.sum("_qn").over(
+        Window.orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.withColumn("_qoff", off)
+    pts = []
+    for i in range(len(cols)):
+        last_pt = F.when(F.col(f"_ql{i}").isNotNull(), F.struct(
+            (F.col("_qoff") + F.col(f"_qlr{i}")).cast("double").alias("p"), F.col(f"_ql{i}.v").alias("v")))
+        first_pt = F.when(F.col(f"_qf{i}").isNotNull(), F.struct(
+            (F.col("_qoff") + F.col(f"_qfr{i}")).cast("double").alias("p"), F.col(f"_qf{i}.v").alias("v")))
+        pts += [last_pt.alias(f"_qlp{i}"), first_pt.alias(f"_qfp{i}")]
+    blocks = blocks.select(blk, "_qoff", *pts)
+    fwd = _running(Window, F.col(blk), True, exclusive=True)
+    bwd = _running(Window, F.col(blk), False, exclusive=True)
+    carry = blocks.select(blk, "_qoff", *[x for i in range(len(cols)) for x in (
+        F.last(f"_qlp{i}", ignorenulls=True).over(fwd).alias(f"_qcb{i}"),
+        F.last(f"_qfp{i}", ignorenulls=True).over(bwd).alias(f"_qca{i}"))])
+    # 4. one window pass: rows partitioned by block (the only full shuffle)
+    rows = base.join(carry, blk, "left")
+    wpos = Window.partitionBy(blk).orderBy(o)
+    pos = (F.col("_qoff") + F.row_number().over(wpos) - 1).cast("double")
+    rows = rows.withColumn("_qpos", pos)
+    up = _running(Window.partitionBy(blk), o, True)
+    down = _running(Window.partitionBy(blk), o, False)
     out = {}
     for i, c in enumerate(cols):
-        b, a = F.col(f"_qp{i}b"), F.col(f"_qp{i}a")
-        slope = (a["v"] - b["v"]) / (a["p"] - b["p"])
-        mid = F.when(a["p"] == b["p"], b["v"]).otherwise(b["v"] + slope * (F.col("_qpos") - b["p"]))
-        filled = (F.when(normalized(c, types[c]).isNotNull(), F.col(c).cast("double"))
-                  .when(b.isNull() & a.isNull(), F.lit(None).cast("double"))
-                  .when(b.isNull(), a["v"]).when(a.isNull(), b["v"]).otherwise(mid))
-        out[c] = filled.alias(c)
-    return both.select(*[out.get(c, F.col(c)) for c in df.columns])
-
-
-def _carry_structs(df: DataFrame, cols: Sequence[str], order_by: str, blk: str, forward: bool,
-                   suffix: str) -> DataFrame:
-    o = F.col(order_by)
-    w = _running(Window.partitionBy(blk), o, forward)
-    sw = _running(Window, F.col(blk), forward, exclusive=True)
-    edge = F.max_by if forward else F.min_by
-    local = df.select(*df.columns, *[F.last(F.col(c), ignorenulls=True).over(w).alias(f"{c}_l")
-                                     for c in cols])
-    summary = df.groupBy(blk).agg(*[edge(F.col(c), F.when(F.col(c).isNotNull(), o)).alias(f"{c}_s")
-                                    for c in cols])
-    carry = summary.select(blk, *[F.last(F.col(f"{c}_s"), ignorenulls=True).over(sw).alias(f"{c}_c")
-                                  for c in cols])
-    joined = local.join(carry, blk, "left")
-    return joined.select(*df.columns, *[F.coalesce(F.col(f"{c}_l"), F.col(f"{c}_c")).alias(f"{c}{suffix}")
-                                        for c in cols])
+        here = F.when(vals[c].isNotNull(), F.struct(F.col("_qpos").alias("p"), vals[c].alias("v")))
+        b = F.coalesce(F.last(here, ignorenulls=True).over(up), F.col(f"_qcb{i}"))
+        a = F.coalesce(F.last(here, ignorenulls=True).over(down), F.col(f"_qca{i}"))
+        rows = rows.withColumn(f"_qb{i}", b).withColumn(f"_qa{i}", a)
+        bb, aa = F.col(f"_qb{i}"), F.col(f"_qa{i}")
+        slope = (aa["v"] - bb["v"]) / (aa["p"] - bb["p"])
+        mid = F.when(aa["p"] == bb["p"], bb["v"]).otherwise(bb["v"] + slope * (F.col("_qpos") - bb["p"]))
+        out[c] = (F.when(vals[c].isNotNull(), F.col(c).cast("double"))
+                  .when(bb.isNull() & aa.isNull(), F.lit(None).cast("double"))
+                  .when(bb.isNull(), aa["v"]).when(aa.isNull(), bb["v"]).otherwise(mid)).alias(c)
+    return rows.select(*[out.get(c, F.col(c)) for c in df.columns])
 
 
 # Candidate hashes broadcast at most (8 bytes each: about 32 MB).
