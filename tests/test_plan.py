@@ -114,3 +114,14 @@ def test_parquet_row_id_follows_file_order(spark):
     df = read_parquet_ordered(spark, os.path.join(folder, "t"))
     ids = [r["id"] for r in df.orderBy("_rid").collect()]
     assert sorted(ids) == list(range(100)) and df.select("_rid").distinct().count() == 100
+
+
+def test_auto_checkpoint_cuts_lineage(spark):
+    plan = CleaningPlan(_table(spark), order_by="rid", auto_checkpoint=True)
+    plan.apply("trim_spaces", ["s"])
+    out = plan.apply("drop_duplicate_rows", [])
+    assert "Scan ExistingRDD" in out._jdf.queryExecution().executedPlan().toString() or \
+        "LogicalRDD" in out._jdf.queryExecution().analyzed().toString()
+    assert rows_of(out, "rid") == [(1, "a", 1.0), (3, "b", None), (4, "B", 4.0)]
+    h = [r["rows_after"] for r in plan.history().orderBy("step").collect()]
+    assert h == [4, 3]
