@@ -42,10 +42,31 @@ def boolean_like_columns(df: DataFrame, columns: Sequence[str] | None = None) ->
     """column, n_distinct, values, boolean_like for text columns whose distinct
     stripped, lower-cased, non-blank values number at most 4 and all belong to one
     known two-value vocabulary. No set of a column's values is ever collected:
-    only values from the fixed vocabularies are gathered."""
+    only values from the fixed vocabularies are gathered. A column holding a
+    value longer than any vocabulary word is ruled out from its lengths alone;
+    its n_distinct and values are null."""
     cols = list(columns) if columns is not None else [
         f.name for f in df.schema.fields if is_string(f.dataType)]
     words = boolean_words()
+    # A column holding a stripped value longer than the longest vocabulary word
+    # cannot qualify: one pass settles those, so long texts are never grouped.
+    longest = max(len(w) for w in words)
+    lengths = df.agg(*[F.max(F.length(tx.strip(F.col(c)))).alias(f"m{i}") for i, c in enumerate(cols)]
+                     ).first() if cols else None
+    short = [c for i, c in enumerate(cols) if (lengths[f"m{i}"] or 0) <= longest]
+    if short != cols:
+        return _boolean_like(df, short, words).unionByName(_not_boolean_like(df, [c for c in cols if c not in short]))
+    return _boolean_like(df, cols, words)
+
+
+def _not_boolean_like(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Columns ruled out by value length: their distinct count is not needed."""
+    return df.sparkSession.createDataFrame(
+        [(c, None, None, False) for c in cols],
+        "column string, n_distinct bigint, values array<string>, boolean_like boolean")
+
+
+def _boolean_like(df: DataFrame, cols: Sequence[str], words: list[str]) -> DataFrame:
     vf = value_frequencies(df, cols)
     low = (vf.select("column", F.lower(tx.strip(F.col("value"))).alias("l"))
            .where(F.col("l") != "").distinct())
@@ -58,7 +79,7 @@ def boolean_like_columns(df: DataFrame, columns: Sequence[str] | None = None) ->
     any_vocab = F.lit(False)
     for i in range(len(BOOLEAN_VOCABULARIES)):
         any_vocab = any_vocab | F.col(f"v{i}")
-    return agg.select("column", "n_distinct",
+    return agg.select("column", F.col("n_distinct").cast("bigint").alias("n_distinct"),
                       F.when(F.col("n_distinct") <= 4, F.col("values")).alias("values"),
                       ((F.col("n_distinct") <= 4) & any_vocab).alias("boolean_like"))
 
