@@ -12,6 +12,7 @@ from ..config import DEFAULT_CONFIG, ID_TOKENS_NUMERIC, ID_TOKENS_TEXT, QualityC
 from ..functions.dates import parse_date_mixed
 from ..functions.types import friendly_type, is_datetime, is_number, is_string
 from .stats import TableStats, head_values
+from .vf import stacked_values
 from .vf import value_frequencies
 
 
@@ -139,9 +140,32 @@ def profile_samples(df: DataFrame, exclude: Sequence[str] = (), order_by: str |
     skip = set(exclude) | {order}
     cols = [f.name for f in df.schema.fields if f.name not in skip and f.name != "_rid"
             and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
-    vf = value_frequencies(base, cols, order)
+    text = [c for c in cols if is_string(df.schema[c].dataType)]
+    other = [c for c in cols if c not in text]
+    parts = []
+    if other:
+        parts.append(value_frequencies(base, other, order).select("column", "value", "first_o"))
+    if text:
+        parts.append(_text_first_values(base, text, order, k))
+    vf = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     w = Window.partitionBy("column").orderBy("first_o", "value")
     firsts = vf.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k)
     return (firsts.groupBy("column")
             .agg(F.array_sort(F.collect_list(F.struct("_k", "value"))).alias("_s"))
             .select("column", F.transform("_s", lambda s: s["value"]).alias("samples")))
+
+
+def _text_first_values(base: DataFrame, cols: list[str], order: str, k: int) -> DataFrame:
+    """column, value, first_o for the text values that can be among the first `k`.
+
+    Values are grouped by hash first (16 bytes per row through the shuffle) and
+    the `k` hash groups seen first are kept per column; only their rows are
+    grouped by full text. Exact: a hash group's first row is the first row of one
+    of its values, so any value outside the kept groups has `k` values before it.
+    """
+    long = stacked_values(base, cols, order, as_text=False).withColumn("_h", F.xxhash64("value"))
+    by_hash = long.groupBy("column", "_h").agg(F.min("_o").alias("_f"))
+    w = Window.partitionBy("column").orderBy("_f", "_h")
+    top = by_hash.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("column", "_h")
+    kept = long.join(F.broadcast(top), ["column", "_h"], "left_semi")
+    return kept.groupBy("column", "value").agg(F.min("_o").alias("first_o"))
