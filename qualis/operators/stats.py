@@ -16,6 +16,7 @@ the only data that reaches the driver.
 
 from __future__ import annotations
 
+import logging
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -31,6 +32,8 @@ from ..functions.types import fixed_width, is_atomic, is_string
 from .parallel import map_jobs
 from .vf import case_collisions, column_value_summary, long_text_summary, stacked_values
 
+log = logging.getLogger(__name__)
+
 SCAN_CHUNK = 96  # columns per metrics aggregate
 LONG_TEXT_BYTES = 64  # average bytes from which a text column is summarised by hash first
 
@@ -97,7 +100,10 @@ class TableStats:
             jobs.append(lambda: self.n_distinct_rows)
         with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
             for f in [pool.submit(j) for j in jobs]:
-                f.result()
+                try:
+                    f.result()
+                except Exception as exc:  # retried, and isolated, by the detector that needs it
+                    log.warning("metric job failed: %s", exc)
         return self
 
     # ---- job 1: one wide aggregate --------------------------------------------------------
