@@ -62,11 +62,34 @@ RESPONSES = """SELECT event_id AS rid,
             ELSE props END AS response
 FROM events"""
 
+# A customer file shaped like the one in the interactive tool's run log: ten
+# columns, a copied id column, spaces and mixed case in names and cities, gaps in
+# age and salary, a high-cardinality join date, a constant region, repeated rows.
+_CRM_COLUMNS = """c_custkey AS CustomerID, c_custkey AS CustomerID_Copy,
+       CASE WHEN c_custkey % 5 = 0 THEN concat('  ', lower(c_name), ' ')
+            WHEN c_custkey % 7 = 0 THEN upper(c_name) ELSE c_name END AS Name,
+       CASE WHEN c_custkey % 4 = 0 THEN concat(lower(n_name), '  ') ELSE n_name END AS City,
+       CASE WHEN c_custkey % 8 = 0 THEN NULL ELSE 18 + c_custkey % 50 END AS Age,
+       CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE round(c_acctbal * 10, 2) END AS Salary,
+       c_mktsegment AS Department,
+       CASE WHEN c_custkey % 3 = 0 THEN 'yes' WHEN c_custkey % 3 = 1 THEN 'NO' ELSE 'Yes' END AS IsActive,
+       concat(CAST(2000 + CAST(floor(c_custkey / 336) AS BIGINT) AS STRING), '-',
+              lpad(CAST(1 + CAST(floor((c_custkey % 336) / 28) AS BIGINT) AS STRING), 2, '0'), '-',
+              lpad(CAST(1 + c_custkey % 28 AS STRING), 2, '0')) AS JoinDate,
+       'North' AS Region
+FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+
+CRM = ("SELECT c_custkey * 2 AS rid, " + _CRM_COLUMNS
+       + "\nUNION ALL\nSELECT c_custkey * 2 + 1 AS rid, "
+       + _CRM_COLUMNS
+       + "\nWHERE c_custkey % 25 = 0")
+
 VIEWS = {
     "dirty_events": DIRTY_EVENTS,
     "dirty_customer": DIRTY_CUSTOMER,
     "dirty_lineitem": DIRTY_LINEITEM,
     "responses": RESPONSES,
+    "crm": CRM,
 }
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -88,4 +111,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _sources(view: str) -> tuple[str, ...]:
-    return tuple(t for t in BASE_TABLES if f"FROM {t}" in VIEWS[view])
+    return tuple(t for t in BASE_TABLES if f"FROM {t}" in VIEWS[view] or f"JOIN {t} " in VIEWS[view])

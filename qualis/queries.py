@@ -99,6 +99,27 @@ def cleaning_plan_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flagship_plan(table(spark, sf_dir, "dirty_lineitem")).current()
 
 
+# The fixes applied, in order, in the interactive tool's run log on its customer file.
+CRM_STEPS = [
+    ("fill_median", ["Age", "Salary"]),
+    ("drop_duplicate_rows", []),
+    ("drop_duplicate_columns", ["CustomerID_Copy"]),
+    ("drop_columns", ["Region"]),
+    ("frequency_encoding", ["JoinDate"]),
+    ("trim_spaces", ["Name", "City"]),
+    ("title_case", ["Name", "City", "IsActive"]),
+]
+
+
+def crm_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = CleaningPlan(table(spark, sf_dir, "crm"), order_by=ORDER)
+    for method, columns in CRM_STEPS:
+        plan.apply(method, columns)
+    out = plan.current()
+    return out.select(*[F.round(c, 12).alias(c) if c.endswith("_freq_enc") else F.col(c)
+                        for c in out.columns])
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = _flagship_plan(table(spark, sf_dir, "dirty_events")).history()
     return h.select("step", "method", F.array_join("columns", ",").alias("columns"),
@@ -369,6 +390,9 @@ def queries() -> dict[str, Query]:
         # plan and history
         "cleaning_plan": cleaning_plan,
         "cleaning_plan_lineitem": cleaning_plan_lineitem,
+        "crm_pipeline": crm_pipeline,
+        "all_issues_crm": _issues("crm"),
+        "quality_score_crm": _score("crm"),
         "history": history,
         "undo_redo": undo_redo,
         "review_progress": review_progress_q,
@@ -755,6 +779,29 @@ def _lineitem_ffill_sql() -> str:
     return O.with_view("dirty_lineitem", "SELECT " + ", ".join(parts) + " FROM dirty_lineitem")
 
 
+def _crm_sql() -> str:
+    """The logged fixes as SQL, one CTE per step."""
+    keys = [c for c, _ in O.VIEW_COLUMNS["crm"]]
+    s1 = ("SELECT rid, " + ", ".join(
+        "coalesce(CAST(Age AS DOUBLE), (SELECT median(Age) FROM crm)) AS Age" if c == "Age" else
+        "coalesce(Salary, (SELECT median(Salary) FROM crm)) AS Salary" if c == "Salary" else c
+        for c in keys) + " FROM crm")
+    s2 = f"SELECT min(rid) AS rid, {', '.join(keys)} FROM c1 GROUP BY {', '.join(keys)}"
+    k3 = ["rid"] + [c for c in keys if c not in ("CustomerID_Copy", "Region")]
+    s3 = f"SELECT {', '.join(k3)} FROM c2"
+    s4 = ("SELECT *, count(*) OVER (PARTITION BY JoinDate) / (SELECT count(JoinDate) FROM c3) "
+          "AS JoinDate_freq_enc FROM c3")
+    def trimmed(c):
+        return f"CASE WHEN {c} IS NULL THEN NULL ELSE {_trim(c)} END"
+    s5 = "SELECT " + ", ".join(
+        [f"{trimmed(c)} AS {c}" if c in ("Name", "City") else c for c in k3] + ["JoinDate_freq_enc"]) + " FROM c4"
+    s6 = "SELECT " + ", ".join(
+        [f"{_title(c)} AS {c}" if c in ("Name", "City", "IsActive") else c for c in k3]
+        + ["round(JoinDate_freq_enc, 12) AS JoinDate_freq_enc"]) + " FROM c5"
+    ctes = [("c1", s1), ("c2", s2), ("c3", s3), ("c4", s4), ("c5", s5), ("c6", s6)]
+    return O.with_view("crm", "SELECT * FROM c6", ctes)
+
+
 def _dtype_summary_sql() -> str:
     label = ("CASE WHEN data_type IN ('BIGINT', 'INTEGER', 'SMALLINT', 'TINYINT') THEN 'Integer' "
              "WHEN data_type IN ('DOUBLE', 'FLOAT') OR data_type LIKE 'DECIMAL%' THEN 'Float' "
@@ -859,6 +906,9 @@ def oracle_sql() -> dict[str, str]:
         "remove_all_whitespace": _ev(_select_ev({"event_type": "regexp_replace(event_type, '\\s+', '', 'g')"})),
         "cleaning_plan": _ev(plan_body, plan_ctes),
         "cleaning_plan_lineitem": _lineitem_plan_sql(),
+        "crm_pipeline": _crm_sql(),
+        "all_issues_crm": O.issues_sql("crm"),
+        "quality_score_crm": O.score_sql("crm"),
         "history": _history_sql(),
         "undo_redo": _ev(_select_ev({"value": "coalesce(value, (SELECT median(value) FROM dirty_events))"})),
         "review_progress": O.with_view("dirty_events", (
