@@ -84,12 +84,23 @@ CRM = ("SELECT c_custkey * 2 AS rid, " + _CRM_COLUMNS
        + _CRM_COLUMNS
        + "\nWHERE c_custkey % 25 = 0")
 
+# The messy table the tool's README generates for a manual check: repeated names
+# in two spellings and with edge spaces, ages missing for a tenth of the rows,
+# cities in mixed case, a constant flag. One row per customer.
+README_MESSY = """SELECT c_custkey AS rid,
+       CASE c_custkey % 4 WHEN 0 THEN 'Alice' WHEN 1 THEN 'alice' WHEN 2 THEN 'Bob' ELSE ' Bob ' END AS Name,
+       CASE WHEN c_custkey % 10 = 9 THEN NULL ELSE 18 + (c_custkey * 7) % 42 END AS Age,
+       CASE c_custkey % 3 WHEN 0 THEN 'Mumbai' WHEN 1 THEN 'mumbai' ELSE 'Delhi' END AS City,
+       'X' AS Flag
+FROM customer"""
+
 VIEWS = {
     "dirty_events": DIRTY_EVENTS,
     "dirty_customer": DIRTY_CUSTOMER,
     "dirty_lineitem": DIRTY_LINEITEM,
     "responses": RESPONSES,
     "crm": CRM,
+    "readme_messy": README_MESSY,
 }
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",

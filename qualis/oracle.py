@@ -30,6 +30,7 @@ VIEW_COLUMNS: dict[str, list[tuple[str, str]]] = {
                        ("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax", "double"),
                        ("l_returnflag", "string"), ("l_linestatus", "string"),
                        ("l_shipdate", "timestamp")],
+    "readme_messy": [("Name", "string"), ("Age", "int"), ("City", "string"), ("Flag", "string")],
     "crm": [("CustomerID", "int"), ("CustomerID_Copy", "int"), ("Name", "string"), ("City", "string"),
             ("Age", "int"), ("Salary", "double"), ("Department", "string"), ("IsActive", "string"),
             ("JoinDate", "string"), ("Region", "string")],

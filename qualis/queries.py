@@ -392,6 +392,8 @@ def queries() -> dict[str, Query]:
         "cleaning_plan_lineitem": cleaning_plan_lineitem,
         "crm_pipeline": crm_pipeline,
         "all_issues_crm": _issues("crm"),
+        "all_issues_readme_messy": _issues("readme_messy"),
+        "quality_score_readme_messy": _score("readme_messy"),
         "quality_score_crm": _score("crm"),
         "history": history,
         "undo_redo": undo_redo,
@@ -908,6 +910,8 @@ def oracle_sql() -> dict[str, str]:
         "cleaning_plan_lineitem": _lineitem_plan_sql(),
         "crm_pipeline": _crm_sql(),
         "all_issues_crm": O.issues_sql("crm"),
+        "all_issues_readme_messy": O.issues_sql("readme_messy"),
+        "quality_score_readme_messy": O.score_sql("readme_messy"),
         "quality_score_crm": O.score_sql("crm"),
         "history": _history_sql(),
         "undo_redo": _ev(_select_ev({"value": "coalesce(value, (SELECT median(value) FROM dirty_events))"})),
