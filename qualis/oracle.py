@@ -95,7 +95,9 @@ def profiled(view: str) -> list[tuple[str, str]]:
     return [(c, k) for c, k in VIEW_COLUMNS[view] if k != "array"]
 
 
-def stats_ctes(view: str) -> list[tuple[str, str]]:
+def stats_ctes(view: str, head: int | None = None) -> list[tuple[str, str]]:
+    """Per-column metrics; with `head`, the case and mixed-type checks read only
+    the first `head` non-null values of each text column by `rid`."""
     cols = profiled(view)
     parts = ["count(*) AS n"]
     for i, (c, k) in enumerate(cols):
@@ -110,16 +112,23 @@ def stats_ctes(view: str) -> list[tuple[str, str]]:
         top = (f"(SELECT max(cnt) FROM (SELECT count(*) AS cnt FROM {view} "
                f"WHERE NOT {missing(c, k)} GROUP BY {c}))")
         if k == "string":
+            src = (f"(SELECT {c} AS v FROM {view} WHERE {c} IS NOT NULL ORDER BY rid LIMIT {head})"
+                   if head else f"(SELECT {c} AS v FROM {view} WHERE {c} IS NOT NULL)")
             case = (f"(SELECT coalesce(bool_or(mn <> mx), false) FROM (SELECT min(st) AS mn, max(st) AS mx "
-                    f"FROM (SELECT {strip(c)} AS st FROM {view} WHERE {c} IS NOT NULL) "
+                    f"FROM (SELECT {strip('v')} AS st FROM {src}) "
                     f"WHERE st <> '' GROUP BY lower(st)))")
-            ws, dig = f"s.w{i}", f"s.d{i}"
+            ws = f"s.w{i}"
+            if head:
+                dig = f"(SELECT count(*) FILTER (WHERE regexp_matches(v, '{NUM}')) FROM {src})"
+                sampled = f"(SELECT count(*) FROM {src})"
+            else:
+                dig, sampled = f"s.d{i}", f"s.n - s.m{i}"
         else:
-            case, ws, dig = "false", "false", "0"
+            case, ws, dig, sampled = "false", "false", "0", f"s.n - s.m{i}"
         numeric = "true" if k in ("int", "int4", "double") else "false"
         rows.append(f"SELECT {q(c)} AS col, {i} AS ord, {q(k)} AS kind, {numeric} AS numeric, "
                     f"s.n AS n, s.m{i} AS miss, s.u{i} AS uniq, {top} AS top, {ws} AS ws, "
-                    f"{dig} AS dig, s.n - s.m{i} AS nn, {case} AS casemix FROM s")
+                    f"{dig} AS dig, s.n - s.m{i} AS nn, {sampled} AS sampled, {case} AS casemix FROM s")
     ctes.append(("cs", "\nUNION ALL\n".join(rows)))
     distinct = ", ".join(c for c, _ in VIEW_COLUMNS[view])
     ctes.append(("dr", f"SELECT (SELECT count(*) FROM {view}) - "
@@ -197,7 +206,8 @@ def issue_selects(view: str) -> dict[str, list[str]]:
     out["mixed"] = [_issue(
         "mixed_dtypes", "wrong_dtypes", "Mixed Data Types", "'MEDIUM'", agg, f"count(*) / {k}",
         "'convert_to_numeric'", ["convert_to_string", "review_manually"], "mixed", 0,
-        "(SELECT * FROM cs WHERE kind = 'string' AND nn > 0 AND dig / nn > 0.1 AND dig / nn < 0.9)",
+        "(SELECT * FROM cs WHERE kind = 'string' AND sampled > 0 AND dig / sampled > 0.1 "
+        "AND dig / sampled < 0.9)",
         "count(*) > 0")]
     return out
 
@@ -207,17 +217,19 @@ ISSUE_OUT = ("CAST(row_number() OVER (ORDER BY sev_rank, det_rank, sub_rank) - 1
              "round(affected_ratio, 9) AS affected_ratio, recommended_method, alternative_methods")
 
 
-def issues_ctes(view: str, detectors: Sequence[str] | None = None) -> list[tuple[str, str]]:
+def issues_ctes(view: str, detectors: Sequence[str] | None = None, head: int | None = None
+                ) -> list[tuple[str, str]]:
     sel = issue_selects(view)
     chosen = [s for d in (detectors or list(DETECTOR_RANK)) for s in sel[d]]
-    return stats_ctes(view) + [("iss", "\nUNION ALL\n".join(chosen))]
+    return stats_ctes(view, head) + [("iss", "\nUNION ALL\n".join(chosen))]
 
 
-def issues_sql(view: str, detectors: Sequence[str] | None = None, where: str = "") -> str:
+def issues_sql(view: str, detectors: Sequence[str] | None = None, where: str = "",
+               head: int | None = None) -> str:
     body = f"SELECT {ISSUE_OUT} FROM iss"
     if where:
         body = f"SELECT * FROM ({body}) WHERE {where}"
-    return with_view(view, body, issues_ctes(view, detectors))
+    return with_view(view, body, issues_ctes(view, detectors, head))
 
 
 WEIGHTS = {"missing_values": 25.0, "duplicate_rows": 15.0, "duplicate_columns": 5.0,

@@ -44,6 +44,16 @@ def _issues(view: str, detector=None, issue_id: str | None = None) -> Query:
     return run
 
 
+def _issues_head(view: str, head: int) -> Query:
+    """All issues with the first-`head`-values rule for the case and mixed-type checks."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .config import QualityConfig
+        out = detect.detect_all(table(spark, sf_dir, view), order_by=ORDER,
+                                cfg=QualityConfig(head_rows=head))
+        return _issue_flat(out)
+    return run
+
+
 def _score(view: str) -> Query:
     def run(spark, sf_dir):
         iss = detect.detect_all(table(spark, sf_dir, view), order_by=_order(view))
@@ -392,6 +402,8 @@ def queries() -> dict[str, Query]:
         "cleaning_plan_lineitem": cleaning_plan_lineitem,
         "crm_pipeline": crm_pipeline,
         "all_issues_crm": _issues("crm"),
+        "all_issues_head500": _issues_head("dirty_events", 500),
+        "all_issues_customer_head500": _issues_head("dirty_customer", 500),
         "all_issues_readme_messy": _issues("readme_messy"),
         "quality_score_readme_messy": _score("readme_messy"),
         "quality_score_crm": _score("crm"),
@@ -910,6 +922,8 @@ def oracle_sql() -> dict[str, str]:
         "cleaning_plan_lineitem": _lineitem_plan_sql(),
         "crm_pipeline": _crm_sql(),
         "all_issues_crm": O.issues_sql("crm"),
+        "all_issues_head500": O.issues_sql("dirty_events", head=500),
+        "all_issues_customer_head500": O.issues_sql("dirty_customer", head=500),
         "all_issues_readme_messy": O.issues_sql("readme_messy"),
         "quality_score_readme_messy": O.score_sql("readme_messy"),
         "quality_score_crm": O.score_sql("crm"),
