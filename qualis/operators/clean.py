@@ -178,22 +178,41 @@ def frequency_encoding(df: DataFrame, columns: Sequence[str], order_by=None) ->
     return _join_shares(df, cols, map_jobs(lambda c: _share_table(df, c), cols))
 
 
-def _share_table(df: DataFrame, c: str) -> DataFrame:
+# Above the broadcast bound, values holding more than this share of the rows are
+# joined by broadcast (at most 1 / HOT_SHARE of them), the rest by a shuffle join.
+HOT_SHARE = 0.001
+
+
+def _share_table(df: DataFrame, c: str) -> tuple[DataFrame, bool]:
+    """(value -> share table, whether it is small enough to broadcast)."""
     dt = df.schema[c].dataType
     stats = df.agg(F.count_if(~is_missing(c, dt)).alias("n"),
                    F.approx_count_distinct(normalized(c, dt)).alias("d")).first()
     total = max(int(stats["n"]), 1)
     counts = (df.where(~is_missing(c, dt)).groupBy(normalized(c, dt).alias(f"_qk_{c}"))
               .agg((F.count(F.lit(1)) / F.lit(total)).alias(f"{c}_freq_enc")))
-    return F.broadcast(counts) if stats["d"] <= BROADCAST_DISTINCT else counts
+    return counts, stats["d"] <= BROADCAST_DISTINCT
 
 
-def _join_shares(df: DataFrame, cols: Sequence[str], tables: Sequence[DataFrame]) -> DataFrame:
+def _join_shares(df: DataFrame, cols: Sequence[str], tables: Sequence[tuple[DataFrame, bool]]
+                 ) -> DataFrame:
+    """Attach each column's value shares. A small share table is broadcast. A
+    large one is split: values over HOT_SHARE of the rows (a bounded set) join by
+    broadcast, so no hot value lands in one task of the shuffle join that takes
+    the rest."""
     types = _types(df)
     out = df
-    for c, counts in zip(cols, tables):
-        key = f"_qk_{c}"
-        out = out.withColumn(key, normalized(c, types[c])).join(counts, key, "left").drop(key)
+    for c, (counts, small) in zip(cols, tables):
+        key, share = f"_qk_{c}", f"{c}_freq_enc"
+        keyed = out.withColumn(key, normalized(c, types[c]))
+        if small:
+            out = keyed.join(F.broadcast(counts), key, "left").drop(key)
+            continue
+        hot = F.broadcast(counts.where(F.col(share) > HOT_SHARE))
+        cold = counts.where(F.col(share) <= HOT_SHARE)
+        hot_rows = keyed.join(hot, key, "inner")
+        cold_rows = keyed.join(hot, key, "left_anti").join(cold, key, "left")
+        out = hot_rows.unionByName(cold_rows).drop(key)
     return out.select(*df.columns, *[f"{c}_freq_enc" for c in cols])
 
 

@@ -139,3 +139,17 @@ def test_wide_dedup_prescreen_matches_grouping(spark):
     # no copies at all: the table comes back as it is
     uniq = base.where(F.col("id") % 3 != 0)
     assert repr(rows_of(fill.drop_duplicate_rows(uniq, "rid"), "rid")) == repr(rows_of(uniq, "rid"))
+
+
+def test_frequency_encoding_split_path_matches(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    df = spark.range(5000).select(
+        F.col("id").alias("rid"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 7 == 0, F.lit(None))
+        .otherwise(F.concat(F.lit("v"), (F.col("id") % 900).cast("string"))).alias("x"))
+    small = rows_of(clean.frequency_encoding(df, ["x"]), "rid")
+    monkeypatch.setattr(clean, "BROADCAST_DISTINCT", 0)  # force the hot / cold split
+    split = rows_of(clean.frequency_encoding(df, ["x"]), "rid")
+    assert split == small
+    # 1667 rows hold "hot"; 476 rows are null (multiples of 7 not of 3), so 4524 count
+    assert [r for r in split if r[1] == "hot"][0][2] == 1667 / 4524
