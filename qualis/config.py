@@ -49,6 +49,22 @@ NA_TOKENS = (
 )
 # CSV fallbacks: separators tried in this order.
 CSV_SEPARATORS = (",", ";", "\t", "|")
+# Issue kinds: id -> (category, title, alternative methods offered).
+ISSUE_KINDS: Mapping[str, tuple[str, str, tuple[str, ...]]] = MappingProxyType({
+    "missing_values": ("missing_values", "Missing Values",
+                       ("fill_mean", "fill_mode", "forward_fill", "backward_fill", "interpolate",
+                        "drop_rows", "drop_columns")),
+    "duplicate_rows": ("duplicate_rows", "Duplicate Rows", ("drop_duplicate_rows_keep_last",)),
+    "duplicate_columns": ("duplicate_columns", "Duplicate Columns", ()),
+    "constant_columns": ("constant_columns", "Constant Columns", ("keep_as_metadata",)),
+    "near_constant_columns": ("constant_columns", "Near-Constant Columns", ("drop_columns",)),
+    "high_cardinality": ("high_cardinality", "High Cardinality Columns",
+                         ("drop_columns", "keep_as_identifier")),
+    "whitespace_issues": ("invalid_values", "Whitespace Issues", ("remove_all_whitespace",)),
+    "inconsistent_capitalization": ("invalid_values", "Inconsistent Capitalization",
+                                    ("lower_case", "upper_case")),
+    "mixed_dtypes": ("wrong_dtypes", "Mixed Data Types", ("convert_to_string", "review_manually")),
+})
 # --- End of fixed values. ---
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import DEFAULT_CONFIG, SEVERITY_ORDER, QualityConfig
 from ..functions.missing import is_missing
 from ..functions.types import is_numeric_like, is_string
-from ..schema import ISSUE_SCHEMA, issue
+from ..schema import ISSUE_SCHEMA, kind_issue
 from .stats import TableStats, profiled_columns
 
 log = logging.getLogger(__name__)
@@ -35,14 +35,11 @@ def detect_missing_values(st: TableStats) -> list:
     worst = max(c.n_missing for c in hit) / n
     severity = "HIGH" if worst >= t.missing_high else "MEDIUM" if worst >= t.missing_medium else "LOW"
     numeric = any(is_numeric_like(c.dtype) for c in hit)
-    return [issue(
-        "missing_values", "missing_values", "Missing Values", severity,
-        [c.name for c in hit], ratio,
+    return [kind_issue(
+        "missing_values", severity, [c.name for c in hit], ratio,
         f"{len(hit)} column(s) have missing values; the worst is {worst * 100:.1f}% empty.",
         "Fill numbers with the median and text with the most frequent value.",
         "fill_median" if numeric else "fill_mode",
-        ["fill_mean", "fill_mode", "forward_fill", "backward_fill", "interpolate",
-         "drop_rows", "drop_columns"],
         per_column_pct={c.name: round(c.n_missing / n * 100, 2) for c in hit},
     )]
 
@@ -56,11 +53,11 @@ def detect_duplicate_rows(st: TableStats) -> list:
         return []
     ratio = dup / n
     severity = "HIGH" if ratio > t.dup_rows_high else "MEDIUM" if ratio > t.dup_rows_medium else "LOW"
-    return [issue(
-        "duplicate_rows", "duplicate_rows", "Duplicate Rows", severity, [], ratio,
+    return [kind_issue(
+        "duplicate_rows", severity, [], ratio,
         f"{dup} row(s) repeat an earlier row exactly ({ratio * 100:.1f}% of the table).",
         "Remove repeated rows and keep the first of each.",
-        "drop_duplicate_rows", ["drop_duplicate_rows_keep_last"], duplicate_count=dup,
+        "drop_duplicate_rows", duplicate_count=dup,
     )]
 
 
@@ -70,13 +67,13 @@ def detect_duplicate_columns(st: TableStats) -> list:
         return []
     redundant = [c for g in groups for c in g[1:]]
     ratio = len(redundant) / max(st.n_cols, 1)
-    return [issue(
-        "duplicate_columns", "duplicate_columns", "Duplicate Columns",
-        "MEDIUM" if ratio > st.cfg.thresholds.dup_cols_medium else "LOW", redundant, ratio,
+    return [kind_issue(
+        "duplicate_columns", "MEDIUM" if ratio > st.cfg.thresholds.dup_cols_medium else "LOW",
+        redundant, ratio,
         f"{len(groups)} group(s) of identical columns: "
         + "; ".join(" = ".join(g) for g in groups) + ".",
         "Drop the copies and keep one column of each group.",
-        "drop_duplicate_columns", [], groups=groups,
+        "drop_duplicate_columns", groups=groups,
     )]
 
 
@@ -92,20 +89,16 @@ def detect_constant_columns(st: TableStats) -> list:
             near.append(c)
     out = []
     if constant:
-        out.append(issue(
-            "constant_columns", "constant_columns", "Constant Columns", "LOW", constant,
-            len(constant) / st.n_cols,
+        out.append(kind_issue(
+            "constant_columns", "LOW", constant, len(constant) / st.n_cols,
             f"{len(constant)} column(s) hold a single value or none: {', '.join(constant)}.",
-            "Drop these columns; they carry no information.",
-            "drop_columns", ["keep_as_metadata"]))
+            "Drop these columns; they carry no information.", "drop_columns"))
     if near:
-        out.append(issue(
-            "near_constant_columns", "constant_columns", "Near-Constant Columns", "LOW", near,
-            len(near) / st.n_cols,
+        out.append(kind_issue(
+            "near_constant_columns", "LOW", near, len(near) / st.n_cols,
             f"{len(near)} column(s) have one value in 99% or more of the non-empty rows: "
             f"{', '.join(near)}.",
-            "Review: drop, or keep if the rare value matters.",
-            "review_manually", ["drop_columns"]))
+            "Review: drop, or keep if the rare value matters.", "review_manually"))
     return out
 
 
@@ -117,13 +110,12 @@ def detect_high_cardinality(st: TableStats) -> list:
            and st.unique_stats(c)[0] / st.n_rows >= t.high_cardinality_ratio]
     if not hit:
         return []
-    return [issue(
-        "high_cardinality", "high_cardinality", "High Cardinality Columns", "LOW", hit,
-        len(hit) / st.n_cols,
+    return [kind_issue(
+        "high_cardinality", "LOW", hit, len(hit) / st.n_cols,
         f"{len(hit)} non-numeric column(s) have nearly one distinct value per row: "
         f"{', '.join(hit)}.",
         "Do not one-hot encode; use frequency encoding or treat as an identifier.",
-        "frequency_encoding", ["drop_columns", "keep_as_identifier"])]
+        "frequency_encoding")]
 
 
 def _text_columns(st: TableStats) -> list[str]:
@@ -134,25 +126,21 @@ def detect_whitespace_issues(st: TableStats) -> list:
     hit = [c for c in _text_columns(st) if st.column(c).ws_issue]
     if not hit:
         return []
-    return [issue(
-        "whitespace_issues", "invalid_values", "Whitespace Issues", "LOW", hit,
-        len(hit) / max(st.n_cols, 1),
+    return [kind_issue(
+        "whitespace_issues", "LOW", hit, len(hit) / max(st.n_cols, 1),
         f"{len(hit)} text column(s) have leading, trailing or repeated whitespace: "
         f"{', '.join(hit)}.",
-        "Trim the ends and collapse repeated inner whitespace.",
-        "trim_spaces", ["remove_all_whitespace"])]
+        "Trim the ends and collapse repeated inner whitespace.", "trim_spaces")]
 
 
 def detect_inconsistent_capitalization(st: TableStats) -> list:
     hit = [c for c in _text_columns(st) if st.case_mixed(c)]
     if not hit:
         return []
-    return [issue(
-        "inconsistent_capitalization", "invalid_values", "Inconsistent Capitalization", "LOW",
-        hit, len(hit) / max(st.n_cols, 1),
+    return [kind_issue(
+        "inconsistent_capitalization", "LOW", hit, len(hit) / max(st.n_cols, 1),
         f"{len(hit)} column(s) spell the same value with different case: {', '.join(hit)}.",
-        "Standardise the case (title, lower or upper).",
-        "title_case", ["lower_case", "upper_case"])]
+        "Standardise the case (title, lower or upper).", "title_case")]
 
 
 def detect_mixed_dtypes(st: TableStats) -> list:
@@ -164,12 +152,10 @@ def detect_mixed_dtypes(st: TableStats) -> list:
             hit.append(c)
     if not hit:
         return []
-    return [issue(
-        "mixed_dtypes", "wrong_dtypes", "Mixed Data Types", "MEDIUM", hit,
-        len(hit) / max(st.n_cols, 1),
+    return [kind_issue(
+        "mixed_dtypes", "MEDIUM", hit, len(hit) / max(st.n_cols, 1),
         f"{len(hit)} text column(s) mix numbers with words: {', '.join(hit)}.",
-        "Convert to numbers; entries that are not numbers become missing.",
-        "convert_to_numeric", ["convert_to_string", "review_manually"])]
+        "Convert to numbers; entries that are not numbers become missing.", "convert_to_numeric")]
 
 
 DETECTORS: list[Detector] = [

@@ -34,6 +34,15 @@ HISTORY_SCHEMA = T.StructType([
 ])
 
 
+def kind_issue(issue_id: str, severity: str, affected_columns: list, affected_ratio: float,
+               description: str, recommendation: str, recommended_method: str, **extra) -> dict:
+    """An issue of one of the fixed kinds (category, title and alternatives from config)."""
+    from .config import ISSUE_KINDS
+    category, title, alternatives = ISSUE_KINDS[issue_id]
+    return issue(issue_id, category, title, severity, affected_columns, affected_ratio,
+                 description, recommendation, recommended_method, list(alternatives), **extra)
+
+
 def issue(issue_id: str, category: str, title: str, severity: str, affected_columns: list,
           affected_ratio: float, description: str, recommendation: str,
           recommended_method: str, alternative_methods: list, *, per_column_pct=None,
