@@ -2,7 +2,8 @@
 
 * separator: the candidate (`, ; tab |`) that splits the header into the most
   fields, ties in that order; encoding: UTF-8 unless a sample of lines holds
-  undecodable bytes, then ISO-8859-1 (which decodes any byte);
+  undecodable bytes, then ISO-8859-1 (which decodes any byte); windows-1252
+  when asked for;
 * every field is read as text. Empty fields are kept as '' (not null), so a row
   with more fields than the header is recognised exactly by a filled `_extra`
   column and skipped; short rows are padded with nulls;
@@ -121,6 +122,10 @@ def load_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: s
     found_sep, found_enc, fields = sniff(lines)
     sep = sep or found_sep
     encoding = encoding or found_enc
+    if encoding.lower().replace("-", "") in ("cp1252", "windows1252"):
+        # asked for explicitly: Spark reads this charset only with the legacy set enabled
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        encoding = "windows-1252"
     if sep != found_sep:
         fields = next(_csv.reader(io.StringIO(lines[0].lstrip("﻿")), delimiter=sep))
     names = clean_names(fields)

@@ -100,3 +100,12 @@ def test_streaming_steps_and_metrics(spark):
            for r in spark.table("qualis_missing").collect()}
     assert got[("2024-01-01 00:00:00", "s")] == (2, 1)
     assert got[("2024-01-01 00:00:00", "e")] == (2, 0)
+
+
+def test_csv_windows_1252_when_asked(spark):
+    folder = tempfile.mkdtemp(prefix="qualis-csv-")
+    path = os.path.join(folder, "w.csv")
+    with open(path, "wb") as fh:
+        fh.write(b"item,price\nmug,\x805\n")
+    df = load_csv(spark, path, encoding="cp1252")
+    assert df.first()["price"] == "€5"
