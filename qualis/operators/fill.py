@@ -21,23 +21,35 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..config import DEFAULT_CONFIG
 from ..functions.missing import normalized
 from ..functions.types import is_number
 
 
+def _key_number(df: DataFrame, order_by: str) -> Column:
+    """The order key as a number that keeps its order (dates and timestamps as
+    epoch days / microseconds); used only to cut blocks."""
+    dt = df.schema[order_by].dataType
+    c = F.col(order_by)
+    if isinstance(dt, T.DateType):
+        return F.unix_date(c).cast("long")
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp"))
+    return c
+
+
 def _block(df: DataFrame, order_by: str, block_rows: int) -> Column:
     """Block id with about `block_rows` rows per block: the key range is cut in
     equal widths sized from one aggregate (min, max, count) of the order key."""
-    row = df.agg(F.min(order_by).alias("lo"), F.max(order_by).alias("hi"),
-                 F.count(order_by).alias("n")).first()
+    k = _key_number(df, order_by)
+    row = df.agg(F.min(k).alias("lo"), F.max(k).alias("hi"), F.count(k).alias("n")).first()
     if not row["n"]:
         return F.lit(0).cast("long")
     lo, hi, n = int(row["lo"]), int(row["hi"]), int(row["n"])
     width = max(1, ((hi - lo + 1) * block_rows) // n)
-    return F.floor((F.col(order_by) - F.lit(lo)) / F.lit(width)).cast("long")
+    return F.floor((k - F.lit(lo)) / F.lit(width)).cast("long")
 
 
 def _running(spec, key: Column, forward: bool, exclusive: bool = False):

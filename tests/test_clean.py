@@ -153,3 +153,18 @@ def test_frequency_encoding_split_path_matches(spark, monkeypatch):
     assert split == small
     # 1667 rows hold "hot"; 476 rows are null (multiples of 7 not of 3), so 4524 count
     assert [r for r in split if r[1] == "hot"][0][2] == 1667 / 4524
+
+
+def test_fills_ordered_by_timestamp(spark):
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(t0 + dt.timedelta(minutes=7 * i), v) for i, v in enumerate(GAPPY)]
+    for kind in ("timestamp", "timestamp_ntz", "date"):
+        df = spark.createDataFrame(rows, "t timestamp, x double").selectExpr(f"cast(t as {kind}) t", "x")
+        if kind == "date":  # one row per day
+            df = spark.createDataFrame([(t0.date() + dt.timedelta(days=i), v) for i, v in enumerate(GAPPY)],
+                                       "t date, x double")
+        got = [r[0] for r in fill.forward_fill(df, ["x"], "t", 2).orderBy("t").select("x").collect()]
+        assert got == [None, 1.0, 1.0, 1.0, 4.0, 4.0], kind
+        got = [r[0] for r in fill.interpolate(df, ["x"], "t", 2).orderBy("t").select("x").collect()]
+        assert got == [1.0, 1.0, 2.0, 3.0, 4.0, 4.0], kind
