@@ -38,3 +38,13 @@ def test_header_only_csv(spark):
         fh.write("a,b\n")
     df = load_csv(spark, path)
     assert df.columns == ["a", "b"] and df.count() == 0
+
+
+def test_nested_columns_pass_through(spark):
+    df = spark.createDataFrame(
+        [(1, {"a": 1}, [1.0, 2.0], "x"), (1, {"a": 1}, [1.0, 2.0], "x"), (2, {"b": 2}, None, None)],
+        "k int, m map<string,int>, v array<double>, s string")
+    got = {r["issue_id"]: r for r in detect.detect_all(df).collect()}
+    assert got["duplicate_rows"]["duplicate_count"] == 1   # rows compared without the map
+    assert got["missing_values"]["affected_columns"] == ["s"]  # nested columns are not profiled
+    assert profile.dataset_meta(df).first()["n_cols"] == 4
