@@ -1,16 +1,15 @@
 """Session set-up for tests and the bench.
 
 On a cluster the session comes from the caller; nothing here overrides settings
-that are already present. The checkpoint folder is read from
-`spark.checkpoint.dir`; a local one is set only when none is configured.
+that are already present.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -34,7 +33,9 @@ def local_session(cores: int | str = "*", app: str = "qualis", **conf) -> SparkS
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a temp one only when the session names none."""
+    """The checkpoint folder: `spark.checkpoint.dir` where set. Where it is unset, a
+    local session gets a temporary folder (driver and tasks are one machine); on a
+    cluster there is no folder all executors share, so this raises."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
@@ -42,6 +43,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    path = tempfile.mkdtemp(prefix="qualis-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(path)
+    if not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder shared by the driver and the executors")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="qualis-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written once, as a table in the checkpoint folder, and read back:
+    later jobs start from stored data, also after an executor is lost."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
