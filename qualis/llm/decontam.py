@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .text import folded_words, in_slices, ref, texts
+from .text import folded_words, in_slices, map_whole, ref, texts
 
 WINDOW = 10
 MAX_BYTES = 16 << 20
@@ -172,7 +172,7 @@ def clean_documents(docs: DataFrame, bench: DataFrame, text_col: str = "text", i
     """The documents that no window occurs in, with all their columns."""
     at = docs.columns.index(text_col)
     for patterns in _parts(bench, item_col, item_text_col, max_bytes, window):
-        docs = docs.mapInArrow(in_slices(_filter(patterns, uuid.uuid4().hex, at), at), docs.schema)
+        docs = map_whole(docs, in_slices(_filter(patterns, uuid.uuid4().hex, at), at))
     return docs
 
 

@@ -4,11 +4,11 @@ A page is cut into words and tags. Words score positive and tags negative, and t
 contiguous run of tokens with the greatest sum is the content region; one linear scan
 finds it. The weights are learned from labelled pages: pages that mark their article
 with an <article> element. A word scores 1; a tag scores minus the price learned for its
-kind, log-odds of standing outside the article, at least 0.1 and at most MAX_PRICE.
+kind, log-odds of standing outside the article, between MIN_PRICE and MAX_PRICE.
 
 Elements that never hold article text (scripts, styles, menus, forms, ...; see SKIPPED) are
-one token with the price of their tag and no words, so the run may span one inside the
-article without taking its text. In the region, block tags end a block; character references
+one cheap token without words, so the run may span one inside the article without taking
+its text. In the region, block tags end a block; character references
 are decoded, white space is collapsed, and blocks are joined by a line feed.
 
 The fit reads a bounded sample: the SAMPLE labelled pages with the smallest hash of the id
@@ -33,6 +33,7 @@ from .text import in_slices, ref, texts
 
 SAMPLE = 2000
 MAX_PRICE = 12.0
+MIN_PRICE = 0.1
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 # --- Fixed values: HTML element names and common class names. ---
@@ -176,8 +177,9 @@ def fit_prices(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
         for r in counted.groupBy("kind", "inside").agg(F.sum("n").alias("n")).collect():  # 12 rows
             n[r.kind][0 if r.inside else 1] += r.n
     totals = [sum(v[i] for v in n.values()) for i in (0, 1)]
-    return {k: min(MAX_PRICE, max(0.1, 4 * math.log((out + 0.5) / totals[1] * totals[0] / (inside + 0.5))))
-            for k, (inside, out) in n.items()}
+    prices = {k: min(MAX_PRICE, max(MIN_PRICE, 4 * math.log((out + 0.5) / totals[1] * totals[0] / (inside + 0.5))))
+              for k, (inside, out) in n.items()}
+    return {**prices, "skipped": MIN_PRICE}
 
 
 def main_texts(pages: DataFrame, prices: dict[str, float], id_col: str = "page_id", url_col: str = "url",

@@ -16,7 +16,7 @@ broadcast and scored where the document lies; only rarer ones are shuffled and j
 and no key of that join has more than that share of the rows.
 
 Defined cases: a null or empty text has no words; fewer than two words have no bigram
-and a null score; rows of equal id and text count as one document; an empty table gives
+and a null score; repeated rows are documents each, with equal scores; an empty table gives
 no rows; other columns are not read.
 """
 
@@ -116,7 +116,7 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     log = F.when(others > 0, F.ln(others / F.col("cu"))).otherwise(F.ln(BACKOFF * F.col("cv") / max(total, 1)))
     sums = (joined.select("rk", F.when(F.col("gram") < 0, F.col("part")).otherwise(F.col("own") * log).alias("s"), "size")
             .groupBy("rk").agg(F.sum("s").alias("s"), F.sum("size").alias("m")))
-    # rows of equal id and text were summed together: the mean is over all their bigrams
+    # rows of equal id and text are summed together: the mean is over all their bigrams
     n_words = F.coalesce(F.regexp_count(ref(text_col), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0))
     out = docs.select(ref(id_col).cast("long").alias(id_col), n_words.cast("long").alias("n_words"),
                       F.xxhash64(ref(id_col).cast("long"), ref(text_col)).alias("rk"))

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .text import in_slices, ref, space_words, texts
+from .text import in_slices, map_whole, ref, space_words, texts
 
 MIN_REPEAT = 12        # words; shorter repeats are not counted as repetition
 MAX_COVERED = 0.40     # of the words
@@ -156,4 +156,4 @@ def keep_unrepetitive(docs: DataFrame, text_col: str = "text", **limits: float)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(measure(texts(batch.column(at)), **limits)["kept"]))
-    return docs.mapInArrow(in_slices(run, at), docs.schema)
+    return map_whole(docs, in_slices(run, at))

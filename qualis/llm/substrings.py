@@ -219,9 +219,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         columns[docs_at] = pa.array(values, columns[docs_at].type)
         if chars is not None:
             columns[chars_at] = pa.array(chars, columns[chars_at].type)
-        return pa.RecordBatch.from_arrays(columns, docs_names)
-    docs_at, docs_names = docs.columns.index(text_col), docs.columns
-    return _covered(docs, id_col, text_col, window).mapInArrow(in_slices(run, "text"), docs.schema)
+        return pa.RecordBatch.from_arrays(columns, names)
+    docs_at = docs.columns.index(text_col)
+    return (_covered(docs, id_col, text_col, window)
+            .mapInArrow(in_slices(run, "text"), docs.toDF(*names).schema).toDF(*docs.columns))
 
 
 def longest_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

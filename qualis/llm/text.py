@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # after A-Z became a-z
 SLICE_BYTES = 4 << 20
@@ -68,6 +68,13 @@ def in_slices(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str
     return run
 
 
+def map_whole(df: DataFrame, fn) -> DataFrame:
+    """`mapInArrow` with all columns in and out, by position: it resolves column names
+    unquoted, so they are plain (c0, c1, ...) meanwhile."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(fn, plain.schema).toDF(*df.columns)
+
+
 class WordHashes(dict):
     """xxHash64 of words, remembered for words seen by this Python worker."""
 
