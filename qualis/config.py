@@ -83,13 +83,7 @@ class Thresholds:
     id_unique_ratio: float = 0.9
     date_like_share: float = 0.8
     date_sample_rows: int = 30
-    # Not read by any parity detector; used by the optional extensions.
     outlier_iqr_multiplier: float = 1.5
-    outlier_zscore: float = 3.0
-    rare_category_threshold: float = 0.01
-    high_correlation: float = 0.90
-    skew_threshold: float = 1.0
-    low_cardinality_max: int = 2
 
 
 @dataclass(frozen=True)
@@ -105,14 +99,3 @@ class QualityConfig:
 
 
 DEFAULT_CONFIG = QualityConfig()
-
-
-def weight_for(category: str, cfg: QualityConfig = DEFAULT_CONFIG) -> float:
-    return float(cfg.weights.get(category, cfg.default_weight))
-
-
-def label_for(score: float) -> str:
-    for threshold, label in QUALITY_LABELS:
-        if score >= threshold:
-            return label
-    return "Poor"

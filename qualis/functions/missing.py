@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F, types as T
 
+from .columns import col_ref
 from .types import is_floating
 
 
 def is_missing(name: str, dt: T.DataType) -> Column:
-    c = F.col(name)
+    c = col_ref(name)
     if is_floating(dt):
         return c.isNull() | F.isnan(c)
     return c.isNull()
@@ -16,13 +17,7 @@ def is_missing(name: str, dt: T.DataType) -> Column:
 
 def normalized(name: str, dt: T.DataType) -> Column:
     """NaN -> null and -0.0 -> 0.0, so equal values compare, hash and print alike."""
-    c = F.col(name)
+    c = col_ref(name)
     if is_floating(dt):
         return F.when(F.isnan(c), F.lit(None).cast(dt)).when(c == 0, F.lit(0).cast(dt)).otherwise(c)
     return c
-
-
-def as_text(name: str, dt: T.DataType) -> Column:
-    """Value as a string, after NaN/-0.0 normalization; null stays null."""
-    c = normalized(name, dt)
-    return c if isinstance(dt, T.StringType) else c.cast("string")

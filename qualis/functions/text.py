@@ -13,7 +13,8 @@ WHITESPACE_ISSUE = r"(?U)^\s+|\s+$|\s{2,}"
 NUMERIC_LIKE = r"(?U)^-?\d+(\.\d+)?$"
 # --- End of fixed values. ---
 
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+# Linear: a run of whitespace is tried from its first character only.
+_EDGE_SPACE = r"(?U)^\s++|(?<!\s)\s++$"
 _SPACE_RUN = r"(?U)\s{2,}"
 _ANY_SPACE = r"(?U)\s+"
 # A run of cased letters, or a run of anything else (title-casing unit).

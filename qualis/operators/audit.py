@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import BOOLEAN_VOCABULARIES
 from ..functions import text as tx
+from ..functions.columns import col_ref
 from ..functions.types import is_string
 from ..functions.validators import RULES, boolean_words
-from .vf import value_frequencies
+from .vf import stacked_values
 
 
 def audit_values(df: DataFrame, rules: Mapping[str, str | Sequence[str]]) -> DataFrame:
@@ -25,8 +26,8 @@ def audit_values(df: DataFrame, rules: Mapping[str, str | Sequence[str]]) -> Dat
             pairs.append((col, r))
     aggs = []
     for i, (col, r) in enumerate(pairs):
-        ok = RULES[r](F.col(col))
-        aggs += [F.count(F.col(col)).alias(f"n{i}"), F.count_if(ok).alias(f"v{i}")]
+        ok = RULES[r](col_ref(col))
+        aggs += [F.count(col_ref(col)).alias(f"n{i}"), F.count_if(ok).alias(f"v{i}")]
     row = df.agg(*aggs)
     long = row.select(F.explode(F.array(*[
         F.struct(F.lit(col).alias("column"), F.lit(r).alias("rule"),
@@ -41,35 +42,30 @@ def audit_values(df: DataFrame, rules: Mapping[str, str | Sequence[str]]) -> Dat
 def boolean_like_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """column, n_distinct, values, boolean_like for text columns whose distinct
     stripped, lower-cased, non-blank values number at most 4 and all belong to one
-    known two-value vocabulary. No set of a column's values is ever collected:
-    only values from the fixed vocabularies are gathered. A column holding a
-    value longer than any vocabulary word is ruled out from its lengths alone;
-    its n_distinct and values are null."""
+    known two-value vocabulary. Every column has a row; without such values n_distinct
+    is 0. No set of a column's values is ever collected: only values from the fixed
+    vocabularies are gathered, and values longer than any of those are grouped by a
+    128-bit hash, so long texts are not shuffled."""
     cols = list(columns) if columns is not None else [
         f.name for f in df.schema.fields if is_string(f.dataType)]
-    words = boolean_words()
-    # A column holding a stripped value longer than the longest vocabulary word
-    # cannot qualify: one pass settles those, so long texts are never grouped.
-    longest = max(len(w) for w in words)
-    lengths = df.agg(*[F.max(F.length(tx.strip(F.col(c)))).alias(f"m{i}") for i, c in enumerate(cols)]
-                     ).first() if cols else None
-    short = [c for i, c in enumerate(cols) if (lengths[f"m{i}"] or 0) <= longest]
-    if short != cols:
-        return _boolean_like(df, short, words).unionByName(_not_boolean_like(df, [c for c in cols if c not in short]))
-    return _boolean_like(df, cols, words)
-
-
-def _not_boolean_like(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Columns ruled out by value length: their distinct count is not needed."""
-    return df.sparkSession.createDataFrame(
-        [(c, None, None, False) for c in cols],
-        "column string, n_distinct bigint, values array<string>, boolean_like boolean")
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    found = names.join(_boolean_like(df, cols, boolean_words()), "column", "left") if cols else None
+    if found is None:
+        return df.sparkSession.createDataFrame(
+            [], "column string, n_distinct bigint, values array<string>, boolean_like boolean")
+    none = F.col("n_distinct").isNull()
+    return found.select("column", F.coalesce("n_distinct", F.lit(0)).cast("bigint").alias("n_distinct"),
+                        F.when(none, F.array().cast("array<string>")).otherwise(F.col("values")).alias("values"),
+                        F.coalesce("boolean_like", F.lit(False)).alias("boolean_like"))
 
 
 def _boolean_like(df: DataFrame, cols: Sequence[str], words: list[str]) -> DataFrame:
-    vf = value_frequencies(df, cols)
-    low = (vf.select("column", F.lower(tx.strip(F.col("value"))).alias("l"))
-           .where(F.col("l") != "").distinct())
+    v = F.lower(tx.strip(F.col("value")))
+    longest = max(map(len, words))
+    low = (stacked_values(df, cols).select("column", v.alias("l")).where(F.col("l") != "")
+           .select("column", F.when(F.length("l") <= longest, F.col("l")).otherwise(
+               F.concat(F.hex(F.xxhash64("l")), F.hex(F.xxhash64(F.lit(1), "l")), F.lit(" " * longest))).alias("l"))
+           .distinct())
     l = F.col("l")
     per_vocab = [F.bool_and(l.isin(*pair)).alias(f"v{i}") for i, pair in enumerate(BOOLEAN_VOCABULARIES)]
     agg = low.groupBy("column").agg(
@@ -96,25 +92,27 @@ def clean_json_text(c):
 
 
 def is_single_json(s):
-    """True when `s` is exactly one JSON value. The parser alone stops after the
-    first value and ignores what follows, so the text is also parsed inside
-    `[...]`, which must give an array of one element."""
-    wrapped = F.try_parse_json(F.concat(F.lit("["), s, F.lit("]")))
-    return F.coalesce(F.size(F.try_variant_get(wrapped, "$", "array<variant>")) == 1, F.lit(False))
+    """True when `s` is exactly one JSON value. The parser stops after the first value
+    and ignores what follows, so the text is parsed inside `[...]`, which must give an
+    array of one element, and inside `{"v":...}`: no character after a value closes both."""
+    in_array = F.try_parse_json(F.concat(F.lit("["), s, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), s, F.lit("}")))
+    one = F.size(F.try_variant_get(in_array, "$", "array<variant>")) == 1
+    return F.coalesce(one & in_object.isNotNull(), F.lit(False))
 
 
 def parse_json_responses(df: DataFrame, column: str, keep: Sequence[str] = ()) -> DataFrame:
     """keep..., cleaned, is_valid, parsed (VARIANT): each reply as JSON, null when invalid.
     Standard JSON only: the bare words NaN and Infinity are invalid."""
-    cleaned = clean_json_text(F.col(column))
+    cleaned = clean_json_text(col_ref(column))
     ok = is_single_json(cleaned)
-    return df.select(*keep, cleaned.alias("cleaned"), ok.alias("is_valid"),
+    return df.select(*map(col_ref, keep), cleaned.alias("cleaned"), ok.alias("is_valid"),
                      F.when(ok, F.try_parse_json(cleaned)).alias("parsed"))
 
 
 def json_response_summary(df: DataFrame, column: str) -> DataFrame:
     """n, n_valid, n_invalid, invalid_ratio over a column of replies."""
-    p = parse_json_responses(df.where(F.col(column).isNotNull()), column)
+    p = parse_json_responses(df.where(col_ref(column).isNotNull()), column)
     return p.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_valid").alias("n_valid")).select(
         "n", "n_valid", (F.col("n") - F.col("n_valid")).alias("n_invalid"),
         F.try_divide(F.col("n") - F.col("n_valid"), F.col("n")).alias("invalid_ratio"))

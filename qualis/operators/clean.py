@@ -14,6 +14,7 @@ from typing import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
+from ..functions.columns import col_ref
 from ..functions.missing import is_missing, normalized
 from ..functions.numeric import to_double
 from ..functions.types import is_floating, is_number, is_string
@@ -31,7 +32,7 @@ def _types(df: DataFrame) -> dict:
 
 
 def _replace(df: DataFrame, new: dict[str, Column]) -> DataFrame:
-    return df.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
+    return df.select(*[new[c].alias(c) if c in new else col_ref(c) for c in df.columns])
 
 
 def _fill_with(df: DataFrame, values: dict[str, object], as_double: bool) -> DataFrame:
@@ -107,7 +108,10 @@ def _need_order(order_by):
 
 def drop_rows(df: DataFrame, columns: Sequence[str], order_by=None) -> DataFrame:
     """Drop rows with a null (or NaN) in any of the columns."""
-    return df.na.drop(how="any", subset=list(columns)) if columns else df
+    types = _types(df)
+    for c in columns:
+        df = df.where(~is_missing(c, types[c]))
+    return df
 
 
 def drop_columns(df: DataFrame, columns: Sequence[str], order_by=None) -> DataFrame:
@@ -133,7 +137,7 @@ def _text_step(fn: Callable[[Column], Column]):
         types = _types(df)
         new = {}
         for c in columns:
-            s = F.col(c) if is_string(types[c]) else normalized(c, types[c]).cast("string")
+            s = col_ref(c) if is_string(types[c]) else normalized(c, types[c]).cast("string")
             new[c] = F.when(s.isNull(), F.lit(None).cast("string")).otherwise(fn(s))
         return _replace(df, new)
     step.__doc__ = fn.__doc__
@@ -150,7 +154,7 @@ remove_all_whitespace = _text_step(tx.remove_all_whitespace)
 def convert_to_numeric(df: DataFrame, columns: Sequence[str], order_by=None) -> DataFrame:
     """Text that reads as a number becomes double; anything else becomes null."""
     types = _types(df)
-    new = {c: (normalized(c, types[c]).cast("double") if is_number(types[c]) else to_double(F.col(c)))
+    new = {c: (normalized(c, types[c]).cast("double") if is_number(types[c]) else to_double(col_ref(c)))
            for c in columns}
     return _replace(df, new)
 
@@ -161,7 +165,7 @@ def convert_to_string(df: DataFrame, columns: Sequence[str], order_by=None,
     types = _types(df)
     new = {}
     for c in columns:
-        s = normalized(c, types[c]).cast("string") if is_floating(types[c]) else F.col(c).cast("string")
+        s = normalized(c, types[c]).cast("string") if is_floating(types[c]) else col_ref(c).cast("string")
         new[c] = s if null_text is None else F.coalesce(s, F.lit(null_text))
     return _replace(df, new)
 
@@ -256,30 +260,12 @@ METHODS: dict[str, Method] = {
     "keep_as_identifier": keep_as_identifier,
 }
 
-LABELS: dict[str, str] = {
-    "fill_median": "Fill with median",
-    "fill_mean": "Fill with mean",
-    "fill_mode": "Fill with most frequent value",
-    "forward_fill": "Forward fill",
-    "backward_fill": "Backward fill",
-    "interpolate": "Interpolate",
-    "drop_rows": "Drop rows with missing values",
-    "drop_columns": "Drop columns",
-    "drop_duplicate_rows": "Remove duplicate rows (keep first)",
-    "drop_duplicate_rows_keep_last": "Remove duplicate rows (keep last)",
-    "drop_duplicate_columns": "Drop duplicate columns",
-    "trim_spaces": "Trim whitespace",
-    "lower_case": "Lower case",
-    "upper_case": "Upper case",
-    "title_case": "Title case",
-    "convert_to_numeric": "Convert to number",
-    "convert_to_string": "Convert to text",
-    "frequency_encoding": "Frequency encoding",
-    "review_manually": "Mark as reviewed",
-    "keep_as_metadata": "Keep as is",
-    "remove_all_whitespace": "Remove all whitespace",
-    "keep_as_identifier": "Keep as identifier",
-}
+def label_of(method: str) -> str:
+    """A method's display label, from its key."""
+    return method.replace("_", " ").capitalize()
+
+
+LABELS: dict[str, str] = {m: label_of(m) for m in METHODS}
 
 # Methods that read only the row they change: safe on a streaming DataFrame.
 ROW_LOCAL = frozenset({
@@ -291,7 +277,7 @@ ROW_LOCAL = frozenset({
 
 def register_method(name: str, fn: Method, label: str | None = None) -> None:
     METHODS[name] = fn
-    LABELS[name] = label or name
+    LABELS[name] = label or label_of(name)
 
 
 Transform = Callable[[DataFrame], DataFrame]

@@ -13,6 +13,7 @@ from typing import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import DEFAULT_CONFIG, SEVERITY_ORDER, QualityConfig
+from ..functions.columns import quoted
 from ..functions.missing import is_missing
 from ..functions.types import is_numeric_like, is_string
 from ..schema import ISSUE_SCHEMA, kind_issue
@@ -191,15 +192,28 @@ def run_detectors(st: TableStats, detectors: Sequence[Detector] | None = None) -
     return found
 
 
+class DetectorsFailed(RuntimeError):
+    """Names of the detectors that failed; see the log for the reasons."""
+
+    def __init__(self, names: Sequence[str]):
+        super().__init__("detectors failed: " + ", ".join(names))
+        self.names = list(names)
+
+
 def issues_frame(spark: SparkSession, records: list) -> DataFrame:
     return spark.createDataFrame(records, ISSUE_SCHEMA)
 
 
 def detect_all(df: DataFrame, exclude: Sequence[str] = (), order_by: str | None = None,
                cfg: QualityConfig = DEFAULT_CONFIG, stats: TableStats | None = None) -> DataFrame:
-    """All issues of `df`, sorted HIGH, MEDIUM, LOW, INFO (stable)."""
+    """All issues of `df`, sorted HIGH, MEDIUM, LOW, INFO (stable). Raises DetectorsFailed
+    if a detector fails, as a score over the others would be too good; `detect_report`
+    gives the others' issues and the failed names."""
     st = stats or TableStats(df, exclude=exclude, order_by=order_by, cfg=cfg).prefetch()
-    return issues_frame(df.sparkSession, run_detectors(st))
+    found = run_detectors(st)
+    if st.failed:
+        raise DetectorsFailed(st.failed)
+    return issues_frame(df.sparkSession, found)
 
 
 def detect_report(df: DataFrame, exclude: Sequence[str] = (), order_by: str | None = None,
@@ -212,7 +226,10 @@ def detect_report(df: DataFrame, exclude: Sequence[str] = (), order_by: str | No
 def detect_one(df: DataFrame, detector: Detector, exclude: Sequence[str] = (),
                order_by: str | None = None, cfg: QualityConfig = DEFAULT_CONFIG) -> DataFrame:
     st = TableStats(df, exclude=exclude, order_by=order_by, cfg=cfg)
-    return issues_frame(df.sparkSession, run_detectors(st, [detector]))
+    found = run_detectors(st, [detector])
+    if st.failed:
+        raise DetectorsFailed(st.failed)
+    return issues_frame(df.sparkSession, found)
 
 
 def missing_by_column(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
@@ -221,7 +238,7 @@ def missing_by_column(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     cols = [c for c in profiled_columns(df, exclude)]
     one = df.agg(F.count(F.lit(1)).alias("_n"),
                  *[F.count_if(is_missing(c, types[c])).alias(c) for c in cols])
-    return (one.unpivot(["_n"], cols, "column", "n_missing")
+    return (one.unpivot(["_n"], [quoted(c) for c in cols], "column", "n_missing")
             .select("column", "n_missing",
                     F.round(F.col("n_missing") / F.greatest(F.col("_n"), F.lit(1)) * 100, 2)
                     .alias("missing_pct")))

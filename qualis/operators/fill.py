@@ -24,6 +24,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..config import DEFAULT_CONFIG
+from ..functions.columns import col_ref
 from ..functions.missing import normalized
 from ..functions.types import is_number
 
@@ -32,7 +33,7 @@ def _key_number(df: DataFrame, order_by: str) -> Column:
     """The order key as a number that keeps its order (dates and timestamps as
     epoch days / microseconds); used only to cut blocks."""
     dt = df.schema[order_by].dataType
-    c = F.col(order_by)
+    c = col_ref(order_by)
     if isinstance(dt, T.DateType):
         return F.unix_date(c).cast("long")
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
@@ -71,7 +72,7 @@ def _fill(df: DataFrame, columns: Sequence[str], order_by: str, forward: bool,
     types = {f.name: f.dataType for f in df.schema.fields}
     blk = "_qblk"
     base = df.withColumn(blk, _block(df, order_by, block_rows))
-    o = F.col(order_by)
+    o = col_ref(order_by)
     # A frame reaching to UNBOUNDED FOLLOWING is recomputed for every row; the
     # backward direction is the forward one over a descending order instead.
     w = _running(Window.partitionBy(blk), o, forward)
@@ -81,7 +82,7 @@ def _fill(df: DataFrame, columns: Sequence[str], order_by: str, forward: bool,
     # one row per block: its last (forward) or first (backward) non-null value
     edge = F.max_by if forward else F.min_by
     summary = base.groupBy(blk).agg(*[
-        edge(F.col(c), F.when(_valued(c, types[c]).isNotNull(), o)).alias(f"_qs{i}")
+        edge(col_ref(c), F.when(_valued(c, types[c]).isNotNull(), o)).alias(f"_qs{i}")
         for i, c in enumerate(columns)])
     sw = _running(Window, F.col(blk), forward, exclusive=True)
     carry = summary.select(blk, *[
@@ -90,7 +91,7 @@ def _fill(df: DataFrame, columns: Sequence[str], order_by: str, forward: bool,
     joined = local.join(carry, blk, "left")
     out = {c: F.coalesce(F.col(f"_ql{i}"), F.col(f"_qc{i}")).cast(types[c]).alias(c)
            for i, c in enumerate(columns)}
-    return joined.select(*[out.get(c, F.col(c)) for c in df.columns])
+    return joined.select(*[out.get(c, col_ref(c)) for c in df.columns])
 
 
 def forward_fill(df: DataFrame, columns: Sequence[str], order_by: str,
@@ -126,7 +127,7 @@ def interpolate(df: DataFrame, columns: Sequence[str], order_by: str,
     if not cols:
         return df
     blk = "_qblk"
-    o = F.col(order_by)
+    o = col_ref(order_by)
     base = df.withColumn(blk, _block(df, order_by, block_rows))
     vals = {c: normalized(c, types[c]).cast("double") for c in cols}
     # 1. block counts and edge rows
@@ -136,7 +137,7 @@ def interpolate(df: DataFrame, columns: Sequence[str], order_by: str,
             F.max_by(F.struct(o.alias("k"), vals[c].alias("v")), F.when(vals[c].isNotNull(), o)).alias(f"_ql{i}"),
             F.min_by(F.struct(o.alias("k"), vals[c].alias("v")), F.when(vals[c].isNotNull(), o)).alias(f"_qf{i}"))])
     # 2. in-block rank of each edge row: rows of the block with a smaller key
-    ranks = base.select(blk, o.alias("_qo")).join(F.broadcast(edges), blk).groupBy(blk).agg(
+    ranks = base.select(blk, o.alias("_qo")).join(edges, blk).groupBy(blk).agg(
         *[x for i in range(len(cols)) for x in (
             F.count_if(F.col("_qo") < F.col(f"_ql{i}.k")).alias(f"_qlr{i}"),
             F.count_if(F.col("_qo") < F.col(f"_qf{i}.k")).alias(f"_qfr{i}"))])
@@ -174,10 +175,10 @@ def interpolate(df: DataFrame, columns: Sequence[str], order_by: str,
         bb, aa = F.col(f"_qb{i}"), F.col(f"_qa{i}")
         slope = (aa["v"] - bb["v"]) / (aa["p"] - bb["p"])
         mid = F.when(aa["p"] == bb["p"], bb["v"]).otherwise(bb["v"] + slope * (F.col("_qpos") - bb["p"]))
-        out[c] = (F.when(vals[c].isNotNull(), F.col(c).cast("double"))
+        out[c] = (F.when(vals[c].isNotNull(), col_ref(c).cast("double"))
                   .when(bb.isNull() & aa.isNull(), F.lit(None).cast("double"))
                   .when(bb.isNull(), aa["v"]).when(aa.isNull(), bb["v"]).otherwise(mid)).alias(c)
-    return rows.select(*[out.get(c, F.col(c)) for c in df.columns])
+    return rows.select(*[out.get(c, col_ref(c)) for c in df.columns])
 
 
 # Candidate hashes broadcast at most (8 bytes each: about 32 MB).
@@ -186,31 +187,30 @@ BROADCAST_HASHES = 4_000_000
 
 def drop_duplicate_rows(df: DataFrame, order_by: str | None = None, keep: str = "first",
                         columns: Sequence[str] | None = None) -> DataFrame:
-    """Keep one row of each group of identical rows (all columns but `order_by`):
-    the first or last by `order_by`. Without an order any one copy is kept.
+    """Keep one row of each group of identical rows (all columns but `order_by`): the
+    first or last by `order_by`. Without an order any one copy is kept.
 
-    Wide rows go through a hash prescreen: one job counts the row hashes that
-    occur more than once. When that set is small enough to broadcast, rows with
-    a unique hash pass through an anti-join without any shuffle, and only rows
-    sharing a hash are grouped. Otherwise every row is grouped.
+    Rows are identified by two 64-bit hashes of their normalised values, whatever
+    their width, so the grouping shuffles 16 bytes a row and a hot group collapses
+    map-side. Only the hashes that repeat are joined back, by broadcast while they are
+    few; rows are not shuffled then.
     """
-    from .stats import PRESCREEN_MIN_COLUMNS, row_hash
+    from .stats import row_hashes
     keys = list(columns) if columns else [c for c in df.columns if c != order_by]
+    if not keys:
+        return df
+    own = [col_ref(c) for c in df.columns]
+    hashed = df.select(*own, *row_hashes(df, keys))
     if order_by is None:
-        return df.dropDuplicates(keys)
+        return hashed.dropDuplicates(["_qh1", "_qh2"]).select(*own)
     pick = F.min if keep == "first" else F.max
-    if len(keys) >= PRESCREEN_MIN_COLUMNS:
-        hashed = df.withColumn("_qh", row_hash(df, keys))
-        repeated = (hashed.groupBy("_qh").agg(F.count(F.lit(1)).alias("_qc"))
-                    .where(F.col("_qc") > 1).select("_qh"))
-        n_repeated = repeated.count()
-        if n_repeated == 0:
-            return df
-        if n_repeated <= BROADCAST_HASHES:
-            rep = F.broadcast(repeated)
-            singles = hashed.join(rep, "_qh", "left_anti").select(*df.columns)
-            copies = (hashed.join(rep, "_qh", "left_semi").groupBy("_qh", *keys)
-                      .agg(pick(order_by).alias(order_by)).select(*df.columns))
-            return singles.unionByName(copies)
-    kept = df.groupBy(*keys).agg(pick(order_by).alias(order_by))
-    return kept.select(*df.columns)
+    repeated = (hashed.groupBy("_qh1", "_qh2").agg(F.count(F.lit(1)).alias("_qc"), pick(col_ref(order_by)).alias("_qk"))
+                .where(F.col("_qc") > 1))
+    n_repeated = repeated.count()
+    if n_repeated == 0:
+        return df
+    if n_repeated <= BROADCAST_HASHES:
+        repeated = F.broadcast(repeated)
+    kept = hashed.join(repeated, ["_qh1", "_qh2"], "left").where(
+        F.col("_qc").isNull() | col_ref(order_by).eqNullSafe(F.col("_qk")))
+    return kept.select(*own)

@@ -9,6 +9,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..config import DEFAULT_CONFIG, ID_TOKENS_NUMERIC, ID_TOKENS_TEXT, QualityConfig
+from ..functions.columns import col_ref
 from ..functions.dates import parse_date_mixed
 from ..functions.types import friendly_type, is_datetime, is_number, is_string
 from .stats import TableStats, head_values
@@ -130,7 +131,7 @@ def column_profile(df: DataFrame, exclude: Sequence[str] = (), order_by: str | N
 
 def preview(df: DataFrame, order_by: str, n: int = 50) -> DataFrame:
     """The first `n` rows by `order_by` (a per-task top-n, then a merge of those)."""
-    return df.orderBy(order_by).limit(n)
+    return df.orderBy(col_ref(order_by)).limit(n)
 
 
 def profile_samples(df: DataFrame, exclude: Sequence[str] = (), order_by: str | None = None,

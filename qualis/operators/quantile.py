@@ -25,6 +25,7 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.columns import col_ref
 from ..functions.missing import is_missing
 
 BUCKETS = 1024
@@ -35,7 +36,7 @@ MAX_PASSES = 200
 
 def _values(df: DataFrame, column: str) -> DataFrame:
     dt = df.schema[column].dataType
-    return df.where(~is_missing(column, dt)).select(F.col(column).cast("double").alias("x"))
+    return df.where(~is_missing(column, dt)).select(col_ref(column).cast("double").alias("x"))
 
 
 def _bucket_expr(x, a: float, b: float):

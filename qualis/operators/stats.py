@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..config import DEFAULT_CONFIG, QualityConfig
 from ..functions import text as tx
+from ..functions.columns import col_ref
 from ..functions.missing import is_missing, normalized
 from ..functions.types import fixed_width, is_atomic, is_string
 from .parallel import map_jobs
@@ -66,10 +67,9 @@ def profiled_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
 
 
 def comparable_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
-    """Columns that take part in whole-row comparison (maps cannot be grouped)."""
+    """Columns that take part in whole-row comparison."""
     skip = set(exclude)
-    return [f.name for f in df.schema.fields
-            if f.name not in skip and not isinstance(f.dataType, T.MapType)]
+    return [f.name for f in df.schema.fields if f.name not in skip]
 
 
 class TableStats:
@@ -131,7 +131,7 @@ class TableStats:
                 aggs.append(F.bit_xor(h).alias(f"h{i}"))
                 aggs.append(F.sum(F.shiftright(h, 40)).alias(f"g{i}"))
             if is_string(dt):
-                v = F.col(c)
+                v = col_ref(c)
                 aggs.append(F.coalesce(F.bool_or(tx.has_whitespace_issue(v)), F.lit(False)).alias(f"w{i}"))
                 aggs.append(F.sum(F.octet_length(v)).alias(f"b{i}"))
                 if self.cfg.head_rows is None:
@@ -269,40 +269,32 @@ def head_values(df: DataFrame, columns: Sequence[str], order_by: str, n: int) ->
     return long.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
 
 
-# Rows of at least this many columns are de-duplicated through a hash prescreen.
-PRESCREEN_MIN_COLUMNS = 6
+def _comparable(name: str, dt: T.DataType):
+    """A value whose hash is equal for equal cells: null for NaN, maps as sorted entries."""
+    if isinstance(dt, T.MapType):
+        return F.array_sort(F.map_entries(col_ref(name)))
+    if "map<" in dt.simpleString():
+        return F.to_json(col_ref(name))
+    return normalized(name, dt)
 
 
-def row_hash(df: DataFrame, columns: Sequence[str]):
-    """xxhash64 of the normalised values plus a null mask, so (null, 'a') and
-    ('a', null) hash apart."""
+def row_hashes(df: DataFrame, columns: Sequence[str]) -> list:
+    """Two xxhash64 columns (`_qh1`, `_qh2`) of the normalised values plus a null mask, so
+    (null, 'a') and ('a', null) hash apart. Together they identify a row by 128 bits."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    vals = [normalized(c, types[c]) for c in columns]
-    mask = F.lit(0).cast("long")
-    for i, v in enumerate(vals):
-        mask = mask.bitwiseXOR(F.when(v.isNull(), F.lit(1 << (i % 62))).otherwise(F.lit(0)).cast("long"))
-    return F.xxhash64(*vals, mask)
+    vals = [_comparable(c, types[c]) for c in columns]
+    masks = []
+    for k in range(0, len(vals), 62):
+        mask = F.lit(0).cast("long")
+        for i, v in enumerate(vals[k:k + 62]):
+            mask = mask.bitwiseXOR(F.when(v.isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+        masks.append(mask)
+    return [F.xxhash64(*vals, *masks).alias("_qh1"), F.xxhash64(F.lit(7), *vals, *masks).alias("_qh2")]
 
 
 def distinct_row_count(df: DataFrame, columns: Sequence[str]) -> int:
-    """Exact number of distinct rows over `columns`, in one job.
-
-    Wide rows: the first shuffle carries 8-byte row hashes only. A hash seen
-    once is a distinct row. Rows with a repeated hash are kept by a semi-join
-    on the repeated hashes and compared in full. AQE broadcasts the repeated
-    hashes when their measured size is small; otherwise the join shuffles on
-    the hash, and the final grouping on (hash, columns) reuses that
-    partitioning. A hot group of copies collapses map-side in both
-    aggregations.
-    """
+    """Number of distinct rows over `columns`, identified by 128-bit hashes, in one job.
+    The shuffle carries 16 bytes a row, whatever the width, and copies collapse map-side."""
     if not columns:
         return 1 if df.limit(1).count() else 0
-    if len(columns) < PRESCREEN_MIN_COLUMNS:
-        return df.select(*columns).distinct().count()
-    hashed = df.select(row_hash(df, columns).alias("_h"), *columns)
-    per_hash = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_c"))
-    singles = per_hash.where(F.col("_c") == 1).agg(F.count(F.lit(1)).alias("v"))
-    repeated = per_hash.where(F.col("_c") > 1).select("_h")
-    multi = (hashed.join(repeated, "_h", "left_semi").select("_h", *columns).distinct()
-             .agg(F.count(F.lit(1)).alias("v")))
-    return int(singles.unionByName(multi).agg(F.sum("v")).first()[0] or 0)
+    return df.select(*row_hashes(df, columns)).distinct().count()

@@ -8,6 +8,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import DEFAULT_CONFIG, QualityConfig
+from ..functions.columns import col_ref, quoted
 from ..functions.missing import is_missing, normalized
 from .parallel import map_jobs
 from .quantile import exact_quantiles
@@ -15,7 +16,7 @@ from .quantile import exact_quantiles
 
 def _values(df: DataFrame, column: str):
     dt = df.schema[column].dataType
-    return df.where(~is_missing(column, dt)).select(F.col(column).cast("double").alias("x"))
+    return df.where(~is_missing(column, dt)).select(col_ref(column).cast("double").alias("x"))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
@@ -115,9 +116,9 @@ def missing_map(df: DataFrame, order_by: str, block_rows: int = 1000,
     block resolution (`order_by div block_rows`), one aggregate."""
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = [c for c in df.columns if c != order_by and c not in set(exclude)]
-    blk = F.floor(F.col(order_by) / block_rows).cast("long").alias("block")
+    blk = F.floor(col_ref(order_by) / block_rows).cast("long").alias("block")
     per = df.groupBy(blk).agg(F.count(F.lit(1)).alias("n_rows"),
                               *[F.count_if(is_missing(c, types[c])).alias(c) for c in cols])
-    long = per.unpivot(["block", "n_rows"], cols, "column", "n_missing")
+    long = per.unpivot(["block", "n_rows"], [quoted(c) for c in cols], "column", "n_missing")
     return long.select("block", "column", "n_rows", "n_missing",
                        (F.col("n_missing") / F.col("n_rows")).alias("missing_share"))

@@ -20,6 +20,7 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..functions.columns import col_ref, quoted
 from ..functions.missing import normalized
 
 
@@ -36,12 +37,12 @@ def stacked_values(df: DataFrame, columns: Sequence[str], order_by: str | None =
     """(column, value[, _o]) rows, one per cell of the chosen columns; value as text
     (all columns), or native when `as_text` is False (columns of one type only)."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    ids = [F.col(order_by).alias("_o")] if order_by else []
+    ids = [col_ref(order_by).alias("_o")] if order_by else []
     vals = [normalized(c, types[c]) for c in columns]
     if as_text:
         vals = [v.cast("string") for v in vals]
     wide = df.select(*ids, *[v.alias(c) for v, c in zip(vals, columns)])
-    long = wide.unpivot(["_o"] if order_by else [], list(columns), "column", "value")
+    long = wide.unpivot(["_o"] if order_by else [], [quoted(c) for c in columns], "column", "value")
     return long if keep_nulls else long.where(F.col("value").isNotNull())
 
 
@@ -118,31 +119,24 @@ def long_text_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column, n_unique, max_cnt, n_non_null, mixed for long text columns, without
     shuffling every text.
 
-    Values are first grouped by a 64-bit hash, so a unique text costs 16 bytes
-    of shuffle. Only values whose hash repeats (copies, or a collision) are
-    grouped again by their full text, which keeps every count exact. The case
-    check works the same way on the hash of the lower-cased stripped text: only
-    rows whose lower-cased text repeats are compared as text.
+    A value is identified by two 64-bit hashes (128 bits), its stripped lower-cased
+    form likewise, so no text is shuffled and copies collapse map-side.
     """
     from ..functions.text import strip
     st = strip(F.col("value"))
     keyed = stacked_values(df, columns, as_text=False).select(
-        "column", "value", F.xxhash64("value").alias("_h"), F.xxhash64(F.lower(st)).alias("_lh"))
-    per_h = keyed.groupBy("column", "_h").agg(F.count(F.lit(1)).alias("_c"))
-    singles = per_h.where(F.col("_c") == 1).groupBy("column").agg(F.count(F.lit(1)).alias("n1"))
-    exact = (keyed.join(per_h.where(F.col("_c") > 1).select("column", "_h"), ["column", "_h"], "left_semi")
-             .groupBy("column", "_h", "value").agg(F.count(F.lit(1)).alias("cnt")))
-    multi = exact.groupBy("column").agg(F.count(F.lit(1)).alias("nm"), F.max("cnt").alias("mm"),
-                                        F.sum("cnt").alias("sm"))
-    repeated_lower = (keyed.groupBy("column", "_lh").agg(F.count(F.lit(1)).alias("_c"))
-                      .where(F.col("_c") > 1).select("column", "_lh"))
-    case = case_collisions(keyed.join(repeated_lower, ["column", "_lh"], "left_semi")
-                           .select("column", "value"))
+        "column", F.xxhash64("value").alias("_h"), F.xxhash64(F.lit(7), "value").alias("_h2"),
+        F.xxhash64(F.lower(st)).alias("_l"), F.xxhash64(F.lit(7), F.lower(st)).alias("_l2"),
+        F.xxhash64(st).alias("_s"), (st == "").alias("_blank"))
+    grouped = keyed.groupBy("column", "_h", "_h2").agg(
+        F.count(F.lit(1)).alias("cnt"), *[F.first(c).alias(c) for c in ("_l", "_l2", "_s", "_blank")])
+    by_lower = grouped.groupBy("column", "_l", "_l2").agg(
+        F.count(F.lit(1)).alias("_n"), F.max("cnt").alias("_m"), F.sum("cnt").alias("_c"),
+        (~F.first("_blank") & (F.min("_s") != F.max("_s"))).alias("_x"))
+    found = by_lower.groupBy("column").agg(
+        F.sum("_n").alias("n_unique"), F.max("_m").alias("max_cnt"), F.sum("_c").alias("n_non_null"),
+        F.bool_or("_x").alias("mixed"))
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    out = names.join(singles, "column", "left").join(multi, "column", "left").join(case, "column", "left")
-    n1, nm = F.coalesce("n1", F.lit(0)), F.coalesce("nm", F.lit(0))
-    return out.select(
-        "column", (n1 + nm).alias("n_unique"),
-        F.greatest(F.when(n1 > 0, F.lit(1)), F.col("mm")).cast("long").alias("max_cnt"),
-        (n1 + F.coalesce("sm", F.lit(0))).alias("n_non_null"),
-        F.coalesce("mixed", F.lit(False)).alias("mixed"))
+    return names.join(found, "column", "left").select(
+        "column", F.coalesce("n_unique", F.lit(0)).alias("n_unique"), "max_cnt",
+        F.coalesce("n_non_null", F.lit(0)).alias("n_non_null"), F.coalesce("mixed", F.lit(False)).alias("mixed"))

@@ -24,6 +24,7 @@ import io
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.columns import col_ref
 from ..config import CSV_SEPARATORS, NA_TOKENS
 
 
@@ -83,7 +84,7 @@ def infer_types(df: DataFrame) -> DataFrame:
         return df
     aggs = []
     for i, c in enumerate(cols):
-        v = F.col(c)
+        v = col_ref(c)
         aggs += [F.coalesce(F.bool_and(F.when(v.isNotNull(), v.rlike(_INT))), F.lit(True)).alias(f"i{i}"),
                  F.coalesce(F.bool_and(F.when(v.isNotNull(), v.rlike(_FLOAT))), F.lit(True)).alias(f"f{i}"),
                  F.coalesce(F.bool_and(F.when(v.isNotNull(), v.isin(*_BOOL))), F.lit(True)).alias(f"b{i}"),
@@ -92,14 +93,14 @@ def infer_types(df: DataFrame) -> DataFrame:
     new = {}
     for i, c in enumerate(cols):
         if row[f"n{i}"] == 0:
-            new[c] = F.col(c).cast("double")
+            new[c] = col_ref(c).cast("double")
         elif row[f"i{i}"]:
-            new[c] = F.col(c).try_cast("bigint")
+            new[c] = col_ref(c).try_cast("bigint")
         elif row[f"f{i}"]:
-            new[c] = F.col(c).try_cast("double")
+            new[c] = col_ref(c).try_cast("double")
         elif row[f"b{i}"]:
-            new[c] = F.lower(F.col(c)) == "true"
-    return df.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
+            new[c] = F.lower(col_ref(c)) == "true"
+    return df.select(*[new[c].alias(c) if c in new else col_ref(c) for c in df.columns])
 
 
 def post_process(df: DataFrame) -> DataFrame:
@@ -107,7 +108,7 @@ def post_process(df: DataFrame) -> DataFrame:
     unnamed = [c for c in df.columns if c.lower().startswith("unnamed")]
     if not unnamed:
         return df
-    row = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(unnamed)]).first()
+    row = df.agg(*[F.count(col_ref(c)).alias(f"n{i}") for i, c in enumerate(unnamed)]).first()
     empty = [c for i, c in enumerate(unnamed) if row[f"n{i}"] == 0]
     return df.drop(*empty)
 

@@ -17,6 +17,7 @@ from typing import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..functions.columns import col_ref
 from ..functions.missing import is_missing
 from ..operators.audit import audit_values
 from ..operators.clean import ROW_LOCAL, apply_method
@@ -42,14 +43,14 @@ def missing_by_window(stream: DataFrame, time_col: str, window: str = "1 hour",
     types = {f.name: f.dataType for f in stream.schema.fields}
     cols = list(columns) if columns is not None else [c for c in stream.columns if c != time_col]
     if not isinstance(types[time_col], T.TimestampType):  # watermarks need TIMESTAMP
-        stream = stream.withColumn(time_col, F.col(time_col).cast("timestamp"))
+        stream = stream.withColumn(time_col, col_ref(time_col).cast("timestamp"))
     per = (stream.withWatermark(time_col, watermark)
            .groupBy(F.window(time_col, window).alias("w"))
            .agg(F.count(F.lit(1)).alias("n_rows"),
                 *[F.count_if(is_missing(c, types[c])).alias(c) for c in cols]))
     long = per.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                       "n_rows", F.explode(F.array(*[
-                          F.struct(F.lit(c).alias("column"), F.col(c).alias("n_missing"))
+                          F.struct(F.lit(c).alias("column"), col_ref(c).alias("n_missing"))
                           for c in cols])).alias("m"))
     return long.select("window_start", "window_end", F.col("m.column").alias("column"), "n_rows",
                        F.col("m.n_missing").alias("n_missing"))
