@@ -737,22 +737,15 @@ def _audit_sql(view: str, rules: dict) -> str:
 def _boolean_sql() -> str:
     vocab = [("yes", "no"), ("y", "n"), ("true", "false"), ("t", "f"), ("0", "1"), ("male", "female")]
     words = sorted({w for p in vocab for w in p})
-    longest = max(len(w) for w in words)
-    rows, ruled_out = [], []
-    for c, t in O.VIEW_COLUMNS["dirty_customer"]:
-        if t != "string":
-            continue
-        too_long = f"(SELECT coalesce(max(length({O.strip(c)})), 0) > {longest} FROM dirty_customer)"
-        rows.append(f"SELECT DISTINCT {O.q(c)} AS column, lower({O.strip(c)}) AS l FROM dirty_customer "
-                    f"WHERE {c} IS NOT NULL AND {O.strip(c)} <> '' AND NOT {too_long}")
-        ruled_out.append(f"SELECT {O.q(c)} AS \"column\", CAST(NULL AS BIGINT) AS n_distinct, "
-                         f"CAST(NULL AS VARCHAR) AS values, false AS boolean_like WHERE {too_long}")
+    rows = [f"SELECT DISTINCT {O.q(c)} AS column, lower({O.strip(c)}) AS l FROM dirty_customer "
+            f"WHERE {c} IS NOT NULL AND {O.strip(c)} <> ''"
+            for c, t in O.VIEW_COLUMNS["dirty_customer"] if t == "string"]
     any_v = " OR ".join(f"bool_and(l IN ({O.q(a)}, {O.q(b)}))" for a, b in vocab)
     inw = ", ".join(O.q(w) for w in words)
     body = (f"SELECT \"column\", count(*) AS n_distinct, CASE WHEN count(*) <= 4 THEN "
             f"coalesce(string_agg(DISTINCT l, ',' ORDER BY l) FILTER (WHERE l IN ({inw})), '') END AS values, "
             f"count(*) <= 4 AND ({any_v}) AS boolean_like FROM (" + "\nUNION ALL\n".join(rows)
-            + ") GROUP BY \"column\"\nUNION ALL\n" + "\nUNION ALL\n".join(ruled_out))
+            + ") GROUP BY \"column\"")
     return _cu(body)
 
 
