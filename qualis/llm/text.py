@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # after A-Z became a-z
 SLICE_BYTES = 4 << 20
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 LAST_ID = (1 << 63) - 1  # a null id sorts after every other
 
 # ASCII upper case to lower case, every other ASCII non-alphanumeric to a space; UTF-8 bytes stay.

@@ -17,7 +17,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-PIECES = 1_000_000  # pieces remembered, per encoder and Python worker
 _STOPS = frozenset(".,;:!?")
 
 
@@ -37,6 +36,7 @@ class Encoder(dict):
     SEP between them, or None if it has to be encoded as a whole."""
 
     SEP: str
+    PIECES = 300_000  # pieces remembered per Python worker
 
     def cut(self, text: str) -> str | None:
         raise NotImplementedError
@@ -49,7 +49,7 @@ class Encoder(dict):
 
     def encode(self, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the number of ids of each text."""
-        if len(self) > PIECES:
+        if len(self) > self.PIECES:
             self.clear()
         cuts = [self.cut(v) for v in values]
         lists = pc.split_pattern(pa.array([c or "" for c in cuts], pa.large_string()), self.SEP)
@@ -145,6 +145,7 @@ class ByteBpe(Encoder):
     """
 
     SEP = "\x00"
+    PIECES = 1_000_000
     _CHUNK = regex.compile(r"\s*\S+|\s+")
 
     def __init__(self, path: str):
