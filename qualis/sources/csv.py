@@ -1,20 +1,21 @@
 """CSV source with the interactive tool's fallbacks, as one Spark read.
 
 * separator: the candidate (`, ; tab |`) that splits the header into the most
-  fields, ties in that order; encoding: UTF-8 unless a sample of lines holds
-  undecodable bytes, then ISO-8859-1 (which decodes any byte); windows-1252
-  when asked for;
+  fields, ties in that order; encoding: UTF-8 unless any line of the files holds
+  bytes that are not UTF-8 (one aggregate over all lines), then ISO-8859-1
+  (which decodes any byte); windows-1252 when asked for;
 * every field is read as text. Empty fields are kept as '' (not null), so a row
   with more fields than the header is recognised exactly by a filled `_extra`
   column and skipped; short rows are padded with nulls;
 * missing-value tokens (NA, n/a, NULL, '', ...) become null before types are
   inferred, so "NA" in a number column does not turn it into text;
 * column types (bigint, double, boolean, else string) come from one aggregate
-  over the whole file set;
+  over the whole file set; whole numbers over 63 bits make a column
+  decimal(38,0), or double when they have over 38 digits;
 * names are stripped, blank ones become `Unnamed: i`, repeated ones get `.1`,
   `.2`; all-null `Unnamed*` columns are dropped.
 
-Only the header line and a bounded sample of lines reach the driver.
+Only the first lines, for the header, reach the driver.
 """
 
 from __future__ import annotations
@@ -36,19 +37,25 @@ _SENTINEL = "\u0000\u0001null\u0001\u0000"  # never matches: empty fields stay '
 _INT = r"^[+-]?\d+$"
 _FLOAT = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)$"
 _BOOL = ("True", "False", "TRUE", "FALSE", "true", "false")
-SAMPLE_LINES = 200
+HEADER_LINES = 200
+# windows-1252 is ISO-8859-1 but for bytes 80-9F
+_C1 = [(chr(b), bytes([b]).decode("windows-1252", "ignore")) for b in range(0x80, 0xA0)]
 
 
-def _sample(spark: SparkSession, path: str) -> list[str]:
-    lines = spark.read.text(path).limit(SAMPLE_LINES).collect()
-    return [r["value"] for r in lines]
+def _header_lines(lines: DataFrame, encoding: str) -> list[str]:
+    rows = lines.select(F.col("value").cast("binary")).limit(HEADER_LINES).collect()
+    return [bytes(r["value"]).decode(encoding, "replace") for r in rows]
 
 
-def sniff(lines: list[str]) -> tuple[str, str, list[str]]:
-    """(separator, encoding, header fields) from a sample of lines."""
+def file_encoding(lines: DataFrame) -> str:
+    """UTF-8 when every line decodes, else ISO-8859-1."""
+    return "UTF-8" if lines.agg(F.bool_and(F.is_valid_utf8("value"))).first()[0] in (True, None) else "ISO-8859-1"
+
+
+def sniff(lines: list[str]) -> tuple[str, list[str]]:
+    """(separator, header fields) from the first lines."""
     if not lines:
         raise DataLoadError("empty file")
-    encoding = "ISO-8859-1" if any("�" in ln for ln in lines) else "UTF-8"
     header = next((ln for ln in lines if ln.strip()), None)
     if header is None:
         raise DataLoadError("no header line")
@@ -59,7 +66,7 @@ def sniff(lines: list[str]) -> tuple[str, str, list[str]]:
         if n > best_n:
             best, best_n = sep, n
     fields = next(_csv.reader(io.StringIO(header), delimiter=best))
-    return best, encoding, fields
+    return best, fields
 
 
 def clean_names(fields: list[str]) -> list[str]:
@@ -88,14 +95,16 @@ def infer_types(df: DataFrame) -> DataFrame:
         aggs += [F.coalesce(F.bool_and(F.when(v.isNotNull(), v.rlike(_INT))), F.lit(True)).alias(f"i{i}"),
                  F.coalesce(F.bool_and(F.when(v.isNotNull(), v.rlike(_FLOAT))), F.lit(True)).alias(f"f{i}"),
                  F.coalesce(F.bool_and(F.when(v.isNotNull(), v.isin(*_BOOL))), F.lit(True)).alias(f"b{i}"),
-                 F.count(v).alias(f"n{i}")]
+                 F.count(v).alias(f"n{i}"),
+                 F.count_if(v.rlike(_INT) & v.try_cast("bigint").isNull()).alias(f"w{i}"),
+                 F.count_if(v.rlike(_INT) & v.try_cast("decimal(38,0)").isNull()).alias(f"x{i}")]
     row = df.agg(*aggs).first()
     new = {}
     for i, c in enumerate(cols):
         if row[f"n{i}"] == 0:
             new[c] = col_ref(c).cast("double")
         elif row[f"i{i}"]:
-            new[c] = col_ref(c).try_cast("bigint")
+            new[c] = col_ref(c).try_cast("bigint" if not row[f"w{i}"] else "decimal(38,0)" if not row[f"x{i}"] else "double")
         elif row[f"f{i}"]:
             new[c] = col_ref(c).try_cast("double")
         elif row[f"b{i}"]:
@@ -117,16 +126,16 @@ def load_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: s
              na_tokens=NA_TOKENS, infer: bool = True, multi_line: bool = False) -> DataFrame:
     """Read CSV file(s) at `path` into a typed DataFrame (see module notes)."""
     try:
-        lines = _sample(spark, path)
+        text = spark.read.text(path)
+        encoding = encoding or file_encoding(text)
+        windows = encoding.lower().replace("-", "") in ("cp1252", "windows1252")
+        lines = _header_lines(text, "windows-1252" if windows else encoding)
     except Exception as exc:  # missing path, unreadable file
         raise DataLoadError(f"Could not read CSV: {exc}") from exc
-    found_sep, found_enc, fields = sniff(lines)
+    found_sep, fields = sniff(lines)
     sep = sep or found_sep
-    encoding = encoding or found_enc
-    if encoding.lower().replace("-", "") in ("cp1252", "windows1252"):
-        # asked for explicitly: Spark reads this charset only with the legacy set enabled
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        encoding = "windows-1252"
+    if windows:  # no charset of Spark's reader: read as ISO-8859-1, then mapped per field
+        encoding = "ISO-8859-1"
     if sep != found_sep:
         fields = next(_csv.reader(io.StringIO(lines[0].lstrip("﻿")), delimiter=sep))
     names = clean_names(fields)
@@ -139,6 +148,10 @@ def load_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: s
           .option("nullValue", _SENTINEL).option("emptyValue", "")
           .option("multiLine", multi_line).option("enforceSchema", True)
           .csv(path))
+    if windows:
+        defined = [(a, b) for a, b in _C1 if b]
+        df = df.select(*[F.translate(r, "".join(a for a, _ in defined), "".join(b for _, b in defined)).alias(r)
+                         for r in df.columns])
     na = list(na_tokens)
     df = df.where(F.col("_extra").isNull()).select(*[
         F.when(F.col(r).isin(*na), F.lit(None).cast("string")).otherwise(F.col(r)).alias(n)

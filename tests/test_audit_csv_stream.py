@@ -109,3 +109,17 @@ def test_csv_windows_1252_when_asked(spark):
         fh.write(b"item,price\nmug,\x805\n")
     df = load_csv(spark, path, encoding="cp1252")
     assert df.first()["price"] == "€5"
+
+
+def test_csv_encoding_is_decided_over_the_whole_file(spark):
+    text = "a,b\n" + "1,plain\n" * 300 + "2,caf\xe9\n"
+    df = load_csv(spark, _write(text, encoding="latin-1"))
+    assert df.where("a = 2").first()["b"] == "café"
+
+
+def test_csv_whole_numbers_over_63_bits(spark):
+    df = load_csv(spark, _write(f"a,b,c\n12345678901234567890,{'9' * 40},1\n1,2,\n"))
+    assert dict(df.dtypes) == {"a": "decimal(38,0)", "b": "double", "c": "bigint"}
+    rows = df.orderBy("a").collect()
+    assert [int(r["a"]) for r in rows] == [1, 12345678901234567890]
+    assert [r["b"] for r in rows] == [2.0, 1e40] and [r["c"] for r in rows] == [None, 1]
