@@ -1,8 +1,11 @@
 """Order-dependent steps without a single-partition window.
 
 A window with only `orderBy` moves every row into one task. Instead rows are cut
-into blocks of the order key (`blk = (key - min) div width`, the width chosen
-from min, max and count so a block holds about `block_rows` rows):
+into blocks along the order, at quantiles of the order key, so a block holds about
+`block_rows` rows however the key is spread (see `_block`). Rows are ordered by the
+key, nulls first; rows with equal keys by a 64-bit hash of all their values, the
+same way in every step. A hot key (or the null key) is cut by ranges of that hash,
+so it does not land in one block; only identical rows cannot be told apart.
 
 1. inside each block a window `partitionBy(blk).orderBy(key)` computes the local
    answer (last / next non-null value, row position);
@@ -41,16 +44,60 @@ def _key_number(df: DataFrame, order_by: str) -> Column:
     return c
 
 
+# The order key is cut at up to so many quantiles, and evenly between them.
+QUANTILES = 1024
+_ORD, _TIE = "_qo", "_qt"
+
+
+def _fraction(h: Column) -> Column:
+    """A 64-bit hash as a number in [0, 1), in the hash's order."""
+    return F.least(h.cast("double") / F.lit(2.0 ** 64) + 0.5, F.lit(1 - 1e-9))
+
+
+def _below(bounds: Column, n: int, k: Column, equal: bool) -> Column:
+    """How many of the `n` sorted bounds are smaller than `k` (or equal to it): bisection."""
+    steps = [1 << i for i in reversed(range(n.bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(
+        at + step > n, at).otherwise(F.when(
+            (F.get(bounds, at + step - 1) <= k) if equal else (F.get(bounds, at + step - 1) < k), at + step).otherwise(at)))
+
+
 def _block(df: DataFrame, order_by: str, block_rows: int) -> Column:
-    """Block id with about `block_rows` rows per block: the key range is cut in
-    equal widths sized from one aggregate (min, max, count) of the order key."""
+    """Block id, growing along the order, with about `block_rows` rows per block.
+
+    One aggregate gives count, extremes and quantiles of the key. A key between two
+    quantiles is placed by linear interpolation, a key that fills several quantiles by
+    its row's tie hash; positions are then cut evenly. Null keys are blocks below 0.
+    """
     k = _key_number(df, order_by)
-    row = df.agg(F.min(k).alias("lo"), F.max(k).alias("hi"), F.count(k).alias("n")).first()
-    if not row["n"]:
-        return F.lit(0).cast("long")
-    lo, hi, n = int(row["lo"]), int(row["hi"]), int(row["n"])
-    width = max(1, ((hi - lo + 1) * block_rows) // n)
-    return F.floor((k - F.lit(lo)) / F.lit(width)).cast("long")
+    grid = [i / QUANTILES for i in range(1, QUANTILES)]
+    row = df.agg(F.min(k).alias("lo"), F.max(k).alias("hi"), F.count(k).alias("n"),
+                 F.count_if(k.isNull()).alias("nulls"), F.percentile_approx(k, grid).alias("q")).first()
+    n_blocks, null_blocks = -(-row["n"] // block_rows), -(-row["nulls"] // block_rows)
+    h = _fraction(F.col(_TIE))
+    null_block = (F.floor(h * null_blocks) - null_blocks).cast("long")
+    if n_blocks <= 1:
+        return F.when(k.isNull(), null_block).otherwise(F.lit(0).cast("long"))
+    cuts = min(QUANTILES, n_blocks)
+    inner = [row["q"][j * QUANTILES // cuts - 1] for j in range(1, cuts)]
+    dt = df.select(k.alias("k")).schema["k"].dataType
+    bounds = F.array(*[F.lit(v) for v in inner]).cast(T.ArrayType(dt))
+    ends = F.array(*[F.lit(v) for v in (row["lo"], *inner, row["hi"])]).cast(T.ArrayType(dt))
+    less, upto = _below(bounds, len(inner), k, False), _below(bounds, len(inner), k, True)
+    low, high = F.get(ends, less).cast("double"), F.get(ends, less + 1).cast("double")
+    within = F.coalesce(F.try_divide(k.cast("double") - low, high - low), F.lit(0.0))
+    place = F.when(upto > less, less + 1 + h * (upto - less - 1)).otherwise(
+        less + F.greatest(F.lit(0.0), F.least(within, F.lit(1 - 1e-9))))
+    per_cut = max(1, round(n_blocks / cuts))
+    return F.when(k.isNull(), null_block).otherwise(F.floor(place * per_cut).cast("long"))
+
+
+def _ordered(df: DataFrame, order_by: str, block_rows: int) -> DataFrame:
+    """The rows with `_qblk`, the order `_qo` (key, tie hash) and the tie hash."""
+    from .stats import row_hashes
+    tied = df.select(*[col_ref(c) for c in df.columns], row_hashes(df, df.columns)[0].alias(_TIE))
+    return tied.withColumn("_qblk", _block(tied, order_by, block_rows)).withColumn(
+        _ORD, F.struct(col_ref(order_by).alias("k"), F.col(_TIE).alias("h")))
 
 
 def _running(spec, key: Column, forward: bool, exclusive: bool = False):
@@ -71,12 +118,12 @@ def _fill(df: DataFrame, columns: Sequence[str], order_by: str, forward: bool,
         return df
     types = {f.name: f.dataType for f in df.schema.fields}
     blk = "_qblk"
-    base = df.withColumn(blk, _block(df, order_by, block_rows))
-    o = col_ref(order_by)
+    base = _ordered(df, order_by, block_rows)
+    o = F.col(_ORD)
     # A frame reaching to UNBOUNDED FOLLOWING is recomputed for every row; the
     # backward direction is the forward one over a descending order instead.
     w = _running(Window.partitionBy(blk), o, forward)
-    local = base.select(*base.columns, *[
+    local = base.select(*[col_ref(c) for c in df.columns], blk, *[
         F.last(_valued(c, types[c]), ignorenulls=True).over(w).alias(f"_ql{i}")
         for i, c in enumerate(columns)])
     # one row per block: its last (forward) or first (backward) non-null value
@@ -127,8 +174,8 @@ def interpolate(df: DataFrame, columns: Sequence[str], order_by: str,
     if not cols:
         return df
     blk = "_qblk"
-    o = col_ref(order_by)
-    base = df.withColumn(blk, _block(df, order_by, block_rows))
+    o = F.col(_ORD)
+    base = _ordered(df, order_by, block_rows)
     vals = {c: normalized(c, types[c]).cast("double") for c in cols}
     # 1. block counts and edge rows
     edges = base.groupBy(blk).agg(
@@ -137,10 +184,10 @@ def interpolate(df: DataFrame, columns: Sequence[str], order_by: str,
             F.max_by(F.struct(o.alias("k"), vals[c].alias("v")), F.when(vals[c].isNotNull(), o)).alias(f"_ql{i}"),
             F.min_by(F.struct(o.alias("k"), vals[c].alias("v")), F.when(vals[c].isNotNull(), o)).alias(f"_qf{i}"))])
     # 2. in-block rank of each edge row: rows of the block with a smaller key
-    ranks = base.select(blk, o.alias("_qo")).join(edges, blk).groupBy(blk).agg(
+    ranks = base.select(blk, o).join(edges, blk).groupBy(blk).agg(
         *[x for i in range(len(cols)) for x in (
-            F.count_if(F.col("_qo") < F.col(f"_ql{i}.k")).alias(f"_qlr{i}"),
-            F.count_if(F.col("_qo") < F.col(f"_qf{i}.k")).alias(f"_qfr{i}"))])
+            (F.count_if(o <= F.col(f"_ql{i}.k")) - 1).alias(f"_qlr{i}"),
+            F.count_if(o < F.col(f"_qf{i}.k")).alias(f"_qfr{i}"))])
     # 3. offsets and carries on the block table (one row per block)
     blocks = edges.join(ranks, blk, "left")
     off = F.coalesce(F.sum("_qn").over(
@@ -188,7 +235,8 @@ BROADCAST_HASHES = 4_000_000
 def drop_duplicate_rows(df: DataFrame, order_by: str | None = None, keep: str = "first",
                         columns: Sequence[str] | None = None) -> DataFrame:
     """Keep one row of each group of identical rows (all columns but `order_by`): the
-    first or last by `order_by`. Without an order any one copy is kept.
+    first or last by `order_by`, any one of those that tie (null keys count only where
+    a group has no other). Without an order any one copy is kept.
 
     Rows are identified by two 64-bit hashes of their normalised values, whatever
     their width, so the grouping shuffles 16 bytes a row and a hot group collapses
@@ -211,6 +259,6 @@ def drop_duplicate_rows(df: DataFrame, order_by: str | None = None, keep: str =
         return df
     if n_repeated <= BROADCAST_HASHES:
         repeated = F.broadcast(repeated)
-    kept = hashed.join(repeated, ["_qh1", "_qh2"], "left").where(
-        F.col("_qc").isNull() | col_ref(order_by).eqNullSafe(F.col("_qk")))
-    return kept.select(*own)
+    single = hashed.join(repeated, ["_qh1", "_qh2"], "left_anti").select(*own)
+    first = hashed.join(repeated, ["_qh1", "_qh2"]).where(col_ref(order_by).eqNullSafe(F.col("_qk")))
+    return single.unionByName(first.dropDuplicates(["_qh1", "_qh2"]).select(*own))

@@ -4,6 +4,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from qualis.operators import clean, fill
 
 from .conftest import rows_of
@@ -168,3 +170,51 @@ def test_fills_ordered_by_timestamp(spark):
         assert got == [None, 1.0, 1.0, 1.0, 4.0, 4.0], kind
         got = [r[0] for r in fill.interpolate(df, ["x"], "t", 2).orderBy("t").select("x").collect()]
         assert got == [1.0, 1.0, 2.0, 3.0, 4.0, 4.0], kind
+
+
+def _by_order(df, key):
+    """The rows in the order of the fills: key (nulls first), then the tie hash."""
+    from qualis.operators.stats import row_hashes
+    return df.select("*", row_hashes(df, df.columns)[0].alias("_h")).orderBy(key, "_h").toPandas()
+
+
+def test_fills_with_skewed_tied_and_null_keys(spark):
+    rng = np.random.default_rng(11)
+    n = 3000
+    key = np.where(np.arange(n) % 3 == 0, 5, np.arange(n) // 4)          # a third of the rows on one key
+    key = np.where(np.arange(n) % 10 == 1, key + 10 ** 12, key)          # and a far-off cluster
+    rows = [(i, None if i % 17 == 0 else int(key[i]), None if rng.random() < 0.6 else float(i)) for i in range(n)]
+    df = spark.createDataFrame(rows, "id int, k long, x double")
+    pdf = _by_order(df, "k")
+    for block in (100, 700):
+        blocks = [r["n"] for r in fill._ordered(df, "k", block).groupBy("_qblk").agg(
+            F.count(F.lit(1)).alias("n")).collect()]
+        assert max(blocks) <= 2 * block and sum(blocks) == n
+        for got, want in ((fill.forward_fill(df, ["x"], "k", block), pdf.x.ffill()),
+                          (fill.backward_fill(df, ["x"], "k", block), pdf.x.bfill()),
+                          (fill.interpolate(df, ["x"], "k", block),
+                           pdf.x.interpolate(method="linear", limit_direction="both"))):
+            found = {r["id"]: r["x"] for r in got.collect()}
+            np.testing.assert_allclose([found[i] if found[i] is not None else np.nan for i in pdf.id],
+                                       list(want), rtol=1e-9)
+
+
+def test_blocks_of_a_partition_id_key(spark):
+    df = spark.range(20_000, numPartitions=2).select(F.monotonically_increasing_id().alias("k"),
+                                                     F.lit(1.0).alias("x"))
+    sizes = [r["n"] for r in fill._ordered(df, "k", 500).groupBy("_qblk").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(sizes) <= 1000
+
+
+def test_fills_of_tied_rows(spark):
+    df = spark.createDataFrame([(1, 1.0), (1, None), (2, None), (3, 4.0)], "k int, x double")
+    want = list(_by_order(df, "k").x.interpolate(method="linear", limit_direction="both"))
+    for block in (1, 2, 10):
+        assert sorted(r["x"] for r in fill.interpolate(df, ["x"], "k", block).collect()) == pytest.approx(sorted(want))
+
+
+def test_dedup_keeps_one_of_tied_copies(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (None, "b"), (None, "b"), (3, "c")], "k int, s string")
+    for keep, a in (("first", 1), ("last", 2)):
+        got = sorted(map(tuple, fill.drop_duplicate_rows(df, "k", keep).collect()), key=repr)
+        assert got == sorted([(a, "a"), (3, "c"), (None, "b")], key=repr)
