@@ -41,7 +41,8 @@ FROM customer"""
 
 # lineitem with gaps: the bench table for order-dependent fills and cleaning plans.
 # (l_orderkey, l_linenumber, l_partkey, l_suppkey) is unique in the given data;
-# rid packs it in that order (unique while l_partkey < 100000 and l_suppkey < 10000).
+# rid packs it in that order (unique while l_partkey < 100000 and l_suppkey < 10000;
+# beyond, equal keys are ordered by the fills' row hash).
 DIRTY_LINEITEM = """SELECT (l_orderkey * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey AS rid,
        l_orderkey, l_partkey,
        l_suppkey, l_linenumber,
@@ -94,7 +95,23 @@ README_MESSY = """SELECT c_custkey AS rid,
        'X' AS Flag
 FROM customer"""
 
+# embeddings with a third of the vectors missing
+DIRTY_EMBEDDINGS = """SELECT vec_id AS rid, vec_id, CASE WHEN vec_id % 3 = 0 THEN NULL ELSE embedding END AS embedding,
+       label
+FROM embeddings"""
+
+# phone numbers as text in several spellings, as whole numbers, and a number that is none
+CONTACTS = """SELECT c_custkey AS rid,
+       CASE c_custkey % 6 WHEN 0 THEN concat('+91 98765 ', lpad(CAST(c_custkey % 100000 AS STRING), 5, '0'))
+            WHEN 1 THEN concat('(040) 555-', lpad(CAST(c_custkey % 10000 AS STRING), 4, '0'))
+            WHEN 2 THEN concat('12-', CAST(c_custkey % 100 AS STRING))
+            WHEN 3 THEN '  ' WHEN 4 THEN concat('1234567890123456', CAST(c_custkey AS STRING)) END AS phone,
+       c_custkey * 1003 AS number, c_acctbal AS balance
+FROM customer"""
+
 VIEWS = {
+    "dirty_embeddings": DIRTY_EMBEDDINGS,
+    "contacts": CONTACTS,
     "dirty_events": DIRTY_EVENTS,
     "dirty_customer": DIRTY_CUSTOMER,
     "dirty_lineitem": DIRTY_LINEITEM,

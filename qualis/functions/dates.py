@@ -6,31 +6,18 @@ from pyspark.sql import Column, functions as F
 
 from .text import strip
 
-# Formats tried in order; the first that parses wins. Month-first comes before
-# day-first, so 03/02/2024 reads as 2 March. A bare 4-digit year parses.
+# Layouts tried in order; the first that parses wins. Month-first comes before
+# day-first, so 03/02/2024 reads as 2 March. Months, days and hours take one or two
+# digits; a time, its seconds and fraction, and a zone are optional. A bare 4-digit year
+# parses.
+_CLOCKS = ("[' 'H:mm[:ss[.SSSSSS]][XXX]]", "' 'h:mm[:ss]' 'a")
+_DAYS = ("yyyy-M-d", "yyyy/M/d", "yyyy.M.d",
+         "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "M.d.yyyy", "d.M.yyyy",
+         "MMM d[','] yyyy", "MMMM d[','] yyyy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy")
 DATE_FORMATS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    "yyyy/MM/dd",
-    "yyyy/MM/dd HH:mm:ss",
-    "MM/dd/yyyy",
-    "dd/MM/yyyy",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM-dd-yyyy",
-    "dd-MM-yyyy",
-    "dd.MM.yyyy",
-    "yyyy.MM.dd",
+    *(day + clock for day in _DAYS for clock in _CLOCKS),
+    "yyyy-M-d'T'H:mm[:ss[.SSSSSS]][XXX]",
     "yyyyMMdd",
-    "MMM d yyyy",
-    "MMM d, yyyy",
-    "MMMM d yyyy",
-    "MMMM d, yyyy",
-    "d MMM yyyy",
-    "d MMMM yyyy",
     "yyyy",
 )
 
@@ -38,19 +25,3 @@ DATE_FORMATS = (
 def parse_date_mixed(c: Column) -> Column:
     s = strip(c.cast("string"))
     return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS])
-
-
-def strptime_formats() -> list[str]:
-    """The same formats in C strptime notation (for SQL engines that use it)."""
-    table = [("yyyy", "%Y"), ("MMMM", "%B"), ("MMM", "%b"), ("MM", "%m"), ("dd", "%d"),
-             ("HH", "%H"), ("mm", "%M"), ("ss", "%S"), ("SSSSSS", "%f"), ("'T'", "T")]
-    out = []
-    for fmt in DATE_FORMATS:
-        f = fmt
-        for java, c in table:
-            f = f.replace(java, c)
-        f = f.replace(" d ", " %-d ").replace(" d,", " %-d,")
-        if f.startswith("d "):
-            f = "%-d " + f[2:]
-        out.append(f)
-    return out

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from ..config import BOOLEAN_VOCABULARIES
+from .columns import col_ref
 from .text import strip
+from .types import is_integral, is_string
 
 # --- Fixed values: patterns that must equal the reference's for equal results. ---
 EMAIL = r"(?U)^[^@\s]+@[^@\s]+\.[^@\s]+$"
@@ -38,6 +40,7 @@ def email(c: Column) -> Column:
 
 
 def phone(c: Column) -> Column:
+    """For text and whole numbers; `rule_check` gives false for other types."""
     s = _text(c)
     n = F.length(F.regexp_replace(s, r"(?U)\D", ""))
     return F.when(s.isNull(), None).otherwise(
@@ -73,5 +76,12 @@ RULES: dict[str, Callable[[Column], Column]] = {
 }
 
 
+def rule_check(rule: str, name: str, dt: T.DataType) -> Column:
+    """The rule over a column of type `dt`. Only text and whole numbers can be phones."""
+    if rule == "phone" and not (is_string(dt) or is_integral(dt)):
+        return F.when(col_ref(name).isNotNull(), F.lit(False))
+    return RULES[rule](col_ref(name))
+
+
 def boolean_words() -> list[str]:
     return sorted({w for pair in BOOLEAN_VOCABULARIES for w in pair})

@@ -11,7 +11,7 @@ from ..config import BOOLEAN_VOCABULARIES
 from ..functions import text as tx
 from ..functions.columns import col_ref
 from ..functions.types import is_string
-from ..functions.validators import RULES, boolean_words
+from ..functions.validators import RULES, boolean_words, rule_check
 from .vf import stacked_values
 
 
@@ -26,7 +26,7 @@ def audit_values(df: DataFrame, rules: Mapping[str, str | Sequence[str]]) -> Dat
             pairs.append((col, r))
     aggs = []
     for i, (col, r) in enumerate(pairs):
-        ok = RULES[r](col_ref(col))
+        ok = rule_check(r, col, df.schema[col].dataType)
         aggs += [F.count(col_ref(col)).alias(f"n{i}"), F.count_if(ok).alias(f"v{i}")]
     row = df.agg(*aggs)
     long = row.select(F.explode(F.array(*[

@@ -17,13 +17,15 @@ from ..functions import text as tx
 from ..functions.columns import col_ref
 from ..functions.missing import is_missing, normalized
 from ..functions.numeric import to_double
-from ..functions.types import is_floating, is_number, is_string
+from ..functions.types import is_atomic, is_floating, is_number, is_string
 from . import fill as _fill
 from .parallel import map_jobs
 from .quantile import exact_median
+from .stats import comparable
 
 # distinct values up to which a per-value table is broadcast (estimated with
-# HyperLogLog, so the bound has a wide margin)
+# HyperLogLog, so the bound has a wide margin); its rows have fixed-width keys, so
+# this bounds its bytes too
 BROADCAST_DISTINCT = 1_000_000
 
 
@@ -58,6 +60,7 @@ def _medians(df: DataFrame, cols: Sequence[str]) -> dict:
 
 
 def _modes(df: DataFrame, cols: Sequence[str]) -> dict:
+    cols = [c for c in cols if is_atomic(df.schema[c].dataType)]
     return dict(zip(cols, map_jobs(lambda c: mode_value(df, c), cols)))
 
 
@@ -84,7 +87,7 @@ def mode_value(df: DataFrame, column: str):
 
 
 def fill_mode(df: DataFrame, columns: Sequence[str], order_by=None) -> DataFrame:
-    """Any type; an all-null column stays as it is."""
+    """Any atomic type; an all-null column and nested columns stay as they are."""
     return _fill_with(df, _modes(df, list(columns)), as_double=False)
 
 
@@ -174,9 +177,9 @@ def frequency_encoding(df: DataFrame, columns: Sequence[str], order_by=None) ->
     """Adds `<col>_freq_enc`: the value's share among the non-null rows; null stays null.
 
     The per-value counts are aggregated with map-side combine (a hot value costs
-    one row per task), then joined back. The count table is broadcast only when
-    HyperLogLog puts its size under BROADCAST_DISTINCT; otherwise it is a shuffle
-    join, where AQE splits a skewed key's partition.
+    one row per task), then joined back; texts are identified by 128-bit hashes, so
+    none is shuffled or broadcast. The count table is broadcast only when HyperLogLog
+    puts its size under BROADCAST_DISTINCT; see `_join_shares` for larger ones.
     """
     cols = list(columns)
     return _join_shares(df, cols, map_jobs(lambda c: _share_table(df, c), cols))
@@ -187,37 +190,46 @@ def frequency_encoding(df: DataFrame, columns: Sequence[str], order_by=None) ->
 HOT_SHARE = 0.001
 
 
-def _share_table(df: DataFrame, c: str) -> tuple[DataFrame, bool]:
-    """(value -> share table, whether it is small enough to broadcast)."""
+def _share_keys(df: DataFrame, c: str) -> dict[str, Column]:
+    """What identifies a value in the share table: numbers and times themselves, text
+    and nested values by two 64-bit hashes; null for a missing value."""
     dt = df.schema[c].dataType
-    stats = df.agg(F.count_if(~is_missing(c, dt)).alias("n"),
-                   F.approx_count_distinct(normalized(c, dt)).alias("d")).first()
-    total = max(int(stats["n"]), 1)
-    counts = (df.where(~is_missing(c, dt)).groupBy(normalized(c, dt).alias(f"_qk_{c}"))
-              .agg((F.count(F.lit(1)) / F.lit(total)).alias(f"{c}_freq_enc")))
+    if is_atomic(dt) and not is_string(dt):
+        return {"_qk0": normalized(c, dt)}
+    v, there = comparable(c, dt), ~is_missing(c, dt)
+    return {"_qk0": F.when(there, F.xxhash64(v)), "_qk1": F.when(there, F.xxhash64(F.lit(7), v))}
+
+
+def _share_table(df: DataFrame, c: str) -> tuple[DataFrame, bool]:
+    """(value key -> share table, whether it is small enough to broadcast)."""
+    keys = _share_keys(df, c)
+    keyed = df.select(*[k.alias(name) for name, k in keys.items()]).where(F.col("_qk0").isNotNull())
+    stats = keyed.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("_qk0").alias("d")).first()
+    counts = keyed.groupBy(*keys).agg((F.count(F.lit(1)) / F.lit(max(int(stats["n"]), 1))).alias("_qs"))
     return counts, stats["d"] <= BROADCAST_DISTINCT
 
 
 def _join_shares(df: DataFrame, cols: Sequence[str], tables: Sequence[tuple[DataFrame, bool]]
                  ) -> DataFrame:
-    """Attach each column's value shares. A small share table is broadcast. A
-    large one is split: values over HOT_SHARE of the rows (a bounded set) join by
-    broadcast, so no hot value lands in one task of the shuffle join that takes
-    the rest."""
-    types = _types(df)
+    """Attach each column's value shares. A small share table is broadcast. Of a large
+    one, values over HOT_SHARE of the rows (a bounded set) are broadcast; the rest come
+    by a shuffle join, in which the rows that are settled already (hot values, nulls)
+    are spread over 1,024 keys without a partner."""
     out = df
     for c, (counts, small) in zip(cols, tables):
-        key, share = f"_qk_{c}", f"{c}_freq_enc"
-        keyed = out.withColumn(key, normalized(c, types[c]))
+        share, keys = f"{c}_freq_enc", list(_share_keys(out, c))
+        out = out.withColumns(_share_keys(out, c))
         if small:
-            out = keyed.join(F.broadcast(counts), key, "left").drop(key)
+            out = out.join(F.broadcast(counts), keys, "left").withColumnRenamed("_qs", share).drop(*keys)
             continue
-        hot = F.broadcast(counts.where(F.col(share) > HOT_SHARE))
-        cold = counts.where(F.col(share) <= HOT_SHARE)
-        hot_rows = keyed.join(hot, key, "inner")
-        cold_rows = keyed.join(hot, key, "left_anti").join(cold, key, "left")
-        out = hot_rows.unionByName(cold_rows).drop(key)
-    return out.select(*df.columns, *[f"{c}_freq_enc" for c in cols])
+        hot = counts.where(F.col("_qs") > HOT_SHARE).withColumnRenamed("_qs", "_qhot")
+        cold = counts.where(F.col("_qs") <= HOT_SHARE).withColumn("_qspread", F.lit(0).cast("long"))
+        settled = F.col("_qhot").isNotNull() | F.col("_qk0").isNull()
+        spread = F.when(settled, F.monotonically_increasing_id() % 1024 + 1).otherwise(0).cast("long")
+        out = (out.join(F.broadcast(hot), keys, "left").withColumn("_qspread", spread)
+               .join(cold, [*keys, "_qspread"], "left")
+               .withColumn(share, F.coalesce("_qhot", "_qs")).drop(*keys, "_qspread", "_qhot", "_qs"))
+    return out.select(*[col_ref(c) for c in df.columns], *[col_ref(f"{c}_freq_enc") for c in cols])
 
 
 def review_manually(df: DataFrame, columns: Sequence[str] = (), order_by=None) -> DataFrame:

@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import DEFAULT_CONFIG, SEVERITY_ORDER, QualityConfig
 from ..functions.columns import quoted
 from ..functions.missing import is_missing
-from ..functions.types import is_numeric_like, is_string
+from ..functions.types import is_atomic, is_numeric_like, is_string
 from ..schema import ISSUE_SCHEMA, kind_issue
-from .stats import TableStats, profiled_columns
+from .stats import TableStats
 
 log = logging.getLogger(__name__)
 
@@ -28,20 +28,20 @@ def detect_missing_values(st: TableStats) -> list:
     n, t = st.n_rows, st.cfg.thresholds
     if n == 0:
         return []
-    hit = [st.column(c) for c in st.columns if st.column(c).n_missing > 0]
+    hit = {c: st.n_missing(c) for c in st.all_columns if st.n_missing(c) > 0}
     if not hit:
         return []
-    total = sum(c.n_missing for c in hit)
-    ratio = total / (n * st.n_cols)
-    worst = max(c.n_missing for c in hit) / n
+    ratio = sum(hit.values()) / (n * st.n_cols)
+    worst = max(hit.values()) / n
     severity = "HIGH" if worst >= t.missing_high else "MEDIUM" if worst >= t.missing_medium else "LOW"
-    numeric = any(is_numeric_like(c.dtype) for c in hit)
+    types = [st.types[c] for c in hit]
+    method = ("fill_median" if any(map(is_numeric_like, types)) else
+              "fill_mode" if any(map(is_atomic, types)) else "review_manually")
     return [kind_issue(
-        "missing_values", severity, [c.name for c in hit], ratio,
+        "missing_values", severity, list(hit), ratio,
         f"{len(hit)} column(s) have missing values; the worst is {worst * 100:.1f}% empty.",
         "Fill numbers with the median and text with the most frequent value.",
-        "fill_median" if numeric else "fill_mode",
-        per_column_pct={c.name: round(c.n_missing / n * 100, 2) for c in hit},
+        method, per_column_pct={c: round(m / n * 100, 2) for c, m in hit.items()},
     )]
 
 
@@ -233,9 +233,9 @@ def detect_one(df: DataFrame, detector: Detector, exclude: Sequence[str] = (),
 
 
 def missing_by_column(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
-    """column, n_missing, missing_pct for every profiled column: one aggregate, unpivoted."""
+    """column, n_missing, missing_pct for every column: one aggregate, unpivoted."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    cols = [c for c in profiled_columns(df, exclude)]
+    cols = [c for c in df.columns if c not in set(exclude)]
     one = df.agg(F.count(F.lit(1)).alias("_n"),
                  *[F.count_if(is_missing(c, types[c])).alias(c) for c in cols])
     return (one.unpivot(["_n"], [quoted(c) for c in cols], "column", "n_missing")

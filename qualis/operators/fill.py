@@ -100,6 +100,19 @@ def _ordered(df: DataFrame, order_by: str, block_rows: int) -> DataFrame:
         _ORD, F.struct(col_ref(order_by).alias("k"), F.col(_TIE).alias("h")))
 
 
+def with_positions(df: DataFrame, order_by: str, columns: Sequence[Column], block_rows: int | None = None
+                   ) -> DataFrame:
+    """`columns` and `_qpos`, the row's position (0, 1, 2, ...) in the order. Only these
+    columns are shuffled, once, by block; a block's offset comes from the block counts."""
+    rows = _ordered(df, order_by, block_rows or DEFAULT_CONFIG.fill_block_rows).select("_qblk", _ORD, *columns)
+    before = Window.orderBy("_qblk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("_qblk").agg(F.count(F.lit(1)).alias("_qn")).select(
+        "_qblk", F.coalesce(F.sum("_qn").over(before), F.lit(0)).alias("_qoff"))
+    place = F.row_number().over(Window.partitionBy("_qblk").orderBy(_ORD))
+    kept = [c for c in rows.columns if c not in ("_qblk", _ORD)]
+    return rows.join(offsets, "_qblk").select(*map(col_ref, kept), (F.col("_qoff") + place - 1).alias("_qpos"))
+
+
 def _running(spec, key: Column, forward: bool, exclusive: bool = False):
     """Rows from the start up to the current row (or the row before it), in key
     order for forward steps and in reverse key order for backward ones. Growing

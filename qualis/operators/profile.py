@@ -50,7 +50,7 @@ def dataset_meta(df: DataFrame, exclude: Sequence[str] = (), order_by: str | Non
             for j in jobs:
                 j.result()
     n, k = st.n_rows, st.n_cols
-    missing = sum(st.column(c).n_missing for c in st.columns)
+    missing = sum(map(st.n_missing, st.all_columns))
     missing_pct = round(missing / max(n * k, 1) * 100, 2)
     dup_pct = round(st.n_duplicate_rows / max(n, 1) * 100, 2)
     row = (n, k, round(st.memory_bytes() / 1024 ** 2, 3),
@@ -71,18 +71,29 @@ def dataset_meta(df: DataFrame, exclude: Sequence[str] = (), order_by: str | Non
 def date_like_columns(df: DataFrame, columns: Sequence[str] | None = None,
                       order_by: str | None = None, cfg: QualityConfig = DEFAULT_CONFIG) -> DataFrame:
     """column, n_sampled, n_parsed, parsed_share, date_like: over the first 30
-    non-null values of each text column by row order."""
+    non-null values of each text column by row order. A column without values has
+    n_sampled 0, no share, and is not date-like."""
     t = cfg.thresholds
     base, order = _order_or_file_order(df, order_by)
     cols = list(columns) if columns is not None else [
         f.name for f in df.schema.fields if is_string(f.dataType) and f.name != order_by]
+    if not cols:
+        return df.sparkSession.createDataFrame(
+            [], "column string, n_sampled bigint, n_parsed bigint, parsed_share double, date_like boolean")
     first = head_values(base, cols, order, t.date_sample_rows)
-    return (first.groupBy("column")
-            .agg(F.count(F.lit(1)).alias("n_sampled"),
-                 F.count_if(parse_date_mixed(F.col("value")).isNotNull()).alias("n_parsed"))
-            .select("column", "n_sampled", "n_parsed",
-                    (F.col("n_parsed") / F.col("n_sampled")).alias("parsed_share"),
-                    (F.col("n_parsed") / F.col("n_sampled") > t.date_like_share).alias("date_like")))
+    found = first.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n_sampled"),
+        F.count_if(parse_date_mixed(F.col("value")).isNotNull()).alias("n_parsed"))
+    share = F.try_divide("n_parsed", "n_sampled")
+    return (_per_column(df, cols, found).na.fill(0, ["n_sampled", "n_parsed"])
+            .select("column", "n_sampled", "n_parsed", share.alias("parsed_share"),
+                    F.coalesce(share > t.date_like_share, F.lit(False)).alias("date_like")))
+
+
+def _per_column(df: DataFrame, cols: Sequence[str], found: DataFrame) -> DataFrame:
+    """`found` (at most one row per column) with a row for every column of `cols`."""
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    return names.join(found, "column", "left")
 
 
 def column_classes(df: DataFrame, exclude: Sequence[str] = (), order_by: str | None = None,
@@ -117,13 +128,17 @@ def column_classes(df: DataFrame, exclude: Sequence[str] = (), order_by: str | N
 
 def column_profile(df: DataFrame, exclude: Sequence[str] = (), order_by: str | None = None,
                    stats: TableStats | None = None) -> DataFrame:
-    """column, ord, dtype, friendly_type, non_null, missing, n_unique."""
+    """column, ord, dtype, friendly_type, non_null, missing, n_unique; nested columns
+    come last and without n_unique."""
     st = stats or TableStats(df, exclude=exclude, order_by=order_by)
     rows = []
     for i, c in enumerate(st.columns):
         cs = st.column(c)
         rows.append((c, i, cs.dtype.simpleString(), friendly_type(cs.dtype), cs.non_null,
                      cs.n_missing, st.unique_stats(c)[0]))
+    for i, c in enumerate(st.nested, len(rows)):
+        rows.append((c, i, st.types[c].simpleString(), friendly_type(st.types[c]),
+                     st.n_rows - st.n_missing(c), st.n_missing(c), None))
     return df.sparkSession.createDataFrame(
         rows, "column string, ord int, dtype string, friendly_type string, non_null bigint, "
               "missing bigint, n_unique bigint")
@@ -136,7 +151,8 @@ def preview(df: DataFrame, order_by: str, n: int = 50) -> DataFrame:
 
 def profile_samples(df: DataFrame, exclude: Sequence[str] = (), order_by: str | None = None,
                     k: int = 3) -> DataFrame:
-    """column, samples: the first `k` distinct non-null values by first appearance."""
+    """column, samples: the first `k` distinct non-null values by first appearance; a
+    column without values has an empty list."""
     base, order = _order_or_file_order(df, order_by)
     skip = set(exclude) | {order}
     cols = [f.name for f in df.schema.fields if f.name not in skip and f.name != "_rid"
@@ -148,12 +164,16 @@ def profile_samples(df: DataFrame, exclude: Sequence[str] = (), order_by: str |
         parts.append(value_frequencies(base, other, order).select("column", "value", "first_o"))
     if text:
         parts.append(_text_first_values(base, text, order, k))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column string, samples array<string>")
     vf = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     w = Window.partitionBy("column").orderBy("first_o", "value")
     firsts = vf.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k)
-    return (firsts.groupBy("column")
-            .agg(F.array_sort(F.collect_list(F.struct("_k", "value"))).alias("_s"))
-            .select("column", F.transform("_s", lambda s: s["value"]).alias("samples")))
+    found = (firsts.groupBy("column")
+             .agg(F.array_sort(F.collect_list(F.struct("_k", "value"))).alias("_s"))
+             .select("column", F.transform("_s", lambda s: s["value"]).alias("samples")))
+    return _per_column(df, cols, found).select(
+        "column", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
 
 
 def _text_first_values(base: DataFrame, cols: list[str], order: str, k: int) -> DataFrame:

@@ -83,6 +83,9 @@ class TableStats:
         drop = list(exclude) + ([order_by] if order_by else [])
         self.all_columns = [c for c in df.columns if c not in set(drop)]
         self.columns = profiled_columns(df, drop)
+        # arrays, maps, structs, binary: their nulls are counted, their values not profiled
+        self.nested = [c for c in self.all_columns if c not in set(self.columns)]
+        self._at = {c: i for i, c in enumerate(self.columns + self.nested)}
         self.row_columns = comparable_columns(df, drop)
         self.types = {f.name: f.dataType for f in df.schema.fields}
         self.failed: list[str] = []
@@ -111,7 +114,7 @@ class TableStats:
     def _scan(self) -> dict:
         # Wide tables are split into column chunks: one aggregate each, run
         # together, so no generated method grows past the JVM's size limits.
-        idx = list(range(len(self.columns)))
+        idx = list(range(len(self._at)))
         chunks = [idx[k:k + SCAN_CHUNK] for k in range(0, len(idx), SCAN_CHUNK)] or [[]]
         out: dict = {}
         for part in map_jobs(self._scan_chunk, chunks):
@@ -120,10 +123,13 @@ class TableStats:
 
     def _scan_chunk(self, idx: list[int]) -> dict:
         aggs = [F.count(F.lit(1)).alias("__n")]
+        names = self.columns + self.nested
         for i in idx:
-            c = self.columns[i]
+            c = names[i]
             dt = self.types[c]
             aggs.append(F.count_if(is_missing(c, dt)).alias(f"m{i}"))
+            if i >= len(self.columns):
+                continue
             if c in self._peered:
                 h = F.xxhash64(normalized(c, dt))
                 # order-free fingerprint: xor of value hashes, plus a sum of their top
@@ -221,7 +227,7 @@ class TableStats:
 
     # ---- per-column view --------------------------------------------------------------------
     def column(self, name: str) -> ColumnStats:
-        i = self.columns.index(name)
+        i = self._at[name]
         s = self._scan
         cs = ColumnStats(name=name, ord=i, dtype=self.types[name],
                          n_missing=int(s[f"m{i}"]), fingerprint=(s.get(f"h{i}"), s.get(f"g{i}")),
@@ -234,6 +240,10 @@ class TableStats:
                 cs.n_numeric_like = int(s[f"d{i}"])
         return cs
 
+    def n_missing(self, name: str) -> int:
+        """Nulls (and NaN) of any column, nested ones too."""
+        return int(self._scan[f"m{self._at[name]}"])
+
     def unique_stats(self, name: str) -> tuple[int, int]:
         return self._vf["summary"].get(name, (0, 0))
 
@@ -269,7 +279,7 @@ def head_values(df: DataFrame, columns: Sequence[str], order_by: str, n: int) ->
     return long.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
 
 
-def _comparable(name: str, dt: T.DataType):
+def comparable(name: str, dt: T.DataType):
     """A value whose hash is equal for equal cells: null for NaN, maps as sorted entries."""
     if isinstance(dt, T.MapType):
         return F.array_sort(F.map_entries(col_ref(name)))
@@ -282,7 +292,7 @@ def row_hashes(df: DataFrame, columns: Sequence[str]) -> list:
     """Two xxhash64 columns (`_qh1`, `_qh2`) of the normalised values plus a null mask, so
     (null, 'a') and ('a', null) hash apart. Together they identify a row by 128 bits."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    vals = [_comparable(c, types[c]) for c in columns]
+    vals = [comparable(c, types[c]) for c in columns]
     masks = []
     for k in range(0, len(vals), 62):
         mask = F.lit(0).cast("long")

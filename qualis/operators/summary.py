@@ -8,8 +8,9 @@ from typing import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import DEFAULT_CONFIG, QualityConfig
-from ..functions.columns import col_ref, quoted
+from ..functions.columns import col_ref
 from ..functions.missing import is_missing, normalized
+from .fill import with_positions
 from .parallel import map_jobs
 from .quantile import exact_quantiles
 
@@ -112,13 +113,26 @@ def top_categories(df: DataFrame, column: str, k: int = 10) -> DataFrame:
 
 def missing_map(df: DataFrame, order_by: str, block_rows: int = 1000,
                 exclude: Sequence[str] = ()) -> DataFrame:
-    """block, column, n_rows, n_missing, missing_share: the missing-value map at
-    block resolution (`order_by div block_rows`), one aggregate."""
+    """block, column, n_rows, n_missing, missing_share: the missing-value map over
+    blocks of `block_rows` consecutive rows (by `order_by`: number, date or timestamp)."""
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = [c for c in df.columns if c != order_by and c not in set(exclude)]
-    blk = F.floor(col_ref(order_by) / block_rows).cast("long").alias("block")
-    per = df.groupBy(blk).agg(F.count(F.lit(1)).alias("n_rows"),
-                              *[F.count_if(is_missing(c, types[c])).alias(c) for c in cols])
-    long = per.unpivot(["block", "n_rows"], [quoted(c) for c in cols], "column", "n_missing")
-    return long.select("block", "column", "n_rows", "n_missing",
-                       (F.col("n_missing") / F.col("n_rows")).alias("missing_share"))
+    block = F.floor(F.col("_qpos") / block_rows).cast("long").alias("block")
+    flags = [is_missing(c, types[c]).cast("int").alias(f"_qm{i}") for i, c in enumerate(cols)]
+    per = with_positions(df, order_by, flags).groupBy(block).agg(
+        F.count(F.lit(1)).alias("n_rows"), *[F.sum(f"_qm{i}").alias(f"_qm{i}") for i in range(len(cols))])
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_qm{i}").alias("n_missing"))
+                                for i, c in enumerate(cols)]))
+    return per.select("block", "n_rows", cells.alias("_qc")).select(
+        "block", "_qc.column", "n_rows", "_qc.n_missing",
+        (F.col("_qc.n_missing") / F.col("n_rows")).alias("missing_share"))
+
+
+def missing_cells(df: DataFrame, order_by: str, exclude: Sequence[str] = ()) -> DataFrame:
+    """row (the order key), column, missing (0 or 1): the missing-value map cell by cell,
+    without a shuffle."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    cols = [c for c in df.columns if c != order_by and c not in set(exclude)]
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), is_missing(c, types[c]).cast("int").alias("missing"))
+                                for c in cols]))
+    return df.select(col_ref(order_by).alias("row"), cells.alias("_qc")).select("row", "_qc.column", "_qc.missing")

@@ -30,14 +30,15 @@ VIEW_COLUMNS: dict[str, list[tuple[str, str]]] = {
                        ("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax", "double"),
                        ("l_returnflag", "string"), ("l_linestatus", "string"),
                        ("l_shipdate", "timestamp")],
+    "dirty_embeddings": [("vec_id", "int"), ("embedding", "array"), ("label", "int4")],
     "readme_messy": [("Name", "string"), ("Age", "int"), ("City", "string"), ("Flag", "string")],
     "crm": [("CustomerID", "int"), ("CustomerID_Copy", "int"), ("Name", "string"), ("City", "string"),
             ("Age", "int"), ("Salary", "double"), ("Department", "string"), ("IsActive", "string"),
             ("JoinDate", "string"), ("Region", "string")],
 }
 
-# the given tables (kind "array": counted as a column, compared in whole rows,
-# not profiled)
+# the given tables (kind "array": nulls counted, compared in whole rows, values not
+# profiled)
 VIEW_COLUMNS.update({
     "region": [("r_regionkey", "int4"), ("r_name", "string")],
     "nation": [("n_nationkey", "int4"), ("n_name", "string"), ("n_regionkey", "int4")],
@@ -106,6 +107,10 @@ def stats_ctes(view: str, head: int | None = None) -> list[tuple[str, str]]:
         if k == "string":
             parts.append(f"coalesce(bool_or(regexp_matches({c}, '{WS}')), false) AS w{i}")
             parts.append(f"count(*) FILTER (WHERE regexp_matches({c}, '{NUM}')) AS d{i}")
+    # nested columns, with the number of profiled columns before each: only nulls count
+    nested = [(c, sum(k2 != "array" for _, k2 in VIEW_COLUMNS[view][:j]))
+              for j, (c, k) in enumerate(VIEW_COLUMNS[view]) if k == "array"]
+    parts += [f"count(*) FILTER (WHERE {c} IS NULL) AS x{c}" for c, _ in nested]
     ctes = [("s", f"SELECT {', '.join(parts)} FROM {view}")]
     rows = []
     for i, (c, k) in enumerate(cols):
@@ -129,6 +134,10 @@ def stats_ctes(view: str, head: int | None = None) -> list[tuple[str, str]]:
         rows.append(f"SELECT {q(c)} AS col, {i} AS ord, {q(k)} AS kind, {numeric} AS numeric, "
                     f"s.n AS n, s.m{i} AS miss, s.u{i} AS uniq, {top} AS top, {ws} AS ws, "
                     f"{dig} AS dig, s.n - s.m{i} AS nn, {sampled} AS sampled, {case} AS casemix FROM s")
+    for c, at in nested:
+        rows.append(f"SELECT {q(c)} AS col, {at - 0.5} AS ord, 'array' AS kind, false AS numeric, s.n AS n, "
+                    f"s.x{c} AS miss, NULL AS uniq, NULL AS top, false AS ws, 0 AS dig, s.n - s.x{c} AS nn, "
+                    f"0 AS sampled, false AS casemix FROM s")
     ctes.append(("cs", "\nUNION ALL\n".join(rows)))
     distinct = ", ".join(c for c, _ in VIEW_COLUMNS[view])
     ctes.append(("dr", f"SELECT (SELECT count(*) FROM {view}) - "
@@ -169,7 +178,8 @@ def issue_selects(view: str) -> dict[str, list[str]]:
         "missing_values", "missing_values", "Missing Values",
         f"(CASE WHEN max(miss) / {n} >= 0.30 THEN 'HIGH' WHEN max(miss) / {n} >= 0.05 THEN 'MEDIUM' "
         f"ELSE 'LOW' END)", agg, f"sum(miss) / ({n} * {k})",
-        "(CASE WHEN bool_or(numeric) THEN 'fill_median' ELSE 'fill_mode' END)",
+        "(CASE WHEN bool_or(numeric) THEN 'fill_median' WHEN bool_or(kind <> 'array') THEN 'fill_mode' "
+        "ELSE 'review_manually' END)",
         ["fill_mean", "fill_mode", "forward_fill", "backward_fill", "interpolate", "drop_rows",
          "drop_columns"], "missing", 0, "(SELECT * FROM cs WHERE miss > 0)", "count(*) > 0")]
     ratio = "max(dup) / (SELECT count(*) FROM {v})".format(v=view)

@@ -187,6 +187,7 @@ def _as_stream(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
 
 
 def _run_stream(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+    """For results of a few rows (one per column and rule): a table in the driver."""
     name = f"qualis_{uuid.uuid4().hex}"
     ckpt = os.path.join(ensure_checkpoint_dir(spark), f"stream-{name}")
     q = (stream.writeStream.format("memory").queryName(name).outputMode(mode)
@@ -195,11 +196,22 @@ def _run_stream(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     return spark.table(name)
 
 
+def _run_to_files(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """The stream's rows appended to Parquet files under the checkpoint folder, read back."""
+    folder = os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
+    q = (stream.writeStream.format("parquet").outputMode("append")
+         .option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def stream_missing_by_window_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows that the watermark (an hour behind the latest event) has closed."""
     from .streaming import missing_by_window
     stream = _as_stream(spark, sf_dir, "dirty_events")
-    out = _run_stream(spark, missing_by_window(stream, "ts", "1 hour", "1 hour",
-                                               ["event_type", "value", "mixed"]), "complete")
+    out = _run_to_files(spark, missing_by_window(stream, "ts", "1 hour", "1 hour",
+                                                 ["event_type", "value", "mixed"]))
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "column",
                       "n_rows", "n_missing")
 
@@ -209,7 +221,7 @@ def stream_clean_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = _as_stream(spark, sf_dir, "dirty_customer")
     steps = [("trim_spaces", ["c_name"]), ("title_case", ["c_mktsegment"]),
              ("convert_to_numeric", ["c_acctbal"]), ("drop_columns", ["joined"])]
-    return _run_stream(spark, clean_stream(stream, steps), "append")
+    return _run_to_files(spark, clean_stream(stream, steps))
 
 
 def stream_audit_q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,6 +319,26 @@ def _missing_map(spark, sf_dir):
     return m.select("block", "column", "n_rows", "n_missing", F.round("missing_share", 9).alias("missing_share"))
 
 
+def _missing_map_ts(spark, sf_dir):
+    """Blocks by time. Rows of equal time are ordered by a hash the oracle does not know,
+    so the mapped column is the time itself."""
+    df = table(spark, sf_dir, "dirty_events").select("ts", F.col("ts").alias("seen"))
+    m = summary.missing_map(df, "ts", 2000)
+    return m.select("block", "column", "n_rows", "n_missing", F.round("missing_share", 9).alias("missing_share"))
+
+
+def _missing_cells(spark, sf_dir):
+    return summary.missing_cells(table(spark, sf_dir, "dirty_events"), ORDER)
+
+
+def _issue_details(spark, sf_dir):
+    d = detect.detect_all(table(spark, sf_dir, "dirty_events"), order_by=ORDER)
+    pct = F.array_sort(F.transform(F.map_entries("per_column_pct"), lambda e: F.concat(
+        e["key"], F.lit(":"), e["value"].cast("decimal(10,2)").cast("string"))))
+    return d.select("issue_id", "duplicate_count", F.array_join(pct, ",").alias("per_column_pct"),
+                    F.array_join(F.transform("groups", lambda g: F.array_join(g, "=")), ";").alias("groups"))
+
+
 def _audit(view: str, rules: dict) -> Query:
     def run(spark, sf_dir):
         a = audit.audit_values(table(spark, sf_dir, view), rules)
@@ -396,12 +428,17 @@ def queries() -> dict[str, Query]:
         "convert_to_string": _clean("dirty_events", "convert_to_string", ["value", "user_id"]),
         "frequency_encoding": _clean("dirty_events", "frequency_encoding", ["ts", "event_type"],
                                      ["ts_freq_enc", "event_type_freq_enc"], 12),
+        "frequency_encoding_text": _clean("documents", "frequency_encoding", ["text"], ["text_freq_enc"], 12),
+        "keep_as_metadata": _clean("dirty_events", "keep_as_metadata", ["flag"]),
+        "keep_as_identifier": _clean("dirty_events", "keep_as_identifier", ["event_id"]),
         "remove_all_whitespace": _clean("dirty_events", "remove_all_whitespace", ["event_type"]),
         # plan and history
         "cleaning_plan": cleaning_plan,
         "cleaning_plan_lineitem": cleaning_plan_lineitem,
         "crm_pipeline": crm_pipeline,
         "all_issues_crm": _issues("crm"),
+        "all_issues_dirty_embeddings": _issues("dirty_embeddings"),
+        "issue_details": _issue_details,
         "all_issues_head500": _issues_head("dirty_events", 500),
         "all_issues_customer_head500": _issues_head("dirty_customer", 500),
         "all_issues_readme_messy": _issues("readme_messy"),
@@ -416,6 +453,8 @@ def queries() -> dict[str, Query]:
         "correlation_matrix": _corr,
         "top_categories": _top,
         "missing_map": _missing_map,
+        "missing_map_ts": _missing_map_ts,
+        "missing_cells": _missing_cells,
         # streaming forms
         "stream_missing_by_window": stream_missing_by_window_q,
         "stream_clean": stream_clean_q,
@@ -423,6 +462,7 @@ def queries() -> dict[str, Query]:
         # audits
         "audit_email": _audit("dirty_customer", {"email": "email"}),
         "audit_phone": _audit("customer", {"c_name": "phone", "c_acctbal": "phone"}),
+        "audit_phone_contacts": _audit("contacts", {"phone": "phone", "number": "phone", "balance": "phone"}),
         "audit_url": _audit("pages", {"url": "url"}),
         "audit_pincode": _audit("orders", {"o_orderkey": ["pincode", "pincode_us", "postcode"]}),
         "audit_special_chars": _audit("documents", {"text": "special_chars", "lang": "special_chars",
@@ -605,8 +645,12 @@ def _samples_sql() -> str:
 
 
 def _date_formats_sql() -> str:
-    from .functions.dates import strptime_formats
-    return "[" + ", ".join(O.q(f) for f in strptime_formats()) + "]"
+    """Layouts in this engine's notation, listed apart from `functions.dates`."""
+    days = ["%Y-%m-%d", "%Y/%m/%d", "%Y.%m.%d", "%m/%d/%Y", "%d/%m/%Y", "%m-%d-%Y", "%d-%m-%Y", "%m.%d.%Y",
+            "%d.%m.%Y", "%b %d %Y", "%b %d, %Y", "%B %d %Y", "%B %d, %Y", "%d %b %Y", "%d %B %Y", "%d-%b-%Y"]
+    clocks = ["", " %H:%M", " %H:%M:%S", " %H:%M:%S.%f", " %H:%M:%S%z", " %I:%M %p", " %I:%M:%S %p"]
+    iso = ["%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M:%S%z", "%Y-%m-%dT%H:%M", "%Y-%m-%dT%H:%M:%S.%f", "%Y%m%d", "%Y"]
+    return "[" + ", ".join(O.q(f) for f in [d + c for d in days for c in clocks] + iso) + "]"
 
 
 def _dates_sql() -> str:
@@ -685,14 +729,27 @@ def _corr_sql() -> str:
     return _ev("\nUNION ALL\n".join(rows))
 
 
-def _missing_map_sql() -> str:
+def _missing_map_sql(order: str = "rid", columns=None) -> str:
     rows = []
-    for c, t in O.VIEW_COLUMNS["dirty_events"]:
-        rows.append(f"SELECT CAST(floor(rid / 2000) AS BIGINT) AS block, {O.q(c)} AS column, count(*) AS n_rows, "
+    for c, t in columns or O.VIEW_COLUMNS["dirty_events"]:
+        rows.append(f"SELECT block, {O.q(c)} AS column, count(*) AS n_rows, "
                     f"count(*) FILTER (WHERE {O.missing(c, t)}) AS n_missing, "
                     f"round(count(*) FILTER (WHERE {O.missing(c, t)}) / count(*), 9) AS missing_share "
-                    f"FROM dirty_events GROUP BY 1")
-    return _ev("\nUNION ALL\n".join(rows))
+                    f"FROM placed GROUP BY 1")
+    placed = f"SELECT *, (row_number() OVER (ORDER BY {order}) - 1) // 2000 AS block FROM dirty_events"
+    return _ev("\nUNION ALL\n".join(rows), [("placed", placed)])
+
+
+def _issue_details_sql() -> str:
+    pct = "CAST(CAST(round(miss / n * 100, 2) AS DECIMAL(10, 2)) AS VARCHAR)"
+    groups = ("SELECT string_agg(g, ';' ORDER BY base) FROM (SELECT base, (SELECT col FROM cs WHERE ord = base) "
+              "|| '=' || string_agg(b, '=' ORDER BY ob) AS g FROM dc GROUP BY base)")
+    return O.with_view("dirty_events", (
+        "SELECT issue_id, CASE WHEN issue_id = 'duplicate_rows' THEN (SELECT dup FROM dr) END AS duplicate_count, "
+        f"CASE WHEN issue_id = 'missing_values' THEN (SELECT string_agg(col || ':' || {pct}, ',' ORDER BY col) "
+        f"FROM cs WHERE miss > 0) END AS per_column_pct, "
+        f"CASE WHEN issue_id = 'duplicate_columns' THEN ({groups}) END AS groups FROM iss"),
+        O.issues_ctes("dirty_events"))
 
 
 _EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
@@ -724,7 +781,8 @@ def _audit_sql(view: str, rules: dict) -> str:
     rows = []
     for col, rs in rules.items():
         for r in ([rs] if isinstance(rs, str) else rs):
-            ok = _rule_sql(r, col)
+            # numbers with a fraction are no phones
+            ok = "false" if (r, col) in (("phone", "c_acctbal"), ("phone", "balance")) else _rule_sql(r, col)
             rows.append(f"SELECT {O.q(col)} AS column, {O.q(r)} AS rule, count({col}) AS n_non_null, "
                         f"count(*) FILTER (WHERE {col} IS NOT NULL AND {ok}) AS n_valid, "
                         f"count({col}) - count(*) FILTER (WHERE {col} IS NOT NULL AND {ok}) AS n_invalid, "
@@ -891,6 +949,11 @@ def oracle_sql() -> dict[str, str]:
                                          "value": _ffill("value", False)})),
         "interpolate": _interpolate_sql(),
         "drop_rows": _ev(_select_ev({}) + " WHERE event_type IS NOT NULL AND value IS NOT NULL"),
+        "keep_as_metadata": _ev(_select_ev({})),
+        "keep_as_identifier": _ev(_select_ev({})),
+        "frequency_encoding_text": "SELECT documents.*, round(n / (SELECT count(text) FROM documents), 12) AS text_freq_enc "
+                                   "FROM documents LEFT JOIN (SELECT text AS t, count(*) AS n FROM documents "
+                                   "WHERE text IS NOT NULL GROUP BY text) ON t = text",
         "drop_columns": _ev(_select_ev({}, drop=("flag",))),
         "drop_duplicates_first": _dedup_sql("first"),
         "drop_duplicates_last": _dedup_sql("last"),
@@ -915,6 +978,8 @@ def oracle_sql() -> dict[str, str]:
         "cleaning_plan_lineitem": _lineitem_plan_sql(),
         "crm_pipeline": _crm_sql(),
         "all_issues_crm": O.issues_sql("crm"),
+        "all_issues_dirty_embeddings": O.issues_sql("dirty_embeddings"),
+        "issue_details": _issue_details_sql(),
         "all_issues_head500": O.issues_sql("dirty_events", head=500),
         "all_issues_customer_head500": O.issues_sql("dirty_customer", head=500),
         "all_issues_readme_messy": O.issues_sql("readme_messy"),
@@ -934,9 +999,14 @@ def oracle_sql() -> dict[str, str]:
                               "WHERE event_type IS NOT NULL GROUP BY event_type ORDER BY count DESC, value "
                               "LIMIT 10"),
         "missing_map": _missing_map_sql(),
+        "missing_map_ts": _missing_map_sql("ts", [("ts", "timestamp")]).replace("'ts' AS column", "'seen' AS column"),
+        "missing_cells": _ev("\nUNION ALL\n".join(
+            f"SELECT rid AS row, {O.q(c)} AS column, CAST({O.missing(c, t)} AS INTEGER) AS missing FROM dirty_events"
+            for c, t in O.VIEW_COLUMNS["dirty_events"])),
         "stream_missing_by_window": _ev("\nUNION ALL\n".join(
             f"SELECT date_trunc('hour', ts) AS window_start, {O.q(c)} AS \"column\", count(*) AS n_rows, "
-            f"count(*) FILTER (WHERE {c} IS NULL) AS n_missing FROM dirty_events GROUP BY 1"
+            f"count(*) FILTER (WHERE {c} IS NULL) AS n_missing FROM dirty_events "
+            f"WHERE date_trunc('hour', ts) <= (SELECT max(ts) FROM dirty_events) - INTERVAL 2 HOUR GROUP BY 1"
             for c in ("event_type", "value", "mixed"))),
         "stream_clean": _cu(f"SELECT rid, c_custkey, CASE WHEN c_name IS NULL THEN NULL ELSE {_trim('c_name')} "
                             f"END AS c_name, {_title('c_mktsegment')} AS c_mktsegment, c_acctbal, email, active "
@@ -944,6 +1014,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_audit": _audit_sql("dirty_customer", {"email": "email", "c_name": "special_chars"}),
         "audit_email": _audit_sql("dirty_customer", {"email": "email"}),
         "audit_phone": _audit_sql("customer", {"c_name": "phone", "c_acctbal": "phone"}),
+        "audit_phone_contacts": _audit_sql("contacts", {"phone": "phone", "number": "phone", "balance": "phone"}),
         "audit_url": _audit_sql("pages", {"url": "url"}),
         "audit_pincode": _audit_sql("orders", {"o_orderkey": ["pincode", "pincode_us", "postcode"]}),
         "audit_special_chars": _audit_sql("documents", {"text": "special_chars", "lang": "special_chars",

@@ -12,8 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-
-MAX_RANKED_FILES = 10_000
+BROADCAST_BYTES = 64 << 20
 
 
 def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
@@ -23,13 +22,13 @@ def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
 def read_parquet_ordered(spark, path: str, name: str = "_rid") -> DataFrame:
     """Parquet read with a row id that does not depend on how files are split:
     the rank of the file path in the high bits, the row index inside the file
-    below. Beyond MAX_RANKED_FILES files it falls back to `with_row_id`."""
+    below. The paths (one per file, as the driver's own listing) are ranked and joined."""
     df = spark.read.parquet(path)
-    if len(df.inputFiles()) > MAX_RANKED_FILES:  # the driver's file listing, no job
-        return with_row_id(df, name)
     # the paths as `_metadata` spells them (a metadata-only scan, one row per file out)
     files = sorted(r[0] for r in df.select(F.col("_metadata.file_path")).distinct().collect())
-    rank = F.create_map(*[x for i, f in enumerate(files) for x in (F.lit(f), F.lit(i))])
-    rid = (rank[F.col("_metadata.file_path")].cast("long") * F.lit(1 << 40)
-           + F.col("_metadata.row_index"))
-    return df.withColumn(name, rid)
+    ranks = spark.createDataFrame(list(zip(files, range(len(files)))), "_qpath string, _qrank long")
+    if sum(map(len, files)) <= BROADCAST_BYTES:
+        ranks = F.broadcast(ranks)
+    ids = F.col("_qrank") * F.lit(1 << 40) + F.col("_qrow")
+    rows = df.select("*", F.col("_metadata.file_path").alias("_qpath"), F.col("_metadata.row_index").alias("_qrow"))
+    return rows.join(ranks, "_qpath").withColumn(name, ids).drop("_qpath", "_qrow", "_qrank")

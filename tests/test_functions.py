@@ -44,6 +44,21 @@ def test_dates_month_first_and_year(spark):
                    "2024-01-05", None]
 
 
+def test_date_layouts(spark):
+    vals = ["1/5/2024", "2024-1-5", "2024-01-05T10:00:00Z", "01/05/2024 10:00 AM", "Jan 5, 2024 10:00:00",
+            "2024-01-05 10:00:00.123456", "5 January 2024", "5-Jan-2024", "2024/1/5 9:30", "20240105", "2024-13-45",
+            "hello", "12-34"]
+    got = _eval(spark, vals, lambda c: F.date_format(parse_date_mixed(c), "yyyy-MM-dd"))
+    assert got == ["2024-01-05"] * 10 + [None] * 3
+
+
+def test_phone_needs_text_or_whole_numbers(spark):
+    df = spark.createDataFrame([("98765 43210", 9876543210, 98765.4321), (None, None, None)],
+                               "t string, n long, x double")
+    got = df.select(*[V.rule_check("phone", f.name, f.dataType) for f in df.schema.fields]).collect()
+    assert [tuple(r) for r in got] == [(True, True, False), (None, None, None)]
+
+
 def test_email_phone_url_rules(spark):
     assert _eval(spark, ["a@b.co", " a@b.co ", "a.b.co", "a@b", "", None], V.email) == \
         [True, True, False, False, False, None]
