@@ -1,19 +1,27 @@
 """Stupid-backoff language-model scores, computed relationally.
 
-Words are mapped to a vocabulary of those with at least 1 / 2**VOCABULARY_BITS of all
-words (so at most that many); the others are one unknown word. The bigram counts of all
-documents form one table, hash-partitioned by bigram. Every document's distinct bigrams
-are exploded, joined to it, and summed per document:
+Every word of the corpus counts: words and bigrams are counted by hash, and the tables
+grow with the input. With c and N over the whole corpus and `own` the document's own
+count of the bigram, so that a document does not vouch for itself,
 
     S(v | u) = (c(u v) - own) / c(u)    if another place has the bigram, else
                0.4 * c(v) / N
 
-with c and N over the whole corpus and `own` the document's own count of the bigram, so
-a document does not vouch for itself. The score is the mean of ln S over its bigrams.
+The score is the mean of ln S over the document's bigrams.
 
-Skew: bigrams with at least 1 / 2**HOT_BITS of all bigrams (so at most that many) are
-broadcast and scored where the document lies; only rarer ones are shuffled and joined,
-and no key of that join has more than that share of the rows.
+A word is its 63-bit hash, or a number if it makes up at least 1 / 2**HOT_BITS of all words
+(at most that many). A document's distinct bigrams become rows, dealt out and sorted by
+bigram; a run of equal bigrams gives c(u v). Each row then needs one word's count: c(u), or
+c(v) where no other place has the bigram. Counts of frequent words are broadcast, those of
+the others are joined.
+
+Skew: bigrams that are frequent in some slice of the input are candidates, and those that
+reach 1 / 2**HOT_BITS of all words there (at most that many) are counted exactly, broadcast
+and scored where the document lies. These are all bigrams of at least 2 / 2**HOT_BITS, so no
+key of the two shuffles has more than that share of the rows.
+
+`vocabulary_bits` makes all words below 1 / 2**vocabulary_bits of all words one unknown
+word; without it no word is cut.
 
 Defined cases: a null or empty text has no words; fewer than two words have no bigram
 and a null score; repeated rows are documents each, with equal scores; an empty table gives
@@ -24,103 +32,208 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stored
-from .text import folded_words, in_slices, ref, texts
+from .text import CACHE_WORDS, folded_words, in_slices, ref, texts
 
-VOCABULARY_BITS = 15
 HOT_BITS = 17
 BACKOFF = 0.4
-_WIDTH = 32  # bits of a word number in a bigram
+_FLUSH = 1 << 19  # rows whose sums by document are kept before they are passed on
+
 
+class _Ids(dict):
+    """Words to numbers: 1, 2, ... for the frequent ones, a negative hash for the others,
+    0 for those outside of `known`, if that is given."""
+
+    def __init__(self, frequent: dict[int, int], known: frozenset[int] | None):
+        super().__init__()
+        self.frequent, self.known = frequent, known
 
-class _Vocabulary(dict):
     def __missing__(self, word: bytes) -> int:
-        return 0
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        h = (xxhash.xxh64_intdigest(word) | 1 << 63) - (1 << 64)
+        value = self[word] = self.frequent.get(h, h) if self.known is None or h in self.known else 0
+        return value
 
-    def bigrams(self, text: bytes) -> np.ndarray:
+    def of(self, text: bytes) -> np.ndarray:
         words = folded_words(text)
-        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return ids[:-1] << _WIDTH | ids[1:]
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def _keys(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of bigrams, to find equal ones within a slice and the frequent ones."""
+    key = u.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + v.view(np.uint64)
+    key ^= key >> np.uint64(29)
+    return key * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _bigrams(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([x[:-1] for x in ids]), np.concatenate([x[1:] for x in ids])
+
+
+def _count(words, hot_bits: int):
+    """Rows (u, v, n): the words of a slice (v is null), and its frequent bigrams."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = [words.value.of(t) for t in texts(batch.column("text"))]
+        w, n = np.unique(np.concatenate(ids), return_counts=True)
+        u, v = _bigrams(ids)
+        _, at, k = np.unique(_keys(u, v), return_index=True, return_counts=True)
+        often = k << hot_bits >= len(u)
+        at, k = at[often], k[often]
+        second = pa.array(np.concatenate((w, v[at])), mask=np.arange(len(w) + len(at)) < len(w))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate((w, u[at]))), second,
+                                           pa.array(np.concatenate((n, k)))], ["u", "v", "n"])
+    return run
 
 
-def _count_words(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    words = pa.array([w for t in texts(batch.column("text")) for w in folded_words(t)], pa.binary())
-    found = words.value_counts()
-    return pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")],
-                                      ["word", "n"])
+def _find(keys: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the sorted `hot`, and which keys are there."""
+    at = np.searchsorted(hot, keys)
+    at[at == len(hot)] = 0
+    return at, (hot[at] == keys if len(hot) else np.zeros(len(keys), bool))
 
 
-def _count_bigrams(vocabulary):
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        grams = [vocabulary.value.bigrams(t) for t in texts(batch.column("text"))]
-        found, n = np.unique(np.concatenate(grams), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["gram", "n"])
+def _count_hot(words, hot):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        u, v = _bigrams([words.value.of(t) for t in texts(batch.column("text"))])
+        at, there = _find(_keys(u, v), hot.value)
+        found, n = np.unique(at[there], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["i", "n"])
     return run
 
 
-def _scored(vocabulary, words, hot):
-    """Rows (rk, gram, own, part, size): one row per rarer bigram of a document, and one with
-    the sum of ln S of its frequent ones and its size, under a negative gram of its own."""
+def _scored(words, model):
+    """Rows (rk, u, v, own, part): one per rarer bigram of a document, and one with the sum of
+    ln S of its frequent ones and, as a negative `own`, the number of its bigrams."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, total = words.value
-        hot_grams, hot_counts = hot.value
-        out = []
-        for rk, text in zip(batch.column("rk").to_pylist(), texts(batch.column("text"))):
-            grams, own = np.unique(vocabulary.value.bigrams(text), return_counts=True)
-            at = np.searchsorted(hot_grams, grams)
-            at[at == len(hot_grams)] = 0
-            is_hot = hot_grams[at] == grams if len(hot_grams) else np.zeros(len(grams), bool)
-            g, o, others = grams[is_hot], own[is_hot], hot_counts[at[is_hot]] - own[is_hot]
-            u, v = g >> _WIDTH, g & ((1 << _WIDTH) - 1)
-            s = np.where(others > 0, others / counts[u], BACKOFF * counts[v] / total)
-            out.append((np.append(grams[~is_hot], -1 - (rk & ((1 << 62) - 1))), np.append(own[~is_hot], 0),
-                        np.append(np.zeros((~is_hot).sum()), float((o * np.log(s)).sum())),
-                        np.append(np.zeros((~is_hot).sum(), np.int64), int(own.sum()))))
-        sizes = [len(x[0]) for x in out]
-        rk = np.repeat(batch.column("rk").to_numpy(), sizes)
-        columns = [rk, *(np.concatenate(c) for c in zip(*out))]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["rk", "gram", "own", "part", "size"])
+        counts, total, hot, hot_counts = model.value
+        rks, n_docs, out, size = batch.column("rk").to_numpy(), batch.num_rows, [], []
+        for text in texts(batch.column("text")):
+            ids = words.value.of(text)
+            keys, at, own = np.unique(_keys(ids[:-1], ids[1:]), return_index=True, return_counts=True)
+            out.append((keys, ids[at], ids[at + 1], own))
+            size.append(max(0, len(ids) - 1))
+        doc = np.repeat(np.arange(n_docs), [len(x[0]) for x in out])
+        keys, u, v, own = (np.concatenate(c) for c in zip(*out))
+        at, is_hot = _find(keys, hot)
+        o, others = own[is_hot], hot_counts[at[is_hot]] - own[is_hot]
+        s = np.where(others > 0, np.maximum(others, 1) / counts[u[is_hot]], BACKOFF * counts[v[is_hot]] / total)
+        sums = np.bincount(doc[is_hot], o * np.log(s), n_docs)
+        rest = ~is_hot
+        columns = [np.concatenate(c) for c in (
+            (rks[doc[rest]], rks), (u[rest], rks), (v[rest], np.zeros(n_docs, np.int64)),
+            (own[rest], -np.array(size, np.int64)), (np.zeros(rest.sum()), sums))]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["rk", "u", "v", "own", "part"])
     return run
 
 
+def _settled(model):
+    """From rows sorted by bigram, rows (rk, w, k, s): s + k ln c(w) where w is a rarer word
+    (negative); for other w, s is a sum and k a number of bigrams."""
+    names = ["rk", "u", "v", "own", "part"]
+
+    def batch_of(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["rk", "w", "k", "s"])
+
+    def by_document(kept):
+        rk, size, s = (np.concatenate(c) for c in zip(*kept))
+        found, at = np.unique(rk, return_inverse=True)
+        return batch_of(found, found & ((1 << 63) - 1), np.bincount(at, size).astype(np.int64), np.bincount(at, s))
+
+    def run(batches):
+        counts, total, _, _ = model.value
+        logs, unseen = np.log(np.maximum(counts, 1)), np.log(BACKOFF / total)
+        held, kept = None, []
+
+        def settle(rk, u, v, own, part):
+            starts = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])))
+            n = np.repeat(np.add.reduceat(np.maximum(own, 0), starts), np.diff(np.append(starts, len(u))))
+            is_gram, others = own > 0, n - own
+            shared = others > 0
+            w, k = np.where(shared, u, v), np.where(shared, -own, own)
+            s = part + np.where(is_gram, own * np.where(shared, np.log(np.maximum(others, 1)), unseen), 0.0)
+            rare = is_gram & (w < 0)
+            near = is_gram & ~rare
+            s[near] += k[near] * logs[w[near]]
+            kept.append((rk[~rare], np.where(is_gram, 0, -own)[~rare], s[~rare]))
+            return batch_of(rk[rare], w[rare], k[rare], s[rare])
+
+        for batch in batches:
+            rows = [batch.column(c).to_numpy() for c in names]
+            rows = rows if held is None else [np.concatenate(c) for c in zip(held, rows)]
+            u, v = rows[1], rows[2]
+            if not len(u):
+                continue
+            last = len(u) - int(np.argmin(np.append((u == u[-1])[::-1] & (v == v[-1])[::-1], False)))
+            held = [x[last:] for x in rows]  # the last bigram's run may go on
+            if last:
+                yield settle(*(x[:last] for x in rows))
+            if sum(len(x[0]) for x in kept) >= _FLUSH:
+                yield by_document(kept)
+                kept.clear()
+        if held is not None:
+            yield settle(*held)
+            yield by_document(kept)
+    return run
+
+
+def _word_numbers(batch: pa.RecordBatch) -> pa.RecordBatch:
+    n = [len(folded_words(t)) for t in texts(batch.column("text"))]
+    return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("rk"), pa.array(n, pa.int64())],
+                                      ["id", "rk", "n_words"])
+
+
 def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   vocabulary_bits: int = VOCABULARY_BITS, hot_bits: int = HOT_BITS) -> DataFrame:
+                   vocabulary_bits: int | None = None, hot_bits: int = HOT_BITS) -> DataFrame:
     """Per row: id, n_words, n_bigrams, score (mean ln S)."""
     sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.xxhash64(ref(id_col).cast("long"), ref(text_col)).alias("rk"), ref(text_col).alias("text"))
-    words = stored(rows.mapInArrow(in_slices(_count_words, "text"), "word string, n long")
-                   .groupBy("word").agg(F.sum("n").alias("n")))
-    total = words.agg(F.sum("n")).first()[0] or 0
-    known = words.where(F.col("n") * (1 << vocabulary_bits) >= total).orderBy("word").collect()
-    vocabulary = sc.broadcast(_Vocabulary({r.word.encode(): i + 1 for i, r in enumerate(known)}))
-    counts = np.array([0] + [r.n for r in known], np.float64)
-    counts[0] = total - counts.sum()
-    unigrams = sc.broadcast((counts, max(total, 1)))
-
-    grams = stored(rows.mapInArrow(in_slices(_count_bigrams(vocabulary), "text"), "gram long, n long")
-                   .groupBy("gram").agg(F.sum("n").alias("n")))
-    all_grams = grams.agg(F.sum("n")).first()[0] or 0
-    frequent = grams.where(F.col("n") * (1 << hot_bits) >= all_grams).orderBy("gram").collect()
-    hot = sc.broadcast((np.array([r.gram for r in frequent], np.int64), np.array([r.n for r in frequent], np.int64)))
-
-    exploded = rows.mapInArrow(in_slices(_scored(vocabulary, unigrams, hot), "text"),
-                               "rk long, gram long, own long, part double, size long")
-    table = docs.sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate(counts)], "w long, c double")
-    first, second = table.toDF("u", "cu"), table.toDF("v", "cv")  # at most 2**vocabulary_bits + 1 rows
-    u, v = F.shiftright("gram", _WIDTH), F.col("gram").bitwiseAND((1 << _WIDTH) - 1)
-    joined = (exploded.join(grams, "gram", "left")
-              .withColumns({"u": u, "v": v}).join(F.broadcast(first), "u", "left").join(F.broadcast(second), "v", "left"))
-    others = F.col("n") - F.col("own")
-    log = F.when(others > 0, F.ln(others / F.col("cu"))).otherwise(F.ln(BACKOFF * F.col("cv") / max(total, 1)))
-    sums = (joined.select("rk", F.when(F.col("gram") < 0, F.col("part")).otherwise(F.col("own") * log).alias("s"), "size")
-            .groupBy("rk").agg(F.sum("s").alias("s"), F.sum("size").alias("m")))
+    id_ = ref(id_col).cast("long")
+    rows = docs.select(id_.alias("id"), F.xxhash64(id_, ref(text_col)).alias("rk"), ref(text_col).alias("text"))
+    read = rows.select("rk", "text")
+
+    def count(known: frozenset[int] | None) -> DataFrame:
+        made = read.mapInArrow(in_slices(_count(sc.broadcast(_Ids({}, known)), hot_bits), "text"),
+                               "u long, v long, n long")
+        return stored(made.groupBy("u", "v").agg(F.sum("n").alias("n")))
+
+    counted, known = count(None), None
+    total = counted.where("v IS NULL").agg(F.sum("n")).first()[0] or 0
+    if vocabulary_bits is not None:
+        known = frozenset(r.u for r in counted.where("v IS NULL").where(F.col("n") * (1 << vocabulary_bits) >= total)
+                          .collect())
+        counted = count(known)
+    often = counted.where(F.col("n") * (1 << hot_bits) >= total)
+    frequent = [(r.u, r.n) for r in often.where("v IS NULL").collect()]
+    outside = sum(n for u, n in frequent if u == 0)
+    frequent = [x for x in frequent if x[0]]
+    counts = np.array([outside, *(n for _, n in frequent)], np.float64)
+    number = {u: i + 1 for i, (u, _) in enumerate(frequent)}
+    words = sc.broadcast(_Ids(number, known))
+    pairs = [(number.get(r.u, r.u), number.get(r.v, r.v)) for r in often.where("v IS NOT NULL").collect()]
+    hot = np.unique(_keys(*np.array(pairs, np.int64).reshape(-1, 2).T.copy()))
+    hot_counts = np.zeros(len(hot), np.int64)
+    if len(hot):
+        candidates = sc.broadcast(hot)
+        for r in (read.mapInArrow(in_slices(_count_hot(words, candidates), "text"), "i long, n long")
+                  .groupBy("i").agg(F.sum("n").alias("n")).collect()):  # at most 2**hot_bits rows
+            hot_counts[r.i] = r.n
+    model = sc.broadcast((counts, max(total, 1), hot, hot_counts))
+
+    exploded = read.mapInArrow(in_slices(_scored(words, model), "text"),
+                               "rk long, u long, v long, own long, part double")
+    settled = (exploded.repartition("u", "v").sortWithinPartitions("u", "v")
+               .mapInArrow(_settled(model), "rk long, w long, k long, s double"))
+    others = counted.where("v IS NULL").where(F.col("n") * (1 << hot_bits) < total)         .select(F.col("u").alias("w"), F.col("n").alias("c"))
+    is_word = F.col("w") < 0
+    sums = (settled.join(others, "w", "left")
+            .groupBy("rk").agg(F.sum(F.col("s") + F.when(is_word, F.col("k") * F.ln("c")).otherwise(0.0)).alias("s"),
+                               F.sum(F.when(~is_word, F.col("k"))).alias("m")))
     # rows of equal id and text are summed together: the mean is over all their bigrams
-    n_words = F.coalesce(F.regexp_count(ref(text_col), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0))
-    out = docs.select(ref(id_col).cast("long").alias(id_col), n_words.cast("long").alias("n_words"),
-                      F.xxhash64(ref(id_col).cast("long"), ref(text_col)).alias("rk"))
+    out = rows.mapInArrow(in_slices(_word_numbers, "text"), "id long, rk long, n_words long")
     n_bigrams = F.greatest(F.col("n_words") - 1, F.lit(0))
     return out.join(sums, "rk", "left").select(
-        ref(id_col), "n_words", n_bigrams.alias("n_bigrams"),
+        F.col("id").alias(id_col), "n_words", n_bigrams.alias("n_bigrams"),
         F.when(n_bigrams > 0, F.col("s") / F.col("m")).alias("score"))

@@ -286,6 +286,27 @@ def test_lm_matches_brute_force(docs, empty):
     assert lm.backoff_scores(empty).count() == 0
 
 
+def test_lm_keeps_every_word(spark):
+    """No vocabulary cut: rare words have counts of their own and back off."""
+    r = random.Random(11)
+    texts = [" ".join(r.choices(["the", "of", "a", "sea", "was", "and", "it", "blue"], k=700)) for _ in range(100)]
+    texts += [" ".join(f"w{r.randrange(10**9)}" for _ in range(300)) for _ in range(3)]
+    texts += ["rare1 rare2 the rare1 rare3", "rare1 rare2 of rare4"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    split = [t.split() for t in texts]
+    uni = Counter(w for v in split for w in v)
+    own = [Counter(zip(v, v[1:])) for v in split]
+    bi = sum(own, Counter())
+    total = sum(uni.values())
+    assert total > 2 * 32768  # a cut at 1 / 2**15 would take the words that occur once
+    for bits in (4, 17):
+        got = {x.doc_id: x.score for x in lm.backoff_scores(df, hot_bits=bits).collect()}
+        for i, g in enumerate(own):
+            s = sum(c * np.log((bi[x] - c) / uni[x[0]] if bi[x] > c else 0.4 * uni[x[1]] / total) for x, c in g.items())
+            assert got[i] == pytest.approx(s / sum(g.values()), abs=1e-9)
+        assert max(got[i] for i in (100, 101, 102)) < min(got[i] for i in range(100)) - 5
+
+
 # --- substring dedup ---
 
 def brute_removed(rows, n=13):
