@@ -8,7 +8,9 @@ Neighbouring diagonals of one template (words put in or left out) are merged, an
 share of template words verified in the merged span is the template's coverage.
 
 `PHRASES` are the base labels: a phrase counts wherever all its words stand. `TEMPLATES`
-add labels when at least MIN_COVERED of their words are verified in one span.
+add labels when at least MIN_COVERED of their words are verified in one span. Sibling
+templates differ by a word or two, so of spans that lie on the same words only the one with
+the most verified words counts (ties: the fewest others; equal ones all count).
 
 Defined cases: a null or empty text has no words and no labels; repeated rows (equal id
 and text) get equal rows; a null id is kept; an empty table gives no rows; other columns
@@ -44,14 +46,21 @@ TEMPLATES = [
             "hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu "
             "general public license as published by the free software foundation"),
+    ("gpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu "
+            "general public license as published by the free software foundation"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu "
              "lesser general public license as published by the free software foundation"),
+    ("lgpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu "
+             "lesser general public license as published by the free software foundation"),
+    ("lgpl", "this work is licensed under the gnu lesser general public license version 3"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl "
             "was not distributed with this file you can obtain one at"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution share alike 4 0 international license"),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution non commercial 4 0 international license"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights "
             "to this work"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
@@ -102,11 +111,18 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
              .withColumn("span", F.sum("new").over(order)))
     words_at = spans.withColumn("tp", F.explode("at"))
     spans = (words_at.groupBy("k", "rk", "t", "span", "m").agg(
-        F.count_distinct("tp").alias("n"),
+        F.count_distinct("tp").alias("n"), (F.min(F.col("tp") + F.col("diagonal"))
+                                            + F.max(F.col("tp") + F.col("diagonal"))).alias("middle"),
         F.array_sort(F.collect_set(F.when(F.size("at") == F.col("m"), F.col("diagonal")))).alias("exact")))
     labelled = spans.join(F.broadcast(table.select("t", "base", "label")), "t")
     is_base = F.col("base") & (F.size("exact") > 0)
     added = ~F.col("base") & (F.col("n") >= MIN_COVERED * F.col("m")) & (F.col("n") >= MIN_WORDS)
+    # spans of at least MIN_WORDS words whose middles (doubled) are less than that apart overlap
+    near = Window.partitionBy("k", "rk").orderBy("middle").rangeBetween(1 - 2 * MIN_WORDS, 2 * MIN_WORDS - 1)
+    rank = F.struct(F.col("n"), F.col("n") - F.col("m"))
+    labelled = (labelled.where(is_base | added).withColumn("best", F.max(F.when(added, rank)).over(near))
+                .withColumn("is_best", ~F.col("base") & (rank == F.col("best"))))
+    added = F.col("is_best")
     found = labelled.groupBy("k", "rk").agg(
         F.sum(F.when(is_base, F.size("exact"))).alias("n_base"),
         F.min(F.when(is_base, F.array_min("exact"))).alias("first_word"),

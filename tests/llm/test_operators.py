@@ -100,6 +100,22 @@ def test_license_template_with_changed_words(spark):
     assert got[2] == ("", 0.0) and got[3] == ("", 0.0)
 
 
+def test_sibling_licenses_are_told_apart(spark):
+    cc = "This work is licensed under a Creative Commons Attribution%s 4.0 International License."
+    gnu = ("This %s is free software; you can redistribute it and/or modify it under the terms of the GNU %sGeneral "
+           "Public License as published by the Free Software Foundation")
+    cases = [(cc % "", "cc-by"), (cc % "-ShareAlike", "cc-by-sa"), (cc % "-Share Alike", "cc-by-sa"),
+             (cc % "-NonCommercial", "cc-by-nc"), (cc % " Non-Commercial", "cc-by-nc"),
+             (cc % "-NonCommercial-ShareAlike", "cc-by-nc,cc-by-sa"), (cc % "" + " " + cc % "-ShareAlike", "cc-by,cc-by-sa"),
+             (gnu % ("program", ""), "gpl"), (gnu % ("library", "Lesser "), "lgpl"), (gnu % ("program", "Lesser "), "lgpl"),
+             (gnu % ("library", ""), "gpl"), (gnu % ("program", "") + ". " + gnu % ("library", "Lesser "), "gpl,lgpl"),
+             ("This work is licensed under the GNU Lesser General Public License version 3", "lgpl")]
+    cases += [("some words before " + t.replace("is", "was", 1) + " and after", labels) for t, labels in cases[:4]]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.license_scan(df).collect()}
+    assert got == {i: labels for i, (_, labels) in enumerate(cases)}
+
+
 # --- decontamination ---
 
 def brute_hits(text, items, n=10):
