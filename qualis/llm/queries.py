@@ -57,7 +57,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)],
                                  "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_conversations(rows.unionByName(more)))
+    return chat.read_back(chat.format_turns(rows.unionByName(more)))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -450,6 +450,29 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_conversations(df.where("false"))).count() == 0
 
 
+def test_chat_turns_stay_rows(spark):
+    """One row per turn, also where one id, or the null id, has most of them; joined they are the conversation."""
+    r = random.Random(2)
+    rows = [(r.choice((None, 1, 1, 1, c)), r.choice((None, c % 50)), r.choice(("user", "assistant", None)),
+             r.choice((None, "", "### x", "word " * (c % 9)))) for c in range(600)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    turns = chat.format_turns(df)
+    made = defaultdict(list)
+    for t in turns.collect():
+        made[t.conv_id].append(t)
+    assert sum(map(len, made.values())) == len(rows)
+    for whole in chat.format_conversations(df).collect():
+        own = sorted(made[whole.conv_id], key=lambda t: t.seq)
+        assert [t.seq for t in own] == list(range(whole.n_turns))
+        assert [t.offset for t in own] == [sum(len(x.ids) // 4 for x in own[:i]) for i in range(len(own))]
+        assert b"".join(t.ids for t in own) == whole.ids
+        assert [x for t in own for x in t.loss_start] == whole.loss_start
+        assert [x for t in own for x in t.loss_end] == whole.loss_end
+    assert sorted(map(repr, chat.read_back(turns).collect())) == sorted(
+        map(repr, chat.read_back(chat.format_conversations(df)).collect()))
+    assert chat.read_back(chat.format_turns(df.where("false"))).count() == 0
+
+
 # --- packing ---
 
 @pytest.mark.parametrize("window,max_open", [(2048, 4096), (64, 5)])
