@@ -8,7 +8,9 @@ kind, log-odds of standing outside the article, between MIN_PRICE and MAX_PRICE.
 
 Elements that never hold article text (scripts, styles, menus, forms, ...; see SKIPPED) are
 one cheap token without words, so the run may span one inside the article without taking
-its text. In the region, block tags end a block; character references
+its text. Elements with such a class, id or role are too, unless they are wrappers: they hold
+most of the page's words and an <h1> (or the page has none, and they are no list of comments
+or related texts). In the region, block tags end a block; character references
 are decoded, white space is collapsed, and blocks are joined by a line feed.
 
 The fit reads a bounded sample: the SAMPLE labelled pages with the smallest hash of the id
@@ -51,6 +53,7 @@ BOILERPLATE = frozenset("ad ads advert adverts advertisement banner breadcrumb b
                         "subscribe toolbar widget".split())
 ARTICLE = frozenset("article body content entry main post story".split())
 # --- End of fixed values. ---
+LISTS = frozenset("comment comments related respond".split())  # their entries may be <article> elements
 REGIONS = frozenset(("article", "main"))
 KINDS = ("inline", "content", "div", "other", "region", "skipped")
 # (inside, outside) counts added to the sample's: what the kinds are without labelled pages
@@ -62,9 +65,9 @@ _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|
 _PART = re.compile(r"[a-z0-9]+")
 
 
-def _is_boilerplate(attributes: str) -> bool:
+def _boilerplate(attributes: str) -> set[str]:
     parts = {p for m in _NAMES.finditer(attributes) for p in _PART.findall((m[1] or m[2] or m[3] or "").lower())}
-    return bool(parts & BOILERPLATE) and not parts & ARTICLE
+    return set() if parts & ARTICLE else parts & BOILERPLATE
 
 
 def kind_of(name: str) -> str:
@@ -79,25 +82,59 @@ def kind_of(name: str) -> str:
     return "div" if name == "div" else "other"
 
 
-def tokens(page: str):
+class _Named:
+    """An element with a boilerplate name: its tokens, words and <h1> tags (from, to)."""
+
+    def __init__(self, is_list: bool, depth: int, regions: int, at: tuple[int, int, int]):
+        self.is_list, self.depth, self.regions, self.start, self.end = is_list, depth, regions, at, at
+
+
+def tokens(page: str) -> list[tuple]:
     """(name, is_end, text) in page order: tags have a name, texts have none; a skipped element
     is one tag. Names are lower case."""
-    at, skip, depth = 0, None, 0
+    out, named, open_, by_name, depths = [], [], [], {}, {}
+    at, skip, depth, level, words, heads = 0, None, 0, 0, 0, 0
+
+    def close() -> None:
+        element, name = open_.pop()
+        by_name[name].pop()
+        element.end = (len(out), words, heads)
+
     while at < len(page):
         m = _TOKEN.search(page, at)
+        if not skip and (text := page[at:m.start() if m else len(page)]):
+            if m or text.strip():
+                out.append((None, False, text))
+                words += len(text.split())
         if not m:
-            if not skip and page[at:].strip():
-                yield None, False, page[at:]
-            return
-        if not skip and m.start() > at:
-            yield None, False, page[at:m.start()]
+            break
         at, name = m.end(), (m[2] or "").lower()
         if not name:
             continue
         is_end, attributes = bool(m[1]), m[3] or ""
         closes = attributes.endswith("/") or name in VOID
+        ended = False
+        if not closes:
+            depths[name] = depths.get(name, 0) + (-1 if is_end else 1)
+        regions = depths.get("article", 0) + depths.get("main", 0)
+        # an unclosed element ends where the article starts or the body ends; a list of comments
+        # or related texts where the article around it ends
+        while open_ and (name == "body" or name in REGIONS and (not open_[-1][0].is_list
+                                                                or regions < open_[-1][0].regions)):
+            close()
+            ended = True
+        if is_end and by_name.get(name) and depths[name] < by_name[name][-1].depth:
+            last = by_name[name][-1]
+            while open_[-1][0] is not last:
+                close()
+            out.append((name, True, None))
+            close()
+            if skip and len(open_) < level:
+                skip = None
+            continue
+        if skip and len(open_) < level:
+            skip = None
         if skip:
-            # an unclosed element ends where the article starts or the body ends
             if name == skip and not closes:
                 depth += -1 if is_end else 1
             if depth == 0 or name == "body" or name in REGIONS and skip not in ("aside", "footer"):
@@ -106,18 +143,37 @@ def tokens(page: str):
                     continue
             else:
                 continue
-        if not is_end and (name in SKIPPED or not closes and name not in REGIONS and name != "body"
-                           and name != "html" and _is_boilerplate(attributes)):
-            yield (name if name in SKIPPED else "nav"), False, None
+        elif ended and name == "body":
+            continue
+        if not is_end and name in SKIPPED:
+            out.append((name, False, None))
             if closes:
                 continue
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
                 at = end.end() if end else len(page)
+                depths[name] -= 1
             else:
-                skip, depth = name, 1
+                skip, depth, level = name, 1, len(open_)
             continue
-        yield name, is_end, None
+        if not is_end and not closes and name not in REGIONS and name not in ("body", "html") \
+                and (found := _boilerplate(attributes)):
+            element = _Named(bool(found & LISTS), depths[name], regions, (len(out), words, heads))
+            named.append(element)
+            open_.append((element, name))
+            by_name.setdefault(name, []).append(element)
+        heads += name == "h1" and not is_end
+        out.append((name, is_end, None))
+    while open_:
+        close()
+    kept, done = [], 0
+    for element in named:
+        (first, a, b), (last, c, d) = element.start, element.end
+        is_wrapper = 2 * (c - a) > words and (d > b or not heads and not element.is_list)
+        if first >= done and not is_wrapper:
+            kept += [*out[done:first], ("nav", False, None)]
+            done = last
+    return kept + out[done:]
 
 
 def region(parts: list[tuple], prices: dict[str, float]) -> tuple[int, int]:
@@ -134,7 +190,7 @@ def region(parts: list[tuple], prices: dict[str, float]) -> tuple[int, int]:
 
 
 def main_text(page: str, prices: dict[str, float]) -> str:
-    parts = list(tokens(page))
+    parts = tokens(page)
     low, high = region(parts, prices)
     blocks, block = [], []
     for name, _, text in [*parts[low:high], ("p", True, None)]:

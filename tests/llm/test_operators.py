@@ -277,6 +277,20 @@ def test_main_text_held_out(spark):
     assert bad == 0
 
 
+def test_wrappers_and_comment_lists(spark):
+    """A wrapper with a boilerplate name keeps its article; <article> entries of a comment list stay out."""
+    body = "<h1>Head</h1><p>" + "word " * 40 + "</p><p>" + "end " * 40 + "</p>"
+    text = "Head\n" + ("word " * 40).strip() + "\n" + ("end " * 40).strip()
+    reader = "<ol class='comments'>" + ("<li><article><p>" + "reader " * 300 + "</p></article></li>") * 3 + "</ol>"
+    pages = [f"<body><div class='layout with-sidebar'>{body}<div class='sidebar'>links here</div></div></body>",
+             f"<body><article>{body}</article>{reader}</body>", f"<body><div class='page'>{body}</div>{reader}</body>",
+             f"<body><article>{body}<div class='comments'>unclosed</article>{reader}</body>",
+             f"<body>{body}<div class='share'><nav>x</div>" + "<div class='ad'>" * 3000 + "</body>"]
+    df = spark.createDataFrame([(i, "u", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract.main_texts(df, extract.fit_prices(df)).collect()}
+    assert got == {i: text for i in range(len(pages))}
+
+
 # --- language model ---
 
 def test_lm_matches_brute_force(docs, empty):
