@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, extract, licenses, lm, order, packing, repetition, simhash, substrings
+from . import align, chat, decontam, extract, licenses, lm, order, packing, repair, repetition, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,10 +65,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment_counts(_read(spark, sf_dir, "documents"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    return repair.repair_report(repair.damaged(rows), rows)
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_license_scan, op2_decontamination, op3_training_order, op4_repetition, op5_main_text,
-        op6_lm_scores, op7_substring_dedup, op8_simhash, op9_chat_format, op10_packing)}
+        op6_lm_scores, op7_substring_dedup, op8_simhash, op9_chat_format, op10_packing,
+        op12_alignment, op13_repair)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

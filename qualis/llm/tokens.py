@@ -193,3 +193,109 @@ def word_bpe(path: str) -> WordBpe:
 @cache
 def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
+
+
+class JsonByteBpe(ByteBpe):
+    """The same tokenizer from a `tokenizers` file whose ids are the ranks of its merges.
+
+    `pieces[i]` are the bytes of id i. Special tokens in a text are ordinary text.
+    """
+
+    def __init__(self, path: str):
+        import json
+
+        import public_tokenizers
+        import tiktoken
+        dict.__init__(self)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab = model["vocab"]
+        merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if any(a >= b for a, b in zip(merged, merged[1:])):
+            raise ValueError("ids are not in the order of the merges")
+        # bytes that print stand for themselves, the others for code points from 256 on
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in set(printed)]
+        byte = {chr(b): b for b in printed} | {chr(256 + i): b for i, b in enumerate(others)}
+        plain = {t: i for t, i in vocab.items() if all(c in byte for c in t)}
+        ranks = {bytes(byte[c] for c in t): i for t, i in plain.items()}
+        self.size = max(ranks.values()) + 1
+        if any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("not every byte is a token")
+        self.pieces = [b""] * self.size
+        for raw, i in ranks.items():
+            self.pieces[i] = raw
+        self.encoding = tiktoken.Encoding("json", pat_str=public_tokenizers.PATTERN,
+                                          mergeable_ranks=ranks, special_tokens={})
+
+    def cut(self, text: str) -> str | None:
+        if text[:1] == " " and text[1:2] != " ":
+            rest = super().cut(text[1:])
+            if rest is not None and rest[:1] not in ("\n", "\x00"):
+                return " " + rest  # the first chunk takes the blank before it
+            return None if "\x00" in text else "\x00".join(self._CHUNK.findall(text))
+        return super().cut(text)
+
+
+class PieceBpe(Encoder):
+    """A BPE with byte fallback and without normalisation (a `sentencepiece` model),
+    given texts with the blank in front that the model would add.
+
+    No piece of the vocabulary holds a blank after another character or a line feed, so a
+    text is cut before blanks and around line feeds. `pieces[i]` are the bytes of id i.
+    """
+
+    SEP = "\x00"
+    PIECES = 1_000_000
+    _CHUNK = regex.compile(r" *[^ \n]+| +|\n")
+
+    def __init__(self, path: str):
+        import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2 as pb
+        super().__init__()
+        proto = pb.ModelProto()
+        with open(path, "rb") as f:
+            proto.ParseFromString(f.read())
+        spec = proto.normalizer_spec
+        if spec.precompiled_charsmap or spec.remove_extra_whitespaces:
+            raise ValueError("the model normalises its texts")
+        spec.add_dummy_prefix = False
+        self.processor = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+        byte = pb.ModelProto.SentencePiece.BYTE
+        self.pieces = [bytes([int(p.piece[3:-1], 16)]) if p.type == byte
+                       else p.piece.replace("▁", " ").encode("utf-8") for p in proto.pieces]
+        self.size = len(self.pieces)
+        self.lossy = False  # whether the bytes of something remembered differ from it
+        self.apart = not any("\n" in p.piece or regex.search("[^▁]▁", p.piece) for p in proto.pieces)
+
+    def _checked(self, text: str, ids: list[int]) -> bytes:
+        self.lossy |= b"".join([self.pieces[i] for i in ids]) != text.encode("utf-8")
+        return to_bytes(ids)
+
+    def whole(self, text: str) -> bytes:
+        return self._checked(text, self.processor.encode(text, num_threads=1))
+
+    def clear(self) -> None:
+        super().clear()
+        self.lossy = False
+
+    def cut(self, text: str) -> str | None:
+        if not self.apart or "\x00" in text:
+            return None
+        if "  " not in text and " \n" not in text:
+            return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ")  # empty pieces have no ids
+        return "\x00".join(self._CHUNK.findall(text))
+
+    def learn(self, pieces: list[str]) -> None:
+        for p, ids in zip(pieces, self.processor.encode(pieces, num_threads=1)):
+            self[p] = self._checked(p, ids)
+
+
+@cache
+def json_byte_bpe(path: str) -> JsonByteBpe:
+    return JsonByteBpe(path)
+
+
+@cache
+def piece_bpe(path: str) -> PieceBpe:
+    return PieceBpe(path)
