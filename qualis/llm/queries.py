@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import align, chat, decontam, extract, licenses, lm, order, packing, repair, repetition, simhash, substrings
+from . import align, chat, decontam, extract, licenses, lm, neighbours, order, packing, repair, repetition, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(_read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment_counts(_read(spark, sf_dir, "documents"))
 
@@ -78,7 +82,7 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_license_scan, op2_decontamination, op3_training_order, op4_repetition, op5_main_text,
         op6_lm_scores, op7_substring_dedup, op8_simhash, op9_chat_format, op10_packing,
-        op12_alignment, op13_repair)}
+        op11_neighbours, op12_alignment, op13_repair)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
