@@ -111,7 +111,7 @@ _OP6 = rf"""
 WITH d AS (SELECT doc_id, {_FOLDED} AS w FROM documents),
 x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
 total AS (SELECT count(*) AS n FROM x),
-known AS (SELECT word, count(*) AS n FROM x GROUP BY word HAVING count(*) * 32768 >= (SELECT n FROM total)),
+known AS (SELECT word, count(*) AS n FROM x GROUP BY word),
 m AS (SELECT doc_id, i, coalesce(known.word, '') AS word FROM x LEFT JOIN known ON x.word = known.word),
 uni AS (SELECT word, count(*) AS n FROM m GROUP BY word),
 g AS (SELECT a.doc_id, a.word AS u, b.word AS v FROM m a JOIN m b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
