@@ -31,7 +31,6 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -41,6 +40,7 @@ from ..session import stored
 from .text import bounded, ref, texts
 from .tokens import json_byte_bpe, piece_bpe, vocabulary
 
+SLICE_BYTES = 2 << 20
 LANE = 256
 TRIES = 8  # A tokens looked at around every LANE-th for a common end
 
@@ -177,7 +177,7 @@ def _list(values, offsets) -> pa.ListArray:
 def _aligned(a_path: str, b_path: str):
     def run(batches):
         for whole in batches:
-            for part in bounded(whole, "text"):
+            for part in bounded(whole, "text", SLICE_BYTES):
                 x = align_texts(texts(part.column("text")), a_path, b_path)
                 doc = x.documents_of(x.link_a)
                 order = np.lexsort((x.link_b, x.link_a))
@@ -220,12 +220,13 @@ def _slices(a_path: str, b_path: str):
         number = TaskContext.get().partitionId() << 32
         pack = zstandard.ZstdCompressor(level=1)
         for whole in batches:
-            for part in bounded(whole, "text"):
+            for part in bounded(whole, "text", SLICE_BYTES):
                 x = align_texts(texts(part.column("text")), a_path, b_path)
                 n_docs = part.num_rows
-                at, keys = pd.factorize(x.a[x.link_a].astype(np.int64) * b_size + x.b[x.link_b])
+                coded = pa.array(x.a[x.link_a].astype(np.int64) * b_size + x.b[x.link_b]).dictionary_encode()
+                at, keys = coded.indices.to_numpy(), coded.dictionary.to_numpy()
                 doc = x.documents_of(x.link_a)
-                own, k = np.unique(doc * len(keys) + at, return_counts=True)
+                own, k = np.unique(doc * len(keys) + at.astype(np.int64), return_counts=True)
                 own_doc, own_pair = np.divmod(own, max(1, len(keys)))
                 links = pack.compress(own_pair.astype("<u4").tobytes() + k.astype("<u4").tobytes())
                 hashed = [hashlib.sha256(t).hexdigest() if t else "" for t in group_texts(x, a_size, b_size)]

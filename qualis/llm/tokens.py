@@ -201,6 +201,8 @@ class JsonByteBpe(ByteBpe):
     `pieces[i]` are the bytes of id i. Special tokens in a text are ordinary text.
     """
 
+    PIECES = 250_000
+
     def __init__(self, path: str):
         import json
 
@@ -246,7 +248,7 @@ class PieceBpe(Encoder):
     """
 
     SEP = "\x00"
-    PIECES = 1_000_000
+    PIECES = 250_000
     _CHUNK = regex.compile(r" *[^ \n]+| +|\n")
 
     def __init__(self, path: str):
