@@ -178,6 +178,16 @@ def load_csv_messy_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_csv(spark, folder)
 
 
+def load_csv_multiline_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents exported with their line feeds inside quoted fields, in files of many splits."""
+    from .sources.csv import load_csv
+    src = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text", "n_chars")
+    folder = os.path.join(ensure_checkpoint_dir(spark), f"csv-{uuid.uuid4().hex}")
+    (src.repartition(4, "doc_id").write.option("header", True).option("quoteAll", True).option("escape", '"')
+     .option("nullValue", "NULL").csv(folder))
+    return load_csv(spark, folder).withColumnRenamed("text", "body")
+
+
 def _as_stream(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     """The view written as parquet under the checkpoint folder, read back as a stream."""
     folder = os.path.join(ensure_checkpoint_dir(spark), f"src-{uuid.uuid4().hex}")
@@ -373,6 +383,7 @@ def queries() -> dict[str, Query]:
         "load_csv": load_csv_q,
         "load_csv_messy": load_csv_messy_q,
         "load_csv_na": load_csv_na_q,
+        "load_csv_multiline": load_csv_multiline_q,
         "post_process": post_process_q,
         "dtype_summary": dtype_summary_q,
         # profiling
@@ -898,6 +909,7 @@ def oracle_sql() -> dict[str, str]:
         "load_csv": _load_csv_sql(),
         "load_csv_messy": _load_csv_sql(),
         "load_csv_na": _load_csv_sql(),
+        "load_csv_multiline": "SELECT doc_id, source, text AS body, n_chars FROM documents",
         "post_process": _cu("SELECT " + ", ".join(
             ["rid"] + [f"CASE WHEN {c} IN ({_NA_SQL}) THEN NULL ELSE {c} END AS {c}"
                        if k == "string" else c for c, k in O.VIEW_COLUMNS["dirty_customer"]]

@@ -4,6 +4,10 @@
   fields, ties in that order; encoding: UTF-8 unless any line of the files holds
   bytes that are not UTF-8 (one aggregate over all lines), then ISO-8859-1
   (which decodes any byte); windows-1252 when asked for;
+* records that go over line feeds (in quoted fields) are cut by a scan of the
+  quotes (`records`), not by reading a file in one task; where every line is a
+  record, Spark's reader takes the lines. A file that ends inside a quoted field
+  is an error;
 * every field is read as text. Empty fields are kept as '' (not null), so a row
   with more fields than the header is recognised exactly by a filled `_extra`
   column and skipped; short rows are padded with nulls;
@@ -27,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import col_ref
 from ..config import CSV_SEPARATORS, NA_TOKENS
+from .records import UnclosedQuote, records_over_lines
 
 
 class DataLoadError(Exception):
@@ -59,14 +64,14 @@ def sniff(lines: list[str]) -> tuple[str, list[str]]:
     header = next((ln for ln in lines if ln.strip()), None)
     if header is None:
         raise DataLoadError("no header line")
-    header = header.lstrip("﻿")
-    best, best_n = CSV_SEPARATORS[0], -1
-    for sep in CSV_SEPARATORS:
-        n = len(next(_csv.reader(io.StringIO(header), delimiter=sep)))
-        if n > best_n:
-            best, best_n = sep, n
-    fields = next(_csv.reader(io.StringIO(header), delimiter=best))
-    return best, fields
+    header = "\n".join([header, *lines[lines.index(header) + 1:]])  # a name may go over lines
+    header = header.lstrip("\ufeff")
+    best = max(CSV_SEPARATORS, key=lambda sep: len(header_fields(header, sep)))  # the first of equal ones
+    return best, header_fields(header, best)
+
+
+def header_fields(text: str, sep: str) -> list[str]:
+    return next(_csv.reader(io.StringIO(text, newline=""), delimiter=sep))
 
 
 def clean_names(fields: list[str]) -> list[str]:
@@ -123,7 +128,7 @@ def post_process(df: DataFrame) -> DataFrame:
 
 
 def load_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
-             na_tokens=NA_TOKENS, infer: bool = True, multi_line: bool = False) -> DataFrame:
+             na_tokens=NA_TOKENS, infer: bool = True) -> DataFrame:
     """Read CSV file(s) at `path` into a typed DataFrame (see module notes)."""
     try:
         text = spark.read.text(path)
@@ -137,17 +142,21 @@ def load_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: s
     if windows:  # no charset of Spark's reader: read as ISO-8859-1, then mapped per field
         encoding = "ISO-8859-1"
     if sep != found_sep:
-        fields = next(_csv.reader(io.StringIO(lines[0].lstrip("﻿")), delimiter=sep))
+        fields = header_fields("\n".join(lines).lstrip("\ufeff"), sep)
     names = clean_names(fields)
     raw = [f"_c{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(r, T.StringType()) for r in raw]
                           + [T.StructField("_extra", T.StringType())])
-    df = (spark.read.schema(schema)
-          .option("header", True).option("sep", sep).option("encoding", encoding)
-          .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
-          .option("nullValue", _SENTINEL).option("emptyValue", "")
-          .option("multiLine", multi_line).option("enforceSchema", True)
-          .csv(path))
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": _SENTINEL, "emptyValue": ""}
+    try:
+        records = records_over_lines(spark, path, encoding, sep)
+    except UnclosedQuote as exc:
+        raise DataLoadError(f"Could not read CSV: {exc}") from exc
+    if records is None:
+        df = spark.read.schema(schema).options(header=True, encoding=encoding, enforceSchema=True, **options).csv(path)
+    else:
+        fields_of = F.from_csv("value", schema.simpleString()[len("struct<"):-1].replace(":", " "), options)
+        df = records.select(fields_of.alias("r")).select("r.*")
     if windows:
         defined = [(a, b) for a, b in _C1 if b]
         df = df.select(*[F.translate(r, "".join(a for a, _ in defined), "".join(b for _, b in defined)).alias(r)
