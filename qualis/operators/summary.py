@@ -11,6 +11,7 @@ from ..config import DEFAULT_CONFIG, QualityConfig
 from ..functions.columns import col_ref
 from ..functions.missing import is_missing, normalized
 from .fill import with_positions
+from .gram import pair_correlations
 from .parallel import map_jobs
 from .quantile import exact_quantiles
 
@@ -65,41 +66,12 @@ def _box_row(df: DataFrame, c: str, k: float) -> tuple:
     return (c, int(s["n"]), q1, med, q3, iqr, lf, uf, s["wl"], s["wh"], int(s["out"]))
 
 
-PAIR_CHUNK = 300
-
-
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """col_a, col_b, corr: Pearson over rows where both are present, every ordered
-    pair; null where a column has no variance. One aggregate for all pairs."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    cols = list(columns)
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for j in range(i, len(cols)):
-            b = cols[j]
-            va = normalized(a, types[a]).cast("double")
-            vb = normalized(b, types[b]).cast("double")
-            both = va.isNotNull() & vb.isNotNull()
-            pa, pb = F.when(both, va), F.when(both, vb)
-            r = F.try_divide(F.covar_pop(pa, pb), F.stddev_pop(pa) * F.stddev_pop(pb))
-            aggs.append(r.alias(f"r{len(pairs)}"))
-            pairs.append((a, b))
-    # one aggregate per chunk of pairs (k columns give k(k+1)/2 pairs)
-    parts = []
-    for start in range(0, len(pairs), PAIR_CHUNK):
-        ids = list(range(start, min(start + PAIR_CHUNK, len(pairs))))
-        row = df.agg(*[aggs[i] for i in ids])
-        long = row.unpivot([], [f"r{i}" for i in ids], "_p", "corr")
-        names = F.create_map(*[x for i in ids for x in (
-            F.lit(f"r{i}"), F.struct(F.lit(pairs[i][0]).alias("a"), F.lit(pairs[i][1]).alias("b")))])
-        parts.append(long.select(names[F.col("_p")].alias("k"), "corr"))
-    named = parts[0]
-    for p in parts[1:]:
-        named = named.unionByName(p)
-    upper = named.select(F.col("k.a").alias("col_a"), F.col("k.b").alias("col_b"), "corr")
-    lower = named.where(F.col("k.a") != F.col("k.b")).select(
-        F.col("k.b").alias("col_a"), F.col("k.a").alias("col_b"), "corr")
-    return upper.unionByName(lower)
+    pair; null where a column has no variance. One pass over the rows for all pairs."""
+    names = F.array(*map(F.lit, columns))
+    return pair_correlations(df, list(columns)).select(
+        F.get(names, F.col("a")).alias("col_a"), F.get(names, F.col("b")).alias("col_b"), "corr")
 
 
 def top_categories(df: DataFrame, column: str, k: int = 10) -> DataFrame:
