@@ -20,7 +20,7 @@ from ..functions.numeric import to_double
 from ..functions.types import is_atomic, is_floating, is_number, is_string
 from . import fill as _fill
 from .parallel import map_jobs
-from .quantile import exact_median
+from .quantile import quantiles
 from .stats import comparable
 
 # distinct values up to which a per-value table is broadcast (estimated with
@@ -56,7 +56,7 @@ def fill_median(df: DataFrame, columns: Sequence[str], order_by=None) -> DataFra
 
 
 def _medians(df: DataFrame, cols: Sequence[str]) -> dict:
-    return dict(zip(cols, map_jobs(lambda c: exact_median(df, c), cols)))
+    return {c: v[0] for c, v in quantiles(df, cols, [0.5]).items()}
 
 
 def _modes(df: DataFrame, cols: Sequence[str]) -> dict:

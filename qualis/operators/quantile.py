@@ -1,159 +1,204 @@
-"""Exact quantiles without holding a column in one task.
+"""Exact quantiles of many columns at once, without holding a column in one task.
 
 Spark's exact `percentile`/`median` keep a map of every distinct value in the
 final (single) task of a global aggregate, which breaks on a high-cardinality
-column at scale. Here the k-th smallest value is found by range refinement:
-
-1. one aggregate gives n, min and max;
-2. each pass splits the current range of every pending rank into K buckets
-   (equal width, or equal width in log scale when the range spans many orders of
-   magnitude), and a grouped aggregate returns (count, min, max) per bucket:
-   at most K small rows per rank reach the driver;
-3. the bucket holding the rank becomes the next range, using the bucket's own
-   min and max. A bucket with one distinct value (a hot value) ends the search
-   at once; a bucket with few rows is finished by reading its sorted values.
-
-Every pass is a scan with map-side combine and a shuffle of at most K rows per
-map task. Results are exact, with linear interpolation between ranks as in
-`percentile`, numpy's default and DuckDB's `quantile_cont`.
+column at scale. Here the k-th smallest value is found by radix selection:
+
+* a double's 64 bits, complemented for negative numbers and with the sign bit set for
+  others, are a pattern whose unsigned order is the order of the numbers;
+* a pass counts, for all columns and ranks together, the values under each open prefix
+  by their next 16 bits: every task adds up its own counts and sends one row per
+  (column, prefix, digit); a running sum finds the digit that holds each rank and extends its prefix;
+* a rank whose digit holds at most `FINISH_ROWS` values is settled by reading their distinct values.
+
+Four passes at most, whatever the data and however many columns and ranks there are; the first gives
+the number of values too. The driver gets a row per rank and pass. Results are exact, with linear
+interpolation between ranks as in `percentile`, numpy's default and DuckDB's `quantile_cont`.
 """
 
 from __future__ import annotations
 
 import math
-from typing import Sequence
+from typing import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import col_ref
-from ..functions.missing import is_missing
+from ..functions.missing import normalized
 
-BUCKETS = 1024
+BITS = 16
 FINISH_ROWS = 4096
-SKETCH_ACCURACY = 100_000
-MAX_PASSES = 200
-
-
-def _values(df: DataFrame, column: str) -> DataFrame:
-    dt = df.schema[column].dataType
-    return df.where(~is_missing(column, dt)).select(col_ref(column).cast("double").alias("x"))
-
-
-def _bucket_expr(x, a: float, b: float):
-    if a > 0 and b / a > BUCKETS:
-        la, lb = math.log(a), math.log(b)
-        return F.least(F.floor((F.log(x) - la) / (lb - la) * BUCKETS), F.lit(BUCKETS - 1))
-    if b < 0 and a / b > BUCKETS:
-        la, lb = math.log(-b), math.log(-a)
-        return F.least(F.floor((lb - F.log(-x)) / (lb - la) * BUCKETS), F.lit(BUCKETS - 1))
-    half = b * 0.5 - a * 0.5  # halves keep (b - a) finite for extreme ranges
-    return F.least(F.floor((x * 0.5 - a * 0.5) / half * BUCKETS), F.lit(BUCKETS - 1))
-
-
-def kth_values(values: DataFrame, ranks: Sequence[int], n: int, lo: float, hi: float,
-               start: dict[int, tuple[float, float]] | None = None) -> dict[int, float]:
-    """Exact k-th smallest (0-based) of column `x` for each rank in `ranks`.
-
-    `start` may give, per rank, a guessed range (low, high). Its first pass also
-    counts the rows below `low` (bucket -1); if the rank is not inside the
-    guess, the search goes on from the full range.
-    """
-    found: dict[int, float] = {}
-    # pending rank -> (range low, range high, rows below range low or None if unknown)
-    pending = {r: ((start[r][0], start[r][1], None) if start and r in start else (lo, hi, 0))
-               for r in set(ranks)}
-    for _ in range(MAX_PASSES):
-        for r, (a, b, below) in list(pending.items()):
-            if a == b and below is not None:
-                found[r] = a
-                del pending[r]
-        if not pending:
-            return found
-        ranges = sorted({(a, b, below is None) for a, b, below in pending.values()})
-        x = F.col("x")
-        tags = []
-        for i, (a, b, guess) in enumerate(ranges):
-            k = F.when(x.between(a, b), _bucket_expr(x, a, b) if a < b else F.lit(0))
-            if guess:
-                k = k.when(x < a, F.lit(-1))
-            tags.append(F.when(k.isNotNull(), F.struct(F.lit(i).alias("g"), k.alias("k"))))
-        stats = (values.select("x", F.explode(F.array_compact(F.array(*tags))).alias("t"))
-                 .groupBy(F.col("t.g").alias("g"), F.col("t.k").alias("k"))
-                 .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx"))
-                 .collect())
-        by_range: dict[int, list] = {}
-        for s_ in stats:
-            by_range.setdefault(s_["g"], []).append(s_)
-        finish = []
-        for r, (a, b, below) in list(pending.items()):
-            buckets = sorted(by_range.get(ranges.index((a, b, below is None)), []), key=lambda s_: s_["k"])
-            if below is None:  # a guessed range: count what lies below it, then check
-                below = sum(s_["c"] for s_ in buckets if s_["k"] == -1)
-                buckets = [s_ for s_ in buckets if s_["k"] != -1]
-                if not below <= r < below + sum(s_["c"] for s_ in buckets):
-                    pending[r] = (lo, hi, 0)
+_HELD = 1 << 20  # counts a task keeps before it merges them
+_TOP = np.uint64(1 << 63)
+
+
+def _values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns as doubles c0, c1, ...; a missing value is null, -0.0 is 0.0."""
+    return df.select(*[normalized(c, df.schema[c].dataType).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+
+
+def patterns(x: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit patterns in the order of the numbers."""
+    bits = np.ascontiguousarray(x, np.float64).view(np.uint64)
+    return np.where(bits & _TOP, ~bits, bits | _TOP)
+
+
+def numbers(p: np.ndarray) -> np.ndarray:
+    p = np.asarray(p, np.uint64)
+    return np.where(p & _TOP, p ^ _TOP, ~p).view(np.float64)
+
+
+_COUNTS = "c int, prefix long, digit int, n long"
+
+
+def _digits(prefixes: dict[int, list[int]], depth: int):
+    """Counts of the digits after each column's prefixes of `depth` digits (one, empty, at depth 0)."""
+    shift = np.uint64(64 - BITS * (depth + 1))
+    mask = np.uint64((1 << BITS) - 1)
+
+    def run(batches):
+        held: dict[tuple[int, int], list] = {}
+        size = 0
+
+        def merged(parts):
+            digit, n = (np.concatenate(c) for c in zip(*parts))
+            found, at = np.unique(digit, return_inverse=True)
+            return found, np.bincount(at, n).astype(np.int64)
+
+        for batch in batches:
+            for c, own in prefixes.items():
+                column = batch.column(c).drop_null()
+                if not len(column):
                     continue
-            seen = below
-            for s_ in buckets:
-                if r < seen + s_["c"]:
-                    if s_["mn"] == s_["mx"]:
-                        found[r] = s_["mn"]
-                        del pending[r]
-                    elif s_["c"] <= FINISH_ROWS:
-                        finish.append((r, s_["mn"], s_["mx"], seen))
-                        del pending[r]
-                    else:
-                        pending[r] = (s_["mn"], s_["mx"], seen)
-                    break
-                seen += s_["c"]
-            else:  # cannot happen when counts are consistent
-                raise RuntimeError(f"rank {r} outside its range")
-        for r, a, b, below in finish:
-            small = sorted(v["x"] for v in values.where(F.col("x").between(a, b)).select("x").collect())
-            found[r] = small[r - below]
-    raise RuntimeError("quantile search did not converge")
+                p = patterns(column.to_numpy(zero_copy_only=False))
+                head = p >> (shift + np.uint64(BITS)) if depth else None
+                for prefix in own:
+                    under = p if head is None else p[head == np.uint64(prefix)]
+                    digit, n = np.unique((under >> shift) & mask, return_counts=True)
+                    if len(digit):
+                        held.setdefault((c, prefix), []).append((digit, n))
+                        size += len(digit)
+            if size > _HELD:
+                held = {k: [merged(v)] for k, v in held.items()}
+                size = min(_HELD // 2, sum(len(v[0][0]) for v in held.values()))
+        for (c, prefix), parts in held.items():
+            digit, n = merged(parts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(n), c, np.int32)), pa.array(np.full(len(n), prefix, np.int64)),
+                 pa.array(digit.astype(np.int32)), pa.array(n)], ["c", "prefix", "digit", "n"])
+    return run
+
+
+def _placed(counts: DataFrame, ranks: DataFrame) -> list:
+    """Per rank (c, prefix, at: its place among the values under the prefix): the digit that holds it, the values below
+    that digit, its own, and all under the prefix."""
+    order = Window.partitionBy("c", "prefix").orderBy("digit")  # at most 2**BITS rows
+    running = (counts.groupBy("c", "prefix", "digit").agg(F.sum("n").alias("n"))
+               .withColumn("upto", F.sum("n").over(order)))
+    return (running.join(F.broadcast(ranks), ["c", "prefix"])
+            .where((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("n")))
+            .select("c", "rank", "digit", (F.col("at") - F.col("upto") + F.col("n")).alias("at"), "n").collect())
+
+
+def kth_values(df: DataFrame, columns: Sequence[str], wanted: Mapping[int, Sequence[int]] | None = None,
+               ranks_of=None) -> tuple[dict[int, int], dict[int, dict[int, float]]]:
+    """Per column (by place) the number of its values, and the exact k-th smallest of them for each rank from 0.
+    `wanted` gives the ranks, or `ranks_of(n)` those of a column of n values."""
+    spark = df.sparkSession
+    values = _values(df, columns)
+    first = values.mapInArrow(_digits({c: [0] for c in range(len(columns))}, 0), _COUNTS)
+    counts = first.groupBy("c", "digit").agg(F.sum("n").alias("n")).collect()  # at most 2**BITS rows a column
+    by_column: dict[int, list] = {c: [] for c in range(len(columns))}
+    for r in counts:
+        by_column[r.c].append((r.digit, r.n))
+    totals = {c: sum(n for _, n in rows) for c, rows in by_column.items()}
+    # open ranks: (column, rank) -> (prefix, place among its values, values under it)
+    pending: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for c, rows in by_column.items():
+        if not totals[c]:
+            continue
+        rows.sort()
+        ends = np.cumsum([n for _, n in rows])
+        for rank in set(ranks_of(totals[c]) if wanted is None else wanted[c]):
+            i = int(np.searchsorted(ends, rank, "right"))
+            pending[c, rank] = (rows[i][0], rank - int(ends[i]) + rows[i][1], rows[i][1])
+    found: dict[int, dict[int, float]] = {c: {} for c in by_column}
+    depth = 1
+    while pending and depth < 64 // BITS:
+        few = {k: v for k, v in pending.items() if v[2] <= FINISH_ROWS}
+        if few:
+            _finish(values, few, depth, found)
+            pending = {k: v for k, v in pending.items() if k not in few}
+        if not pending:
+            break
+        prefixes: dict[int, list[int]] = {}
+        for (c, _), (prefix, _, _) in pending.items():
+            if prefix not in prefixes.setdefault(c, []):
+                prefixes[c].append(prefix)
+        ranks = spark.createDataFrame([(c, p, rank, at) for (c, rank), (p, at, _) in pending.items()],
+                                      "c int, prefix long, rank long, at long")
+        rows = _placed(values.mapInArrow(_digits(prefixes, depth), _COUNTS), ranks)
+        pending = {(r.c, r["rank"]): (pending[r.c, r["rank"]][0] << BITS | r.digit, r["at"], r.n) for r in rows}
+        depth += 1
+    for (c, rank), (prefix, _, _) in pending.items():  # all 64 bits
+        found[c][rank] = float(numbers(np.array([prefix], np.uint64))[0])
+    return totals, found
+
+
+def _finish(values: DataFrame, few: dict, depth: int, found: dict) -> None:
+    """Reads the distinct values under the prefixes of `few` and settles their ranks."""
+    rest = 64 - BITS * depth
+    ranges = sorted({(c, prefix) for (c, _), (prefix, _, _) in few.items()})
+    ends = [numbers(np.array([p << rest, (p << rest) + (1 << rest) - 1], np.uint64)) for _, p in ranges]
+
+    def inside(i: int) -> Column:
+        x, (low, high) = F.col(f"c{ranges[i][0]}"), (float(v) for v in ends[i])
+        # the last patterns are not numbers: they are read as beyond every number
+        return ((x >= low) if low == low else F.lit(True)) & ((x <= high) if high == high else F.lit(True))
+    hits = F.array_compact(F.array(*[F.when(inside(i), F.struct(F.lit(i).alias("i"), F.col(f"c{c}").alias("x")))
+                                     for i, (c, _) in enumerate(ranges)]))
+    rows = values.select(F.explode(hits).alias("h")).groupBy("h.i", "h.x").agg(F.count("*").alias("n")).collect()
+    by_range: dict[int, list] = {}
+    for r in rows:
+        by_range.setdefault(r.i, []).append((r.x, r.n))
+    for (c, rank), (prefix, at, _) in few.items():
+        for x, n in sorted(by_range[ranges.index((c, prefix))]):
+            if at < n:
+                found[c][rank] = float(x)
+                break
+            at -= n
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles of numeric columns (NaN and null skipped), all in the same passes."""
+    columns = list(dict.fromkeys(columns))
+    if not columns:
+        return {}
+
+    def ranks(n: int) -> list[int]:
+        return [r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))]
+    totals, kth = kth_values(df, columns, ranks_of=ranks)
+    out = {}
+    for c, name in enumerate(columns):
+        n = totals[c]
+        out[name] = [None if n == 0 else _between(kth[c], p * (n - 1)) for p in probs]
+    return out
+
+
+def _between(kth: Mapping[int, float], place: float) -> float:
+    low, high = math.floor(place), math.ceil(place)
+    d = place - low
+    if low == high:
+        return kth[low]
+    if d == 0.5:
+        return (kth[low] + kth[high]) / 2
+    return (1 - d) * kth[low] + d * kth[high]
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[float | None]:
-    """Linear-interpolated quantiles of a numeric column (NaN and null skipped).
-
-    The first aggregate (count, min, max) also takes a quantile sketch
-    (`percentile_approx`, bounded memory) a small margin either side of each
-    quantile; the first search pass starts from those narrow ranges and checks
-    them with exact counts, falling back to the full range if a check fails.
-    """
-    values = _values(df, column)
-    margin = 4.0 / SKETCH_ACCURACY
-    fracs = [min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)]
-    row = values.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
-                     F.percentile_approx("x", fracs, SKETCH_ACCURACY).alias("q")).first()
-    n = int(row["n"])
-    if n == 0:
-        return [None] * len(probs)
-    wanted, start = [], {}
-    for i, p in enumerate(probs):
-        pos = p * (n - 1)
-        for r in (math.floor(pos), math.ceil(pos)):
-            wanted.append(r)
-            a, b = row["q"][2 * i], row["q"][2 * i + 1]
-            if r not in start:
-                start[r] = (float(a), float(b))
-            else:  # both ranks of one quantile share the union of their guesses
-                start[r] = (min(start[r][0], a), max(start[r][1], b))
-    kth = kth_values(values, wanted, n, float(row["lo"]), float(row["hi"]), start)
-    out = []
-    for p in probs:
-        pos = p * (n - 1)
-        lo_r, hi_r = math.floor(pos), math.ceil(pos)
-        v_lo, v_hi = kth[lo_r], kth[hi_r]
-        d = pos - lo_r
-        if lo_r == hi_r:
-            out.append(v_lo)
-        elif d == 0.5:
-            out.append((v_lo + v_hi) / 2)
-        else:
-            out.append((1 - d) * v_lo + d * v_hi)
-    return out
+    return quantiles(df, [column], probs)[column]
 
 
 def exact_median(df: DataFrame, column: str) -> float | None:

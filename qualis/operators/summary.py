@@ -12,8 +12,7 @@ from ..functions.columns import col_ref
 from ..functions.missing import is_missing, normalized
 from .fill import with_positions
 from .gram import pair_correlations
-from .parallel import map_jobs
-from .quantile import exact_quantiles
+from .quantile import quantiles
 
 
 def _values(df: DataFrame, column: str):
@@ -45,27 +44,32 @@ def box_stats(df: DataFrame, columns: Sequence[str], cfg: QualityConfig = DEFAUL
     """Per column: n, q1, median, q3, iqr, fences (1.5 IQR), whiskers (the most
     extreme values inside the fences) and the number of outliers."""
     k = cfg.thresholds.outlier_iqr_multiplier
+    columns = list(dict.fromkeys(columns))
+    quartiles = quantiles(df, columns, [0.25, 0.5, 0.75])
+    aggs, fences = [], {}
+    for i, c in enumerate(columns):
+        q1, med, q3 = quartiles[c]
+        if q1 is None:
+            continue
+        lf, uf = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
+        fences[c] = (i, q1, med, q3, lf, uf)
+        x = normalized(c, df.schema[c].dataType).cast("double")
+        aggs += [F.count(x).alias(f"n{i}"), F.min(F.when(x >= lf, x)).alias(f"l{i}"), F.max(F.when(x <= uf, x)).alias(f"h{i}"),
+                 F.count_if((x < lf) | (x > uf)).alias(f"o{i}")]
+    s = df.agg(*aggs).first() if aggs else None  # one aggregate for all columns
+    rows = []
+    for c in columns:
+        if c not in fences:
+            rows.append((c, 0, None, None, None, None, None, None, None, None, 0))
+            continue
+        i, q1, med, q3, lf, uf = fences[c]
+        rows.append((c, s[f"n{i}"], q1, med, q3, q3 - q1, lf, uf, s[f"l{i}"], s[f"h{i}"], s[f"o{i}"]))
     return df.sparkSession.createDataFrame(
-        map_jobs(lambda c: _box_row(df, c, k), columns),
-        "column string, n bigint, q1 double, median double, q3 double, iqr double, "
+        rows, "column string, n bigint, q1 double, median double, q3 double, iqr double, "
         "lower_fence double, upper_fence double, whisker_low double, whisker_high double, "
         "n_outliers bigint")
 
 
-def _box_row(df: DataFrame, c: str, k: float) -> tuple:
-    q1, med, q3 = exact_quantiles(df, c, [0.25, 0.5, 0.75])
-    if q1 is None:
-        return (c, 0, None, None, None, None, None, None, None, None, 0)
-    iqr = q3 - q1
-    lf, uf = q1 - k * iqr, q3 + k * iqr
-    x = F.col("x")
-    s = _values(df, c).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.when(x >= lf, x)).alias("wl"), F.max(F.when(x <= uf, x)).alias("wh"),
-        F.count_if((x < lf) | (x > uf)).alias("out")).first()
-    return (c, int(s["n"]), q1, med, q3, iqr, lf, uf, s["wl"], s["wh"], int(s["out"]))
-
-
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """col_a, col_b, corr: Pearson over rows where both are present, every ordered
     pair; null where a column has no variance. One pass over the rows for all pairs."""

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from qualis import fixtures
-from qualis.operators import profile, summary
+from qualis.operators import profile, quantile, summary
 from qualis.operators.quantile import exact_quantiles
 
 from .conftest import SF_MID
@@ -26,6 +26,43 @@ def test_exact_quantiles_match_numpy(spark, kind):
     assert all(math.isclose(g, w, rel_tol=1e-12) for g, w in zip(got, want))
 
 
+def test_quantiles_of_many_columns_in_few_jobs(spark):
+    """Columns of all kinds together: passes do not grow with their number."""
+    rng = np.random.default_rng(4)
+    cols = {"n": rng.normal(size=9000), "hot": np.where(rng.random(9000) < 0.4, 7.0, rng.normal(size=9000)),
+            "wide": rng.choice([-1, 1], 9000) * 10.0 ** rng.uniform(-300, 300, 9000), "i": rng.integers(-5, 5, 9000).astype(float),
+            "inf": np.where(rng.random(9000) < 0.3, np.inf, np.where(rng.random(9000) < 0.3, -np.inf, rng.normal(size=9000))),
+            "close": 1.0 + rng.integers(0, 9000, 9000) * 2.0 ** -52, "zero": rng.choice([0.0, -0.0], 9000),
+            "sub": rng.integers(-2000, 2000, 9000) * 5e-324}
+    rows = [tuple(None if rng.random() < 0.1 else float(v[i]) for v in cols.values()) for i in range(9000)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(3)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("quantiles", "")
+    got = quantile.quantiles(df, list(cols), probs)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup("quantiles")) <= 24
+    for i, c in enumerate(cols):
+        values = sorted(r[i] for r in rows if r[i] is not None)
+        with np.errstate(all="ignore"):
+            for p, v in zip(probs, got[c]):
+                place = p * (len(values) - 1)
+                lo, hi = values[math.floor(place)], values[math.ceil(place)]
+                d = place - math.floor(place)
+                want = lo if d == 0 else (1 - d) * lo + d * hi
+                assert v == pytest.approx(want, rel=1e-12, abs=0.0, nan_ok=True), (c, p)
+
+
+def test_all_passes(spark, monkeypatch):
+    """No early end: the last bit decides."""
+    monkeypatch.setattr(quantile, "FINISH_ROWS", 0)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([1.0 + rng.integers(0, 300, 500) * 2.0 ** -52, -rng.random(300), [0.0, -1e300, 1e300]])
+    df = spark.createDataFrame([(float(v),) for v in x], "v double")
+    got = exact_quantiles(df, "v", [0.0, 0.3, 0.5, 0.9, 1.0])
+    assert got == pytest.approx(np.quantile(x, [0.0, 0.3, 0.5, 0.9, 1.0]).tolist(), rel=1e-15)
+
+
 def test_quantiles_of_empty_column(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert exact_quantiles(df, "v", [0.5]) == [None]
