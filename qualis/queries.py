@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import oracle as O
 from .fixtures import BASE_TABLES, VIEWS, table
-from .operators import audit, clean, detect, fill, profile, score, summary
+from .operators import audit, checks, clean, detect, fill, profile, score, summary
 from .plans import CleaningPlan, review_progress
 from .session import ensure_checkpoint_dir
 
@@ -320,6 +320,69 @@ def _corr(spark, sf_dir):
     return c.select("col_a", "col_b", F.round("corr", 9).alias("corr"))
 
 
+_OUTLIER_COLUMNS = {"dirty_lineitem": ["l_quantity", "l_extendedprice", "l_discount"], "dirty_events": ["value"],
+                    "crm": ["Age", "Salary"], "documents": ["n_chars"]}
+
+
+def _outlier_report(view: str) -> Query:
+    def run(spark, sf_dir):
+        r = checks.outlier_report(table(spark, sf_dir, view), _OUTLIER_COLUMNS[view])
+        return r.select("column", "n", *[F.round(c, 7).alias(c) for c in ("mean", "stddev", "skewness", "median", "mad")],
+                        "is_skewed", "n_iqr", "n_zscore", "n_mad")
+    return run
+
+
+def _outlier_rows(view: str) -> Query:
+    def run(spark, sf_dir):
+        rows = checks.outlier_rows(table(spark, sf_dir, view), _OUTLIER_COLUMNS[view])
+        key = ORDER if view in VIEWS else "doc_id"
+        return rows.select(key, F.explode("outliers").alias("o")).select(key, "o.column", "o.method")
+    return run
+
+
+_CATEGORY_COLUMNS = {"dirty_events": ["event_type", "mixed", "flag", "status"], "documents": ["lang", "source", "text"],
+                     "dirty_lineitem": ["l_returnflag", "l_linestatus", "l_partkey"]}
+
+
+def _category_shares(view: str) -> Query:
+    def run(spark, sf_dir):
+        s = checks.category_shares(table(spark, sf_dir, view), _CATEGORY_COLUMNS[view])
+        return s.select("column", "value", "n", F.round("share", 9).alias("share"), "is_rare")
+    return run
+
+
+def _imbalance(spark, sf_dir):
+    view = "dirty_events"
+    r = checks.imbalance_report(checks.category_shares(table(spark, sf_dir, view), _CATEGORY_COLUMNS[view]))
+    return r.select("column", "n_common", "top_value", "is_imbalanced",
+                    *[F.round(c, 9).alias(c) for c in ("rare_share", "top_share", "entropy", "balance")])
+
+
+_V_COLUMNS = ["event_type", "mixed", "flag", "status"]
+
+
+def _cramers_v(spark, sf_dir):
+    v = checks.cramers_v(table(spark, sf_dir, "dirty_events"), _V_COLUMNS)
+    return v.select("col_a", "col_b", "n", F.round("cramers_v", 6).alias("cramers_v"))
+
+
+def _related(spark, sf_dir):
+    return checks.related_columns(table(spark, sf_dir, "crm"), ["CustomerID", "CustomerID_Copy", "Age", "Salary"],
+                                  ["Name", "Department", "IsActive", "Region"])
+
+
+def _rules(spark, sf_dir):
+    df = table(spark, sf_dir, "dirty_customer")
+    return checks.number_rule_report(df, checks.number_rules(df, ["c_custkey", "c_acctbal"]))
+
+
+def _rule_violations(spark, sf_dir):
+    df = table(spark, sf_dir, "dirty_lineitem")
+    rows = checks.number_rule_violations(df, checks.number_rules(df, ["l_quantity", "l_extendedprice", "l_linenumber", "l_discount"],
+                                                                 tolerance=0.2))
+    return rows.select("rid", F.explode("broken").alias("b")).select("rid", "b.column", "b.rule")
+
+
 def _top(spark, sf_dir):
     return summary.top_categories(table(spark, sf_dir, "dirty_events"), "event_type", 10)
 
@@ -466,6 +529,15 @@ def queries() -> dict[str, Query]:
         "missing_map": _missing_map,
         "missing_map_ts": _missing_map_ts,
         "missing_cells": _missing_cells,
+        # checks beyond the detectors
+        **{f"outliers_{v.removeprefix('dirty_')}": _outlier_report(v) for v in _OUTLIER_COLUMNS},
+        **{f"outlier_rows_{v.removeprefix('dirty_')}": _outlier_rows(v) for v in ("dirty_events", "documents")},
+        **{f"category_shares_{v.removeprefix('dirty_')}": _category_shares(v) for v in _CATEGORY_COLUMNS},
+        "category_imbalance": _imbalance,
+        "cramers_v": _cramers_v,
+        "related_columns": _related,
+        "number_rules": _rules,
+        "number_rule_violations": _rule_violations,
         # streaming forms
         "stream_missing_by_window": stream_missing_by_window_q,
         "stream_clean": stream_clean_q,
@@ -740,6 +812,123 @@ def _corr_sql() -> str:
     return _ev("\nUNION ALL\n".join(rows))
 
 
+def _spread_sql(view: str) -> str:
+    """One row per column: moments, quartiles, median absolute deviation."""
+    rows = []
+    for c in _OUTLIER_COLUMNS[view]:
+        rows.append(f"SELECT {O.q(c)} AS col, count(x) AS n, avg(x) AS m, stddev_samp(x) AS s, "
+                    f"quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS med, quantile_cont(x, 0.75) AS q3 "
+                    f"FROM (SELECT CAST({c} AS DOUBLE) AS x FROM {view})")
+    values = "\nUNION ALL\n".join(f"SELECT {'rid' if view in VIEWS else 'doc_id'}, {O.q(c)} AS col, CAST({c} AS DOUBLE) AS x FROM {view} WHERE {c} IS NOT NULL"
+                                  for c in _OUTLIER_COLUMNS[view])
+    return (f"WITH sp AS ({' UNION ALL '.join(rows)}), va AS ({values}), "
+            "md AS (SELECT col, quantile_cont(abs(x - med), 0.5) AS mad, "
+            "sum((x - m) ** 3) / count(*) / (sum((x - m) ** 2) / count(*)) ** 1.5 AS sk FROM va JOIN sp USING (col) GROUP BY col), "
+            "al AS (SELECT va.*, sp.* EXCLUDE (col), mad, sk, x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1) AS o1, "
+            "s > 0 AND (x < m - 3 * s OR x > m + 3 * s) AS o2, "
+            "mad > 0 AND (x < med - 3 * 1.4826 * mad OR x > med + 3 * 1.4826 * mad) AS o3 "
+            "FROM va JOIN sp USING (col) JOIN md USING (col))")
+
+
+def _outlier_report_sql(view: str) -> str:
+    body = "SELECT * FROM (" + _spread_sql(view) + (
+        " SELECT col AS \"column\", any_value(n) AS n, round(any_value(m), 7) AS mean, round(any_value(s), 7) AS stddev, "
+        "round(any_value(sk), 7) AS skewness, round(any_value(med), 7) AS median, round(any_value(mad), 7) AS mad, "
+        "abs(any_value(sk)) > 1 AS is_skewed, count(*) FILTER (WHERE o1) AS n_iqr, count(*) FILTER (WHERE o2) AS n_zscore, "
+        "count(*) FILTER (WHERE o3) AS n_mad FROM al GROUP BY col)")
+    return O.with_view(view, body) if view in VIEWS else body
+
+
+def _outlier_rows_sql(view: str) -> str:
+    key = "rid" if view in VIEWS else "doc_id"
+    body = "SELECT * FROM (" + _spread_sql(view) + " " + " UNION ALL ".join(
+        f"SELECT {key}, col AS \"column\", '{m}' AS method FROM al WHERE {o}" for o, m in
+        (("o1", "iqr"), ("o2", "zscore"), ("o3", "mad"))) + ")"
+    return O.with_view(view, body) if view in VIEWS else body
+
+
+def _shares_sql(view: str) -> str:
+    rows = []
+    for c in _CATEGORY_COLUMNS[view]:
+        counts = f"(SELECT CAST({c} AS VARCHAR) AS v, count(*) AS k, sum(count(*)) OVER () AS t FROM {view} WHERE {c} IS NOT NULL GROUP BY 1)"
+        rows.append(f"SELECT {O.q(c)} AS \"column\", v AS value, CAST(k AS BIGINT) AS n, k / t AS share, false AS is_rare FROM {counts} WHERE k >= t * 0.01")
+        rows.append(f"SELECT {O.q(c)}, NULL, CAST(sum(k) AS BIGINT), sum(k) / any_value(t), true FROM {counts} WHERE k < t * 0.01 HAVING sum(k) > 0")
+    return "\nUNION ALL\n".join(rows)
+
+
+def _category_shares_sql(view: str) -> str:
+    body = f"SELECT \"column\", value, n, round(share, 9) AS share, is_rare FROM ({_shares_sql(view)})"
+    return O.with_view(view, body) if view in VIEWS else body
+
+
+def _imbalance_sql() -> str:
+    return _ev("SELECT \"column\", count(*) FILTER (WHERE NOT is_rare) AS n_common, "
+               "arg_min(value, (-n, value)) FILTER (WHERE NOT is_rare) AS top_value, "
+               "coalesce(max(share) FILTER (WHERE NOT is_rare) >= 0.9, false) AS is_imbalanced, "
+               "round(coalesce(sum(share) FILTER (WHERE is_rare), 0), 9) AS rare_share, "
+               "round(max(share) FILTER (WHERE NOT is_rare), 9) AS top_share, round(0.0 - sum(share * ln(share)), 9) AS entropy, "
+               "round(CASE WHEN count(*) > 1 THEN -sum(share * ln(share)) / ln(count(*)) END, 9) AS balance "
+               f"FROM ({_shares_sql('dirty_events')}) GROUP BY 1")
+
+
+def _cramers_one_sql(view: str, a: str, b: str) -> str:
+    cells = f"(SELECT {a} AS a, {b} AS b, count(*) AS k FROM {view} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2)"
+    joint = f"(SELECT k, sum(k) OVER (PARTITION BY a) AS ra, sum(k) OVER (PARTITION BY b) AS rb FROM {cells})"
+    degrees = f"(SELECT least(count(DISTINCT a), count(DISTINCT b)) - 1 FROM {cells})"
+    return (f"SELECT {O.q(a)} AS col_a, {O.q(b)} AS col_b, CAST(coalesce(sum(k), 0) AS BIGINT) AS n, "
+            f"CASE WHEN {degrees} > 0 THEN sqrt(greatest(sum(k * k / ra / rb) - 1, 0) / {degrees}) END AS v FROM {joint}")
+
+
+def _cramers_sql() -> str:
+    pairs = [(a, b) for i, a in enumerate(_V_COLUMNS) for b in _V_COLUMNS[i + 1:]]
+    rows = " UNION ALL ".join(_cramers_one_sql("dirty_events", a, b) for a, b in pairs)
+    return _ev(f"SELECT col_a, col_b, n, round(v, 6) AS cramers_v FROM ({rows})")
+
+
+def _related_sql() -> str:
+    """Columns of the customer file within 0.9 of another, by the first column they are linked to (links go
+    through at most one column there)."""
+    parts = []
+    for kind, cols in (("number", ["CustomerID", "CustomerID_Copy", "Age", "Salary"]), ("category", ["Name", "Department", "IsActive", "Region"])):
+        pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+        if kind == "number":
+            links = " UNION ALL ".join(f"SELECT {O.q(a)} AS x, {O.q(b)} AS y, abs(corr({a}, {b})) AS v FROM crm" for a, b in pairs)
+        else:
+            links = " UNION ALL ".join(f"SELECT col_a AS x, col_b AS y, v FROM ({_cramers_one_sql('crm', a, b)})" for a, b in pairs)
+        place = "CASE x " + " ".join(f"WHEN {O.q(c)} THEN {i}" for i, c in enumerate(cols)) + " END"
+        parts.append(f"SELECT {O.q(kind)} AS kind, arg_min(x, {place}) AS cluster, c AS \"column\" FROM (SELECT x, y AS c FROM ({links}) WHERE v >= 0.9 "
+                     f"UNION ALL SELECT x, x FROM ({links}) WHERE v >= 0.9) GROUP BY c")
+    return O.with_view("crm", " UNION ALL ".join(parts))
+
+
+def _rules_sql(view: str, columns: list[str], tolerance: float) -> str:
+    """col, rule, lim, n, bad of the rules that hold but for a share of `tolerance`."""
+    rows = []
+    for c in columns:
+        x = f"(SELECT CAST({c} AS DOUBLE) AS x FROM {view} WHERE {c} IS NOT NULL)"
+        say = f"SELECT {O.q(c)} AS col, '%s' AS rule, CAST(%s AS DOUBLE) AS lim, count(*) AS n, count(*) FILTER (WHERE %s) AS bad FROM {x} HAVING %s"
+        rows.append(say % ("finite", "NULL", "isinf(x)", "true"))
+        rows.append(say % ("not_negative", "0", "x < 0", "count(*) FILTER (WHERE x > 0) > 0"))
+        rows.append(say % ("not_positive", "0", "x > 0", "count(*) FILTER (WHERE x < 0) > 0"))
+        rows.append(say % ("not_zero", "0", "x = 0", "count(*) FILTER (WHERE x <> 0) > 0"))
+        least = " UNION ALL ".join(say % ("decimals", str(d), f"round(x, {d}) <> x", "true") for d in range(7))
+        rows.append(f"SELECT * FROM (SELECT * FROM ({least}) WHERE n > 0 AND bad <= {tolerance} * n ORDER BY lim LIMIT 1)")
+    return f"SELECT * FROM ({' UNION ALL '.join(rows)}) WHERE n > 0 AND bad <= {tolerance} * n"
+
+
+def _number_rules_sql() -> str:
+    return _cu("SELECT col AS \"column\", rule, lim AS \"limit\", n, bad AS n_violations FROM ("
+               + _rules_sql("dirty_customer", ["c_custkey", "c_acctbal"], 0.01) + ")")
+
+
+def _rule_violations_sql() -> str:
+    cols = ["l_quantity", "l_extendedprice", "l_linenumber", "l_discount"]
+    broken = {"not_negative": "x < 0", "not_positive": "x > 0", "not_zero": "x = 0", "finite": "isinf(x)", "decimals": "round(x, CAST(lim AS INTEGER)) <> x"}
+    values = " UNION ALL ".join(f"SELECT rid, {O.q(c)} AS col, CAST({c} AS DOUBLE) AS x FROM dirty_lineitem WHERE {c} IS NOT NULL" for c in cols)
+    when = " OR ".join(f"(rule = '{r}' AND {w})" for r, w in broken.items())
+    return O.with_view("dirty_lineitem", f"SELECT rid, col AS \"column\", rule FROM ({values}) JOIN ({_rules_sql('dirty_lineitem', cols, 0.2)}) USING (col) WHERE {when}")
+
+
 def _missing_map_sql(order: str = "rid", columns=None) -> str:
     rows = []
     for c, t in columns or O.VIEW_COLUMNS["dirty_events"]:
@@ -1020,6 +1209,14 @@ def oracle_sql() -> dict[str, str]:
             f"count(*) FILTER (WHERE {c} IS NULL) AS n_missing FROM dirty_events "
             f"WHERE date_trunc('hour', ts) <= (SELECT max(ts) FROM dirty_events) - INTERVAL 2 HOUR GROUP BY 1"
             for c in ("event_type", "value", "mixed"))),
+        **{f"outliers_{v.removeprefix('dirty_')}": _outlier_report_sql(v) for v in _OUTLIER_COLUMNS},
+        **{f"outlier_rows_{v.removeprefix('dirty_')}": _outlier_rows_sql(v) for v in ("dirty_events", "documents")},
+        **{f"category_shares_{v.removeprefix('dirty_')}": _category_shares_sql(v) for v in _CATEGORY_COLUMNS},
+        "category_imbalance": _imbalance_sql(),
+        "cramers_v": _cramers_sql(),
+        "related_columns": _related_sql(),
+        "number_rules": _number_rules_sql(),
+        "number_rule_violations": _rule_violations_sql(),
         "stream_clean": _cu(f"SELECT rid, c_custkey, CASE WHEN c_name IS NULL THEN NULL ELSE {_trim('c_name')} "
                             f"END AS c_name, {_title('c_mktsegment')} AS c_mktsegment, c_acctbal, email, active "
                             f"FROM dirty_customer"),
