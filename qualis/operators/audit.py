@@ -1,11 +1,14 @@
 """Value audits: rule checks per column, boolean-like text columns, and fenced
-JSON replies. All native predicates and aggregates."""
+JSON replies. Native predicates and aggregates, but for JSON texts that Spark's parser
+refuses, which Python reads again."""
 
 from __future__ import annotations
 
+import json
 from typing import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..config import BOOLEAN_VOCABULARIES
 from ..functions import text as tx
@@ -101,13 +104,34 @@ def is_single_json(s):
     return F.coalesce(one & in_object.isNotNull(), F.lit(False))
 
 
+@F.pandas_udf(T.StringType())
+def _with_last_values(s: pd.Series) -> pd.Series:
+    """JSON texts with repeated names, each with its last value; null where the text is no JSON value."""
+    def refuse(word):
+        raise ValueError(word)
+
+    def one(text):
+        if text is None:
+            return None
+        try:
+            return json.dumps(json.loads(text, parse_constant=refuse), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return None
+    return s.map(one)
+
+
 def parse_json_responses(df: DataFrame, column: str, keep: Sequence[str] = ()) -> DataFrame:
     """keep..., cleaned, is_valid, parsed (VARIANT): each reply as JSON, null when invalid.
-    Standard JSON only: the bare words NaN and Infinity are invalid."""
+    Standard JSON only: the bare words NaN and Infinity are invalid. A name may be repeated in an object: its last
+    value counts. Spark's parser refuses such texts, so only what it refuses is read again in Python."""
     cleaned = clean_json_text(col_ref(column))
-    ok = is_single_json(cleaned)
-    return df.select(*map(col_ref, keep), cleaned.alias("cleaned"), ok.alias("is_valid"),
-                     F.when(ok, F.try_parse_json(cleaned)).alias("parsed"))
+    read = df.select(*[col_ref(c).alias(f"k{i}") for i, c in enumerate(keep)], cleaned.alias("cleaned"))
+    read = read.withColumn("plain", is_single_json(F.col("cleaned")))
+    read = read.withColumn("again", _with_last_values(F.when(~F.col("plain"), F.col("cleaned"))))
+    text = F.when(F.col("plain"), F.col("cleaned")).otherwise(F.col("again"))
+    parsed = F.try_parse_json(text)
+    return read.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "cleaned",
+                       (F.col("plain") | parsed.isNotNull()).alias("is_valid"), parsed.alias("parsed"))
 
 
 def json_response_summary(df: DataFrame, column: str) -> DataFrame:

@@ -14,7 +14,7 @@ from typing import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
-from ..functions.columns import col_ref
+from ..functions.columns import col_ref, numbered
 from ..functions.missing import is_missing, normalized
 from ..functions.numeric import to_double
 from ..functions.types import is_atomic, is_floating, is_number, is_string
@@ -174,15 +174,22 @@ def convert_to_string(df: DataFrame, columns: Sequence[str], order_by=None,
 
 
 def frequency_encoding(df: DataFrame, columns: Sequence[str], order_by=None) -> DataFrame:
-    """Adds `<col>_freq_enc`: the value's share among the non-null rows; null stays null.
+    """Adds `<col>_freq_enc` (in place of a column of that name): the value's share among the non-null rows;
+    null stays null.
 
     The per-value counts are aggregated with map-side combine (a hot value costs
     one row per task), then joined back; texts are identified by 128-bit hashes, so
     none is shuffled or broadcast. The count table is broadcast only when HyperLogLog
     puts its size under BROADCAST_DISTINCT; see `_join_shares` for larger ones.
     """
-    cols = list(columns)
-    return _join_shares(df, cols, map_jobs(lambda c: _share_table(df, c), cols))
+    cols = list(dict.fromkeys(columns))
+    new = [f"{c}_freq_enc" for c in cols]
+    own = [c for c in df.columns if c not in new]
+    plain, names = numbered(df)
+    at = [names[c] for c in cols]
+    shares = _join_shares(plain, at, map_jobs(lambda c: _share_table(plain, c), at))
+    return shares.select(*[col_ref(names[c]).alias(c) for c in own],
+                         *[col_ref(f"{a}_freq_enc").alias(n) for a, n in zip(at, new)])
 
 
 # Above the broadcast bound, values holding more than this share of the rows are

@@ -236,9 +236,9 @@ def missing_by_column(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     """column, n_missing, missing_pct for every column: one aggregate, unpivoted."""
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = [c for c in df.columns if c not in set(exclude)]
-    one = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.count_if(is_missing(c, types[c])).alias(c) for c in cols])
-    return (one.unpivot(["_n"], [quoted(c) for c in cols], "column", "n_missing")
-            .select("column", "n_missing",
-                    F.round(F.col("n_missing") / F.greatest(F.col("_n"), F.lit(1)) * 100, 2)
+    one = df.agg(F.count(F.lit(1)).alias("n"), F.array(*[
+        F.struct(F.lit(c).alias("column"), F.count_if(is_missing(c, types[c])).alias("n_missing")) for c in cols]).alias("m"))
+    return (one.select("n", F.explode("m").alias("m"))
+            .select("m.column", "m.n_missing",
+                    F.round(F.col("m.n_missing") / F.greatest(F.col("n"), F.lit(1)) * 100, 2)
                     .alias("missing_pct")))

@@ -27,9 +27,10 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..config import DEFAULT_CONFIG
-from ..functions.columns import col_ref
+from ..functions.columns import col_ref, numbered
 from ..functions.missing import normalized
 from ..functions.types import is_number
+from ..session import stored
 
 
 def _key_number(df: DataFrame, order_by: str) -> Column:
@@ -62,24 +63,27 @@ def _below(bounds: Column, n: int, k: Column, equal: bool) -> Column:
             (F.get(bounds, at + step - 1) <= k) if equal else (F.get(bounds, at + step - 1) < k), at + step).otherwise(at)))
 
 
-def _block(df: DataFrame, order_by: str, block_rows: int) -> Column:
+def _block(df: DataFrame, order_by: str, block_rows: int) -> Column | None:
     """Block id, growing along the order, with about `block_rows` rows per block.
 
-    One aggregate gives count, extremes and quantiles of the key. A key between two
-    quantiles is placed by linear interpolation, a key that fills several quantiles by
-    its row's tie hash; positions are then cut evenly. Null keys are blocks below 0.
+    One aggregate gives the counts and extremes of the key, and where there are several blocks another one its
+    quantiles. A key between two quantiles is placed by linear interpolation, a key that fills several quantiles by
+    its row's tie hash; positions are then cut evenly. Null keys are blocks below 0. None where one block holds all.
     """
     k = _key_number(df, order_by)
-    grid = [i / QUANTILES for i in range(1, QUANTILES)]
     row = df.agg(F.min(k).alias("lo"), F.max(k).alias("hi"), F.count(k).alias("n"),
-                 F.count_if(k.isNull()).alias("nulls"), F.percentile_approx(k, grid).alias("q")).first()
+                 F.count_if(k.isNull()).alias("nulls")).first()
+    if row["n"] + row["nulls"] <= block_rows:
+        return None
     n_blocks, null_blocks = -(-row["n"] // block_rows), -(-row["nulls"] // block_rows)
+    cuts = min(QUANTILES, n_blocks)
+    grid = [i / cuts for i in range(1, cuts)]
+    quantiles = df.agg(F.percentile_approx(k, grid).alias("q")).first()["q"] if grid else []
     h = _fraction(F.col(_TIE))
     null_block = (F.floor(h * null_blocks) - null_blocks).cast("long")
     if n_blocks <= 1:
         return F.when(k.isNull(), null_block).otherwise(F.lit(0).cast("long"))
-    cuts = min(QUANTILES, n_blocks)
-    inner = [row["q"][j * QUANTILES // cuts - 1] for j in range(1, cuts)]
+    inner = list(quantiles)
     dt = df.select(k.alias("k")).schema["k"].dataType
     bounds = F.array(*[F.lit(v) for v in inner]).cast(T.ArrayType(dt))
     ends = F.array(*[F.lit(v) for v in (row["lo"], *inner, row["hi"])]).cast(T.ArrayType(dt))
@@ -92,19 +96,21 @@ def _block(df: DataFrame, order_by: str, block_rows: int) -> Column:
     return F.when(k.isNull(), null_block).otherwise(F.floor(place * per_cut).cast("long"))
 
 
-def _ordered(df: DataFrame, order_by: str, block_rows: int) -> DataFrame:
-    """The rows with `_qblk`, the order `_qo` (key, tie hash) and the tie hash."""
+def _ordered(df: DataFrame, order_by: str, block_rows: int) -> tuple[DataFrame, bool]:
+    """The rows with `_qblk`, the order `_qo` (key, tie hash) and the tie hash; and whether there are several blocks."""
     from .stats import row_hashes
     tied = df.select(*[col_ref(c) for c in df.columns], row_hashes(df, df.columns)[0].alias(_TIE))
-    return tied.withColumn("_qblk", _block(tied, order_by, block_rows)).withColumn(
+    block = _block(tied, order_by, block_rows)
+    placed = tied.withColumn("_qblk", F.lit(0).cast("long") if block is None else block).withColumn(
         _ORD, F.struct(col_ref(order_by).alias("k"), F.col(_TIE).alias("h")))
+    return placed, block is not None
 
 
 def with_positions(df: DataFrame, order_by: str, columns: Sequence[Column], block_rows: int | None = None
                    ) -> DataFrame:
     """`columns` and `_qpos`, the row's position (0, 1, 2, ...) in the order. Only these
     columns are shuffled, once, by block; a block's offset comes from the block counts."""
-    rows = _ordered(df, order_by, block_rows or DEFAULT_CONFIG.fill_block_rows).select("_qblk", _ORD, *columns)
+    rows = _ordered(df, order_by, block_rows or DEFAULT_CONFIG.fill_block_rows)[0].select("_qblk", _ORD, *columns)
     before = Window.orderBy("_qblk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("_qblk").agg(F.count(F.lit(1)).alias("_qn")).select(
         "_qblk", F.coalesce(F.sum("_qn").over(before), F.lit(0)).alias("_qoff"))
@@ -131,7 +137,7 @@ def _fill(df: DataFrame, columns: Sequence[str], order_by: str, forward: bool,
         return df
     types = {f.name: f.dataType for f in df.schema.fields}
     blk = "_qblk"
-    base = _ordered(df, order_by, block_rows)
+    base, several = _ordered(df, order_by, block_rows)
     o = F.col(_ORD)
     # A frame reaching to UNBOUNDED FOLLOWING is recomputed for every row; the
     # backward direction is the forward one over a descending order instead.
@@ -139,6 +145,9 @@ def _fill(df: DataFrame, columns: Sequence[str], order_by: str, forward: bool,
     local = base.select(*[col_ref(c) for c in df.columns], blk, *[
         F.last(_valued(c, types[c]), ignorenulls=True).over(w).alias(f"_ql{i}")
         for i, c in enumerate(columns)])
+    if not several:
+        out = {c: F.col(f"_ql{i}").cast(types[c]).alias(c) for i, c in enumerate(columns)}
+        return local.select(*[out.get(c, col_ref(c)) for c in df.columns])
     # one row per block: its last (forward) or first (backward) non-null value
     edge = F.max_by if forward else F.min_by
     summary = base.groupBy(blk).agg(*[
@@ -157,13 +166,18 @@ def _fill(df: DataFrame, columns: Sequence[str], order_by: str, forward: bool,
 def forward_fill(df: DataFrame, columns: Sequence[str], order_by: str,
                  block_rows: int = DEFAULT_CONFIG.fill_block_rows) -> DataFrame:
     """Each null takes the last non-null value before it; leading nulls stay."""
-    return _fill(df, columns, order_by, True, block_rows)
+    return _filled(df, columns, order_by, True, block_rows)
 
 
 def backward_fill(df: DataFrame, columns: Sequence[str], order_by: str,
                   block_rows: int = DEFAULT_CONFIG.fill_block_rows) -> DataFrame:
     """Each null takes the next non-null value after it; trailing nulls stay."""
-    return _fill(df, columns, order_by, False, block_rows)
+    return _filled(df, columns, order_by, False, block_rows)
+
+
+def _filled(df: DataFrame, columns: Sequence[str], order_by: str, forward: bool, block_rows: int) -> DataFrame:
+    plain, names = numbered(df)
+    return _fill(plain, [names[c] for c in columns], names[order_by], forward, block_rows).toDF(*df.columns)
 
 
 def interpolate(df: DataFrame, columns: Sequence[str], order_by: str,
@@ -186,10 +200,13 @@ def interpolate(df: DataFrame, columns: Sequence[str], order_by: str,
     cols = [c for c in columns if is_number(types[c])]
     if not cols:
         return df
-    blk = "_qblk"
-    o = F.col(_ORD)
-    base = _ordered(df, order_by, block_rows)
-    vals = {c: normalized(c, types[c]).cast("double") for c in cols}
+    plain, names = numbered(df)
+    return _interpolated(plain, [names[c] for c in cols], names[order_by], block_rows).toDF(*df.columns)
+
+
+def _block_carry(base: DataFrame, cols: list[str], vals: dict[str, Column]) -> DataFrame:
+    """Per block its offset (`_qoff`) and, per column, the nearest (position, value) before (`_qcb`) and after it (`_qca`)."""
+    blk, o = "_qblk", F.col(_ORD)
     # 1. block counts and edge rows
     edges = base.groupBy(blk).agg(
         F.count(F.lit(1)).alias("_qn"),
@@ -216,11 +233,22 @@ def interpolate(df: DataFrame, columns: Sequence[str], order_by: str,
     blocks = blocks.select(blk, "_qoff", *pts)
     fwd = _running(Window, F.col(blk), True, exclusive=True)
     bwd = _running(Window, F.col(blk), False, exclusive=True)
-    carry = blocks.select(blk, "_qoff", *[x for i in range(len(cols)) for x in (
+    return blocks.select(blk, "_qoff", *[x for i in range(len(cols)) for x in (
         F.last(f"_qlp{i}", ignorenulls=True).over(fwd).alias(f"_qcb{i}"),
         F.last(f"_qfp{i}", ignorenulls=True).over(bwd).alias(f"_qca{i}"))])
+
+
+def _interpolated(df: DataFrame, cols: list[str], order_by: str, block_rows: int) -> DataFrame:
+    types = {f.name: f.dataType for f in df.schema.fields}
+    blk, o = "_qblk", F.col(_ORD)
+    base, several = _ordered(df, order_by, block_rows)
+    vals = {c: normalized(c, types[c]).cast("double") for c in cols}
+    if several:
+        rows = base.join(_block_carry(base, cols, vals), blk, "left")
+    else:
+        none = F.lit(None).cast("struct<p:double,v:double>")
+        rows = base.withColumns({"_qoff": F.lit(0), **{f"_qc{x}{i}": none for i in range(len(cols)) for x in "ba"}})
     # 4. one window pass: rows partitioned by block (the only full shuffle)
-    rows = base.join(carry, blk, "left")
     wpos = Window.partitionBy(blk).orderBy(o)
     pos = (F.col("_qoff") + F.row_number().over(wpos) - 1).cast("double")
     rows = rows.withColumn("_qpos", pos)
@@ -241,8 +269,9 @@ def interpolate(df: DataFrame, columns: Sequence[str], order_by: str,
     return rows.select(*[out.get(c, col_ref(c)) for c in df.columns])
 
 
-# Candidate hashes broadcast at most (8 bytes each: about 32 MB).
+# Candidate hashes broadcast at most (16 bytes and the order key each).
 BROADCAST_HASHES = 4_000_000
+HOT_GROUPS = 1000
 
 
 def drop_duplicate_rows(df: DataFrame, order_by: str | None = None, keep: str = "first",
@@ -254,24 +283,46 @@ def drop_duplicate_rows(df: DataFrame, order_by: str | None = None, keep: str =
     Rows are identified by two 64-bit hashes of their normalised values, whatever
     their width, so the grouping shuffles 16 bytes a row and a hot group collapses
     map-side. Only the hashes that repeat are joined back, by broadcast while they are
-    few; rows are not shuffled then.
+    few; rows are not shuffled then. Where they are many, those of the largest groups are
+    broadcast, so no key of the shuffle join has more than 1 / HOT_GROUPS of the rows.
     """
-    from .stats import row_hashes
     keys = list(columns) if columns else [c for c in df.columns if c != order_by]
     if not keys:
         return df
-    own = [col_ref(c) for c in df.columns]
+    plain, names = numbered(df)
+    out = _without_copies(plain, names[order_by] if order_by else None, keep, [names[c] for c in keys])
+    return df if out is None else out.toDF(*df.columns)
+
+
+def _without_copies(df: DataFrame, order_by: str | None, keep: str, keys: list[str]) -> DataFrame | None:
+    from .stats import row_hashes
+    own, h = df.columns, ["_qh1", "_qh2"]
     hashed = df.select(*own, *row_hashes(df, keys))
     if order_by is None:
-        return hashed.dropDuplicates(["_qh1", "_qh2"]).select(*own)
+        return hashed.dropDuplicates(h).select(*own)
     pick = F.min if keep == "first" else F.max
-    repeated = (hashed.groupBy("_qh1", "_qh2").agg(F.count(F.lit(1)).alias("_qc"), pick(col_ref(order_by)).alias("_qk"))
+    repeated = (hashed.groupBy(*h).agg(F.count(F.lit(1)).alias("_qc"), pick(col_ref(order_by)).alias("_qk"))
                 .where(F.col("_qc") > 1))
     n_repeated = repeated.count()
     if n_repeated == 0:
-        return df
+        return None
     if n_repeated <= BROADCAST_HASHES:
-        repeated = F.broadcast(repeated)
-    single = hashed.join(repeated, ["_qh1", "_qh2"], "left_anti").select(*own)
-    first = hashed.join(repeated, ["_qh1", "_qh2"]).where(col_ref(order_by).eqNullSafe(F.col("_qk")))
-    return single.unionByName(first.dropDuplicates(["_qh1", "_qh2"]).select(*own))
+        return _one_of_each(hashed, F.broadcast(repeated), order_by, own)
+    largest = stored(repeated.orderBy(F.desc("_qc"), *h).limit(HOT_GROUPS))  # so every other group is smaller
+    hot = F.broadcast(largest)
+    others = repeated.join(F.broadcast(largest.select(*h)), h, "left_anti")
+    cold = hashed.join(F.broadcast(largest.select(*h)), h, "left_anti")
+    return _first_of(hashed.join(hot, h), order_by, own).unionByName(_one_of_each(cold, others, order_by, own))
+
+
+def _first_of(joined: DataFrame, order_by: str, own: list[str]) -> DataFrame:
+    """One row of each group among those with its key `_qk`; ties collapse before they are shuffled."""
+    first = joined.where(F.col(order_by).eqNullSafe(F.col("_qk")))
+    return first.groupBy("_qh1", "_qh2").agg(F.first(F.struct(*own)).alias("_qr")).select("_qr.*")
+
+
+def _one_of_each(hashed: DataFrame, repeated: DataFrame, order_by: str, own: list[str]) -> DataFrame:
+    """Rows that do not repeat, and one of each group that does."""
+    h = ["_qh1", "_qh2"]
+    single = hashed.join(repeated, h, "left_anti").select(*own)
+    return single.unionByName(_first_of(hashed.join(repeated, h), order_by, own))

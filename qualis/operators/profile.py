@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from ..config import DEFAULT_CONFIG, ID_TOKENS_NUMERIC, ID_TOKENS_TEXT, QualityConfig
 from ..functions.columns import col_ref
 from ..functions.dates import parse_date_mixed
+from ..functions.missing import normalized
 from ..functions.types import friendly_type, is_datetime, is_number, is_string
 from .stats import TableStats, head_values
-from .vf import stacked_values
 from .vf import value_frequencies
 
 
@@ -21,7 +21,10 @@ def _order_or_file_order(df: DataFrame, order_by: str | None) -> tuple[DataFrame
     if order_by:
         return df, order_by
     # file order: partition id in the high bits, row within partition below
-    return df.withColumn("_rid", F.monotonically_increasing_id()), "_rid"
+    name = "_rid"
+    while name in df.columns:
+        name += "_"
+    return df.withColumn(name, F.monotonically_increasing_id()), name
 
 
 def input_file_bytes(df: DataFrame) -> int:
@@ -149,44 +152,45 @@ def preview(df: DataFrame, order_by: str, n: int = 50) -> DataFrame:
     return df.orderBy(col_ref(order_by)).limit(n)
 
 
+PREFIX_ROWS = 1000
+
+
 def profile_samples(df: DataFrame, exclude: Sequence[str] = (), order_by: str | None = None,
                     k: int = 3) -> DataFrame:
-    """column, samples: the first `k` distinct non-null values by first appearance; a
-    column without values has an empty list."""
+    """column, samples: the first `k` distinct non-null values by first appearance (ties by value; rows
+    without a key come first); a column without values has an empty list.
+
+    Most columns show `k` values within the first rows: the values of the rows up to the `PREFIX_ROWS`-th key. For
+    the columns that do not, each further aggregate over the table finds the next value of all of them,
+    the one with the least (key, value) that is not among those found; at most `k` of them, and no value is
+    shuffled.
+    """
     base, order = _order_or_file_order(df, order_by)
-    skip = set(exclude) | {order}
-    cols = [f.name for f in df.schema.fields if f.name not in skip and f.name != "_rid"
+    skip = set(exclude) | ({order} if order_by else set())
+    cols = [f.name for f in df.schema.fields if f.name not in skip
             and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
-    text = [c for c in cols if is_string(df.schema[c].dataType)]
-    other = [c for c in cols if c not in text]
-    parts = []
-    if other:
-        parts.append(value_frequencies(base, other, order).select("column", "value", "first_o"))
-    if text:
-        parts.append(_text_first_values(base, text, order, k))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "column string, samples array<string>")
-    vf = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    schema = "column string, samples array<string>"
+    if not cols:
+        return df.sparkSession.createDataFrame([], schema)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    o = col_ref(order)
+    last = base.select(o.alias("o")).where("o IS NOT NULL").orderBy("o").limit(PREFIX_ROWS).agg(F.max("o")).first()[0]
+    first = base if last is None else base.where(o.isNull() | (o <= F.lit(last)))
+    first = first.select(F.struct(o.alias("k")).alias("_qo"), *map(col_ref, cols))  # a struct: nulls are the least
     w = Window.partitionBy("column").orderBy("first_o", "value")
-    firsts = vf.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k)
-    found = (firsts.groupBy("column")
-             .agg(F.array_sort(F.collect_list(F.struct("_k", "value"))).alias("_s"))
-             .select("column", F.transform("_s", lambda s: s["value"]).alias("samples")))
-    return _per_column(df, cols, found).select(
-        "column", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
-
-
-def _text_first_values(base: DataFrame, cols: list[str], order: str, k: int) -> DataFrame:
-    """column, value, first_o for the text values that can be among the first `k`.
-
-    Values are grouped by hash first (16 bytes per row through the shuffle) and
-    the `k` hash groups seen first are kept per column; only their rows are
-    grouped by full text. Exact: a hash group's first row is the first row of one
-    of its values, so any value outside the kept groups has `k` values before it.
-    """
-    long = stacked_values(base, cols, order, as_text=False).withColumn("_h", F.xxhash64("value"))
-    by_hash = long.groupBy("column", "_h").agg(F.min("_o").alias("_f"))
-    w = Window.partitionBy("column").orderBy("_f", "_h")
-    top = by_hash.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("column", "_h")
-    kept = long.join(F.broadcast(top), ["column", "_h"], "left_semi")
-    return kept.groupBy("column", "value").agg(F.min("_o").alias("first_o"))
+    seen = (value_frequencies(first, cols, "_qo").withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k)
+            .groupBy("column").agg(F.array_sort(F.collect_list(F.struct("_k", "value"))).alias("s")))
+    found = {c: [] for c in cols} | {r["column"]: [x["value"] for x in r["s"]] for r in seen.collect()}
+    left = [c for c in cols if len(found[c]) < k] if last is not None else []
+    while left:
+        aggs = []
+        for i, c in enumerate(left):
+            v = normalized(c, types[c]).cast("string")
+            new = v.isNotNull() & ~v.isin(found[c]) if found[c] else v.isNotNull()
+            aggs.append(F.min(F.when(new, F.struct(o.alias("o"), v.alias("v"))))["v"].alias(f"v{i}"))
+        row = base.agg(*aggs).first()
+        for i, c in enumerate(left):
+            if row[f"v{i}"] is not None:
+                found[c].append(row[f"v{i}"])
+        left = [c for i, c in enumerate(left) if row[f"v{i}"] is not None and len(found[c]) < k]
+    return df.sparkSession.createDataFrame(list(found.items()), schema)

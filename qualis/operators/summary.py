@@ -8,7 +8,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import DEFAULT_CONFIG, QualityConfig
-from ..functions.columns import col_ref
+from ..functions.columns import col_ref, numbered
 from ..functions.missing import is_missing, normalized
 from .fill import with_positions
 from .gram import pair_correlations
@@ -91,11 +91,12 @@ def missing_map(df: DataFrame, order_by: str, block_rows: int = 1000,
                 exclude: Sequence[str] = ()) -> DataFrame:
     """block, column, n_rows, n_missing, missing_share: the missing-value map over
     blocks of `block_rows` consecutive rows (by `order_by`: number, date or timestamp)."""
-    types = {f.name: f.dataType for f in df.schema.fields}
     cols = [c for c in df.columns if c != order_by and c not in set(exclude)]
+    plain, names = numbered(df)
+    types = {f.name: f.dataType for f in plain.schema.fields}
     block = F.floor(F.col("_qpos") / block_rows).cast("long").alias("block")
-    flags = [is_missing(c, types[c]).cast("int").alias(f"_qm{i}") for i, c in enumerate(cols)]
-    per = with_positions(df, order_by, flags).groupBy(block).agg(
+    flags = [is_missing(names[c], types[names[c]]).cast("int").alias(f"_qm{i}") for i, c in enumerate(cols)]
+    per = with_positions(plain, names[order_by], flags).groupBy(block).agg(
         F.count(F.lit(1)).alias("n_rows"), *[F.sum(f"_qm{i}").alias(f"_qm{i}") for i in range(len(cols))])
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_qm{i}").alias("n_missing"))
                                 for i, c in enumerate(cols)]))

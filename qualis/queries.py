@@ -217,11 +217,12 @@ def _run_to_files(spark: SparkSession, stream: DataFrame) -> DataFrame:
 
 
 def stream_missing_by_window_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The windows that the watermark (an hour behind the latest event) has closed."""
-    from .streaming import missing_by_window
+    """The windows that the watermark (an hour behind the latest event) has closed, and then those still open."""
+    from .streaming import missing_by_window, open_windows
+    columns = ["event_type", "value", "mixed"]
     stream = _as_stream(spark, sf_dir, "dirty_events")
-    out = _run_to_files(spark, missing_by_window(stream, "ts", "1 hour", "1 hour",
-                                                 ["event_type", "value", "mixed"]))
+    closed = _run_to_files(spark, missing_by_window(stream, "ts", "1 hour", "1 hour", columns))
+    out = closed.unionByName(open_windows(closed, table(spark, sf_dir, "dirty_events"), "ts", "1 hour", columns))
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "column",
                       "n_rows", "n_missing")
 
@@ -1206,8 +1207,7 @@ def oracle_sql() -> dict[str, str]:
             for c, t in O.VIEW_COLUMNS["dirty_events"])),
         "stream_missing_by_window": _ev("\nUNION ALL\n".join(
             f"SELECT date_trunc('hour', ts) AS window_start, {O.q(c)} AS \"column\", count(*) AS n_rows, "
-            f"count(*) FILTER (WHERE {c} IS NULL) AS n_missing FROM dirty_events "
-            f"WHERE date_trunc('hour', ts) <= (SELECT max(ts) FROM dirty_events) - INTERVAL 2 HOUR GROUP BY 1"
+            f"count(*) FILTER (WHERE {c} IS NULL) AS n_missing FROM dirty_events GROUP BY 1"
             for c in ("event_type", "value", "mixed"))),
         **{f"outliers_{v.removeprefix('dirty_')}": _outlier_report_sql(v) for v in _OUTLIER_COLUMNS},
         **{f"outlier_rows_{v.removeprefix('dirty_')}": _outlier_rows_sql(v) for v in ("dirty_events", "documents")},

@@ -1,5 +1,5 @@
 """Structured Streaming forms of the row-local steps and metrics."""
 
-from .stream import audit_stream, clean_stream, missing_by_window
+from .stream import audit_stream, clean_stream, missing_by_window, open_windows
 
-__all__ = ["audit_stream", "clean_stream", "missing_by_window"]
+__all__ = ["audit_stream", "clean_stream", "missing_by_window", "open_windows"]

@@ -5,6 +5,7 @@ import io
 import re
 
 from qualis import fixtures
+from qualis.operators.stats import head_values
 from qualis.operators import fill, profile, summary
 from qualis.operators.vf import column_value_summary
 
@@ -42,9 +43,9 @@ def test_forward_fill_shuffles_rows_once(spark):
     assert len([w for w in widths if w >= len(df.columns)]) == 1, widths
 
 
-def test_first_values_limit_before_shuffle(spark):
+def test_head_values_limit_before_shuffle(spark):
     df = fixtures.table(spark, SF_SMALL, "dirty_events")
-    plan = _formatted(profile.profile_samples(df, order_by="rid"))
+    plan = _formatted(head_values(df, ["event_type", "mixed"], "rid", 30))
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
