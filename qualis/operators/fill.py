@@ -110,20 +110,21 @@ def with_positions(df: DataFrame, order_by: str, columns: Sequence[Column], bloc
                    ) -> DataFrame:
     """`columns` and `_qpos`, the row's position (0, 1, 2, ...) in the order. Only these
     columns are shuffled, once, by block; a block's offset comes from the block counts."""
-    rows = _ordered(df, order_by, block_rows or DEFAULT_CONFIG.fill_block_rows)[0].select("_qblk", _ORD, *columns)
+    rows = _ordered(df, order_by, block_rows or DEFAULT_CONFIG.fill_block_rows)[0].select(
+        "_qblk", col_ref(order_by).alias("_qkey"), _TIE, *columns)
     before = Window.orderBy("_qblk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("_qblk").agg(F.count(F.lit(1)).alias("_qn")).select(
         "_qblk", F.coalesce(F.sum("_qn").over(before), F.lit(0)).alias("_qoff"))
-    place = F.row_number().over(Window.partitionBy("_qblk").orderBy(_ORD))
-    kept = [c for c in rows.columns if c not in ("_qblk", _ORD)]
+    place = F.row_number().over(Window.partitionBy("_qblk").orderBy("_qkey", _TIE))
+    kept = [c for c in rows.columns if c not in ("_qblk", "_qkey", _TIE)]
     return rows.join(offsets, "_qblk").select(*map(col_ref, kept), (F.col("_qoff") + place - 1).alias("_qpos"))
 
 
-def _running(spec, key: Column, forward: bool, exclusive: bool = False):
+def _running(spec, keys: Sequence[Column], forward: bool, exclusive: bool = False):
     """Rows from the start up to the current row (or the row before it), in key
     order for forward steps and in reverse key order for backward ones. Growing
     frames are evaluated in one pass."""
-    ordered = spec.orderBy(key if forward else key.desc())
+    ordered = spec.orderBy(*[k if forward else k.desc() for k in keys])
     return ordered.rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
 
 
@@ -141,7 +142,7 @@ def _fill(df: DataFrame, columns: Sequence[str], order_by: str, forward: bool,
     o = F.col(_ORD)
     # A frame reaching to UNBOUNDED FOLLOWING is recomputed for every row; the
     # backward direction is the forward one over a descending order instead.
-    w = _running(Window.partitionBy(blk), o, forward)
+    w = _running(Window.partitionBy(blk), [col_ref(order_by), F.col(_TIE)], forward)
     local = base.select(*[col_ref(c) for c in df.columns], blk, *[
         F.last(_valued(c, types[c]), ignorenulls=True).over(w).alias(f"_ql{i}")
         for i, c in enumerate(columns)])
@@ -153,7 +154,7 @@ def _fill(df: DataFrame, columns: Sequence[str], order_by: str, forward: bool,
     summary = base.groupBy(blk).agg(*[
         edge(col_ref(c), F.when(_valued(c, types[c]).isNotNull(), o)).alias(f"_qs{i}")
         for i, c in enumerate(columns)])
-    sw = _running(Window, F.col(blk), forward, exclusive=True)
+    sw = _running(Window, [F.col(blk)], forward, exclusive=True)
     carry = summary.select(blk, *[
         F.last(F.col(f"_qs{i}"), ignorenulls=True).over(sw).alias(f"_qc{i}")
         for i in range(len(columns))])
@@ -231,8 +232,8 @@ def _block_carry(base: DataFrame, cols: list[str], vals: dict[str, Column]) -> D
             (F.col("_qoff") + F.col(f"_qfr{i}")).cast("double").alias("p"), F.col(f"_qf{i}.v").alias("v")))
         pts += [last_pt.alias(f"_qlp{i}"), first_pt.alias(f"_qfp{i}")]
     blocks = blocks.select(blk, "_qoff", *pts)
-    fwd = _running(Window, F.col(blk), True, exclusive=True)
-    bwd = _running(Window, F.col(blk), False, exclusive=True)
+    fwd = _running(Window, [F.col(blk)], True, exclusive=True)
+    bwd = _running(Window, [F.col(blk)], False, exclusive=True)
     return blocks.select(blk, "_qoff", *[x for i in range(len(cols)) for x in (
         F.last(f"_qlp{i}", ignorenulls=True).over(fwd).alias(f"_qcb{i}"),
         F.last(f"_qfp{i}", ignorenulls=True).over(bwd).alias(f"_qca{i}"))])
@@ -240,7 +241,7 @@ def _block_carry(base: DataFrame, cols: list[str], vals: dict[str, Column]) -> D
 
 def _interpolated(df: DataFrame, cols: list[str], order_by: str, block_rows: int) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
-    blk, o = "_qblk", F.col(_ORD)
+    blk = "_qblk"
     base, several = _ordered(df, order_by, block_rows)
     vals = {c: normalized(c, types[c]).cast("double") for c in cols}
     if several:
@@ -249,11 +250,12 @@ def _interpolated(df: DataFrame, cols: list[str], order_by: str, block_rows: int
         none = F.lit(None).cast("struct<p:double,v:double>")
         rows = base.withColumns({"_qoff": F.lit(0), **{f"_qc{x}{i}": none for i in range(len(cols)) for x in "ba"}})
     # 4. one window pass: rows partitioned by block (the only full shuffle)
-    wpos = Window.partitionBy(blk).orderBy(o)
+    order = [col_ref(order_by), F.col(_TIE)]  # as the struct `_qo` orders them
+    wpos = Window.partitionBy(blk).orderBy(*order)
     pos = (F.col("_qoff") + F.row_number().over(wpos) - 1).cast("double")
     rows = rows.withColumn("_qpos", pos)
-    up = _running(Window.partitionBy(blk), o, True)
-    down = _running(Window.partitionBy(blk), o, False)
+    up = _running(Window.partitionBy(blk), order, True)
+    down = _running(Window.partitionBy(blk), order, False)
     out = {}
     for i, c in enumerate(cols):
         here = F.when(vals[c].isNotNull(), F.struct(F.col("_qpos").alias("p"), vals[c].alias("v")))

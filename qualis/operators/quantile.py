@@ -9,7 +9,8 @@ column at scale. Here the k-th smallest value is found by radix selection:
 * a pass counts, for all columns and ranks together, the values under each open prefix
   by their next 16 bits: every task adds up its own counts and sends one row per
   (column, prefix, digit); a running sum finds the digit that holds each rank and extends its prefix;
-* a rank whose digit holds at most `FINISH_ROWS` values is settled by reading their distinct values.
+* a rank whose digit holds at most `FINISH_ROWS` values (as many as a pass has digits) is settled by reading their
+  distinct values.
 
 Four passes at most, whatever the data and however many columns and ranks there are; the first gives
 the number of values too. The driver gets a row per rank and pass. Results are exact, with linear
@@ -29,7 +30,8 @@ from ..functions.columns import col_ref
 from ..functions.missing import normalized
 
 BITS = 16
-FINISH_ROWS = 4096
+FINISH_ROWS = 1 << BITS
+FINISH_TOTAL = 1 << 18  # of all ranks settled at once
 _HELD = 1 << 20  # counts a task keeps before it merges them
 _TOP = np.uint64(1 << 63)
 
@@ -127,7 +129,11 @@ def kth_values(df: DataFrame, columns: Sequence[str], wanted: Mapping[int, Seque
     found: dict[int, dict[int, float]] = {c: {} for c in by_column}
     depth = 1
     while pending and depth < 64 // BITS:
-        few = {k: v for k, v in pending.items() if v[2] <= FINISH_ROWS}
+        few, total = {}, 0
+        for k, v in sorted(pending.items(), key=lambda x: x[1][2]):
+            total += v[2]
+            if v[2] <= FINISH_ROWS and total <= FINISH_TOTAL:
+                few[k] = v
         if few:
             _finish(values, few, depth, found)
             pending = {k: v for k, v in pending.items() if k not in few}
