@@ -1,12 +1,13 @@
 """Training-order materialisation: fixed-stride shards in a keyed pseudo-random order.
 
 Documents become token ids (16 bits each) with an end id after each; every task cuts
-its ids into sequences of `length`, the last one padded with the end id. A first pass
-counts the sequences of each task, so that every sequence has a number in 0..N-1.
+its ids into sequences of `length`, the last one padded with the end id, and stores them, compressed,
+in the checkpoint folder. Their counts by task number every sequence 0..N-1, so texts are tokenised
+once and a lost executor changes nothing in the numbers.
 A keyed Feistel permutation with cycle-walking maps the number to a global slot: no
 table, no sort of random keys, and the same key gives the same order.
 
-Slots are dealt by range: one task holds whole shards of `shard_rows` consecutive slots,
+Slots are dealt by range: one task holds `TASK_SHARDS` whole shards of `shard_rows` consecutive slots,
 sorts them and writes each as one file of fixed stride, `length` * 2 bytes a slot. Slot s
 starts at byte (s % shard_rows) * stride of shard s // shard_rows, so a reader can start
 or resume anywhere with one seek. A shard is written under a name of its own and then
@@ -24,16 +25,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored
 from .text import bounded, ref, texts
 from .tokens import byte_bpe, vocabulary
 
 LENGTH = 2048
 SHARD_ROWS = 2048
+TASK_SHARDS = 4
 ROUNDS = 6
 SCHEMA = "slot long, number long, shard long, byte_offset long, n_tokens long, crc32 long"
 
@@ -84,48 +87,45 @@ def _sequences(batches, path: str, length: int):
         yield np.concatenate((rest, np.repeat(end, length - len(rest)))), len(rest)
 
 
-def _count(path: str, length: int):
-    def run(batches):
-        bpe, total = byte_bpe(path), 0
-        for whole in batches:
-            for part in bounded(whole, "text"):
-                _, counts = bpe.encode([t.decode("utf-8") for t in texts(part.column("text"))])
-                total += int(counts.sum()) + part.num_rows
-        if total:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([-(-total // length)], pa.int64())],
-                ["part", "n"])
-    return run
+_SEQUENCES = "part long, place long, n_tokens long, ids binary"
 
 
-def _numbered(path: str, length: int, shard_rows: int, key: str, firsts, total: int):
+def _cut(path: str, length: int):
+    """A task's sequences, in order, their ids compressed."""
     def run(batches):
-        first, n = firsts.value.get(TaskContext.get().partitionId(), (0, 0))
-        slots = permuted(np.arange(first, first + n), total, key) if n else np.zeros(0, np.int64)
-        done, rows = 0, []
+        pack, part, done = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
+        rows = []
 
         def batch():
-            at = np.arange(done - len(rows), done)
+            n = len(rows)
             return pa.RecordBatch.from_arrays(
-                [pa.array(slots[at]), pa.array(first + at), pa.array(slots[at] // shard_rows),
-                 pa.array([r[1] for r in rows], pa.int64()),
-                 pa.array([r[0].astype("<u2").tobytes() for r in rows], pa.binary())],
-                ["slot", "number", "shard", "n_tokens", "ids"])
-        for row in _sequences(batches, path, length):
-            rows.append(row)
+                [pa.array(np.full(n, part, np.int64)), pa.array(np.arange(done - n, done)),
+                 pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.binary())],
+                ["part", "place", "n_tokens", "ids"])
+        for row, n in _sequences(batches, path, length):
+            rows.append((pack.compress(row.astype("<u2").tobytes()), n))
             done += 1
-            if done > n:
-                break
             if len(rows) == 500:
                 yield batch()
                 rows = []
-        if done != n:
-            raise RuntimeError("the input's partitions differ between the two passes; store it first")
         if rows:
             yield batch()
     return run
 
 
+def _numbered(shard_rows: int, key: str, firsts, total: int):
+    def run(batches):
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            found, at = np.unique(part, return_inverse=True)
+            number = np.array([firsts.value[p] for p in found.tolist()], np.int64)[at] + batch.column("place").to_numpy()
+            slots = permuted(number, total, key) if len(number) else number
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slots), pa.array(number), pa.array(slots // shard_rows), batch.column("n_tokens"), batch.column("ids")],
+                ["slot", "number", "shard", "n_tokens", "ids"])
+    return run
+
+
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     """For `file:/...`, `hdfs://...`, `s3://...` or a plain path."""
     if uri.startswith("file:"):
@@ -141,7 +141,7 @@ def _write(uri: str, stride: int, shard_rows: int):
     def run(batches):
         store, root = filesystem(uri)
         store.create_dir(root, recursive=True)
-        name, out = None, None
+        name, out, unpack = None, None, zstandard.ZstdDecompressor()
 
         def finish():
             if out is not None:
@@ -155,6 +155,7 @@ def _write(uri: str, stride: int, shard_rows: int):
                     finish()
                     name = shard_name(shard)
                     out = store.open_output_stream(f"{root}/{name}.{mark}")
+                raw = unpack.decompress(raw)
                 out.write(raw)
                 crc.append(zlib.crc32(raw))
             slot = batch.column("slot").to_numpy()
@@ -168,19 +169,21 @@ def _write(uri: str, stride: int, shard_rows: int):
 
 def write_in_order(docs: DataFrame, uri: str, key: str = "0", text_col: str = "text", path: str | None = None,
                    length: int = LENGTH, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Writes the shards under `uri` when run; one row per sequence (SCHEMA)."""
+    """Stores the sequences, and writes the shards under `uri` when run; one row per sequence (SCHEMA)."""
     path = path or vocabulary("byte_bpe_50k.tiktoken")
     spark = docs.sparkSession
-    rows = docs.select(ref(text_col).alias("text"))
+    if byte_bpe(path).size > 0xFFFF:
+        raise ValueError("ids and the end id have to fit 16 bits")
+    sequences = stored(docs.select(ref(text_col).alias("text")).mapInArrow(_cut(path, length), _SEQUENCES))
     # one row a task reaches the driver
-    counts = sorted((r.part, r.n) for r in rows.mapInArrow(_count(path, length), "part long, n long").collect())
+    counts = sorted((r.part, r.n) for r in sequences.groupBy("part").agg(F.count("*").alias("n")).collect())
     ends = np.cumsum([n for _, n in counts])
     total = int(ends[-1]) if counts else 0
-    firsts = spark.sparkContext.broadcast({p: (int(e - n), n) for (p, n), e in zip(counts, ends)})
-    numbered = rows.mapInArrow(_numbered(path, length, shard_rows, key, firsts, total),
-                               "slot long, number long, shard long, n_tokens long, ids binary")
+    firsts = spark.sparkContext.broadcast({p: int(e - n) for (p, n), e in zip(counts, ends)})
+    numbered = sequences.mapInArrow(_numbered(shard_rows, key, firsts, total),
+                                    "slot long, number long, shard long, n_tokens long, ids binary")
     shards = -(-total // shard_rows)
-    tasks = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    tasks = max(1, -(-shards // TASK_SHARDS))
     ranges = numbered.withColumn("range", (F.col("shard") * tasks / max(1, shards)).cast("int"))
     dealt = ranges.repartitionById(tasks, "range").drop("range").sortWithinPartitions("slot")
     return dealt.mapInArrow(_write(uri, 2 * length, shard_rows), SCHEMA)

@@ -321,3 +321,50 @@ def test_huge_components(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = neighbours.nearest_neighbours(table, F.col("id") == 0, k=2).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == [(1, 1.0), (3, 3.0)]
+
+
+# --- op3 --------------------------------------------------------------------------------------
+
+def test_training_order_by_brute_force(spark, tmp_path):
+    """One task: ids of all texts in a row, cut, permuted by a table of the Feistel network's values."""
+    from qualis.llm import order
+    texts = [None, "", "a b c", "the cat " * 200, "x\ny", "the cat " * 200, "é" * 90] * 5
+    docs = spark.createDataFrame([(t, 1) for t in texts], "text string, slot int").coalesce(1)
+    uri = str(tmp_path / "order")
+    rows = {r.slot: r for r in order.write_in_order(docs, uri, key="k", length=32, shard_rows=4).collect()}
+    encoding = order.byte_bpe(order.vocabulary("byte_bpe_50k.tiktoken")).encoding
+    end = order.byte_bpe(order.vocabulary("byte_bpe_50k.tiktoken")).size
+    ids = [i for t in texts for i in (*encoding.encode_ordinary(t or ""), end)]
+    n = -(-len(ids) // 32)
+    cut = [(ids[i * 32:i * 32 + 32] + [end] * 32)[:32] for i in range(n)]
+
+    def network(x, half):  # one value at a time, in whole numbers
+        keys = [int.from_bytes(hashlib.sha512(b"k").digest()[8 * i:8 * i + 8], "little") for i in range(order.ROUNDS)]
+        left, right = x >> half, x & ((1 << half) - 1)
+        for k in keys:
+            f = (right + k) * 0x9E3779B97F4A7C15 % 2 ** 64
+            f ^= f >> 29
+            f = f * 0xBF58476D1CE4E5B9 % 2 ** 64
+            f ^= f >> 32
+            left, right = right, left ^ (f & ((1 << half) - 1))
+        return left << half | right
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    slots = []
+    for i in range(n):
+        x = network(i, half)
+        while x >= n:
+            x = network(x, half)
+        slots.append(x)
+    assert sorted(slots) == list(range(n)) == sorted(rows)
+    read = [x.tolist() for x in order.read_slots(uri, 0, n, length=32, shard_rows=4)]
+    for i, s in enumerate(slots):
+        assert rows[s].number == i and read[s] == cut[i]
+        assert rows[s].n_tokens == (32 if i < n - 1 else len(ids) - 32 * (n - 1))
+        assert (rows[s].shard, rows[s].byte_offset) == (s // 4, s % 4 * 64)
+
+
+def test_ids_over_16_bits_are_refused(spark, tmp_path, monkeypatch):
+    from qualis.llm import order
+    monkeypatch.setattr(order.byte_bpe(order.vocabulary("byte_bpe_50k.tiktoken")), "size", 70000)
+    with pytest.raises(ValueError, match="16 bits"):
+        order.write_in_order(spark.createDataFrame([("a",)], "text string"), str(tmp_path / "x"))
