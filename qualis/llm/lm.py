@@ -9,231 +9,237 @@ count of the bigram, so that a document does not vouch for itself,
 
 The score is the mean of ln S over the document's bigrams.
 
-A word is its 63-bit hash, or a number if it makes up at least 1 / 2**HOT_BITS of all words
-(at most that many). A document's distinct bigrams become rows, dealt out and sorted by
-bigram; a run of equal bigrams gives c(u v). Each row then needs one word's count: c(u), or
-c(v) where no other place has the bigram. Counts of frequent words are broadcast, those of
-the others are joined.
+The tables are kept in blocks, not in rows:
 
-Skew: bigrams that are frequent in some slice of the input are candidates, and those that
-reach 1 / 2**HOT_BITS of all words there (at most that many) are counted exactly, broadcast
-and scored where the document lies. These are all bigrams of at least 2 / 2**HOT_BITS, so no
-key of the two shuffles has more than that share of the rows.
+1. documents are stored by slices of at most `SLICE_BYTES` of text: the hashes of a slice's words and
+   its texts as numbers of those words;
+2. a slice counts its own words and bigrams and sends the sorted 64-bit keys, as differences, with their
+   counts, one block per range of keys. A range's blocks from all slices are one group of about
+   `GROUP_KEYS` keys at most; merged, they are that part of the count table;
+3. the counts go back to each slice, in the order of its keys, are joined to its bigrams there and
+   summed per document.
 
-`vocabulary_bits` makes all words below 1 / 2**vocabulary_bits of all words one unknown
-word; without it no word is cut.
+A bigram that is in every document is one key per slice, and ranges of hashes are even, so no key
+and no group is hot. Words and bigrams are told apart by 64 bits: of 10^13 bigrams about one in a
+million shares its key with another.
 
 Defined cases: a null or empty text has no words; fewer than two words have no bigram
-and a null score; repeated rows are documents each, with equal scores; an empty table gives
-no rows; other columns are not read.
+and a null score; every row is a document, also one that is repeated; an empty table gives
+no rows; other columns are not read; a text longer than a slice is a slice.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stored
-from .text import CACHE_WORDS, folded_words, in_slices, ref, texts
+from .text import _FOLD, SLICE_BYTES, bounded, ref, texts
 
-HOT_BITS = 17
 BACKOFF = 0.4
-_FLUSH = 1 << 19  # rows whose sums by document are kept before they are passed on
+GROUP_KEYS = 1 << 20
+_WORDS, _BIGRAMS = 0, 1
 
 
-class _Ids(dict):
-    """Words to numbers: 1, 2, ... for the frequent ones, a negative hash for the others,
-    0 for those outside of `known`, if that is given."""
+def _pack(values: np.ndarray) -> bytes:
+    """Unsigned 64-bit values, byte by byte (all lowest bytes, then the next, ...), compressed."""
+    planes = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-    def __init__(self, frequent: dict[int, int], known: frozenset[int] | None):
-        super().__init__()
-        self.frequent, self.known = frequent, known
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = (xxhash.xxh64_intdigest(word) | 1 << 63) - (1 << 64)
-        value = self[word] = self.frequent.get(h, h) if self.known is None or h in self.known else 0
-        return value
+def _unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
-    def of(self, text: bytes) -> np.ndarray:
-        words = folded_words(text)
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
 
-def _keys(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of bigrams, to find equal ones within a slice and the frequent ones."""
-    key = u.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + v.view(np.uint64)
-    key ^= key >> np.uint64(29)
-    return key * np.uint64(0xBF58476D1CE4E5B9)
 
+def _unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(raw), dtype=np.uint64)
 
-def _bigrams(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate([x[:-1] for x in ids]), np.concatenate([x[1:] for x in ids])
 
+def _numbered(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words as numbers of the slice's different words, the number of words of each text, and the hashes of the
+    different words."""
+    folded = pa.array([v.translate(_FOLD) for v in values], pa.large_binary()).cast(pa.large_string())
+    split = pc.ascii_split_whitespace(folded)
+    words = split.flatten()
+    there = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate(([0], np.cumsum(there)))
+    n_words = np.diff(ends[np.concatenate(([0], np.cumsum(split.value_lengths().to_numpy())))])
+    coded = words.filter(pa.array(there)).dictionary_encode()
+    different = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, different), np.uint64, len(different))
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), n_words, hashes
 
-def _count(words, hot_bits: int):
-    """Rows (u, v, n): the words of a slice (v is null), and its frequent bigrams."""
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [words.value.of(t) for t in texts(batch.column("text"))]
-        w, n = np.unique(np.concatenate(ids), return_counts=True)
-        u, v = _bigrams(ids)
-        _, at, k = np.unique(_keys(u, v), return_index=True, return_counts=True)
-        often = k << hot_bits >= len(u)
-        at, k = at[often], k[often]
-        second = pa.array(np.concatenate((w, v[at])), mask=np.arange(len(w) + len(at)) < len(w))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate((w, u[at]))), second,
-                                           pa.array(np.concatenate((n, k)))], ["u", "v", "n"])
-    return run
 
+class _Slice:
+    """What a slice's word numbers tell."""
 
-def _find(keys: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the sorted `hot`, and which keys are there."""
-    at = np.searchsorted(hot, keys)
-    at[at == len(hot)] = 0
-    return at, (hot[at] == keys if len(hot) else np.zeros(len(keys), bool))
+    def __init__(self, stream: np.ndarray, n_words: np.ndarray, hashes: np.ndarray):
+        self.n_words, self.hashes = n_words, hashes
+        k = len(hashes)
+        doc = np.repeat(np.arange(len(n_words)), n_words)
+        inside = doc[1:] == doc[:-1]
+        codes = (stream[:-1] * k + stream[1:])[inside]
+        self.doc = doc[1:][inside]
+        self.word_counts = np.bincount(stream, minlength=k)
+        different, at, counts = np.unique(codes, return_inverse=True, return_counts=True)
+        self.u, self.v = np.divmod(different, max(1, k))
+        self.at, self.counts = at, counts  # each place's bigram, each bigram's count
+        keys = hashes[self.u] * np.uint64(0x9E3779B97F4A7C15) + hashes[self.v]
+        keys ^= keys >> np.uint64(29)
+        self.keys = keys * np.uint64(0xBF58476D1CE4E5B9)
 
+    def tables(self):
+        """(kind, keys, their order, counts)."""
+        for kind, keys, counts in ((_WORDS, self.hashes, self.word_counts), (_BIGRAMS, self.keys, self.counts)):
+            yield kind, keys, np.argsort(keys, kind="stable"), counts
 
-def _count_hot(words, hot):
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        u, v = _bigrams([words.value.of(t) for t in texts(batch.column("text"))])
-        at, there = _find(_keys(u, v), hot.value)
-        found, n = np.unique(at[there], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["i", "n"])
-    return run
 
+def _ranges(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The place of each of `parts` even ranges of 64-bit keys in the sorted keys, and their end."""
+    bounds = np.array([-(-(p << 64) // parts) for p in range(1, parts)], np.uint64)
+    return np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)]))
 
-def _scored(words, model):
-    """Rows (rk, u, v, own, part): one per rarer bigram of a document, and one with the sum of
-    ln S of its frequent ones and, as a negative `own`, the number of its bigrams."""
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, total, hot, hot_counts = model.value
-        rks, n_docs, out, size = batch.column("rk").to_numpy(), batch.num_rows, [], []
-        for text in texts(batch.column("text")):
-            ids = words.value.of(text)
-            keys, at, own = np.unique(_keys(ids[:-1], ids[1:]), return_index=True, return_counts=True)
-            out.append((keys, ids[at], ids[at + 1], own))
-            size.append(max(0, len(ids) - 1))
-        doc = np.repeat(np.arange(n_docs), [len(x[0]) for x in out])
-        keys, u, v, own = (np.concatenate(c) for c in zip(*out))
-        at, is_hot = _find(keys, hot)
-        o, others = own[is_hot], hot_counts[at[is_hot]] - own[is_hot]
-        s = np.where(others > 0, np.maximum(others, 1) / counts[u[is_hot]], BACKOFF * counts[v[is_hot]] / total)
-        sums = np.bincount(doc[is_hot], o * np.log(s), n_docs)
-        rest = ~is_hot
-        columns = [np.concatenate(c) for c in (
-            (rks[doc[rest]], rks), (u[rest], rks), (v[rest], np.zeros(n_docs, np.int64)),
-            (own[rest], -np.array(size, np.int64)), (np.zeros(rest.sum()), sums))]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["rk", "u", "v", "own", "part"])
-    return run
 
+_SLICE = "slice long, ids array<long>, n_words array<int>, hashes binary, stream binary, tokens long, different long"
 
-def _settled(model):
-    """From rows sorted by bigram, rows (rk, w, k, s): s + k ln c(w) where w is a rarer word
-    (negative); for other w, s is a sum and k a number of bigrams."""
-    names = ["rk", "u", "v", "own", "part"]
 
-    def batch_of(*columns):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["rk", "w", "k", "s"])
+def _stored_slices(batches):
+    number = TaskContext.get().partitionId() << 32
+    pack = zstandard.ZstdCompressor(level=1)
+    for whole in batches:
+        for part in bounded(whole, "text", SLICE_BYTES):
+            stream, n_words, hashes = _numbered(texts(part.column("text")))
+            wide = "<u2" if len(hashes) <= 1 << 16 else "<u4"
+            n = part.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([number]), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), part.column("id")),
+                 pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(n_words.astype(np.int32))),
+                 pa.array([hashes.astype("<u8").tobytes()]), pa.array([pack.compress(stream.astype(wide).tobytes())]),
+                 pa.array([len(stream)]), pa.array([len(hashes)])],
+                ["slice", "ids", "n_words", "hashes", "stream", "tokens", "different"])
+            number += 1
 
-    def by_document(kept):
-        rk, size, s = (np.concatenate(c) for c in zip(*kept))
-        found, at = np.unique(rk, return_inverse=True)
-        return batch_of(found, found & ((1 << 63) - 1), np.bincount(at, size).astype(np.int64), np.bincount(at, s))
 
-    def run(batches):
-        counts, total, _, _ = model.value
-        logs, unseen = np.log(np.maximum(counts, 1)), np.log(BACKOFF / total)
-        held, kept = None, []
-
-        def settle(rk, u, v, own, part):
-            starts = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])))
-            n = np.repeat(np.add.reduceat(np.maximum(own, 0), starts), np.diff(np.append(starts, len(u))))
-            is_gram, others = own > 0, n - own
-            shared = others > 0
-            w, k = np.where(shared, u, v), np.where(shared, -own, own)
-            s = part + np.where(is_gram, own * np.where(shared, np.log(np.maximum(others, 1)), unseen), 0.0)
-            rare = is_gram & (w < 0)
-            near = is_gram & ~rare
-            s[near] += k[near] * logs[w[near]]
-            kept.append((rk[~rare], np.where(is_gram, 0, -own)[~rare], s[~rare]))
-            return batch_of(rk[rare], w[rare], k[rare], s[rare])
+def _read_slice(n_words: pa.Array, hashes: bytes, stream: bytes) -> _Slice:
+    h = np.frombuffer(hashes, "<u8")
+    raw = zstandard.ZstdDecompressor().decompress(stream)
+    return _Slice(np.frombuffer(raw, "<u2" if len(h) <= 1 << 16 else "<u4").astype(np.int64),
+                  np.asarray(n_words, np.int64), h)
+
+
+_BLOCK = "slice long, kind int, part int, keys binary, counts binary"
 
+
+def _blocks(parts: tuple[int, int]):
+    """A slice's own counts, one row per range of keys."""
+    def run(batches):
         for batch in batches:
-            rows = [batch.column(c).to_numpy() for c in names]
-            rows = rows if held is None else [np.concatenate(c) for c in zip(held, rows)]
-            u, v = rows[1], rows[2]
-            if not len(u):
-                continue
-            last = len(u) - int(np.argmin(np.append((u == u[-1])[::-1] & (v == v[-1])[::-1], False)))
-            held = [x[last:] for x in rows]  # the last bigram's run may go on
-            if last:
-                yield settle(*(x[:last] for x in rows))
-            if sum(len(x[0]) for x in kept) >= _FLUSH:
-                yield by_document(kept)
-                kept.clear()
-        if held is not None:
-            yield settle(*held)
-            yield by_document(kept)
+            for row in range(batch.num_rows):
+                one = _read_slice(batch.column("n_words")[row].values, batch.column("hashes")[row].as_py(),
+                                  batch.column("stream")[row].as_py())
+                slice_ = batch.column("slice")[row].as_py()
+                out = []
+                for kind, keys, order, counts in one.tables():
+                    keys, counts = keys[order], counts[order]
+                    at = _ranges(keys, parts[kind])
+                    out += [(slice_, kind, p, _pack_sorted(keys[i:j]), _pack(counts[i:j]))
+                            for p, (i, j) in enumerate(zip(at, at[1:])) if j > i]
+                if out:
+                    types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)],
+                                                     ["slice", "kind", "part", "keys", "counts"])
     return run
 
 
-def _word_numbers(batch: pa.RecordBatch) -> pa.RecordBatch:
-    n = [len(folded_words(t)) for t in texts(batch.column("text"))]
-    return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("rk"), pa.array(n, pa.int64())],
-                                      ["id", "rk", "n_words"])
+_COUNTS = "slice long, kind int, part int, totals binary"
+
+
+def _merged(batches):
+    """Blocks sorted by (kind, part): the corpus counts of each block's keys, in their order."""
+    group, held = None, []
+
+    def out():
+        keys = [_unpack_sorted(k) for _, k, _ in held]
+        counts = np.concatenate([_unpack(c) for _, _, c in held])
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        totals = np.bincount(at, counts).astype(np.uint64)[at]  # exact below 2**53
+        ends = np.cumsum([len(k) for k in keys])
+        rows = [(s, *group, _pack(t)) for (s, _, _), t in zip(held, np.split(totals, ends[:-1]))]
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
+                                          ["slice", "kind", "part", "totals"])
+    for batch in batches:
+        for s, kind, part, keys, counts in zip(*[batch.column(c).to_pylist() for c in ("slice", "kind", "part", "keys", "counts")]):
+            if held and (kind, part) != group:
+                yield out()
+                held = []
+            group = (kind, part)
+            held.append((s, keys, counts))
+    if held:
+        yield out()
+
+
+def _scored(total: int):
+    """Rows sorted by (slice, kind, part): a slice, then the counts of its words and of its bigrams."""
+    def score(row, found):
+        one = _read_slice(row["n_words"], row["hashes"], row["stream"])
+        tables = []
+        for kind, keys, order, _ in one.tables():
+            c = np.empty(len(keys), np.float64)
+            c[order] = np.concatenate(found[kind]) if found[kind] else np.zeros(0)
+            tables.append(c)
+        words, bigrams = tables
+        n_docs, k = len(one.n_words), max(1, len(one.keys))
+        cells, own = np.unique(one.doc * k + one.at, return_counts=True)  # bigrams of a document
+        doc, g = np.divmod(cells, k)
+        others = bigrams[g] - own
+        s = np.where(others > 0, np.maximum(others, 1) / words[one.u[g]], BACKOFF * words[one.v[g]] / total)
+        sums = np.bincount(doc, own * np.log(s), n_docs)
+        n_bigrams = np.maximum(one.n_words - 1, 0)
+        scores = pa.array(sums / np.maximum(n_bigrams, 1), mask=n_bigrams == 0)
+        return pa.RecordBatch.from_arrays([row["ids"], pa.array(one.n_words), pa.array(n_bigrams), scores],
+                                          ["id", "n_words", "n_bigrams", "score"])
+
+    def run(batches):
+        row, found = None, ([], [])
+        for batch in batches:
+            kinds = batch.column("kind").to_pylist()
+            for i, kind in enumerate(kinds):
+                if kind >= 0:
+                    found[kind].append(_unpack(batch.column("totals")[i].as_py()))
+                    continue
+                if row is not None:
+                    yield score(row, found)
+                found = ([], [])
+                row = {"ids": batch.column("ids")[i].values, "n_words": batch.column("n_words")[i].values,
+                       "hashes": batch.column("hashes")[i].as_py(), "stream": batch.column("stream")[i].as_py()}
+        if row is not None:
+            yield score(row, found)
+    return run
 
 
 def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   vocabulary_bits: int | None = None, hot_bits: int = HOT_BITS) -> DataFrame:
+                   group_keys: int = GROUP_KEYS) -> DataFrame:
     """Per row: id, n_words, n_bigrams, score (mean ln S)."""
-    sc = docs.sparkSession.sparkContext
-    id_ = ref(id_col).cast("long")
-    rows = docs.select(id_.alias("id"), F.xxhash64(id_, ref(text_col)).alias("rk"), ref(text_col).alias("text"))
-    read = rows.select("rk", "text")
-
-    def count(known: frozenset[int] | None) -> DataFrame:
-        made = read.mapInArrow(in_slices(_count(sc.broadcast(_Ids({}, known)), hot_bits), "text"),
-                               "u long, v long, n long")
-        return stored(made.groupBy("u", "v").agg(F.sum("n").alias("n")))
-
-    counted, known = count(None), None
-    total = counted.where("v IS NULL").agg(F.sum("n")).first()[0] or 0
-    if vocabulary_bits is not None:
-        known = frozenset(r.u for r in counted.where("v IS NULL").where(F.col("n") * (1 << vocabulary_bits) >= total)
-                          .collect())
-        counted = count(known)
-    often = counted.where(F.col("n") * (1 << hot_bits) >= total)
-    frequent = [(r.u, r.n) for r in often.where("v IS NULL").collect()]
-    outside = sum(n for u, n in frequent if u == 0)
-    frequent = [x for x in frequent if x[0]]
-    counts = np.array([outside, *(n for _, n in frequent)], np.float64)
-    number = {u: i + 1 for i, (u, _) in enumerate(frequent)}
-    words = sc.broadcast(_Ids(number, known))
-    pairs = [(number.get(r.u, r.u), number.get(r.v, r.v)) for r in often.where("v IS NOT NULL").collect()]
-    hot = np.unique(_keys(*np.array(pairs, np.int64).reshape(-1, 2).T.copy()))
-    hot_counts = np.zeros(len(hot), np.int64)
-    if len(hot):
-        candidates = sc.broadcast(hot)
-        for r in (read.mapInArrow(in_slices(_count_hot(words, candidates), "text"), "i long, n long")
-                  .groupBy("i").agg(F.sum("n").alias("n")).collect()):  # at most 2**hot_bits rows
-            hot_counts[r.i] = r.n
-    model = sc.broadcast((counts, max(total, 1), hot, hot_counts))
-
-    exploded = read.mapInArrow(in_slices(_scored(words, model), "text"),
-                               "rk long, u long, v long, own long, part double")
-    settled = (exploded.repartition("u", "v").sortWithinPartitions("u", "v")
-               .mapInArrow(_settled(model), "rk long, w long, k long, s double"))
-    others = counted.where("v IS NULL").where(F.col("n") * (1 << hot_bits) < total)         .select(F.col("u").alias("w"), F.col("n").alias("c"))
-    is_word = F.col("w") < 0
-    sums = (settled.join(others, "w", "left")
-            .groupBy("rk").agg(F.sum(F.col("s") + F.when(is_word, F.col("k") * F.ln("c")).otherwise(0.0)).alias("s"),
-                               F.sum(F.when(~is_word, F.col("k"))).alias("m")))
-    # rows of equal id and text are summed together: the mean is over all their bigrams
-    out = rows.mapInArrow(in_slices(_word_numbers, "text"), "id long, rk long, n_words long")
-    n_bigrams = F.greatest(F.col("n_words") - 1, F.lit(0))
-    return out.join(sums, "rk", "left").select(
-        F.col("id").alias(id_col), "n_words", n_bigrams.alias("n_bigrams"),
-        F.when(n_bigrams > 0, F.col("s") / F.col("m")).alias("score"))
+    rows = docs.select(ref(id_col).cast("long").alias("id"), ref(text_col).alias("text"))
+    slices = stored(rows.mapInArrow(_stored_slices, _SLICE))
+    size = slices.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
+                      F.coalesce(F.sum("different"), F.lit(0)).alias("different")).first()
+    parts = tuple(max(1, -(-n // group_keys)) for n in (size.different, size.tokens))
+    counts = (slices.select("slice", "n_words", "hashes", "stream").mapInArrow(_blocks(parts), _BLOCK)
+              .repartition("kind", "part").sortWithinPartitions("kind", "part").mapInArrow(_merged, _COUNTS))
+    kept = slices.select("slice", F.lit(-1).alias("kind"), F.lit(-1).alias("part"), "ids", "n_words", "hashes", "stream")
+    both = kept.unionByName(counts, allowMissingColumns=True)
+    scored = (both.repartition("slice").sortWithinPartitions("slice", "kind", "part")
+              .mapInArrow(_scored(max(1, size.tokens)), "id long, n_words long, n_bigrams long, score double"))
+    return scored.withColumnRenamed("id", id_col)

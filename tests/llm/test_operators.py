@@ -298,13 +298,11 @@ def test_lm_matches_brute_force(docs, empty):
     times = Counter(inputs(docs))
     n = Counter(w for k, v in rows.items() for w in v * times[k])
     total = sum(n.values())
-    known = {w for w in n if n[w] * 32 >= total}
-    ids = {k: [w if w in known else "" for w in v] for k, v in rows.items()}
-    uni = Counter(w for k, v in ids.items() for w in v * times[k])
-    own = {k: Counter(zip(v, v[1:])) for k, v in ids.items()}
+    uni = n
+    own = {k: Counter(zip(v, v[1:])) for k, v in rows.items()}
     bi = sum((own[k] for k in own for _ in range(times[k])), Counter())
-    for bits in (4, 17):
-        got = lm.backoff_scores(docs, vocabulary_bits=5, hot_bits=bits).collect()
+    for keys in (7, 1 << 20):
+        got = lm.backoff_scores(docs, group_keys=keys).collect()
         assert len(got) == docs.count()
         want = defaultdict(list)
         for (i, _), g in own.items():
@@ -329,8 +327,8 @@ def test_lm_keeps_every_word(spark):
     bi = sum(own, Counter())
     total = sum(uni.values())
     assert total > 2 * 32768  # a cut at 1 / 2**15 would take the words that occur once
-    for bits in (4, 17):
-        got = {x.doc_id: x.score for x in lm.backoff_scores(df, hot_bits=bits).collect()}
+    for keys in (1000, 1 << 20):
+        got = {x.doc_id: x.score for x in lm.backoff_scores(df, group_keys=keys).collect()}
         for i, g in enumerate(own):
             s = sum(c * np.log((bi[x] - c) / uni[x[0]] if bi[x] > c else 0.4 * uni[x[1]] / total) for x, c in g.items())
             assert got[i] == pytest.approx(s / sum(g.values()), abs=1e-9)
