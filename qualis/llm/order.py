@@ -87,42 +87,48 @@ def _sequences(batches, path: str, length: int):
         yield np.concatenate((rest, np.repeat(end, length - len(rest)))), len(rest)
 
 
-_SEQUENCES = "part long, place long, n_tokens long, ids binary"
+# a block of a task's consecutive sequences: the place of the first, and all their ids, compressed together
+_BLOCKS = "part long, place long, n_tokens array<long>, ids binary"
+BLOCK_ROWS = 500
+_LEVEL = 6
 
 
 def _cut(path: str, length: int):
-    """A task's sequences, in order, their ids compressed."""
+    """A task's sequences, in order, block by block."""
     def run(batches):
-        pack, part, done = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
-        rows = []
+        pack, part, done = zstandard.ZstdCompressor(level=_LEVEL), TaskContext.get().partitionId(), 0
+        rows, sizes = [], []
 
-        def batch():
-            n = len(rows)
+        def block():
+            raw = pack.compress(np.stack(rows).astype("<u2").tobytes())
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, part, np.int64)), pa.array(np.arange(done - n, done)),
-                 pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.binary())],
+                [pa.array([part]), pa.array([done - len(rows)]), pa.array([sizes], pa.list_(pa.int64())), pa.array([raw])],
                 ["part", "place", "n_tokens", "ids"])
         for row, n in _sequences(batches, path, length):
-            rows.append((pack.compress(row.astype("<u2").tobytes()), n))
+            rows.append(row)
+            sizes.append(n)
             done += 1
-            if len(rows) == 500:
-                yield batch()
-                rows = []
+            if len(rows) == BLOCK_ROWS:
+                yield block()
+                rows, sizes = [], []
         if rows:
-            yield batch()
+            yield block()
     return run
 
 
-def _numbered(shard_rows: int, key: str, firsts, total: int):
+def _numbered(length: int, shard_rows: int, key: str, firsts, total: int):
+    """Blocks to sequences, each compressed, with their slots."""
     def run(batches):
+        pack, unpack = zstandard.ZstdCompressor(level=_LEVEL), zstandard.ZstdDecompressor()
         for batch in batches:
-            part = batch.column("part").to_numpy()
-            found, at = np.unique(part, return_inverse=True)
-            number = np.array([firsts.value[p] for p in found.tolist()], np.int64)[at] + batch.column("place").to_numpy()
-            slots = permuted(number, total, key) if len(number) else number
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(slots), pa.array(number), pa.array(slots // shard_rows), batch.column("n_tokens"), batch.column("ids")],
-                ["slot", "number", "shard", "n_tokens", "ids"])
+            for part, place, sizes, raw in zip(*[batch.column(c).to_pylist() for c in ("part", "place", "n_tokens", "ids")]):
+                ids = np.frombuffer(unpack.decompress(raw), "<u2").reshape(-1, length)
+                number = firsts.value[part] + place + np.arange(len(ids))
+                slots = permuted(number, total, key)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(slots), pa.array(number), pa.array(slots // shard_rows), pa.array(sizes, pa.int64()),
+                     pa.array([pack.compress(row.tobytes()) for row in ids], pa.binary())],
+                    ["slot", "number", "shard", "n_tokens", "ids"])
     return run
 
 
@@ -174,13 +180,13 @@ def write_in_order(docs: DataFrame, uri: str, key: str = "0", text_col: str = "t
     spark = docs.sparkSession
     if byte_bpe(path).size > 0xFFFF:
         raise ValueError("ids and the end id have to fit 16 bits")
-    sequences = stored(docs.select(ref(text_col).alias("text")).mapInArrow(_cut(path, length), _SEQUENCES))
+    sequences = stored(docs.select(ref(text_col).alias("text")).mapInArrow(_cut(path, length), _BLOCKS))
     # one row a task reaches the driver
-    counts = sorted((r.part, r.n) for r in sequences.groupBy("part").agg(F.count("*").alias("n")).collect())
+    counts = sorted((r.part, r.n) for r in sequences.groupBy("part").agg(F.sum(F.size("n_tokens")).alias("n")).collect())
     ends = np.cumsum([n for _, n in counts])
     total = int(ends[-1]) if counts else 0
     firsts = spark.sparkContext.broadcast({p: int(e - n) for (p, n), e in zip(counts, ends)})
-    numbered = sequences.mapInArrow(_numbered(shard_rows, key, firsts, total),
+    numbered = sequences.mapInArrow(_numbered(length, shard_rows, key, firsts, total),
                                     "slot long, number long, shard long, n_tokens long, ids binary")
     shards = -(-total // shard_rows)
     tasks = max(1, -(-shards // TASK_SHARDS))
