@@ -2,8 +2,8 @@
 
 Both steps keep the components of the graph; at the fixed point every component
 is a star around its smallest node. Each step is one grouped minimum (partial
-aggregates, so a hot node costs one row per task) and one join that AQE splits
-if skewed. The edges are stored after each round in the shared checkpoint folder.
+aggregates, so a hot node costs one row per task) and one join, whose rows of one node go to one
+task: AQE cannot split it, as one side is an aggregate. The edges are stored after each round in the shared checkpoint folder.
 """
 
 from __future__ import annotations
