@@ -17,7 +17,7 @@ from .types import is_integral, is_string
 
 # --- Fixed values: patterns that must equal the reference's for equal results. ---
 EMAIL = r"(?U)^[^@\s]+@[^@\s]+\.[^@\s]+$"
-URL = r"(?U)^(https?://)?(www\.)?[a-zA-Z0-9-]+(\.[a-zA-Z]{2,})+([/\w\-.~:?#@!$&'()*+,;=%]*)?$"
+URL = "(?U)" + r"^(https?:\/\/)?(www\.)?[a-zA-Z0-9-]+(\.[a-zA-Z]{2,})+([\/\w\-.~:?#@!$&'()*+,;=%]*)?$"
 PINCODE_IN = r"^[1-9][0-9]{5}$"
 ZIPCODE_US = r"(?U)^\d{5}(-\d{4})?$"
 POSTCODE_OTHER = r"^[A-Za-z0-9\- ]{4,10}$"

@@ -22,6 +22,7 @@ from . import fill as _fill
 from .parallel import map_jobs
 from .quantile import quantiles
 from .stats import comparable
+from .vf import column_families, stacked_values
 
 # distinct values up to which a per-value table is broadcast (estimated with
 # HyperLogLog, so the bound has a wide margin); its rows have fixed-width keys, so
@@ -60,8 +61,17 @@ def _medians(df: DataFrame, cols: Sequence[str]) -> dict:
 
 
 def _modes(df: DataFrame, cols: Sequence[str]) -> dict:
-    cols = [c for c in cols if is_atomic(df.schema[c].dataType)]
-    return dict(zip(cols, map_jobs(lambda c: mode_value(df, c), cols)))
+    """Most frequent non-null value of each column; ties go to the smallest value. Columns of one type are counted
+    together, in one value-frequency table."""
+    cols = [c for c in dict.fromkeys(cols) if is_atomic(df.schema[c].dataType)]
+
+    def of_type(own: list[str]) -> dict:
+        counts = stacked_values(df, own, as_text=False).groupBy("column", "value").agg(F.count("*").alias("n"))
+        best = F.min_by("value", F.struct((-F.col("n")).alias("n"), "value"))
+        found = {r["column"]: r["m"] for r in counts.groupBy("column").agg(best.alias("m")).collect()}
+        return {c: found.get(c) for c in own}
+    families = column_families(df, cols).values()
+    return {c: v for part in map_jobs(of_type, families) for c, v in part.items()}
 
 
 def fill_mean(df: DataFrame, columns: Sequence[str], order_by=None) -> DataFrame:
@@ -77,15 +87,6 @@ def _means(df: DataFrame, cols: Sequence[str]) -> dict:
     return {c: row[f"a{i}"] for i, c in enumerate(cols)}
 
 
-def mode_value(df: DataFrame, column: str):
-    """Most frequent non-null value; ties go to the smallest value."""
-    dt = df.schema[column].dataType
-    counts = (df.where(~is_missing(column, dt)).groupBy(normalized(column, dt).alias("v"))
-              .agg(F.count(F.lit(1)).alias("n")))
-    row = counts.agg(F.min_by("v", F.struct((-F.col("n")).alias("n"), F.col("v"))).alias("m")).first()
-    return row["m"]
-
-
 def fill_mode(df: DataFrame, columns: Sequence[str], order_by=None) -> DataFrame:
     """Any atomic type; an all-null column and nested columns stay as they are."""
     return _fill_with(df, _modes(df, list(columns)), as_double=False)

@@ -24,7 +24,8 @@ from ..functions.columns import col_ref, quoted
 from ..functions.missing import normalized
 
 
-def _families(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+def column_families(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """Columns by type."""
     types = {f.name: f.dataType for f in df.schema.fields}
     fam: dict[str, list[str]] = {}
     for c in columns:
@@ -50,7 +51,7 @@ def value_frequencies(df: DataFrame, columns: Sequence[str], order_by: str | Non
                       ) -> DataFrame:
     """column STRING, value STRING, cnt BIGINT[, first_o]: distinct non-null values."""
     parts = []
-    for cols in _families(df, columns).values():
+    for cols in column_families(df, columns).values():
         long = stacked_values(df, cols, order_by, as_text=False)
         aggs = [F.count(F.lit(1)).alias("cnt")]
         if order_by:
@@ -87,7 +88,7 @@ def column_value_summary(df: DataFrame, columns: Sequence[str], case_of_text: bo
     from ..functions.text import strip
     types = {f.name: f.dataType for f in df.schema.fields}
     parts = []
-    for cols in _families(df, columns).values():
+    for cols in column_families(df, columns).values():
         long = stacked_values(df, cols, as_text=False)
         grouped = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
         if case_of_text and isinstance(types[cols[0]], T.StringType):

@@ -12,10 +12,12 @@ from typing import Sequence
 
 from .fixtures import VIEWS
 
+# --- Fixed values, written here apart from the engine's: they must equal the reference's for equal results. ---
 WS = r"^\s+|\s+$|\s{2,}"
 NUM = r"^-?\d+(\.\d+)?$"
 EDGE = r"^\s+|\s+$"
 DECIMAL = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+# --- End of fixed values. ---
 
 # column kinds: int (bigint), int4 (int), double, string, timestamp
 VIEW_COLUMNS: dict[str, list[tuple[str, str]]] = {
@@ -242,9 +244,12 @@ def issues_sql(view: str, detectors: Sequence[str] | None = None, where: str = "
     return with_view(view, body, issues_ctes(view, detectors, head))
 
 
+# --- Fixed values, written here apart from the engine's: they must equal the reference's for equal results. ---
 WEIGHTS = {"missing_values": 25.0, "duplicate_rows": 15.0, "duplicate_columns": 5.0,
            "outliers": 15.0, "wrong_dtypes": 10.0, "invalid_values": 15.0,
            "constant_columns": 5.0, "high_cardinality": 5.0, "encoding_issues": 5.0}
+LABELS = ((90, "Excellent"), (75, "Good"), (60, "Fair"), (40, "Needs Cleaning"), (0, "Poor"))
+# --- End of fixed values. ---
 
 
 def _weight_case() -> str:
@@ -265,8 +270,8 @@ def breakdown_sql(view: str) -> str:
 
 
 def score_sql(view: str) -> str:
-    body = ("SELECT score, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' "
-            "WHEN score >= 60 THEN 'Fair' WHEN score >= 40 THEN 'Needs Cleaning' ELSE 'Poor' END AS label, "
+    label = " ".join(f"WHEN score >= {at} THEN {q(name)}" for at, name in LABELS)
+    body = (f"SELECT score, CASE {label} END AS label, "
             "points_lost FROM (SELECT greatest(0.0, least(100.0, CAST(round(100 - coalesce(sum(pl), 0), 1) AS DOUBLE))) "
             "AS score, CAST(coalesce(sum(pl), 0) AS DOUBLE) AS points_lost FROM bd)")
     return with_view(view, body, issues_ctes(view) + breakdown_ctes())

@@ -93,7 +93,7 @@ def _clean(view: str, method: str, columns, round_cols=(), digits: int = 9) -> Q
 
 def _flagship_plan(df: DataFrame) -> CleaningPlan:
     """Accept every detected issue's recommended fix, in issue order."""
-    plan = CleaningPlan(df, order_by=ORDER)
+    plan = CleaningPlan(df, order_by=ORDER, auto_checkpoint=True)
     for row in detect.detect_all(df, order_by=ORDER).orderBy("position").collect():
         plan.accept(row.asDict(recursive=True))
     return plan
@@ -188,6 +188,27 @@ def load_csv_multiline_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_csv(spark, folder).withColumnRenamed("text", "body")
 
 
+def _in_key_order(spark: SparkSession, sf_dir: str, name: str, key: str) -> tuple[DataFrame, str]:
+    """A table ranged and sorted by its key, and a folder to write its files to: their order is the key's."""
+    src = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    folder = os.path.join(ensure_checkpoint_dir(spark), f"ordered-{uuid.uuid4().hex}")
+    return src.repartitionByRange(4, key).sortWithinPartitions(key), folder
+
+
+def line_numbers_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources import read_lines_ordered
+    rows, folder = _in_key_order(spark, sf_dir, "customer", "c_custkey")
+    rows.select("c_name").write.text(folder)
+    return read_lines_ordered(spark, folder, "line")
+
+
+def parquet_row_numbers_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources import read_parquet_ordered
+    rows, folder = _in_key_order(spark, sf_dir, "events", "event_id")
+    rows.select("event_id", "user_id", "value").write.parquet(folder)
+    return read_parquet_ordered(spark, folder, "row")
+
+
 def _as_stream(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     """The view written as parquet under the checkpoint folder, read back as a stream."""
     folder = os.path.join(ensure_checkpoint_dir(spark), f"src-{uuid.uuid4().hex}")
@@ -448,6 +469,8 @@ def queries() -> dict[str, Query]:
         "load_csv_messy": load_csv_messy_q,
         "load_csv_na": load_csv_na_q,
         "load_csv_multiline": load_csv_multiline_q,
+        "line_numbers": line_numbers_q,
+        "parquet_row_numbers": parquet_row_numbers_q,
         "post_process": post_process_q,
         "dtype_summary": dtype_summary_q,
         # profiling
@@ -1099,6 +1122,8 @@ def oracle_sql() -> dict[str, str]:
         "load_csv": _load_csv_sql(),
         "load_csv_messy": _load_csv_sql(),
         "load_csv_na": _load_csv_sql(),
+        "line_numbers": "SELECT c_name AS value, row_number() OVER (ORDER BY c_custkey) - 1 AS line FROM customer",
+        "parquet_row_numbers": "SELECT event_id, user_id, value, row_number() OVER (ORDER BY event_id) - 1 AS row FROM events",
         "load_csv_multiline": "SELECT doc_id, source, text AS body, n_chars FROM documents",
         "post_process": _cu("SELECT " + ", ".join(
             ["rid"] + [f"CASE WHEN {c} IN ({_NA_SQL}) THEN NULL ELSE {c} END AS {c}"
