@@ -9,8 +9,7 @@ column at scale. Here the k-th smallest value is found by radix selection:
 * a pass counts, for all columns and ranks together, the values under each open prefix
   by their next 16 bits: every task adds up its own counts and sends one row per
   (column, prefix, digit); a running sum finds the digit that holds each rank and extends its prefix;
-* a rank whose digit holds at most `FINISH_ROWS` values (as many as a pass has digits) is settled by reading their
-  distinct values.
+* a rank whose digit holds at most `FINISH_ROWS` values (as many as a pass has digits) is settled by reading them.
 
 Four passes at most, whatever the data and however many columns and ranks there are; the first gives
 the number of values too. The driver gets a row per rank and pass. Results are exact, with linear
@@ -24,9 +23,8 @@ from typing import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import col_ref
 from ..functions.missing import normalized
 
 BITS = 16
@@ -153,28 +151,30 @@ def kth_values(df: DataFrame, columns: Sequence[str], wanted: Mapping[int, Seque
     return totals, found
 
 
+def _under(ranges: list[tuple[int, int]], depth: int):
+    """The patterns of the values under each (column, prefix)."""
+    rest = np.uint64(64 - BITS * depth)
+
+    def run(batches):
+        for batch in batches:
+            for c in {c for c, _ in ranges}:
+                p = patterns(batch.column(c).drop_null().to_numpy(zero_copy_only=False))
+                head = p >> rest
+                for i, (own, prefix) in enumerate(ranges):
+                    if own == c and len(under := p[head == np.uint64(prefix)]):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(under), i, np.int32)), pa.array(under.view(np.int64))],
+                                                         ["i", "p"])
+    return run
+
+
 def _finish(values: DataFrame, few: dict, depth: int, found: dict) -> None:
-    """Reads the distinct values under the prefixes of `few` and settles their ranks."""
-    rest = 64 - BITS * depth
+    """Reads the values under the prefixes of `few` (at most FINISH_TOTAL) and settles their ranks."""
     ranges = sorted({(c, prefix) for (c, _), (prefix, _, _) in few.items()})
-    ends = [numbers(np.array([p << rest, (p << rest) + (1 << rest) - 1], np.uint64)) for _, p in ranges]
-
-    def inside(i: int) -> Column:
-        x, (low, high) = F.col(f"c{ranges[i][0]}"), (float(v) for v in ends[i])
-        # the last patterns are not numbers: they are read as beyond every number
-        return ((x >= low) if low == low else F.lit(True)) & ((x <= high) if high == high else F.lit(True))
-    hits = F.array_compact(F.array(*[F.when(inside(i), F.struct(F.lit(i).alias("i"), F.col(f"c{c}").alias("x")))
-                                     for i, (c, _) in enumerate(ranges)]))
-    rows = values.select(F.explode(hits).alias("h")).groupBy("h.i", "h.x").agg(F.count("*").alias("n")).collect()
-    by_range: dict[int, list] = {}
-    for r in rows:
-        by_range.setdefault(r.i, []).append((r.x, r.n))
+    rows = values.mapInArrow(_under(ranges, depth), "i int, p long").toArrow()
+    i, p = rows.column("i").to_numpy(), rows.column("p").to_numpy().view(np.uint64)
+    by_range = [np.sort(p[i == r]) for r in range(len(ranges))]
     for (c, rank), (prefix, at, _) in few.items():
-        for x, n in sorted(by_range[ranges.index((c, prefix))]):
-            if at < n:
-                found[c][rank] = float(x)
-                break
-            at -= n
+        found[c][rank] = float(numbers(by_range[ranges.index((c, prefix))][at:at + 1])[0])
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
