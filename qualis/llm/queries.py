@@ -154,5 +154,66 @@ FROM c GROUP BY conv_id
 """
 
 
+def _op13() -> str:
+    """Row after row, with whole strings: each state (0 start, 1 after system, 2 after user, 3 after assistant) keeps its
+    cheapest (cost, audit) and the turns repaired so far."""
+    inserted = {0: 2, 1: 2, 2: 3, 3: 2}
+    keeps = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    full = {2: "user", 3: "assistant"}
+    ways: dict[int, list[str]] = {q: [f"struct_pack(c := s{q}.c + 2, a := s{q}.a || 'D', r := s{q}.r)"] for q in range(4)}
+
+    def way(p, cost, audit, turns, condition):
+        return (f"CASE WHEN {condition} THEN struct_pack(c := s{p}.c + {cost} + CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END, "
+                f"a := s{p}.a || '{audit}', r := s{p}.r || {turns}) END")
+    live = "fault NOT IN ('blank', 'duplicate')"
+    for p in range(4):
+        state, new = p, ""
+        for k in range(3):
+            before = (f"'{new}' || " if new else "")
+            for (at, role), q in keeps.items():
+                if at == state:
+                    ways[q].append(way(p, 5 * k, "I" * k + "K", before + "role || ':' || text || chr(10)", f"{live} AND left(role, 1) = '{role}'"))
+            q = inserted[state]
+            ways[q].append(way(p, 5 * k + 1, "I" * k + "R", before + f"'{full[q]}:' || text || chr(10)", live))
+            new += f"{full[q]}:' || chr(10) || '"
+            state = q
+    steps = ", ".join(f"list_sort(list_filter([{', '.join(w)}], lambda x: x IS NOT NULL))[1]" for q, w in sorted(ways.items()))
+    far = "struct_pack(c := 1000000000::BIGINT, a := '', r := '')"
+    end = ("list_sort([struct_pack(c := s0.c, a := s0.a, r := s0.r), struct_pack(c := s3.c, a := s3.a, r := s3.r), "
+           "struct_pack(c := s2.c + 5, a := s2.a || 'I', r := s2.r || 'assistant:' || chr(10)), "
+           "struct_pack(c := s1.c + 10, a := s1.a || 'II', r := s1.r || 'user:' || chr(10) || 'assistant:' || chr(10))])[1]")
+    return rf"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+bits AS (SELECT k, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)),
+  lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+     lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)), 4294967295::BIGINT) % 20 AS f
+  FROM (SELECT DISTINCT k FROM keyed)),
+damaged AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN f = 1 THEN '' WHEN f = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy FROM keyed JOIN bits USING (k) WHERE f <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+  regexp_replace(text, '[ 	-]+$', '') AS body FROM damaged),
+seen AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+  WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair FROM placed),
+solved(conv_id, i, s0, s1, s2, s3) AS (
+  SELECT conv_id, 0::BIGINT, struct_pack(c := 0::BIGINT, a := '', r := ''), {far}, {far}, {far} FROM (SELECT DISTINCT conv_id FROM seen)
+  UNION ALL
+  SELECT solved.conv_id, seen.i, {steps}
+  FROM solved JOIN seen ON solved.conv_id IS NOT DISTINCT FROM seen.conv_id AND seen.i = solved.i + 1),
+best AS (SELECT conv_id, {end} AS e FROM solved WHERE i = (SELECT max(i) FROM seen WHERE seen.conv_id IS NOT DISTINCT FROM solved.conv_id)),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+  count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+  count(*) FILTER (WHERE i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM seen GROUP BY conv_id)
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(e.c, 0)::BIGINT AS cost, coalesce(e.a, '') AS audit,
+  sha256(coalesce(CASE WHEN e.r = '' THEN '' ELSE left(e.r, length(e.r) - 1) END, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN counts ON ids.conv_id IS NOT DISTINCT FROM counts.conv_id
+LEFT JOIN best ON ids.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": _OP2, "op6_lm_scores": _OP6, "op7_substring_dedup": _OP7, "op9_chat_format": _OP9}
+    return {"op2_decontamination": _OP2, "op6_lm_scores": _OP6, "op7_substring_dedup": _OP7, "op9_chat_format": _OP9,
+            "op13_repair": _op13()}
