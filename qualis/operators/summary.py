@@ -1,18 +1,21 @@
 """Dashboard summaries: histogram, box statistics, correlation matrix, top
-categories and a block-level missing-value map."""
+categories, a block-level missing-value map, and all of them for columns chosen by class."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import DEFAULT_CONFIG, QualityConfig
 from ..functions.columns import col_ref, numbered
 from ..functions.missing import is_missing, normalized
 from .fill import with_positions
 from .gram import pair_correlations
+from .profile import column_classes
 from .quantile import quantiles
+from .vf import value_frequencies
 
 
 def _values(df: DataFrame, column: str):
@@ -113,3 +116,33 @@ def missing_cells(df: DataFrame, order_by: str, exclude: Sequence[str] = ()) ->
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), is_missing(c, types[c]).cast("int").alias("missing"))
                                 for c in cols]))
     return df.select(col_ref(order_by).alias("row"), cells.alias("_qc")).select("row", "_qc.column", "_qc.missing")
+
+
+def top_categories_of(df: DataFrame, columns: Sequence[str], k: int = 10) -> DataFrame:
+    """column, value, count: the `k` most frequent values of each column (ties by value), from one table of value
+    frequencies for all columns."""
+    order = Window.partitionBy("column").orderBy(F.desc("cnt"), "value")
+    return (value_frequencies(df, columns).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k)
+            .select("column", "value", F.col("cnt").alias("count")))
+
+
+@dataclass(frozen=True)
+class Dashboard:
+    """The tables behind the charts, over columns chosen by their classes; None where no column is of the class."""
+
+    numerical: list[str]
+    categorical: list[str]
+    histogram: DataFrame | None     # of the chosen (else the first) number column
+    box: DataFrame | None           # of all number columns
+    correlation: DataFrame | None   # of two number columns or more
+    categories: DataFrame | None    # the top values of all category columns
+
+
+def dashboard(df: DataFrame, order_by: str | None = None, histogram_column: str | None = None,
+              cfg: QualityConfig = DEFAULT_CONFIG) -> Dashboard:
+    classes = {r["column"]: r["class"] for r in column_classes(df, order_by=order_by, cfg=cfg).orderBy("ord").collect()}
+    numbers, categories = ([c for c, kind in classes.items() if kind == name] for name in ("numerical", "categorical"))
+    return Dashboard(
+        numbers, categories, histogram(df, histogram_column or numbers[0]) if numbers else None,
+        box_stats(df, numbers, cfg) if numbers else None, correlation_matrix(df, numbers) if len(numbers) > 1 else None,
+        top_categories_of(df, categories) if categories else None)

@@ -342,6 +342,14 @@ def _corr(spark, sf_dir):
     return c.select("col_a", "col_b", F.round("corr", 9).alias("corr"))
 
 
+def _dashboard(part: str) -> Query:
+    def run(spark, sf_dir):
+        d = summary.dashboard(table(spark, sf_dir, "dirty_events"), ORDER)
+        out = getattr(d, part)
+        return out.select("col_a", "col_b", F.round("corr", 9).alias("corr")) if part == "correlation" else out
+    return run
+
+
 _OUTLIER_COLUMNS = {"dirty_lineitem": ["l_quantity", "l_extendedprice", "l_discount"], "dirty_events": ["value"],
                     "crm": ["Age", "Salary"], "documents": ["n_chars"]}
 
@@ -553,6 +561,8 @@ def queries() -> dict[str, Query]:
         "missing_map": _missing_map,
         "missing_map_ts": _missing_map_ts,
         "missing_cells": _missing_cells,
+        "dashboard_correlation": _dashboard("correlation"),
+        "dashboard_categories": _dashboard("categories"),
         # checks beyond the detectors
         **{f"outliers_{v.removeprefix('dirty_')}": _outlier_report(v) for v in _OUTLIER_COLUMNS},
         **{f"outlier_rows_{v.removeprefix('dirty_')}": _outlier_rows(v) for v in ("dirty_events", "documents")},
@@ -821,8 +831,16 @@ def _box_sql() -> str:
     return _ev("\nUNION ALL\n".join(rows))
 
 
-def _corr_sql() -> str:
-    cols = ["value", "user_id", "event_id"]
+def _dashboard_categories_sql() -> str:
+    """The text columns of dirty_events are all categories."""
+    rows = " UNION ALL ".join(
+        f"SELECT {O.q(c)} AS \"column\", {c} AS value, count(*) AS n FROM dirty_events WHERE {c} IS NOT NULL GROUP BY {c}"
+        for c, t in O.VIEW_COLUMNS["dirty_events"] if t == "string")
+    return _ev(f"SELECT \"column\", value, n AS count FROM (SELECT *, row_number() OVER (PARTITION BY \"column\" ORDER BY n DESC, value) AS k "
+               f"FROM ({rows})) WHERE k <= 10")
+
+
+def _corr_sql(cols=("value", "user_id", "event_id")) -> str:
     rows = []
     for i, a in enumerate(cols):
         for b in cols[i:]:
@@ -1234,6 +1252,9 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT date_trunc('hour', ts) AS window_start, {O.q(c)} AS \"column\", count(*) AS n_rows, "
             f"count(*) FILTER (WHERE {c} IS NULL) AS n_missing FROM dirty_events GROUP BY 1"
             for c in ("event_type", "value", "mixed"))),
+        # event_id has a name and as many values as an id has
+        "dashboard_correlation": _corr_sql(("user_id", "user_id_copy", "value")),
+        "dashboard_categories": _dashboard_categories_sql(),
         **{f"outliers_{v.removeprefix('dirty_')}": _outlier_report_sql(v) for v in _OUTLIER_COLUMNS},
         **{f"outlier_rows_{v.removeprefix('dirty_')}": _outlier_rows_sql(v) for v in ("dirty_events", "documents")},
         **{f"category_shares_{v.removeprefix('dirty_')}": _category_shares_sql(v) for v in _CATEGORY_COLUMNS},

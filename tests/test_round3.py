@@ -143,3 +143,15 @@ def test_open_windows_complete_a_stream(spark, tmp_path):
     assert [(r.window_start.hour, r.n_rows) for r in whole] == [(h, 3) for h in range(10)]
     nothing = closed.limit(0)
     assert open_windows(nothing, df, "t", "1 hour", ["n"]).count() == 10
+
+
+def test_dashboard_chooses_columns_by_class(spark):
+    df = spark.createDataFrame([(i, f"u{i}", i % 5, i % 7 * 0.5, "a" if i % 3 else "b", f"2024-01-{1 + i % 28:02d}") for i in range(60)],
+                               "cust_id long, code string, qty int, price double, kind string, day string")
+    d = summary.dashboard(df)
+    assert (d.numerical, d.categorical) == (["qty", "price"], ["kind"])
+    assert {r["column"] for r in d.box.collect()} == {"qty", "price"} and d.correlation.count() == 4
+    assert [(r.value, r["count"]) for r in d.categories.collect()] == [("a", 40), ("b", 20)] and d.histogram.count() == 30
+    text = summary.dashboard(df.select("kind"))
+    assert text.numerical == [] and text.box is None and text.correlation is None and text.histogram is None
+    assert summary.dashboard(df.select("cust_id", "day")).categories is None
