@@ -96,7 +96,11 @@ def _block(df: DataFrame, order_by: str, block_rows: int) -> Column | None:
     return F.when(k.isNull(), null_block).otherwise(F.floor(place * per_cut).cast("long"))
 
 
-def _ordered(df: DataFrame, order_by: str, block_rows: int) -> tuple[DataFrame, bool]:
+def _ordered(df: DataFrame, order_by: str, block_rows: int) -> DataFrame:
+    return _placed(df, order_by, block_rows)[0]
+
+
+def _placed(df: DataFrame, order_by: str, block_rows: int) -> tuple[DataFrame, bool]:
     """The rows with `_qblk`, the order `_qo` (key, tie hash) and the tie hash; and whether there are several blocks."""
     from .stats import row_hashes
     tied = df.select(*[col_ref(c) for c in df.columns], row_hashes(df, df.columns)[0].alias(_TIE))
@@ -110,7 +114,7 @@ def with_positions(df: DataFrame, order_by: str, columns: Sequence[Column], bloc
                    ) -> DataFrame:
     """`columns` and `_qpos`, the row's position (0, 1, 2, ...) in the order. Only these
     columns are shuffled, once, by block; a block's offset comes from the block counts."""
-    rows = _ordered(df, order_by, block_rows or DEFAULT_CONFIG.fill_block_rows)[0].select(
+    rows = _ordered(df, order_by, block_rows or DEFAULT_CONFIG.fill_block_rows).select(
         "_qblk", col_ref(order_by).alias("_qkey"), _TIE, *columns)
     before = Window.orderBy("_qblk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("_qblk").agg(F.count(F.lit(1)).alias("_qn")).select(
@@ -138,7 +142,7 @@ def _fill(df: DataFrame, columns: Sequence[str], order_by: str, forward: bool,
         return df
     types = {f.name: f.dataType for f in df.schema.fields}
     blk = "_qblk"
-    base, several = _ordered(df, order_by, block_rows)
+    base, several = _placed(df, order_by, block_rows)
     o = F.col(_ORD)
     # A frame reaching to UNBOUNDED FOLLOWING is recomputed for every row; the
     # backward direction is the forward one over a descending order instead.
@@ -242,7 +246,7 @@ def _block_carry(base: DataFrame, cols: list[str], vals: dict[str, Column]) -> D
 def _interpolated(df: DataFrame, cols: list[str], order_by: str, block_rows: int) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
     blk = "_qblk"
-    base, several = _ordered(df, order_by, block_rows)
+    base, several = _placed(df, order_by, block_rows)
     vals = {c: normalized(c, types[c]).cast("double") for c in cols}
     if several:
         rows = base.join(_block_carry(base, cols, vals), blk, "left")
