@@ -188,6 +188,30 @@ def load_csv_multiline_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_csv(spark, folder).withColumnRenamed("text", "body")
 
 
+def load_csv_bad_rows_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of customers in which every tenth has a field too many (skipped) and every seventh lacks the last
+    (null)."""
+    from .sources.csv import load_csv
+    src = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    k = F.col("c_custkey")
+    line = F.concat_ws("|", k.cast("string"), "c_name", F.when(k % 7 != 0, F.col("c_mktsegment")), F.when(k % 10 == 0, F.lit("more")))
+    folder = os.path.join(ensure_checkpoint_dir(spark), f"csv-{uuid.uuid4().hex}")
+    # every seventh and tenth: the field too many would fill the gap, so it stands twice
+    line = F.when((k % 7 == 0) & (k % 10 == 0), F.concat(line, F.lit("|more"))).otherwise(line)
+    src.coalesce(1).select(line.alias("v")).withColumn("at", F.lit(1)).unionByName(
+        spark.createDataFrame([("key|name|segment", 0)], "v string, at int")).repartition(1).sortWithinPartitions("at") \
+        .select("v").write.text(folder)
+    return load_csv(spark, folder)
+
+
+def file_bytes_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of the files of a text export of the documents, a line per document and line of its text."""
+    from .operators.profile import input_file_bytes
+    folder = os.path.join(ensure_checkpoint_dir(spark), f"text-{uuid.uuid4().hex}")
+    spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.coalesce("text", F.lit("")).alias("v")).write.text(folder)
+    return spark.createDataFrame([(input_file_bytes(spark.read.text(folder)),)], "bytes long")
+
+
 def _in_key_order(spark: SparkSession, sf_dir: str, name: str, key: str) -> tuple[DataFrame, str]:
     """A table ranged and sorted by its key, and a folder to write its files to: their order is the key's."""
     src = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -477,6 +501,8 @@ def queries() -> dict[str, Query]:
         "load_csv_messy": load_csv_messy_q,
         "load_csv_na": load_csv_na_q,
         "load_csv_multiline": load_csv_multiline_q,
+        "load_csv_bad_rows": load_csv_bad_rows_q,
+        "file_bytes": file_bytes_q,
         "line_numbers": line_numbers_q,
         "parquet_row_numbers": parquet_row_numbers_q,
         "post_process": post_process_q,
@@ -1140,6 +1166,9 @@ def oracle_sql() -> dict[str, str]:
         "load_csv": _load_csv_sql(),
         "load_csv_messy": _load_csv_sql(),
         "load_csv_na": _load_csv_sql(),
+        "load_csv_bad_rows": "SELECT c_custkey AS key, c_name AS name, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS segment "
+                             "FROM customer WHERE c_custkey % 10 <> 0",
+        "file_bytes": "SELECT CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes FROM documents",
         "line_numbers": "SELECT c_name AS value, row_number() OVER (ORDER BY c_custkey) - 1 AS line FROM customer",
         "parquet_row_numbers": "SELECT event_id, user_id, value, row_number() OVER (ORDER BY event_id) - 1 AS row FROM events",
         "load_csv_multiline": "SELECT doc_id, source, text AS body, n_chars FROM documents",
