@@ -148,21 +148,22 @@ def links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> D
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(id, th, fp, component_id) for every row; component_id is the smallest id reachable."""
+    """(id, th, fp, root, component_id) for every row; root is the component's smallest linked fingerprint, component_id
+    the smallest id reachable (null where no row of the component has one)."""
     fps = stored(fingerprints(docs, id_col, text_col, shingle))
     groups = fps.groupBy("fp").agg(F.min("id").alias("first"))  # exact copies meet here, map side first
     roots = components(links(groups, radius)).select(F.col("node").alias("fp"), "root")
     named = groups.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(smallest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("id", "th", "fp", "component_id")
+    named = named.join(smallest, "root").select("fp", "root", "component_id")
+    return fps.join(named, "fp").select("id", "th", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One document of each component: the row with the smallest (id, text hash), all columns kept."""
     found = near_duplicates(docs, id_col, text_col, shingle, radius)
-    first = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp0")) \
+    first = found.groupBy("root") \
         .agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th")).alias("r")) \
         .select(F.col("r.id").alias("__id"), F.col("r.th").alias("__th"))
     first = first.distinct()

@@ -587,3 +587,24 @@ def test_oracles(spark):
         cur = con.execute(sql)
         assert digest(df.columns, [tuple(r) for r in df.collect()])[:2] == \
             digest([c[0] for c in cur.description], cur.fetchall())[:2], name
+
+
+def test_null_ids_leave_one_of_a_component(spark):
+    """Copies linked by steps of a few bits, all without ids, leave one; so does a hub with many neighbours."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words)] + [" ".join(words[:k] + ["x"] + words[k + 1:]) for k in (0, 5, 399)] * 2
+    df = spark.createDataFrame([(None, t) for t in texts] + [(1, "another text of its own kind")], "doc_id long, text string")
+    found = simhash.near_duplicates(df).collect()
+    roots = {r.root for r in found if r.id is None}
+    kept = simhash.one_of_each(df).collect()
+    assert len(kept) == len(roots) + 1 and len({r.fp for r in found if r.id is None}) > len(roots)
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    from qualis.llm import components as module
+    edges = [(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(300, 340)] + [(500, i) for i in range(400, 450)] + [(450, 5)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    want = {**{i: 0 for i in [*range(200), 450]}, **{i: 300 for i in range(300, 341)}, **{i: 400 for i in [*range(400, 450), 500]}}
+    for hubs in (1, 5, 10 ** 9):
+        monkeypatch.setattr(module, "HUBS", hubs)
+        assert {r.node: r.root for r in module.components(df).collect()} == want
