@@ -24,6 +24,7 @@ Only the first lines, for the header, reach the driver.
 
 from __future__ import annotations
 
+import codecs
 import csv as _csv
 import io
 
@@ -57,6 +58,12 @@ def file_encoding(lines: DataFrame) -> str:
     return "UTF-8" if lines.agg(F.bool_and(F.is_valid_utf8("value"))).first()[0] in (True, None) else "ISO-8859-1"
 
 
+def _charset(name: str) -> str:
+    """An encoding's name as Spark spells it."""
+    plain = codecs.lookup(name).name
+    return {"utf-8": "UTF-8", "iso8859-1": "ISO-8859-1", "ascii": "US-ASCII"}.get(plain, plain)
+
+
 def sniff(lines: list[str]) -> tuple[str, list[str]]:
     """(separator, header fields) from the first lines."""
     if not lines:
@@ -132,7 +139,7 @@ def load_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: s
     """Read CSV file(s) at `path` into a typed DataFrame (see module notes)."""
     try:
         text = spark.read.text(path)
-        encoding = encoding or file_encoding(text)
+        encoding = _charset(encoding) if encoding else file_encoding(text)
         windows = encoding.lower().replace("-", "") in ("cp1252", "windows1252")
         lines = _header_lines(text, "windows-1252" if windows else encoding)
     except Exception as exc:  # missing path, unreadable file

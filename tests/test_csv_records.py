@@ -93,8 +93,9 @@ def test_latin1_records(spark, tmp_path, small_splits):
     small_splits(90)
     text = "name,note\n" + "".join(f'Zoë{i},"é\nü{i}"\n' for i in range(20))
     (tmp_path / "l.csv").write_bytes(text.encode("latin-1"))
-    got = load_csv(spark, str(tmp_path / "l.csv")).collect()
-    assert sorted(map(tuple, got)) == sorted(_rows(text))
+    for encoding in (None, "latin-1"):
+        got = load_csv(spark, str(tmp_path / "l.csv"), encoding=encoding).collect()
+        assert sorted(map(tuple, got)) == sorted(_rows(text))
 
 
 def test_unclosed_quote_is_an_error(spark, tmp_path):
