@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import csv
 import io
+import os
 import random
+from urllib.parse import urlparse
 
 import pytest
 
+from qualis.queries import load_csv_multiline_q
+from qualis.session import ensure_checkpoint_dir
 from qualis.sources import load_csv, records
 from qualis.sources.csv import DataLoadError
 
@@ -106,3 +110,25 @@ def test_unclosed_quote_is_an_error(spark, tmp_path):
 def test_plain_lines_are_left_to_the_reader(spark, tmp_path):
     (tmp_path / "p.csv").write_text('a,b\n1,"x, y"\n2,"say ""hi"""\n')
     assert records.records_over_lines(spark, str(tmp_path / "p.csv"), "UTF-8", ",") is None
+
+
+def test_export_grows_in_files(spark, tmp_path, small_splits):
+    """Four times the documents are exported to more files, not to larger ones, also when ids repeat or are null."""
+    root = urlparse(ensure_checkpoint_dir(spark)).path
+    rng = random.Random(5)
+    small_splits(6000)
+    largest, splits_crossed = {}, 0
+    for parts in (12, 48):
+        rows = [(None if i % 3 else 7, "web", "t" + "".join(rng.choice('abcdefgh\n ",') for _ in range(200)) + str(i), i) for i in range(parts * 25)]
+        folder = tmp_path / str(parts)
+        spark.createDataFrame(rows, "doc_id long, source string, text string, n_chars long") \
+            .repartition(parts).write.parquet(str(folder / "documents.parquet"))
+        before = set(os.listdir(root))
+        got = load_csv_multiline_q(spark, str(folder)).collect()
+        assert sorted(map(tuple, got), key=lambda r: r[3]) == rows
+        export, = (d for d in set(os.listdir(root)) - before if d.startswith("csv-"))
+        sizes = [os.path.getsize(os.path.join(root, export, f)) for f in os.listdir(os.path.join(root, export)) if f.endswith(".csv")]
+        largest[parts] = max(sizes)
+        splits_crossed += max(sizes) > 6000
+    assert largest[48] < 2 * largest[12]
+    assert splits_crossed == 2  # the files still have several splits
