@@ -1,7 +1,9 @@
 """License scan by diagonal voting.
 
-Every rolling k-gram of a document's words is hashed and joined to the k-gram hashes of
-the license templates (a fixed table of a few hundred rows, so broadcast). A match at
+A text is cut into words once: they are counted, numbered by the templates' vocabulary, and
+the stretches around template k-grams are kept. Every rolling k-gram of a stretch is hashed and
+joined to the k-gram hashes of the license templates (a fixed table of a few hundred rows, so
+broadcast); elsewhere in a text no k-gram can have a partner. A match at
 document word p and template word t votes for the diagonal p - t. Each voted diagonal is
 verified: the document's words along it are compared with the template's, word by word.
 Neighbouring diagonals of one template (words put in or left out) are merged, and the
@@ -14,19 +16,25 @@ the most verified words counts (ties: the fewest others; equal ones all count).
 
 Defined cases: a null or empty text has no words and no labels; repeated rows (equal id
 and text) get equal rows; a null id is kept; an empty table gives no rows; other columns
-are not read. All of it is DataFrame functions.
+are not read. Counts and stretches are stored in the checkpoint folder; the rest is DataFrame functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from itertools import chain, repeat
 
-from .text import WORD, ref
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..session import stored
+from .text import folded_words, in_slices, ref, texts as texts_of
 
 K = 3
 MAX_SHIFT = 3        # words; diagonals closer than this belong to one span
 MIN_COVERED = 0.75
 MIN_WORDS = 6
+CUT = "k long, rk long, id long, n_words long, stretches array<struct<start int, w array<int>>>"
 
 # --- Fixed values: phrases and the labels they stand for. ---
 PHRASES = [
@@ -75,31 +83,70 @@ def _gram_hashes(words: Column) -> Column:
     return F.when(F.size(words) >= K, grams)
 
 
-def templates(spark: SparkSession, phrases=None, texts=None) -> DataFrame:
-    """t, base, label, words."""
+def template_rows(phrases=None, texts=None) -> tuple[list[tuple], dict[str, int]]:
+    """Rows of (t, base, label, words as numbers), and the numbers (from 1) of the words."""
     rows = [(base, label, text.split()) for base, table in
             ((True, PHRASES if phrases is None else phrases), (False, TEMPLATES if texts is None else texts))
             for label, text in table]
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)],
-                                 "t int, base boolean, label string, words array<string>")
+    numbers = {w: i for i, w in enumerate(dict.fromkeys(w for *_, words in rows for w in words), 1)}
+    return [(t, base, label, [numbers[w] for w in words]) for t, (base, label, words) in enumerate(rows)], numbers
+
+
+def _windows(numbers: np.ndarray) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(numbers, K) if len(numbers) >= K else np.zeros((0, K), np.int64)
+
+
+def _stretches(rows: list[tuple], numbers: dict[str, int]):
+    """A `mapInArrow` function from (k, rk, id, text) to `CUT`: words counted, and those less than a template's
+    length from a template k-gram, as numbers (0: in no template). All diagonals through the k-gram lie there."""
+    number = {w.encode(): i for w, i in numbers.items()}
+    powers = (len(numbers) + 1) ** np.arange(K)
+    grams = np.array([g for *_, words in rows for g in _windows(np.array(words, np.int64)) @ powers], np.int64)
+    reach = max((len(words) for *_, words in rows), default=0)
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = [folded_words(text) for text in texts_of(batch.column(3))]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes)
+        found = np.fromiter(map(number.get, chain.from_iterable(words), repeat(0)), np.int64, sizes.sum())
+        windows = _windows(found)
+        at = np.flatnonzero(windows.all(axis=1))
+        at = at[np.isin(windows[at] @ powers, grams)]
+        row = np.searchsorted(ends, at, side="right")
+        inside = at + K <= ends[row]
+        at, row = at[inside], row[inside]
+        start, stop = np.maximum(at - reach, (ends - sizes)[row]), np.minimum(at + reach, ends[row])
+        new = np.append(True, start[1:] >= stop[:-1])[:len(at)]
+        start, stop, row = start[new], stop[np.append(new[1:], True)[:len(at)]], row[new]
+        parts = [found[a:b] for a, b in zip(start, stop)]
+        numbered = pa.ListArray.from_arrays(np.append(0, np.cumsum(stop - start)).astype(np.int32),
+                                            pa.array(np.concatenate([found[:0], *parts]).astype(np.int32)))
+        each = pa.StructArray.from_arrays([pa.array((start - (ends - sizes)[row]).astype(np.int32)), numbered],
+                                          ["start", "w"])
+        lists = pa.ListArray.from_arrays(np.searchsorted(row, np.arange(len(words) + 1)).astype(np.int32), each)
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes), lists],
+                                          ["k", "rk", "id", "n_words", "stretches"])
+    return in_slices(cut, 3)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  phrases=None, texts=None) -> DataFrame:
     """Per row: id, n_words, n_base (places of base phrases), first_word and last_word (their
     smallest and largest start), base_labels, labels, score (greatest coverage)."""
-    table = templates(docs.sparkSession, phrases, texts)
+    template, numbers = template_rows(phrases, texts)
+    table = docs.sparkSession.createDataFrame(template, "t int, base boolean, label string, words array<int>")
     grams = table.select("t", F.col("words").alias("tw"), F.posexplode(_gram_hashes(F.col("words"))).alias("tp", "h"))
-    key = [F.coalesce(ref(id_col).cast("long"), F.lit(-1 << 63)).alias("k"),
-           F.xxhash64(ref(id_col).cast("long"), ref(text_col)).alias("rk")]
-    # U+212A is the only other character whose lower case is one of a-z
-    lowered = F.lower(F.replace(ref(text_col), F.lit("K"), F.lit("é")))
-    words = docs.select(*key, F.regexp_extract_all(lowered, F.lit(f"({WORD})"), 1).alias("w"))
-    votes = (words.select("k", "rk", "w", F.posexplode(_gram_hashes(F.col("w"))).alias("p", "h"))
+    id_ = ref(id_col).cast("long")
+    rows = stored(docs.select(F.coalesce(id_, F.lit(-1 << 63)).alias("k"), F.xxhash64(id_, ref(text_col)).alias("rk"),
+                              id_.alias("id"), ref(text_col).alias("text"))
+                  .mapInArrow(_stretches(template, numbers), CUT))
+    votes = (rows.select("k", "rk", F.explode("stretches").alias("s")).select("k", "rk", "s.start", "s.w")
+             .select("k", "rk", "start", "w", F.posexplode(_gram_hashes(F.col("w"))).alias("p", "h"))
              .join(F.broadcast(grams), "h")
-             .select("k", "rk", "t", "tw", (F.col("p") - F.col("tp")).alias("diagonal"),
-                     F.slice("w", F.greatest(F.col("p") - F.col("tp"), F.lit(0)) + 1,
-                             F.size("tw") + F.least(F.col("p") - F.col("tp"), F.lit(0))).alias("dw")))
+             .withColumn("diagonal", F.col("start") + F.col("p") - F.col("tp"))
+             .select("k", "rk", "t", "tw", "diagonal",
+                     F.slice("w", F.greatest(F.col("diagonal"), F.lit(0)) - F.col("start") + 1,
+                             F.size("tw") + F.least(F.col("diagonal"), F.lit(0))).alias("dw")))
     diagonals = votes.groupBy("k", "rk", "t", "diagonal").agg(F.first("tw").alias("tw"), F.first("dw").alias("dw"))
     skip = F.greatest(-F.col("diagonal"), F.lit(0))
     verified = F.filter(F.sequence(F.lit(0), F.size("tw") - 1),
@@ -130,10 +177,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.array_join(F.array_sort(F.collect_set(F.when(is_base, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set(F.when(is_base | added, F.col("label")))), ",").alias("labels"),
         F.max(F.when(is_base, F.lit(1.0)).when(added, F.col("n") / F.col("m"))).alias("score"))
-    n_words = F.regexp_count(ref(text_col), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
-    rows = docs.select(*key, ref(id_col).cast("long").alias("id"), F.coalesce(n_words, F.lit(0)).alias("n_words"))
-    return rows.join(found, ["k", "rk"], "left").select(
-        F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"),
+    return rows.select("k", "rk", "id", "n_words").join(found, ["k", "rk"], "left").select(
+        F.col("id").alias(id_col), "n_words",
         F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
         F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"),
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),

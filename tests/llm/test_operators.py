@@ -116,6 +116,36 @@ def test_sibling_licenses_are_told_apart(spark):
     assert got == {i: labels for i, (_, labels) in enumerate(cases)}
 
 
+def test_license_scan_reads_each_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+    texts = ["Released under the MIT License.", "no license", "", None] * 5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = licenses.license_scan(df.select("doc_id", F.udf(seen, "string").asNondeterministic()("text").alias("text")))
+    assert [r.n_words for r in sorted(found.collect())] == [5, 2, 0, 0] * 5
+    assert read.value == len(texts)
+
+
+def test_license_places_in_stretches_apart(spark):
+    """Phrases and templates with all gaps around the length of the longest template, at both ends of texts."""
+    reach = max(len(t.split()) for _, t in licenses.PHRASES + licenses.TEMPLATES)
+    phrase, template = licenses.PHRASES[1][1], licenses.TEMPLATES[2][1]
+    texts = [f"{phrase} {'word ' * gap}{phrase.upper()} {'word ' * (3 * reach)}{template} {'word ' * gap}{phrase}"
+             for gap in range(2 * reach + 3)]
+    texts += ["under the mit", "license", "cc by", "nc cc by nc"]  # k-grams over the ends of neighbouring rows
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in licenses.license_scan(df).collect()}
+    m, k = len(template.split()), len(phrase.split())
+    for gap in range(2 * reach + 3):
+        r = got[gap]
+        assert (r.n_words, r.n_base, r.first_word) == (3 * k + 2 * gap + 3 * reach + m, 3, 0)
+        assert (r.last_word, r.base_labels, r.labels, r.score) == (r.n_words - k, "apache-2", "apache-2,bsd", 1.0)
+    assert [got[i].n_base for i in range(gap + 1, len(texts))] == [0, 0, 0, 1] and got[len(texts) - 1].first_word == 1
+
+
 # --- decontamination ---
 
 def brute_hits(text, items, n=10):
